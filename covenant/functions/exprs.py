@@ -43,7 +43,20 @@ def iso_ms(ts) -> Column:
 
 
 def parse_iso(s) -> Column:
-    return F.to_timestamp_ntz(col_(s), F.lit(ISO_MS))
+    """ISO ms text -> TIMESTAMP_NTZ; text that is not a time (e.g. a uuid) -> NULL."""
+    return F.try_to_timestamp(col_(s), F.lit(ISO_MS)).cast("timestamp_ntz")
+
+
+def epoch_micros(ts) -> Column:
+    """Microseconds since the epoch of a TIMESTAMP_NTZ, independent of the session zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), col_(ts))
+
+
+def latest_first_key(ts, tie) -> Column:
+    """Sort key whose *minimum* is the latest row: NULL time first (PostgreSQL
+    DESC NULLS FIRST), then the newest time, then the lowest ``tie`` value."""
+    t = col_(ts)
+    return F.struct(t.isNotNull().alias("k0"), (-epoch_micros(t)).alias("k1"), col_(tie).alias("k2"))
 
 
 def falsy_null(c) -> Column:

@@ -224,3 +224,32 @@ def dataset_summary(t: Tables) -> DataFrame:
     def cnt(df, name):
         return df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
     return cnt(t.contracts, "contracts").unionByName(cnt(t.events, "events")).unionByName(cnt(t.ledger, "ledger"))
+
+
+def location_dashboard_items(items: DataFrame, locations=None, redeemed: str = REDEEMED) -> DataFrame:
+    """A2: the dashboard computed from the item shape (location index + ledger items).
+
+    Only contract items present in the sparse (location, status) index count;
+    ``status`` alone decides "redeemed" (as the item reader does); an absent
+    amount counts 0; the rate is not rounded; empty locations are dropped.
+    ``locations`` restricts to a list (None = every indexed location).
+    """
+    from covenant.sources.items import CONTRACT_SK, LEDGER_PREFIX, location_index
+
+    idx = location_index(items).where(F.col("SK") == CONTRACT_SK)
+    if locations is not None:
+        idx = idx.where(F.col("contract_location").isin(list(locations)))
+    ci = idx.select(F.col("PK").alias("c_pk"), "status", "contract_location")
+    li = (items.where(F.col("SK").startswith(LEDGER_PREFIX))
+          .groupBy(F.col("PK").alias("l_pk"))
+          .agg(F.sum(F.coalesce(F.col("amount"), F.lit(0))).cast(SUM_MONEY).alias("s")))
+    j = ci.join(li, ci.c_pk == li.l_pk, "left")
+    g = (j.groupBy("contract_location")
+         .agg(F.count(F.lit(1)).alias("soul_count"),
+              F.count(F.when(F.col("status") == redeemed, 1)).alias("redeemed"),
+              F.sum(F.coalesce(F.col("s"), zero_money())).cast(SUM_MONEY).alias("total_power")))
+    return (g.where(F.col("soul_count") > 0).select(
+        "contract_location", "soul_count", "redeemed", "total_power",
+        dec_mean("total_power", "soul_count").alias("avg_power_per_soul"),
+        (F.col("redeemed").cast("double") / F.col("soul_count") * F.lit(100.0)).alias("redemption_rate"))
+        .orderBy(F.desc_nulls_first("total_power"), F.asc_nulls_last("contract_location")))

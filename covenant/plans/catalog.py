@@ -1,17 +1,31 @@
-"""Registry of named queries: name -> callable(spark, sf_dir) -> DataFrame."""
+"""Registry of named queries: name -> callable(spark, sf_dir) -> DataFrame.
+
+Every query reads the driver tables through ``covenant.sources.binding`` (or
+data Spark derives from them) and runs over whole tables; parameters such as
+a status, a day or a location are literal arguments a user would pass.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from covenant.operators import analytics as A
+from covenant.operators import lookups as L
+from covenant.operators import profile as P
 from covenant.sources import binding as B
+from covenant.sources import items as I
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
 
+# ---- fixed parameters of the registered queries ----
+STATUS = "Bound"
+LOCATION = "NATION_1"
+EVENT_DAY = "2024-01-15"
+
 
 def register(name: str):
     def deco(fn: QueryFn) -> QueryFn:
@@ -24,4 +38,65 @@ def _t(spark, d):
     return B.load_tables(spark, d)
 
 
+def _r(spark, d):
+    return B.right_store(B.load_tables(spark, d))
+
+
+def _items(spark, d):
+    return I.put_items(I.to_items(_t(spark, d)))
+
+
+def sample_id(spark, d):
+    """The id a profile/lookup scenario works on: S11 over the two stores (one scalar)."""
+    row = L.sample_common_id(_t(spark, d).contracts, _r(spark, d).contracts, STATUS).first()
+    return None if row is None else row[0]
+
+
+# analytics
 register("location_dashboard")(lambda s, d: A.location_dashboard(_t(s, d)))
+register("risk_analysis_fanout")(lambda s, d: A.risk_analysis_fanout(_t(s, d)))
+register("risk_analysis")(lambda s, d: A.risk_analysis(_t(s, d)))
+register("location_dashboard_joined")(lambda s, d: A.location_dashboard_joined(_t(s, d)))
+register("location_profitability")(lambda s, d: A.location_profitability(_t(s, d)))
+register("fanout_join_metrics")(lambda s, d: A.fanout_join_metrics(_t(s, d)))
+register("ledger_totals")(lambda s, d: A.ledger_totals(_t(s, d).ledger))
+register("gains_losses")(lambda s, d: A.gains_losses(_t(s, d).ledger))
+register("last_activity")(lambda s, d: A.last_activity(_t(s, d).events))
+register("daily_totals")(lambda s, d: A.daily_totals(_t(s, d).ledger))
+register("running_totals")(lambda s, d: A.running_totals(A.daily_totals(_t(s, d).ledger)))
+register("dataset_summary")(lambda s, d: A.dataset_summary(_t(s, d)))
+
+# scans and lookups
+register("scan_contracts")(lambda s, d: _t(s, d).contracts)
+register("scan_events")(lambda s, d: _t(s, d).events)
+register("scan_ledger")(lambda s, d: _t(s, d).ledger)
+register("lookup_status")(lambda s, d: L.lookup_status(_t(s, d).contracts, STATUS))
+register("lookup_by_date")(lambda s, d: L.lookup_by_date(_t(s, d).events, "event_time", EVENT_DAY))
+register("resolve_ids")(lambda s, d: L.resolve_ids(_t(s, d).contracts))
+register("sample_common_id")(lambda s, d: L.sample_common_id(_t(s, d).contracts, _r(s, d).contracts, STATUS))
+register("point_get")(lambda s, d: L.point_get(_t(s, d).contracts, {"id": sample_id(s, d)}))
+register("batch_get")(lambda s, d: L.batch_get(
+    _t(s, d).contracts, L.lookup_status(_t(s, d).contracts, STATUS, 10).select("id")))
+register("missing_in_other")(lambda s, d: L.missing_in_other(_t(s, d).contracts, _r(s, d).contracts))
+register("structure_sample")(lambda s, d: L.structure_sample(
+    _t(s, d).contracts.select("id", "contract_status", "soul_type", "contract_location"), "id"))
+register("table_inventory")(lambda s, d: L.table_inventory(s, d, ["customer", "orders", "events"]))
+register("readiness")(lambda s, d: L.readiness(L.table_inventory(s, d, ["customer", "orders", "events"])))
+
+# profiles and audit
+register("profile_joined")(lambda s, d: P.profile_joined(_t(s, d), [sample_id(s, d)])
+                           .withColumn("events", P.events_text("events")))
+register("profile_full")(lambda s, d: P.profile_full(_t(s, d)))
+register("profile_one")(lambda s, d: P.profile_full(_t(s, d), [sample_id(s, d)]))
+register("audit_latest")(lambda s, d: P.audit_latest(_t(s, d)))
+
+# item store
+register("to_items")(lambda s, d: I.to_items(_t(s, d)))
+register("put_items")(_items)
+register("items_contracts")(lambda s, d: I.items_contracts(_items(s, d)))
+register("item_collection")(lambda s, d: I.item_collection(_items(s, d), sample_id(s, d)))
+register("items_by_prefix")(lambda s, d: I.items_by_prefix(_items(s, d), sample_id(s, d), I.LEDGER_PREFIX))
+register("lookup_location")(lambda s, d: I.lookup_location(_items(s, d), LOCATION))
+register("from_items_contracts")(lambda s, d: I.from_items(_items(s, d)).contracts)
+register("from_items_ledger")(lambda s, d: I.from_items(_items(s, d)).ledger)
+register("location_dashboard_items")(lambda s, d: A.location_dashboard_items(_items(s, d)))

@@ -25,3 +25,239 @@ SELECT contract_location, soul_count, redeemed, total_power,
        {rate_1dp('redeemed', 'soul_count')} AS redemption_rate
 FROM g ORDER BY total_power DESC NULLS FIRST, contract_location
 """
+
+# ------------------------------------------------------------------ analytics
+_SOUL_METRICS = """
+soul_metrics AS (
+  SELECT sc.id, sc.contract_location, sc.soul_type,
+         COUNT(sce.id) AS event_count,
+         CAST(SUM(CASE WHEN sl.amount > 0 THEN sl.amount ELSE 0 END) AS DECIMAL(38,6)) AS gains,
+         CAST(SUM(CASE WHEN sl.amount < 0 THEN ABS(sl.amount) ELSE 0 END) AS DECIMAL(38,6)) AS losses,
+         MAX(sce.event_time) AS last_activity
+  FROM contracts sc
+  LEFT JOIN contract_events sce ON sc.id = sce.soul_contract_id
+  LEFT JOIN ledger sl ON sc.id = sl.soul_contract_id
+  GROUP BY sc.id, sc.contract_location, sc.soul_type)"""
+
+_SOUL_METRICS_ONCE = """
+ev AS (SELECT soul_contract_id, COUNT(id) AS n, MAX(event_time) AS last_activity FROM contract_events GROUP BY 1),
+lg AS (SELECT soul_contract_id,
+              SUM(CASE WHEN amount > 0 THEN amount ELSE 0 END) AS g,
+              SUM(CASE WHEN amount < 0 THEN ABS(amount) ELSE 0 END) AS x FROM ledger GROUP BY 1),
+soul_metrics AS (
+  SELECT sc.id, sc.contract_location, sc.soul_type, COALESCE(ev.n, 0) AS event_count,
+         CAST(COALESCE(lg.g, 0) AS DECIMAL(38,6)) AS gains, CAST(COALESCE(lg.x, 0) AS DECIMAL(38,6)) AS losses,
+         ev.last_activity
+  FROM contracts sc LEFT JOIN ev ON ev.soul_contract_id = sc.id LEFT JOIN lg ON lg.soul_contract_id = sc.id)"""
+
+_RISK_TAIL = f"""
+, location_analysis AS (
+  SELECT contract_location,
+         COUNT(*) AS total_souls,
+         SUM(gains - losses) AS net_sum,
+         AVG(gains - losses) AS avg_net,
+         COUNT(CASE WHEN event_count > 5 THEN 1 END) AS active_souls,
+         RANK() OVER (ORDER BY AVG(gains - losses) DESC NULLS FIRST) AS profitability_rank
+  FROM soul_metrics WHERE gains > 0 OR losses > 0
+  GROUP BY contract_location)
+SELECT contract_location, total_souls,
+       {dec_mean('net_sum', 'total_souls', 2)} AS avg_net_power,
+       active_souls, profitability_rank,
+       {rate_1dp('active_souls', 'total_souls')} AS activity_rate
+FROM location_analysis ORDER BY profitability_rank
+"""
+
+Q["risk_analysis_fanout"] = with_binding(_SOUL_METRICS) + _RISK_TAIL
+Q["risk_analysis"] = with_binding(_SOUL_METRICS_ONCE) + _RISK_TAIL
+Q["fanout_join_metrics"] = with_binding(_SOUL_METRICS) + "SELECT * FROM soul_metrics"
+
+_JOINED_STATS = """
+location_stats AS (
+  SELECT sc.contract_location,
+         COUNT(*) AS n_rows,
+         COUNT(CASE WHEN sc.contract_status = 'Redeemed' THEN 1 END) AS n_redeemed,
+         CAST(SUM(COALESCE(sl.amount, 0)) AS DECIMAL(38,6)) AS sum_power,
+         AVG(COALESCE(sl.amount, 0)) AS avg_power
+  FROM contracts sc LEFT JOIN ledger sl ON sc.id = sl.soul_contract_id
+  GROUP BY sc.contract_location)"""
+
+Q["location_dashboard_joined"] = with_binding(_JOINED_STATS) + f"""
+SELECT contract_location, n_rows AS soul_count, n_redeemed AS redeemed, sum_power AS total_power,
+       {dec_mean('sum_power', 'n_rows')} AS avg_power_per_soul,
+       {rate_1dp('n_redeemed', 'n_rows')} AS redemption_rate
+FROM location_stats ORDER BY total_power DESC NULLS FIRST
+"""
+
+Q["location_profitability"] = with_binding(_JOINED_STATS) + f"""
+SELECT contract_location, n_rows AS total_contracts, n_redeemed AS redeemed_count,
+       {rate_1dp('n_redeemed', 'n_rows')} AS redemption_rate,
+       {dec_mean('sum_power', 'n_rows', 2)} AS avg_net_power,
+       RANK() OVER (ORDER BY avg_power DESC NULLS FIRST) AS profitability_rank,
+       CASE WHEN n_redeemed > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS activity_rate
+FROM location_stats ORDER BY profitability_rank
+"""
+
+Q["ledger_totals"] = with_binding() + """
+SELECT soul_contract_id, CAST(SUM(amount) AS DECIMAL(38,6)) AS total_power FROM ledger GROUP BY 1"""
+
+Q["gains_losses"] = with_binding() + """
+SELECT soul_contract_id,
+       CAST(SUM(CASE WHEN amount > 0 THEN amount ELSE 0 END) AS DECIMAL(38,6)) AS gains,
+       CAST(SUM(CASE WHEN amount < 0 THEN ABS(amount) ELSE 0 END) AS DECIMAL(38,6)) AS losses
+FROM ledger GROUP BY 1"""
+
+Q["last_activity"] = with_binding() + """
+SELECT soul_contract_id, MAX(event_time) AS last_activity FROM contract_events GROUP BY 1"""
+
+_DAILY = """
+daily AS (SELECT CAST(transaction_time AS DATE) AS day, CAST(SUM(amount) AS DECIMAL(38,6)) AS daily_total
+          FROM ledger GROUP BY 1)"""
+
+Q["daily_totals"] = with_binding(_DAILY) + "SELECT * FROM daily"
+
+Q["running_totals"] = with_binding(_DAILY) + """
+SELECT day, daily_total,
+       CAST(SUM(daily_total) OVER (ORDER BY day NULLS FIRST) AS DECIMAL(38,6)) AS running_total,
+       RANK() OVER (ORDER BY daily_total DESC NULLS FIRST) AS day_rank
+FROM daily ORDER BY day"""
+
+Q["dataset_summary"] = with_binding() + """
+SELECT 'contracts' AS table_name, COUNT(*) AS row_count FROM contracts
+UNION ALL SELECT 'events', COUNT(*) FROM contract_events
+UNION ALL SELECT 'ledger', COUNT(*) FROM ledger"""
+
+# ------------------------------------------------------------------ lookups
+_PICK = """
+cand AS (SELECT id FROM contracts WHERE contract_status = 'Bound' ORDER BY id LIMIT 10),
+pick AS (SELECT COALESCE(MIN(c.id) FILTER (WHERE r.id IS NOT NULL), MIN(c.id)) AS id
+         FROM cand c LEFT JOIN r_contracts r ON r.id = c.id)"""
+
+Q["scan_contracts"] = with_binding() + "SELECT * FROM contracts"
+Q["scan_events"] = with_binding() + "SELECT * FROM contract_events"
+Q["scan_ledger"] = with_binding() + "SELECT * FROM ledger"
+Q["lookup_status"] = with_binding() + "SELECT * FROM contracts WHERE contract_status = 'Bound' ORDER BY id"
+Q["lookup_by_date"] = with_binding() + """
+SELECT * FROM contract_events
+WHERE event_time >= TIMESTAMP '2024-01-15 00:00:00' AND event_time < TIMESTAMP '2024-01-16 00:00:00'
+ORDER BY event_time, id"""
+Q["resolve_ids"] = with_binding() + """
+SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS pos, id
+FROM (SELECT id FROM contracts ORDER BY id LIMIT 25)"""
+Q["sample_common_id"] = with_binding(_PICK) + "SELECT id FROM pick WHERE id IS NOT NULL"
+Q["point_get"] = with_binding(_PICK) + "SELECT c.* FROM contracts c JOIN pick p ON c.id = p.id"
+Q["batch_get"] = with_binding() + """
+SELECT * FROM contracts WHERE id IN (SELECT id FROM contracts WHERE contract_status = 'Bound' ORDER BY id LIMIT 10)"""
+Q["missing_in_other"] = with_binding() + """
+SELECT * FROM contracts c WHERE NOT EXISTS (SELECT 1 FROM r_contracts r WHERE r.id = c.id)"""
+Q["structure_sample"] = with_binding() + """
+SELECT id, contract_status, soul_type, contract_location FROM contracts ORDER BY id LIMIT 3"""
+_INVENTORY = """
+inventory AS (
+  SELECT 'customer' AS table_name, TRUE AS present, COUNT(*) AS row_count FROM customer
+  UNION ALL SELECT 'orders', TRUE, COUNT(*) FROM orders
+  UNION ALL SELECT 'events', TRUE, COUNT(*) FROM events)"""
+Q["table_inventory"] = with_binding(_INVENTORY) + "SELECT * FROM inventory"
+Q["readiness"] = with_binding(_INVENTORY) + """
+SELECT COUNT(*) AS expected, COUNT(CASE WHEN present THEN 1 END) AS present,
+       CAST(SUM(COALESCE(row_count, 0)) AS BIGINT) AS total_rows,
+       (COUNT(CASE WHEN present THEN 1 END) = COUNT(*)) OR (COUNT(CASE WHEN present THEN 1 END) = 0) AS ready
+FROM inventory"""
+
+# ------------------------------------------------------------------ profiles
+Q["profile_joined"] = with_binding(_PICK) + """
+SELECT sc.id, sc.contract_status, sc.soul_type, sc.contract_location, sc.updated_at,
+       array_to_string(list_transform(list_sort(array_agg(sce.description), 'ASC', 'NULLS LAST'), lambda x: COALESCE(x, 'NULL')), '|') AS events,
+       CAST(SUM(sl.amount) AS DECIMAL(38,6)) AS total_power
+FROM contracts sc
+LEFT JOIN contract_events sce ON sc.id = sce.soul_contract_id
+LEFT JOIN ledger sl ON sc.id = sl.soul_contract_id
+WHERE sc.id = (SELECT id FROM pick)
+GROUP BY sc.id, sc.contract_status, sc.soul_type, sc.contract_location, sc.updated_at"""
+
+_FLAT = """
+flat AS (
+  SELECT id AS contract_id, 'contract' AS kind, updated_at AS time, NULL::VARCHAR AS description,
+         NULL::DECIMAL(38,6) AS amount, contract_status, soul_type, contract_location FROM contracts
+  UNION ALL
+  SELECT soul_contract_id, 'event', event_time, description, NULL, NULL, NULL, NULL FROM contract_events
+  UNION ALL
+  SELECT soul_contract_id, 'ledger', transaction_time, description, CAST(amount AS DECIMAL(38,6)), NULL, NULL, NULL
+  FROM ledger)"""
+Q["profile_full"] = with_binding(_FLAT) + "SELECT * FROM flat"
+Q["profile_one"] = with_binding(_PICK, _FLAT) + "SELECT * FROM flat WHERE contract_id = (SELECT id FROM pick)"
+
+Q["audit_latest"] = with_binding("""
+le AS (SELECT soul_contract_id, description AS last_event, event_time AS last_event_time,
+              row_number() OVER (PARTITION BY soul_contract_id ORDER BY event_time DESC NULLS FIRST, id) AS rn
+       FROM contract_events),
+ll AS (SELECT soul_contract_id, amount AS last_amount, transaction_time AS last_amount_time,
+              row_number() OVER (PARTITION BY soul_contract_id ORDER BY transaction_time DESC NULLS FIRST, id) AS rn
+       FROM ledger)""") + """
+SELECT sc.id, sc.contract_status, sc.updated_at, le.last_event, le.last_event_time, ll.last_amount, ll.last_amount_time
+FROM contracts sc
+LEFT JOIN le ON le.soul_contract_id = sc.id AND le.rn = 1
+LEFT JOIN ll ON ll.soul_contract_id = sc.id AND ll.rn = 1"""
+
+# ------------------------------------------------------------------ item store
+_ISO = "'%Y-%m-%dT%H:%M:%S.%gZ'"
+_ITEMS = f"""
+items_raw AS (
+  SELECT 'SOUL#' || CAST(id AS VARCHAR) AS PK, 'CONTRACT' AS SK, CAST(id AS VARCHAR) AS soulId,
+         contract_status AS status, NULL::VARCHAR AS contract_status, soul_type, contract_location,
+         strftime(updated_at, {_ISO}) AS createdAt, NULL::VARCHAR AS updated_at, NULL::VARCHAR AS eventType,
+         NULL::VARCHAR AS "timestamp", NULL::VARCHAR AS event_time, NULL::VARCHAR AS transaction_time,
+         NULL::VARCHAR AS transaction_type, NULL::DECIMAL(18,6) AS amount, NULL::VARCHAR AS description,
+         'STATUS#' || contract_status AS GSI1PK, strftime(updated_at, {_ISO}) AS GSI1SK, CAST(0 AS BIGINT) AS _seq
+  FROM contracts
+  UNION ALL
+  SELECT 'SOUL#' || CAST(soul_contract_id AS VARCHAR), 'EVENT#' || strftime(event_time, {_ISO}), NULL, NULL, NULL,
+         NULL, NULL, NULL, NULL, replace(description, ' ', '_'), strftime(event_time, {_ISO}), NULL, NULL, NULL, NULL,
+         description, 'EVENT#' || substring(strftime(event_time, {_ISO}), 1, 10), strftime(event_time, {_ISO}), id
+  FROM contract_events
+  UNION ALL
+  SELECT 'SOUL#' || CAST(soul_contract_id AS VARCHAR), 'LEDGER#' || strftime(transaction_time, {_ISO}), NULL, NULL,
+         NULL, NULL, NULL, NULL, NULL, NULL, strftime(transaction_time, {_ISO}), NULL, NULL, NULL, amount,
+         description, 'LEDGER#' || substring(strftime(transaction_time, {_ISO}), 1, 10),
+         strftime(transaction_time, {_ISO}), id
+  FROM ledger),
+items AS (
+  SELECT * FROM items_raw WHERE PK IS NOT NULL AND SK IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY PK, SK ORDER BY _seq DESC) = 1)"""
+
+Q["to_items"] = with_binding(_ITEMS) + "SELECT * FROM items_raw"
+Q["put_items"] = with_binding(_ITEMS) + "SELECT * FROM items"
+Q["items_contracts"] = with_binding(_ITEMS) + """
+SELECT substring(PK, 6) AS id, COALESCE(NULLIF(status, ''), NULLIF(contract_status, ''), 'Unknown') AS status
+FROM items WHERE SK = 'CONTRACT'"""
+Q["item_collection"] = with_binding(_PICK, _ITEMS) + """
+SELECT * FROM items WHERE PK = 'SOUL#' || CAST((SELECT id FROM pick) AS VARCHAR) ORDER BY SK"""
+Q["items_by_prefix"] = with_binding(_PICK, _ITEMS) + """
+SELECT * FROM items WHERE PK = 'SOUL#' || CAST((SELECT id FROM pick) AS VARCHAR) AND starts_with(SK, 'LEDGER#')
+ORDER BY SK"""
+Q["lookup_location"] = with_binding(_ITEMS) + """
+SELECT * FROM items WHERE contract_location IS NOT NULL AND status IS NOT NULL AND contract_location = 'NATION_1'
+ORDER BY status, PK, SK"""
+Q["from_items_contracts"] = with_binding(_ITEMS) + """
+SELECT COALESCE(NULLIF(soulId, ''), substring(PK, 6)) AS id,
+       COALESCE(NULLIF(status, ''), NULLIF(contract_status, ''), 'Unknown') AS contract_status,
+       NULLIF(soul_type, '') AS soul_type, NULLIF(contract_location, '') AS contract_location,
+       CAST(try_strptime(NULLIF(createdAt, ''), '%Y-%m-%dT%H:%M:%S.%gZ') AS TIMESTAMP) AS updated_at
+FROM items WHERE SK = 'CONTRACT'"""
+Q["from_items_ledger"] = with_binding(_ITEMS) + """
+SELECT SK AS id, substring(PK, 6) AS soul_contract_id, amount,
+       CAST(try_strptime(COALESCE(NULLIF("timestamp", ''), substring(SK, 8)), '%Y-%m-%dT%H:%M:%S.%gZ') AS TIMESTAMP)
+         AS transaction_time,
+       COALESCE(NULLIF("timestamp", ''), substring(SK, 8)) AS transaction_time_text,
+       NULLIF(description, '') AS description
+FROM items WHERE starts_with(SK, 'LEDGER#')"""
+Q["location_dashboard_items"] = with_binding(_ITEMS, """
+ci AS (SELECT PK, status, contract_location FROM items
+       WHERE contract_location IS NOT NULL AND status IS NOT NULL AND SK = 'CONTRACT'),
+li AS (SELECT PK, SUM(COALESCE(amount, 0)) AS s FROM items WHERE starts_with(SK, 'LEDGER#') GROUP BY PK),
+g AS (SELECT contract_location, COUNT(*) AS soul_count, COUNT(CASE WHEN status = 'Redeemed' THEN 1 END) AS redeemed,
+             CAST(SUM(COALESCE(li.s, 0)) AS DECIMAL(38,6)) AS total_power
+      FROM ci LEFT JOIN li ON li.PK = ci.PK GROUP BY contract_location)""") + f"""
+SELECT contract_location, soul_count, redeemed, total_power,
+       {dec_mean('total_power', 'soul_count')} AS avg_power_per_soul,
+       CAST(redeemed AS DOUBLE) / soul_count * 100.0::DOUBLE AS redemption_rate
+FROM g WHERE soul_count > 0 ORDER BY total_power DESC NULLS FIRST"""
