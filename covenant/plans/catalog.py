@@ -100,3 +100,49 @@ register("lookup_location")(lambda s, d: I.lookup_location(_items(s, d), LOCATIO
 register("from_items_contracts")(lambda s, d: I.from_items(_items(s, d)).contracts)
 register("from_items_ledger")(lambda s, d: I.from_items(_items(s, d)).ledger)
 register("location_dashboard_items")(lambda s, d: A.location_dashboard_items(_items(s, d)))
+
+# parity and validation
+from covenant.operators import parity as V  # noqa: E402
+from covenant.operators import stats as T  # noqa: E402
+
+LIMITS = [("click", 100.0), ("view", 500.0)]   # per-system limit in ms (fixed values)
+
+
+def _left_items_contracts(s, d):
+    return I.items_contracts(_items(s, d))
+
+
+def _right_status(s, d):
+    return _r(s, d).contracts.select(F.col("id"), F.col("contract_status").alias("status"))
+
+
+def _all_ids(s, d):
+    return (_t(s, d).contracts.select(F.col("id").cast("string").alias("id"))
+            .unionByName(_r(s, d).contracts.select(F.col("id").cast("string").alias("id"))).distinct())
+
+
+def _all_issues(s, d):
+    return (V.parity_contracts(_t(s, d).contracts, _r(s, d).contracts)
+            .unionByName(V.parity_ledger(_t(s, d).ledger, _r(s, d).ledger)))
+
+
+register("consistency_report")(lambda s, d: V.consistency_report(_left_items_contracts(s, d), _right_status(s, d)))
+register("parity_contracts")(lambda s, d: V.parity_contracts(_t(s, d).contracts, _r(s, d).contracts))
+register("parity_ledger")(lambda s, d: V.parity_ledger(_t(s, d).ledger, _r(s, d).ledger))
+register("parity_ledger_keyed")(lambda s, d: V.parity_ledger(_t(s, d).ledger, _r(s, d).ledger, mode="keyed"))
+register("parity_events")(lambda s, d: V.parity_events(I.from_items(_items(s, d)).events, _r(s, d).events))
+register("parity_summary")(lambda s, d: V.parity_summary(_all_issues(s, d), _all_ids(s, d)))
+register("parity_issue_counts")(lambda s, d: V.issue_counts(_all_issues(s, d), _all_ids(s, d)))
+register("threshold_violations")(lambda s, d: V.threshold_violations(
+    B.load_measurements(s, d), s.createDataFrame(LIMITS, "system string, limit_ms double")))
+register("items_vs_tables")(lambda s, d: V.items_vs_tables(_items(s, d), _t(s, d)))
+
+# statistics
+register("summary_stats")(lambda s, d: T.summary_stats(B.load_measurements(s, d), "elapsed_ms",
+                                                       ["scenario", "system"]))
+register("summary_stats_3level")(lambda s, d: T.summary_stats(B.load_measurements(s, d), "elapsed_ms",
+                                                              ["system"], levels=3))
+register("two_sample_ttest")(lambda s, d: T.two_sample_ttest(B.load_measurements(s, d), "elapsed_ms", "system",
+                                                             "click", "view", ["scenario"]))
+register("compare_systems")(lambda s, d: T.compare_systems(B.load_measurements(s, d), "elapsed_ms", "system",
+                                                           "click", "view", ["scenario"], items=10))

@@ -261,3 +261,203 @@ SELECT contract_location, soul_count, redeemed, total_power,
        {dec_mean('total_power', 'soul_count')} AS avg_power_per_soul,
        CAST(redeemed AS DOUBLE) / soul_count * 100.0::DOUBLE AS redemption_rate
 FROM g WHERE soul_count > 0 ORDER BY total_power DESC NULLS FIRST"""
+
+# ------------------------------------------------------------------ parity
+_ISSUE_NULLS = "NULL::BIGINT AS idx"
+
+_LEFT_ITEM_CONTRACTS = """
+lic AS (SELECT substring(PK, 6) AS id, COALESCE(NULLIF(status, ''), NULLIF(contract_status, ''), 'Unknown') AS status
+        FROM items WHERE SK = 'CONTRACT'),
+ric AS (SELECT CAST(id AS VARCHAR) AS id, contract_status AS status FROM r_contracts)"""
+
+Q["consistency_report"] = with_binding(_ITEMS, _LEFT_ITEM_CONTRACTS) + """
+SELECT NULL::VARCHAR AS contract_id, 'contracts' AS scope, 'count' AS field, NULL::BIGINT AS idx,
+       CAST((SELECT COUNT(*) FROM lic) AS VARCHAR) AS left_value, CAST((SELECT COUNT(*) FROM ric) AS VARCHAR) AS right_value
+WHERE (SELECT COUNT(*) FROM lic) <> (SELECT COUNT(*) FROM ric)
+UNION ALL
+SELECT l.id, 'contracts', 'missing_right', NULL, 'present', NULL FROM lic l
+WHERE NOT EXISTS (SELECT 1 FROM ric r WHERE r.id = l.id)
+UNION ALL
+SELECT l.id, 'contracts', 'status', NULL, l.status, r.status FROM lic l JOIN ric r ON r.id = l.id
+WHERE l.status IS DISTINCT FROM r.status"""
+
+_PARITY_CONTRACTS = """
+pln AS (SELECT CAST(id AS VARCHAR) AS id, COALESCE(NULLIF(contract_status, ''), 'Unknown') AS status,
+               NULLIF(soul_type, '') AS soulType, NULLIF(contract_location, '') AS contractLocation FROM contracts),
+prn AS (SELECT CAST(id AS VARCHAR) AS id, COALESCE(NULLIF(contract_status, ''), 'Unknown') AS status,
+               NULLIF(soul_type, '') AS soulType, NULLIF(contract_location, '') AS contractLocation FROM r_contracts),
+all_ids AS (SELECT id FROM pln UNION SELECT id FROM prn),
+pj AS (SELECT i.id, l.id IS NOT NULL AS hl, r.id IS NOT NULL AS hr,
+              l.status AS ls, r.status AS rs, l.soulType AS lt, r.soulType AS rt,
+              l.contractLocation AS ll, r.contractLocation AS rl
+       FROM all_ids i LEFT JOIN pln l ON l.id = i.id LEFT JOIN prn r ON r.id = i.id),
+contract_issues AS (
+  SELECT id AS contract_id, 'contracts' AS scope,
+         CASE WHEN NOT hl AND NOT hr THEN 'missing_both' WHEN NOT hl THEN 'missing_left' ELSE 'missing_right' END AS field,
+         NULL::BIGINT AS idx, NULL::VARCHAR AS left_value, NULL::VARCHAR AS right_value
+  FROM pj WHERE NOT hl OR NOT hr
+  UNION ALL SELECT id, 'contracts', 'status', NULL, ls, rs FROM pj WHERE hl AND hr AND ls IS DISTINCT FROM rs
+  UNION ALL SELECT id, 'contracts', 'soulType', NULL, lt, rt FROM pj WHERE hl AND hr AND lt IS DISTINCT FROM rt
+  UNION ALL SELECT id, 'contracts', 'contractLocation', NULL, ll, rl FROM pj
+  WHERE hl AND hr AND ll IS DISTINCT FROM rl)"""
+
+
+def _positional(scope: str, lsrc: str, rsrc: str, time: str, amount: bool, name: str) -> str:
+    a = "amount" if amount else "NULL::DECIMAL(18,6)"
+    iso = "'%Y-%m-%dT%H:%M:%S.%gZ'"
+    return f"""
+{name}_lc AS (SELECT CAST(soul_contract_id AS VARCHAR) AS cid, {time.format(iso=iso)} AS t,
+                     COALESCE(description, '') AS d, {a} AS a FROM {lsrc}),
+{name}_rc AS (SELECT CAST(soul_contract_id AS VARCHAR) AS cid, {time.format(iso=iso)} AS t,
+                     COALESCE(description, '') AS d, {a} AS a FROM {rsrc}),
+{name}_cnt AS (SELECT COALESCE(l.cid, r.cid) AS cid, COALESCE(l.n, 0) AS nl, COALESCE(r.n, 0) AS nr
+               FROM (SELECT cid, COUNT(*) AS n FROM {name}_lc GROUP BY cid) l
+               FULL JOIN (SELECT cid, COUNT(*) AS n FROM {name}_rc GROUP BY cid) r ON l.cid = r.cid),
+{name}_lp AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY t NULLS FIRST, d NULLS FIRST, a NULLS FIRST) - 1
+                      AS pos FROM {name}_lc),
+{name}_rp AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY t NULLS FIRST, d NULLS FIRST, a NULLS FIRST) - 1
+                      AS pos FROM {name}_rc),
+{name}_pairs AS (SELECT l.cid, l.pos, l.t AS lt, r.t AS rt, l.d AS ld, r.d AS rd, l.a AS la, r.a AS ra
+                 FROM {name}_lp l JOIN {name}_rp r ON l.cid = r.cid AND l.pos = r.pos),
+{name}_issues AS (
+  SELECT cid AS contract_id, '{scope}' AS scope, 'count' AS field, NULL::BIGINT AS idx,
+         CAST(nl AS VARCHAR) AS left_value, CAST(nr AS VARCHAR) AS right_value FROM {name}_cnt WHERE nl <> nr
+  UNION ALL SELECT cid, '{scope}', 'timestamp', pos, lt, rt FROM {name}_pairs WHERE lt IS DISTINCT FROM rt
+  UNION ALL SELECT cid, '{scope}', 'description', pos, NULL, NULL FROM {name}_pairs WHERE ld <> rd
+  UNION ALL SELECT cid, '{scope}', 'amount', pos, CAST(la AS VARCHAR), CAST(ra AS VARCHAR) FROM {name}_pairs
+  WHERE (la IS NOT NULL OR ra IS NOT NULL) AND la IS DISTINCT FROM ra)"""
+
+
+_LEDGER_PARITY = _positional("ledger entries", "ledger", "r_ledger", "strftime(transaction_time, {iso})", True, "lpar")
+
+Q["parity_contracts"] = with_binding(_PARITY_CONTRACTS) + "SELECT * FROM contract_issues"
+Q["parity_ledger"] = with_binding(_LEDGER_PARITY) + "SELECT * FROM lpar_issues"
+Q["parity_ledger_keyed"] = with_binding("""
+klc AS (SELECT CAST(soul_contract_id AS VARCHAR) AS cid, strftime(transaction_time, '%Y-%m-%dT%H:%M:%S.%gZ') AS t,
+               COALESCE(description, '') AS d, amount AS a FROM ledger),
+krc AS (SELECT CAST(soul_contract_id AS VARCHAR) AS cid, strftime(transaction_time, '%Y-%m-%dT%H:%M:%S.%gZ') AS t,
+               COALESCE(description, '') AS d, amount AS a FROM r_ledger),
+kcnt AS (SELECT COALESCE(l.cid, r.cid) AS cid, COALESCE(l.n, 0) AS nl, COALESCE(r.n, 0) AS nr
+         FROM (SELECT cid, COUNT(*) AS n FROM klc GROUP BY cid) l
+         FULL JOIN (SELECT cid, COUNT(*) AS n FROM krc GROUP BY cid) r ON l.cid = r.cid)""") + """
+SELECT cid AS contract_id, 'ledger entries' AS scope, 'count' AS field, NULL::BIGINT AS idx,
+       CAST(nl AS VARCHAR) AS left_value, CAST(nr AS VARCHAR) AS right_value FROM kcnt WHERE nl <> nr
+UNION ALL
+SELECT cid, 'ledger entries', 'missing_right', NULL, concat_ws('|', t, d, CAST(a AS VARCHAR)), NULL
+FROM (SELECT * FROM klc EXCEPT ALL SELECT * FROM krc)
+UNION ALL
+SELECT cid, 'ledger entries', 'missing_left', NULL, NULL, concat_ws('|', t, d, CAST(a AS VARCHAR))
+FROM (SELECT * FROM krc EXCEPT ALL SELECT * FROM klc)"""
+
+_ITEM_EVENTS = """
+item_events AS (SELECT substring(PK, 6) AS soul_contract_id,
+                       COALESCE(NULLIF("timestamp", ''), substring(SK, 7)) AS event_time_text,
+                       NULLIF(description, '') AS description
+                FROM items WHERE starts_with(SK, 'EVENT#'))"""
+Q["parity_events"] = with_binding(_ITEMS, _ITEM_EVENTS, _positional(
+    "events", "item_events", "contract_events",
+    "{{t}}", False, "epar").replace(
+    "{t} AS t,\n                     COALESCE(description, '') AS d, NULL::DECIMAL(18,6) AS a FROM item_events",
+    "event_time_text AS t,\n                     COALESCE(description, '') AS d, NULL::DECIMAL(18,6) AS a FROM item_events")
+    .replace("{t} AS t,\n                     COALESCE(description, '') AS d, NULL::DECIMAL(18,6) AS a FROM contract_events",
+             "strftime(event_time, '%Y-%m-%dT%H:%M:%S.%gZ') AS t,\n                     COALESCE(description, '') AS d, "
+             "NULL::DECIMAL(18,6) AS a FROM contract_events")) + "SELECT * FROM epar_issues"
+
+_ALL_ISSUES = """
+all_issues AS (SELECT * FROM contract_issues UNION ALL SELECT * FROM lpar_issues),
+per_id AS (SELECT contract_id, COUNT(*) AS n_issues FROM all_issues GROUP BY contract_id)"""
+Q["parity_summary"] = with_binding(_PARITY_CONTRACTS, _LEDGER_PARITY, _ALL_ISSUES) + """
+SELECT CAST(COUNT(*) AS BIGINT) AS ids_checked,
+       CAST(COALESCE(SUM(p.n_issues), 0) + (SELECT COUNT(*) FROM all_issues WHERE contract_id IS NULL) AS BIGINT)
+         AS mismatches,
+       CAST(COUNT(p.n_issues) AS BIGINT) AS ids_with_issues,
+       COALESCE(SUM(p.n_issues), 0) + (SELECT COUNT(*) FROM all_issues WHERE contract_id IS NULL) = 0 AS ok
+FROM all_ids i LEFT JOIN per_id p ON p.contract_id = i.id"""
+Q["parity_issue_counts"] = with_binding(_PARITY_CONTRACTS, _LEDGER_PARITY, _ALL_ISSUES) + """
+SELECT i.id AS contract_id, CAST(COALESCE(p.n_issues, 0) AS BIGINT) AS n_issues
+FROM all_ids i LEFT JOIN per_id p ON p.contract_id = i.id"""
+
+Q["threshold_violations"] = with_binding("""
+limits AS (SELECT * FROM (VALUES ('click', 100.0::DOUBLE), ('view', 500.0::DOUBLE)) v(system, limit_ms))""") + """
+SELECT m.scenario, m.system, m.iteration, m.elapsed_ms, l.limit_ms
+FROM measurements m JOIN limits l ON l.system = m.system WHERE m.elapsed_ms > l.limit_ms"""
+
+Q["items_vs_tables"] = with_binding(_ITEMS, """
+ic AS (SELECT substring(PK, 6) AS cid, CASE WHEN starts_with(SK, 'EVENT#') THEN 'event' ELSE 'ledger' END AS kind,
+              COUNT(*) AS ni FROM items WHERE starts_with(SK, 'EVENT#') OR starts_with(SK, 'LEDGER#') GROUP BY 1, 2),
+tc AS (SELECT cid, kind, COUNT(*) AS nt FROM (
+         SELECT CAST(soul_contract_id AS VARCHAR) AS cid, 'event' AS kind FROM contract_events
+         UNION ALL SELECT CAST(soul_contract_id AS VARCHAR), 'ledger' FROM ledger) GROUP BY 1, 2)""") + """
+SELECT COALESCE(ic.cid, tc.cid) AS contract_id, COALESCE(ic.kind, tc.kind) AS scope, 'count' AS field,
+       NULL::BIGINT AS idx, CAST(COALESCE(ni, 0) AS VARCHAR) AS left_value, CAST(COALESCE(nt, 0) AS VARCHAR) AS right_value
+FROM ic FULL JOIN tc ON ic.cid = tc.cid AND ic.kind = tc.kind
+WHERE COALESCE(ni, 0) <> COALESCE(nt, 0)"""
+
+# ------------------------------------------------------------------ statistics
+
+
+def _labels_cv(cv: str, levels: int) -> str:
+    if levels == 3:
+        return f"CASE WHEN {cv} < 20 THEN 'Excellent' WHEN {cv} < 40 THEN 'Good' ELSE 'Variable' END"
+    return (f"CASE WHEN {cv} < 20 THEN 'Excellent' WHEN {cv} < 40 THEN 'Good' WHEN {cv} < 60 THEN 'Variable' "
+            f"ELSE 'Highly Variable' END")
+
+
+def _summary(by: str, levels: int) -> str:
+    join = " AND ".join(f"p.{c} = mom.{c}" for c in by.split(", "))
+    sel_p = ", ".join(f"p.{c}" for c in by.split(", "))
+    return with_binding(f"""
+mom AS (SELECT {by}, COUNT(elapsed_ms) AS n, AVG(elapsed_ms) AS mean, MIN(elapsed_ms) AS mn,
+               MAX(elapsed_ms) AS mx, STDDEV_SAMP(elapsed_ms) AS sd FROM measurements GROUP BY {by}),
+pos AS (SELECT {by}, elapsed_ms, row_number() OVER (PARTITION BY {by} ORDER BY elapsed_ms) - 1 AS pos
+        FROM measurements WHERE elapsed_ms IS NOT NULL),
+pct AS (SELECT {sel_p},
+               MAX(CASE WHEN pos = floor(CAST(n AS DOUBLE) * 0.5::DOUBLE) THEN elapsed_ms END) AS p50,
+               MAX(CASE WHEN pos = floor(CAST(n AS DOUBLE) * 0.95::DOUBLE) THEN elapsed_ms END) AS p95,
+               MAX(CASE WHEN pos = floor(CAST(n AS DOUBLE) * 0.99::DOUBLE) THEN elapsed_ms END) AS p99
+        FROM pos p JOIN mom ON {join} GROUP BY {sel_p}),
+s AS (SELECT mom.*, pct.p50, pct.p95, pct.p99, 100.0::DOUBLE * sd / NULLIF(mean, 0) AS cvd
+      FROM mom LEFT JOIN pct USING ({by}))""") + f"""
+SELECT {by}, CAST(n AS BIGINT) AS n, CAST(mean AS DECIMAL(18,4)) AS mean, mn AS min, mx AS max,
+       CAST(sd AS DECIMAL(18,4)) AS stddev, CAST(cvd AS DECIMAL(18,4)) AS cv,
+       CAST(1.96::DOUBLE * sd / sqrt(CAST(n AS DOUBLE)) AS DECIMAL(18,4)) AS ci95, p50, p95, p99,
+       {_labels_cv('cvd', levels)} AS consistency,
+       CASE WHEN n >= 100 THEN 'HIGH' WHEN n >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS confidence
+FROM s"""
+
+
+Q["summary_stats"] = _summary("scenario, system", 4)
+Q["summary_stats_3level"] = _summary("system", 3)
+
+Q["two_sample_ttest"] = with_binding("""
+s AS (SELECT scenario,
+             COUNT(CASE WHEN system = 'click' THEN elapsed_ms END) AS n1,
+             COUNT(CASE WHEN system = 'view' THEN elapsed_ms END) AS n2,
+             AVG(CASE WHEN system = 'click' THEN elapsed_ms END) AS m1,
+             AVG(CASE WHEN system = 'view' THEN elapsed_ms END) AS m2,
+             VAR_SAMP(CASE WHEN system = 'click' THEN elapsed_ms END) AS v1,
+             VAR_SAMP(CASE WHEN system = 'view' THEN elapsed_ms END) AS v2
+      FROM measurements WHERE system IN ('click', 'view') GROUP BY scenario),
+t AS (SELECT *, sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS sp, abs(m1 - m2) AS diff FROM s),
+u AS (SELECT *, diff / (sp * sqrt(1.0::DOUBLE / n1 + 1.0::DOUBLE / n2)) AS tt, diff / sp AS dd FROM t),
+w AS (SELECT *, CASE WHEN tt > 3 THEN 0.001::DOUBLE WHEN tt > 2.5 THEN 0.01::DOUBLE WHEN tt > 2 THEN 0.05::DOUBLE
+                     WHEN tt > 1.5 THEN 0.1::DOUBLE ELSE 0.2::DOUBLE END AS p FROM u)""") + """
+SELECT scenario, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2,
+       CAST(m1 AS DECIMAL(18,4)) AS mean1, CAST(m2 AS DECIMAL(18,4)) AS mean2,
+       CAST(tt AS DECIMAL(18,4)) AS t_stat, CAST(n1 + n2 - 2 AS BIGINT) AS dof, p AS p_value,
+       p < 0.05 AS significant, CAST(dd AS DECIMAL(18,4)) AS effect_size,
+       CASE WHEN dd < 0.2 THEN 'negligible' WHEN dd < 0.5 THEN 'small' WHEN dd < 0.8 THEN 'medium' ELSE 'large' END
+         AS effect
+FROM w"""
+
+Q["compare_systems"] = with_binding("""
+g AS (SELECT scenario, AVG(CASE WHEN system = 'click' THEN elapsed_ms END) AS mb,
+             AVG(CASE WHEN system = 'view' THEN elapsed_ms END) AS mo,
+             MAX(CASE WHEN system = 'view' THEN elapsed_ms END) AS xo
+      FROM measurements WHERE system IN ('click', 'view') GROUP BY scenario)""") + """
+SELECT scenario, CAST(mb AS DECIMAL(18,4)) AS mean_baseline, CAST(mo AS DECIMAL(18,4)) AS mean_other,
+       CAST(mo / mb AS DECIMAL(18,4)) AS ratio, CAST(mo - mb AS DECIMAL(18,4)) AS delta,
+       CASE WHEN mb <= mo THEN 'click' ELSE 'view' END AS faster,
+       CAST(mb / 10 AS DECIMAL(18,4)) AS per_item_baseline, CAST(mo / 10 AS DECIMAL(18,4)) AS per_item_other,
+       xo > 200 AS outlier, CAST(xo / mb AS DECIMAL(18,4)) AS outlier_ratio
+FROM g"""
