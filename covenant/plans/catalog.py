@@ -146,3 +146,30 @@ register("two_sample_ttest")(lambda s, d: T.two_sample_ttest(B.load_measurements
                                                              "click", "view", ["scenario"]))
 register("compare_systems")(lambda s, d: T.compare_systems(B.load_measurements(s, d), "elapsed_ms", "system",
                                                            "click", "view", ["scenario"], items=10))
+
+# commands and write bundles
+from covenant.operators import mutations as M  # noqa: E402
+
+
+def _cmds(s, d):
+    return B.load_commands(s, d)
+
+
+def _applied(s, d, **kw):
+    return M.apply_commands(_t(s, d), _cmds(s, d), **kw)
+
+
+def _props_bodies(s, d):
+    return s.read.parquet(f"{d}/events.parquet").select(F.col("props").alias("value"))
+
+
+register("validate_commands")(lambda s, d: M.validate_commands(B.load_command_json(s, d))[0])
+register("validate_commands_rejected")(lambda s, d: M.validate_commands(_props_bodies(s, d))[1])
+register("validate_commands_lenient")(lambda s, d: M.validate_commands(_props_bodies(s, d), amount="lenient")[1])
+register("apply_commands_contracts")(lambda s, d: _applied(s, d).contracts)
+register("apply_commands_events")(lambda s, d: _applied(s, d).events)
+register("apply_commands_ledger")(lambda s, d: _applied(s, d).ledger)
+register("apply_update_only_contracts")(lambda s, d: _applied(s, d, mode="update_only").contracts)
+register("apply_touches_events")(lambda s, d: M.apply_touches(_t(s, d), _cmds(s, d)).events)
+register("audit_after_commands")(lambda s, d: P.audit_latest(_applied(s, d)))
+register("apply_commands_items")(lambda s, d: M.apply_commands_items(_items(s, d), _cmds(s, d)))

@@ -461,3 +461,116 @@ SELECT scenario, CAST(mb AS DECIMAL(18,4)) AS mean_baseline, CAST(mo AS DECIMAL(
        CAST(mb / 10 AS DECIMAL(18,4)) AS per_item_baseline, CAST(mo / 10 AS DECIMAL(18,4)) AS per_item_other,
        xo > 200 AS outlier, CAST(xo / mb AS DECIMAL(18,4)) AS outlier_ratio
 FROM g"""
+
+# ------------------------------------------------------------------ commands
+_JSON_BODIES = """
+bodies AS (SELECT seq, ts, CAST(json_object('soulContractId', CAST(contract_id AS VARCHAR), 'newStatus', new_status,
+                                            'amount', CAST(amount AS DOUBLE)) AS VARCHAR) AS value FROM commands)"""
+
+Q["validate_commands"] = with_binding(_JSON_BODIES) + """
+SELECT json_extract_string(value, '$.soulContractId') AS contract_id, json_extract_string(value, '$.newStatus') AS new_status,
+       CAST(CAST(json_extract(value, '$.amount') AS DOUBLE) AS DECIMAL(18,6)) AS amount, ts, seq
+FROM bodies
+WHERE json_valid(value) AND COALESCE(json_extract_string(value, '$.soulContractId'), '') <> ''
+  AND COALESCE(json_extract_string(value, '$.newStatus'), '') <> ''
+  AND json_type(value, '$.amount') IN ('BIGINT', 'UBIGINT', 'DOUBLE')"""
+
+
+def _rejects(id_key: str, amount_ok: str, reason: str) -> str:
+    return with_binding() + f"""
+SELECT props AS value,
+       CASE WHEN props IS NULL THEN 'Missing request body'
+            WHEN NOT json_valid(props) THEN 'Invalid JSON'
+            ELSE '{reason}' END AS reason
+FROM events
+WHERE props IS NULL OR NOT json_valid(props)
+   OR json_type(props) <> 'OBJECT'
+   OR COALESCE(json_extract_string(props, '$.{id_key}'), '') IN ('', '0', 'false')
+   OR COALESCE(json_extract_string(props, '$.newStatus'), '') IN ('', '0', 'false')
+   OR NOT ({amount_ok})"""
+
+
+Q["validate_commands_rejected"] = _rejects(
+    "soulContractId", "COALESCE(json_type(props, '$.amount') IN ('BIGINT', 'UBIGINT', 'DOUBLE'), FALSE)",
+    "Missing soulContractId, newStatus, or amount")
+Q["validate_commands_lenient"] = _rejects(
+    "soulId", "json_type(props, '$.amount') IS NOT NULL", "Missing soulId, newStatus, or amount in request")
+
+_LATEST = """
+latest AS (SELECT contract_id, new_status, ts FROM commands
+           QUALIFY row_number() OVER (PARTITION BY contract_id ORDER BY ts DESC, seq DESC) = 1)"""
+
+Q["apply_commands_contracts"] = with_binding(_LATEST) + """
+SELECT COALESCE(c.id, l.contract_id) AS id,
+       CASE WHEN l.contract_id IS NOT NULL THEN l.new_status ELSE c.contract_status END AS contract_status,
+       c.soul_type, c.contract_location,
+       CASE WHEN l.contract_id IS NOT NULL THEN l.ts ELSE c.updated_at END AS updated_at
+FROM contracts c FULL JOIN latest l ON c.id = l.contract_id"""
+
+Q["apply_update_only_contracts"] = with_binding(_LATEST) + """
+SELECT c.id,
+       CASE WHEN l.contract_id IS NOT NULL THEN l.new_status ELSE c.contract_status END AS contract_status,
+       c.soul_type, c.contract_location,
+       CASE WHEN l.contract_id IS NOT NULL THEN l.ts ELSE c.updated_at END AS updated_at
+FROM contracts c LEFT JOIN latest l ON c.id = l.contract_id"""
+
+_NEW_EVENTS = """
+new_events AS (SELECT -(seq * 2 + 2) AS id, contract_id AS soul_contract_id, ts AS event_time,
+                      'Contract updated to ''' || new_status || '''' AS description FROM commands),
+new_ledger AS (SELECT -(seq * 2 + 1) AS id, contract_id AS soul_contract_id, amount, ts AS transaction_time,
+                      'Financial transaction: ' || new_status AS description FROM commands),
+a_events AS (SELECT * FROM contract_events UNION ALL
+             SELECT * FROM new_events n WHERE NOT EXISTS (SELECT 1 FROM contract_events e WHERE e.id = n.id)),
+a_ledger AS (SELECT * FROM ledger UNION ALL
+             SELECT * FROM new_ledger n WHERE NOT EXISTS (SELECT 1 FROM ledger e WHERE e.id = n.id))"""
+
+Q["apply_commands_events"] = with_binding(_NEW_EVENTS) + "SELECT * FROM a_events"
+Q["apply_commands_ledger"] = with_binding(_NEW_EVENTS) + "SELECT * FROM a_ledger"
+Q["apply_touches_events"] = with_binding() + """
+SELECT * FROM contract_events UNION ALL
+SELECT -(seq * 2 + 2), contract_id, ts, 'Benchmark event ' || CAST(seq AS VARCHAR) FROM commands"""
+
+Q["audit_after_commands"] = with_binding(_LATEST, _NEW_EVENTS, """
+a_contracts AS (
+  SELECT COALESCE(c.id, l.contract_id) AS id,
+         CASE WHEN l.contract_id IS NOT NULL THEN l.new_status ELSE c.contract_status END AS contract_status,
+         CASE WHEN l.contract_id IS NOT NULL THEN l.ts ELSE c.updated_at END AS updated_at
+  FROM contracts c FULL JOIN latest l ON c.id = l.contract_id),
+le AS (SELECT soul_contract_id, description AS last_event, event_time AS last_event_time,
+              row_number() OVER (PARTITION BY soul_contract_id ORDER BY event_time DESC NULLS FIRST, id) AS rn
+       FROM a_events),
+ll AS (SELECT soul_contract_id, amount AS last_amount, transaction_time AS last_amount_time,
+              row_number() OVER (PARTITION BY soul_contract_id ORDER BY transaction_time DESC NULLS FIRST, id) AS rn
+       FROM a_ledger)""") + """
+SELECT sc.id, sc.contract_status, sc.updated_at, le.last_event, le.last_event_time, ll.last_amount, ll.last_amount_time
+FROM a_contracts sc
+LEFT JOIN le ON le.soul_contract_id = sc.id AND le.rn = 1
+LEFT JOIN ll ON ll.soul_contract_id = sc.id AND ll.rn = 1"""
+
+Q["apply_commands_items"] = with_binding(_ITEMS, _LATEST, f"""
+upd AS (SELECT 'SOUL#' || CAST(contract_id AS VARCHAR) AS upk, new_status AS ust, strftime(ts, {_ISO}) AS uts
+        FROM latest),
+merged AS (
+  SELECT COALESCE(i.PK, u.upk) AS PK, COALESCE(i.SK, 'CONTRACT') AS SK, i.soulId, i.status,
+         CASE WHEN u.upk IS NOT NULL THEN u.ust ELSE i.contract_status END AS contract_status,
+         i.soul_type, i.contract_location, i.createdAt,
+         CASE WHEN u.upk IS NOT NULL THEN u.uts ELSE i.updated_at END AS updated_at,
+         i.eventType, i."timestamp", i.event_time, i.transaction_time, i.transaction_type, i.amount, i.description,
+         i.GSI1PK, i.GSI1SK, COALESCE(i._seq, 0) AS _seq
+  FROM items i FULL JOIN upd u ON i.SK = 'CONTRACT' AND i.PK = u.upk),
+puts AS (
+  SELECT 'SOUL#' || CAST(contract_id AS VARCHAR) AS PK, 'EVENT#' || sha256('event|' || CAST(seq AS VARCHAR)) AS SK,
+         NULL::VARCHAR AS soulId, NULL::VARCHAR AS status, NULL::VARCHAR AS contract_status, NULL::VARCHAR AS soul_type,
+         NULL::VARCHAR AS contract_location, NULL::VARCHAR AS createdAt, NULL::VARCHAR AS updated_at,
+         NULL::VARCHAR AS eventType, NULL::VARCHAR AS "timestamp", strftime(ts, {_ISO}) AS event_time,
+         NULL::VARCHAR AS transaction_time, NULL::VARCHAR AS transaction_type, NULL::DECIMAL(18,6) AS amount,
+         'Contract updated to ''' || new_status || '''' AS description, NULL::VARCHAR AS GSI1PK,
+         NULL::VARCHAR AS GSI1SK, seq AS _seq
+  FROM commands
+  UNION ALL
+  SELECT 'SOUL#' || CAST(contract_id AS VARCHAR), 'LEDGER#' || sha256('ledger|' || CAST(seq AS VARCHAR)),
+         NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, strftime(ts, {_ISO}), NULL, amount,
+         'Financial transaction for contract update: ' || new_status, NULL, NULL, seq
+  FROM commands)""") + """
+SELECT * FROM (SELECT * FROM merged UNION ALL SELECT * FROM puts)
+QUALIFY row_number() OVER (PARTITION BY PK, SK ORDER BY _seq DESC) = 1"""

@@ -83,8 +83,10 @@ def put_items(items: DataFrame, new: DataFrame | None = None, seq_col: str = "_s
     w = items if new is None else items.unionByName(new, allowMissingColumns=True)
     w = w.where(F.col("PK").isNotNull() & F.col("SK").isNotNull())
     attrs = [c for c in w.columns if c not in ("PK", "SK")]
+    # a write without a sequence number counts as the oldest one
+    order = F.coalesce(F.col(seq_col).cast("long"), F.lit(-(1 << 63)))
     win = (w.groupBy("PK", "SK")
-           .agg(F.max_by(F.struct(*[F.col(c) for c in attrs]), F.col(seq_col)).alias("_w")))
+           .agg(F.max_by(F.struct(*[F.col(c) for c in attrs]), order).alias("_w")))
     return win.select("PK", "SK", *[F.col("_w")[c].alias(c) for c in attrs])
 
 
