@@ -54,11 +54,12 @@ def summary_stats(df: DataFrame, value: str, by: Sequence[str], levels: int = 4,
         confidence_label(F.col("n")).alias("confidence"))
     if groups is None:
         return out
-    zero = {"n": F.lit(0).cast("long")}
     cols = [c for c in out.columns if c not in by]
-    g = groups.select(*by).distinct().join(out, by, "left")
+    g = groups.select(*by).distinct().join(out.withColumn("_present", F.lit(True)), by, "left")
+    absent = F.col("_present").isNull()
+    types = dict(out.dtypes)
     return g.select(*by, *[
-        (F.coalesce(F.col(c), zero.get(c, F.lit(0).cast(dict(out.dtypes)[c])))
+        (F.when(absent, F.lit(0).cast(types[c])).otherwise(F.col(c))
          if c not in ("consistency", "confidence") else F.col(c)).alias(c) for c in cols])
 
 

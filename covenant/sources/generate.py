@@ -58,7 +58,7 @@ def generate(spark: SparkSession, contracts: int = 1000, events_per_contract: in
         F.concat_ws("_", F.lower(stype), F.lower(loc), F.lpad(i.cast("string"), pad, "0")).alias("id"),
         _pick(STATUSES, _u(seed, "status", i)).alias("contract_status"),
         stype.alias("soul_type"), loc.alias("contract_location"),
-        F.timestampadd("MILLISECOND", -created_ms, now_ts).alias("updated_at"),
+        F.timestamp_add("MILLISECOND", -created_ms, now_ts).alias("updated_at"),
         F.col("id").alias("_n"))
     events = (c.select("id", "updated_at", "_n",
                        F.explode(F.sequence(F.lit(1), F.lit(n_e))).alias("j")) if n_e > 0 else
@@ -66,7 +66,7 @@ def generate(spark: SparkSession, contracts: int = 1000, events_per_contract: in
     e = events.select(
         F.sha2(F.concat_ws("|", F.lit("event"), F.col("id"), F.col("j").cast("string")), 256).alias("id"),
         F.col("id").alias("soul_contract_id"),
-        F.timestampadd("MINUTE", F.col("j"), F.col("updated_at")).alias("event_time"),
+        F.timestamp_add("MINUTE", F.col("j"), F.col("updated_at")).alias("event_time"),
         F.when(F.col("j") == 1, F.lit(FIRST_EVENT)).otherwise(F.lit(OTHER_EVENT)).alias("description"))
     lrows = spark.range(0, n_l, numPartitions=parts)
     k = F.col("id")
@@ -79,7 +79,7 @@ def generate(spark: SparkSession, contracts: int = 1000, events_per_contract: in
     lg = lrows.select(
         F.sha2(F.concat_ws("|", F.lit("ledger"), k.cast("string")), 256).alias("id"),
         owner.alias("owner"), amount.cast(MONEY).alias("amount"),
-        F.timestampadd("MILLISECOND", -ago, now_ts).alias("transaction_time"),
+        F.timestamp_add("MILLISECOND", -ago, now_ts).alias("transaction_time"),
         F.concat(F.lit(LEDGER_TEXT.split("{")[0]), amount.cast("string")).alias("description"))
     # owner -> contract id is a 1:1 key join (no skew beyond the data itself)
     lg = lg.join(ids, "owner").select("id", F.col("cid").alias("soul_contract_id"), "amount",
