@@ -173,3 +173,11 @@ register("apply_update_only_contracts")(lambda s, d: _applied(s, d, mode="update
 register("apply_touches_events")(lambda s, d: M.apply_touches(_t(s, d), _cmds(s, d)).events)
 register("audit_after_commands")(lambda s, d: P.audit_latest(_applied(s, d)))
 register("apply_commands_items")(lambda s, d: M.apply_commands_items(_items(s, d), _cmds(s, d)))
+
+# remaining lookups / projections
+register("lookup_ledger_by_date")(lambda s, d: L.lookup_by_date(_t(s, d).ledger, "transaction_time", "1995-03-01"))
+register("item_point_get")(lambda s, d: L.point_get(_items(s, d), {"PK": I.PK_PREFIX + str(sample_id(s, d)),
+                                                                    "SK": I.CONTRACT_SK}))
+register("normalize_contract")(lambda s, d: V.normalize_contract(_t(s, d).contracts))
+register("from_items_events")(lambda s, d: I.from_items(_items(s, d)).events)
+register("status_index")(lambda s, d: I.status_index(_items(s, d)).select("status", "SK", "PK"))

@@ -574,3 +574,23 @@ puts AS (
   FROM commands)""") + """
 SELECT * FROM (SELECT * FROM merged UNION ALL SELECT * FROM puts)
 QUALIFY row_number() OVER (PARTITION BY PK, SK ORDER BY _seq DESC) = 1"""
+
+# ------------------------------------------------------------------ remaining lookups
+Q["lookup_ledger_by_date"] = with_binding() + """
+SELECT * FROM ledger
+WHERE transaction_time >= TIMESTAMP '1995-03-01 00:00:00' AND transaction_time < TIMESTAMP '1995-03-02 00:00:00'
+ORDER BY transaction_time, id"""
+Q["item_point_get"] = with_binding(_PICK, _ITEMS) + """
+SELECT * FROM items WHERE PK = 'SOUL#' || CAST((SELECT id FROM pick) AS VARCHAR) AND SK = 'CONTRACT'"""
+Q["normalize_contract"] = with_binding() + """
+SELECT CAST(id AS VARCHAR) AS id, COALESCE(NULLIF(contract_status, ''), 'Unknown') AS status,
+       NULLIF(soul_type, '') AS soulType, NULLIF(contract_location, '') AS contractLocation FROM contracts"""
+Q["from_items_events"] = with_binding(_ITEMS) + """
+SELECT SK AS id, substring(PK, 6) AS soul_contract_id,
+       CAST(try_strptime(COALESCE(NULLIF("timestamp", ''), substring(SK, 7)), '%Y-%m-%dT%H:%M:%S.%gZ') AS TIMESTAMP)
+         AS event_time,
+       COALESCE(NULLIF("timestamp", ''), substring(SK, 7)) AS event_time_text,
+       NULLIF(description, '') AS description
+FROM items WHERE starts_with(SK, 'EVENT#')"""
+Q["status_index"] = with_binding(_ITEMS) + """
+SELECT status, SK, PK FROM items WHERE status IS NOT NULL AND SK IS NOT NULL"""
