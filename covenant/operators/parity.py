@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covenant.functions.exprs import iso_ms
+from covenant.session import checkpoint_dir
 from covenant.operators.positional import group_positions
 from covenant.sources.schemas import ISSUES, MONEY
 
@@ -112,7 +113,8 @@ def _fingerprint(c: DataFrame) -> DataFrame:
 
 
 def parity_collection(left: DataFrame, right: DataFrame, time_col: str, scope: str,
-                      amount: bool, ids: DataFrame | None = None, mode: str = "positional") -> DataFrame:
+                      amount: bool, ids: DataFrame | None = None, mode: str = "positional",
+                      materialize: bool = True) -> DataFrame:
     """V3: compare two stores' time-ordered collections per contract.
 
     Contracts are first compared by an order-free fingerprint (count + hash sum);
@@ -134,6 +136,12 @@ def parity_collection(left: DataFrame, right: DataFrame, time_col: str, scope: s
         *_issue(F.col("cid"), scope, "count", None, _txt(F.col("nl")), _txt(F.col("nr"))))
     dl = lc.join(differ.select("cid"), "cid", "left_semi")
     dr = rc.join(differ.select("cid"), "cid", "left_semi")
+    if materialize:
+        # the rows of differing contracts feed a range sort (sampled, then
+        # shuffled) and two comparisons: write them once to the shared
+        # checkpoint folder instead of re-deriving both stores each time
+        checkpoint_dir(lc.sparkSession)
+        dl, dr = dl.checkpoint(eager=True), dr.checkpoint(eager=True)
     if mode == "keyed":
         lonly = dl.exceptAll(dr).select(*_issue(F.col("cid"), scope, "missing_right", None,
                                                 F.concat_ws("|", "t", "d", _txt(F.col("a"))), None))

@@ -181,3 +181,8 @@ register("item_point_get")(lambda s, d: L.point_get(_items(s, d), {"PK": I.PK_PR
 register("normalize_contract")(lambda s, d: V.normalize_contract(_t(s, d).contracts))
 register("from_items_events")(lambda s, d: I.from_items(_items(s, d)).events)
 register("status_index")(lambda s, d: I.status_index(_items(s, d)).select("status", "SK", "PK"))
+
+# parity of the two shapes of one store (items round trip vs normalized tables)
+register("parity_ledger_items")(lambda s, d: V.parity_ledger(I.from_items(_items(s, d)).ledger, _t(s, d).ledger))
+register("parity_contracts_items")(lambda s, d: V.parity_contracts(I.from_items(_items(s, d)).contracts,
+                                                                   _t(s, d).contracts))

@@ -302,13 +302,13 @@ contract_issues AS (
   WHERE hl AND hr AND ll IS DISTINCT FROM rl)"""
 
 
-def _positional(scope: str, lsrc: str, rsrc: str, time: str, amount: bool, name: str) -> str:
+def _positional(scope: str, lsrc: str, rsrc: str, ltime: str, rtime: str, amount: bool, name: str) -> str:
+    """Positional comparison of two collections (count issues + per-position field issues)."""
     a = "amount" if amount else "NULL::DECIMAL(18,6)"
-    iso = "'%Y-%m-%dT%H:%M:%S.%gZ'"
     return f"""
-{name}_lc AS (SELECT CAST(soul_contract_id AS VARCHAR) AS cid, {time.format(iso=iso)} AS t,
+{name}_lc AS (SELECT CAST(soul_contract_id AS VARCHAR) AS cid, {ltime} AS t,
                      COALESCE(description, '') AS d, {a} AS a FROM {lsrc}),
-{name}_rc AS (SELECT CAST(soul_contract_id AS VARCHAR) AS cid, {time.format(iso=iso)} AS t,
+{name}_rc AS (SELECT CAST(soul_contract_id AS VARCHAR) AS cid, {rtime} AS t,
                      COALESCE(description, '') AS d, {a} AS a FROM {rsrc}),
 {name}_cnt AS (SELECT COALESCE(l.cid, r.cid) AS cid, COALESCE(l.n, 0) AS nl, COALESCE(r.n, 0) AS nr
                FROM (SELECT cid, COUNT(*) AS n FROM {name}_lc GROUP BY cid) l
@@ -328,7 +328,9 @@ def _positional(scope: str, lsrc: str, rsrc: str, time: str, amount: bool, name:
   WHERE (la IS NOT NULL OR ra IS NOT NULL) AND la IS DISTINCT FROM ra)"""
 
 
-_LEDGER_PARITY = _positional("ledger entries", "ledger", "r_ledger", "strftime(transaction_time, {iso})", True, "lpar")
+_ISO_TX = "strftime(transaction_time, '%Y-%m-%dT%H:%M:%S.%gZ')"
+_ISO_EV = "strftime(event_time, '%Y-%m-%dT%H:%M:%S.%gZ')"
+_LEDGER_PARITY = _positional("ledger entries", "ledger", "r_ledger", _ISO_TX, _ISO_TX, True, "lpar")
 
 Q["parity_contracts"] = with_binding(_PARITY_CONTRACTS) + "SELECT * FROM contract_issues"
 Q["parity_ledger"] = with_binding(_LEDGER_PARITY) + "SELECT * FROM lpar_issues"
@@ -355,13 +357,8 @@ item_events AS (SELECT substring(PK, 6) AS soul_contract_id,
                        NULLIF(description, '') AS description
                 FROM items WHERE starts_with(SK, 'EVENT#'))"""
 Q["parity_events"] = with_binding(_ITEMS, _ITEM_EVENTS, _positional(
-    "events", "item_events", "contract_events",
-    "{{t}}", False, "epar").replace(
-    "{t} AS t,\n                     COALESCE(description, '') AS d, NULL::DECIMAL(18,6) AS a FROM item_events",
-    "event_time_text AS t,\n                     COALESCE(description, '') AS d, NULL::DECIMAL(18,6) AS a FROM item_events")
-    .replace("{t} AS t,\n                     COALESCE(description, '') AS d, NULL::DECIMAL(18,6) AS a FROM contract_events",
-             "strftime(event_time, '%Y-%m-%dT%H:%M:%S.%gZ') AS t,\n                     COALESCE(description, '') AS d, "
-             "NULL::DECIMAL(18,6) AS a FROM contract_events")) + "SELECT * FROM epar_issues"
+    "events", "item_events", "contract_events", "event_time_text", _ISO_EV, False, "epar")) + \
+    "SELECT * FROM epar_issues"
 
 _ALL_ISSUES = """
 all_issues AS (SELECT * FROM contract_issues UNION ALL SELECT * FROM lpar_issues),
@@ -594,3 +591,30 @@ SELECT SK AS id, substring(PK, 6) AS soul_contract_id,
 FROM items WHERE starts_with(SK, 'EVENT#')"""
 Q["status_index"] = with_binding(_ITEMS) + """
 SELECT status, SK, PK FROM items WHERE status IS NOT NULL AND SK IS NOT NULL"""
+
+# ------------------------------------------------------------------ parity of the two shapes
+_ITEM_LEDGER = """
+item_ledger AS (SELECT substring(PK, 6) AS soul_contract_id,
+                       COALESCE(NULLIF("timestamp", ''), substring(SK, 8)) AS time_text,
+                       NULLIF(description, '') AS description, amount
+                FROM items WHERE starts_with(SK, 'LEDGER#'))"""
+Q["parity_ledger_items"] = with_binding(_ITEMS, _ITEM_LEDGER, _positional(
+    "ledger entries", "item_ledger", "ledger", "time_text", _ISO_TX, True, "ipar")) + "SELECT * FROM ipar_issues"
+Q["parity_contracts_items"] = with_binding(_ITEMS) + """
+, pln AS (SELECT COALESCE(NULLIF(soulId, ''), substring(PK, 6)) AS id,
+                 COALESCE(NULLIF(status, ''), NULLIF(contract_status, ''), 'Unknown') AS status,
+                 NULLIF(soul_type, '') AS soulType, NULLIF(contract_location, '') AS contractLocation
+          FROM items WHERE SK = 'CONTRACT'),
+prn AS (SELECT CAST(id AS VARCHAR) AS id, COALESCE(NULLIF(contract_status, ''), 'Unknown') AS status,
+               NULLIF(soul_type, '') AS soulType, NULLIF(contract_location, '') AS contractLocation FROM contracts),
+all_ids AS (SELECT id FROM pln UNION SELECT id FROM prn),
+pj AS (SELECT i.id, l.id IS NOT NULL AS hl, r.id IS NOT NULL AS hr, l.status AS ls, r.status AS rs,
+              l.soulType AS lt, r.soulType AS rt, l.contractLocation AS ll, r.contractLocation AS rl
+       FROM all_ids i LEFT JOIN pln l ON l.id = i.id LEFT JOIN prn r ON r.id = i.id)
+SELECT id AS contract_id, 'contracts' AS scope,
+       CASE WHEN NOT hl AND NOT hr THEN 'missing_both' WHEN NOT hl THEN 'missing_left' ELSE 'missing_right' END AS field,
+       NULL::BIGINT AS idx, NULL::VARCHAR AS left_value, NULL::VARCHAR AS right_value
+FROM pj WHERE NOT hl OR NOT hr
+UNION ALL SELECT id, 'contracts', 'status', NULL, ls, rs FROM pj WHERE hl AND hr AND ls IS DISTINCT FROM rs
+UNION ALL SELECT id, 'contracts', 'soulType', NULL, lt, rt FROM pj WHERE hl AND hr AND lt IS DISTINCT FROM rt
+UNION ALL SELECT id, 'contracts', 'contractLocation', NULL, ll, rl FROM pj WHERE hl AND hr AND ll IS DISTINCT FROM rl"""
