@@ -198,8 +198,10 @@ def apply_commands_items(items: DataFrame, commands: DataFrame) -> DataFrame:
     latest = latest_commands(commands)
     upd = latest.select(F.concat(F.lit(PK_PREFIX), F.col("contract_id").cast("string")).alias("_upk"),
                         F.col("new_status").alias("_ust"), iso_ms("ts").alias("_uts"))
+    # only contract items (one per PK) take part in the join: the other items
+    # of a contract, however many, never meet a join key
     is_c = F.col("SK") == CONTRACT_SK
-    base = items.join(upd, is_c & (F.col("PK") == F.col("_upk")), "full_outer")
+    base = items.where(is_c).join(upd, F.col("PK") == F.col("_upk"), "full_outer")
     hit = F.col("_upk").isNotNull()
     cols = []
     for c in items.columns:
@@ -213,7 +215,7 @@ def apply_commands_items(items: DataFrame, commands: DataFrame) -> DataFrame:
             cols.append(F.when(hit, F.col("_uts")).otherwise(F.col(c)).alias(c))
         else:
             cols.append(F.col(c))
-    updated = base.select(*cols)
+    updated = base.select(*cols).unionByName(items.where(~is_c | F.col("SK").isNull()))
     seq_txt = F.col("seq").cast("string")
     pk = F.concat(F.lit(PK_PREFIX), F.col("contract_id").cast("string"))
     ev = commands.select(pk.alias("PK"),

@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 
 
 def group_positions(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
-                    pos_col: str = "pos", num_partitions: int | None = None) -> DataFrame:
+                    pos_col: str = "pos", num_partitions: int | None = None,
+                    size_col: str | None = None) -> DataFrame:
+    """Add ``pos_col`` (0-based position of the row in its group under ``order``)
+    and, with ``size_col``, the group's row count (from the same slice counts)."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
@@ -29,10 +32,14 @@ def group_positions(df: DataFrame, group: Sequence[str], order: Sequence[Column
         "_lrn", F.row_number().over(Window.partitionBy("_slice", *group).orderBy(*order_cols)))
     counts = local.groupBy("_slice", *group).agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_slice", *group, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    extra = [F.sum("_cnt").over(Window.partitionBy(*group)).alias("_size")] if size_col else []
+    offsets = counts.select("_slice", *group, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
+                            *extra)
     # null-safe keys: a NULL group value is a group of its own
     renamed = offsets.withColumnsRenamed({g: f"_o_{g}" for g in ["_slice", *group]})
     cond = [F.col("_slice") == F.col("_o__slice")] + [F.col(g).eqNullSafe(F.col(f"_o_{g}")) for g in group]
     j = local.join(renamed, cond, "inner")
-    return (j.withColumn(pos_col, (F.col("_off") + F.col("_lrn") - 1).cast("long"))
-            .drop("_slice", "_lrn", "_off", "_o__slice", *[f"_o_{g}" for g in group]))
+    out = j.withColumn(pos_col, (F.col("_off") + F.col("_lrn") - 1).cast("long"))
+    if size_col:
+        out = out.withColumn(size_col, F.col("_size").cast("long")).drop("_size")
+    return out.drop("_slice", "_lrn", "_off", "_o__slice", *[f"_o_{g}" for g in group])

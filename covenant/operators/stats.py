@@ -38,9 +38,10 @@ def summary_stats(df: DataFrame, value: str, by: Sequence[str], levels: int = 4,
     mom = df.groupBy(*by).agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.stddev_samp(v).alias("sd"))
-    pos = group_positions(df.where(v.isNotNull()).select(*by, value), by, [F.col(value)])
-    ranked = pos.join(mom.select(*by, "n"), by)
+    ranked = group_positions(df.where(v.isNotNull()).select(*by, value), by, [F.col(value)], size_col="n")
     nd = F.col("n").cast("double")
+    targets = [F.floor(nd * F.lit(p)) for p in PERCENTILES.values()]
+    ranked = ranked.where(F.col("pos").isin(*targets))
     pct = ranked.groupBy(*by).agg(*[
         F.max(F.when(F.col("pos") == F.floor(nd * F.lit(p)), v)).alias(k) for k, p in PERCENTILES.items()])
     s = mom.join(pct, by, "left")
