@@ -116,3 +116,8 @@ def readiness(inventory: DataFrame) -> DataFrame:
         F.count(F.when(F.col("present"), 1)).alias("present"),
         F.sum(F.coalesce(F.col("row_count"), F.lit(0))).cast("long").alias("total_rows"),
     ).withColumn("ready", (F.col("present") == F.col("expected")) | (F.col("present") == 0))
+
+
+def missing_tables(inventory: DataFrame) -> DataFrame:
+    """Expected table names minus the present ones."""
+    return inventory.where(~F.col("present")).select("table_name")

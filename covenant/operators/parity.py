@@ -237,3 +237,15 @@ def items_vs_tables(items: DataFrame, tables) -> DataFrame:
         "cid", "kind", F.coalesce("ni", F.lit(0)).alias("ni"), F.coalesce("nt", F.lit(0)).alias("nt"))
     return j.where(F.col("ni") != F.col("nt")).select(
         *_issue(F.col("cid"), F.col("kind"), "count", None, _txt(F.col("ni")), _txt(F.col("nt"))))
+
+
+def parity_report(left, right, ids: DataFrame | None = None, include_events: bool = True,
+                  include_ledger: bool = True, mode: str = "positional") -> DataFrame:
+    """V2 + V3 for two stores (``Tables``): contract issues, then event and ledger
+    issues unless switched off (the skip-events / skip-ledger switches)."""
+    out = parity_contracts(left.contracts, right.contracts, ids)
+    if include_events:
+        out = out.unionByName(parity_events(left.events, right.events, ids, mode))
+    if include_ledger:
+        out = out.unionByName(parity_ledger(left.ledger, right.ledger, ids, mode))
+    return out

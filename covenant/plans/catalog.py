@@ -122,8 +122,7 @@ def _all_ids(s, d):
 
 
 def _all_issues(s, d):
-    return (V.parity_contracts(_t(s, d).contracts, _r(s, d).contracts)
-            .unionByName(V.parity_ledger(_t(s, d).ledger, _r(s, d).ledger)))
+    return V.parity_report(_t(s, d), _r(s, d), include_events=False)
 
 
 register("consistency_report")(lambda s, d: V.consistency_report(_left_items_contracts(s, d), _right_status(s, d)))

@@ -120,3 +120,9 @@ def read_with_deltas(spark: SparkSession, base_tables: Tables, base: str, mode:
 
 def rejected_commands(spark: SparkSession, base: str) -> DataFrame | None:
     return _committed(spark, base, "rejects")
+
+
+def write_chunked(df: DataFrame, path: str, max_records_per_file: int, mode: str = "overwrite") -> None:
+    """Write with a bound on rows per output file (the reference's bounded
+    write batches become bounded files; each task still writes in parallel)."""
+    df.write.mode(mode).option("maxRecordsPerFile", int(max_records_per_file)).parquet(path)

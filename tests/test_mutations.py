@@ -95,3 +95,15 @@ def test_item_collision_reported(spark):
     assert len(led) == 1 and led[0]["description"] == "b"           # later write wins
     issues = items_vs_tables(items, t).collect()
     assert [(r["scope"], r["left_value"], r["right_value"]) for r in issues] == [("ledger", "1", "2")]
+
+
+def test_parity_report_switches(spark):
+    from covenant.operators.parity import parity_report
+    left = make_tables(spark, [(1, "Bound", "Evil", "X", None)], [(1, 1, "2024-01-01 00:00:00", "e")],
+                       [(1, 1, 5, "2024-01-01 00:00:00", "a")])
+    right = make_tables(spark, [(1, "Redeemed", "Evil", "X", None)], [], [(1, 1, 6, "2024-01-01 00:00:00", "a")])
+    scopes = lambda df: sorted({r["scope"] for r in df.collect()})
+    assert scopes(parity_report(left, right)) == ["contracts", "events", "ledger entries"]
+    assert scopes(parity_report(left, right, include_events=False, include_ledger=False)) == ["contracts"]
+    amt = [r for r in parity_report(left, right).collect() if r["field"] == "amount"]
+    assert [(r["idx"], r["left_value"], r["right_value"]) for r in amt] == [(0, "5.000000", "6.000000")]

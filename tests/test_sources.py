@@ -82,3 +82,13 @@ def test_lookups(spark):
     assert batch_get(t.contracts, ids).count() == 1
     assert [r["id"] for r in resolve_ids(t.contracts, ids=[4, 2, 4]).orderBy("pos").collect()] == [4, 2]
     assert resolve_ids(t.contracts, sample_size=2).count() == 2
+
+
+def test_write_chunked_and_missing_tables(spark):
+    from covenant.operators.lookups import missing_tables
+    from covenant.sources.store import write_chunked
+    d = tempfile.mkdtemp(prefix="chunk-")
+    write_chunked(spark.range(10000).coalesce(1), f"{d}/t", 3000)
+    assert len([f for f in os.listdir(f"{d}/t") if f.endswith(".parquet")]) == 4
+    inv = table_inventory(spark, SF, ["customer", "gone"])
+    assert [r[0] for r in missing_tables(inv).collect()] == ["gone"]
