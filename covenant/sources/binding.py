@@ -47,8 +47,28 @@ class Tables:
         return replace(self, **kw)
 
 
+# Resolved table readers, per session and path. Like Spark's own relation
+# metadata cache, a reader keeps the file listing it resolved; call
+# ``refresh_tables()`` after the files under a directory change.
+_READERS: dict[tuple, DataFrame] = {}
+_TABLES: dict[tuple, "Tables"] = {}
+
+
+def _session_key(spark: SparkSession) -> tuple:
+    return (spark.sparkContext.applicationId, id(spark))
+
+
+def refresh_tables() -> None:
+    _READERS.clear()
+    _TABLES.clear()
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    key = (*_session_key(spark), f"{sf_dir}/{name}.parquet")
+    df = _READERS.get(key)
+    if df is None:
+        df = _READERS[key] = spark.read.parquet(key[-1])
+    return df
 
 
 def _case(col: Column, mapping: dict, default) -> Column:
@@ -106,7 +126,12 @@ def load_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The three normalized relations, typed, lazily bound to the driver tables."""
-    return Tables(load_contracts(spark, sf_dir), load_events(spark, sf_dir), load_ledger(spark, sf_dir))
+    key = (*_session_key(spark), sf_dir)
+    t = _TABLES.get(key)
+    if t is None:
+        t = _TABLES[key] = Tables(load_contracts(spark, sf_dir), load_events(spark, sf_dir),
+                                  load_ledger(spark, sf_dir))
+    return t
 
 
 def right_store(t: Tables) -> Tables:

@@ -77,17 +77,20 @@ def put_items(items: DataFrame, new: DataFrame | None = None, seq_col: str = "_s
     """M2: key-value put semantics. Rows are writes; for each (PK, SK) the write with
     the highest ``seq_col`` wins (a later put replaces the whole item).
 
-    ``max_by`` is an aggregate: partial aggregation collapses duplicates map-side,
-    so a key written a billion times costs one row per map task, not one task.
+    ``seq_col`` identifies a write: two rows with the same (PK, SK, seq) must be
+    the same write (a replay). Each attribute is its own ``max_by`` over that
+    sequence, so every attribute comes from the winning write, Catalyst prunes
+    the attributes a query does not use before the shuffle, and partial
+    aggregation collapses a key written a billion times to one row per map task.
     """
     w = items if new is None else items.unionByName(new, allowMissingColumns=True)
     w = w.where(F.col("PK").isNotNull() & F.col("SK").isNotNull())
     attrs = [c for c in w.columns if c not in ("PK", "SK")]
     # a write without a sequence number counts as the oldest one
     order = F.coalesce(F.col(seq_col).cast("long"), F.lit(-(1 << 63)))
-    win = (w.groupBy("PK", "SK")
-           .agg(F.max_by(F.struct(*[F.col(c) for c in attrs]), order).alias("_w")))
-    return win.select("PK", "SK", *[F.col("_w")[c].alias(c) for c in attrs])
+    return (w.withColumn("_order", order)
+            .groupBy("PK", "SK")
+            .agg(*[F.max_by(F.col(c), F.col("_order")).alias(c) for c in attrs]))
 
 
 def item_kind(sk="SK") -> F.Column:
