@@ -107,9 +107,12 @@ def _collection(df: DataFrame, time_col: str, amount: bool) -> DataFrame:
 
 
 def _fingerprint(c: DataFrame) -> DataFrame:
-    h = F.xxhash64("t", "d", "a")
-    # order-free digest of a multiset: count + wrapping sum of row hashes
-    return c.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("hs"))
+    """Order-free digest of each contract's multiset of rows: the count and the
+    exact sums of two independent row hashes (64-bit xxhash, 32-bit murmur3)."""
+    h1 = F.xxhash64("t", "d", "a").cast("decimal(38,0)")
+    h2 = F.hash("t", "d", "a").cast("decimal(38,0)")
+    return c.groupBy("cid").agg(F.count(F.lit(1)).alias("n"),
+                                F.struct(F.sum(h1), F.sum(h2)).alias("hs"))
 
 
 def parity_collection(left: DataFrame, right: DataFrame, time_col: str, scope: str,
@@ -132,26 +135,31 @@ def parity_collection(left: DataFrame, right: DataFrame, time_col: str, scope: s
         "cid", F.coalesce("nl", F.lit(0)).alias("nl"), F.coalesce("nr", F.lit(0)).alias("nr"),
         F.col("hl"), F.col("hr"))
     differ = fp.where((F.col("nl") != F.col("nr")) | ~F.col("hl").eqNullSafe(F.col("hr")))
+    if materialize:
+        # the differing contracts (usually few) feed several steps: compute the
+        # fingerprints once and keep the result in the shared checkpoint folder
+        checkpoint_dir(lc.sparkSession)
+        differ = differ.checkpoint(eager=True)
     count_issues = differ.where(F.col("nl") != F.col("nr")).select(
         *_issue(F.col("cid"), scope, "count", None, _txt(F.col("nl")), _txt(F.col("nr"))))
-    dl = lc.join(differ.select("cid"), "cid", "left_semi")
-    dr = rc.join(differ.select("cid"), "cid", "left_semi")
+    both = (lc.withColumn("side", F.lit(0)).unionByName(rc.withColumn("side", F.lit(1)))
+            .join(differ.select("cid"), "cid", "left_semi"))
     if materialize:
-        # the rows of differing contracts feed a range sort (sampled, then
-        # shuffled) and two comparisons: write them once to the shared
-        # checkpoint folder instead of re-deriving both stores each time
-        checkpoint_dir(lc.sparkSession)
-        dl, dr = dl.checkpoint(eager=True), dr.checkpoint(eager=True)
+        both = both.checkpoint(eager=True)
+    dl = both.where(F.col("side") == 0).drop("side")
+    dr = both.where(F.col("side") == 1).drop("side")
     if mode == "keyed":
         lonly = dl.exceptAll(dr).select(*_issue(F.col("cid"), scope, "missing_right", None,
                                                 F.concat_ws("|", "t", "d", _txt(F.col("a"))), None))
         ronly = dr.exceptAll(dl).select(*_issue(F.col("cid"), scope, "missing_left", None, None,
                                                 F.concat_ws("|", "t", "d", _txt(F.col("a")))))
         return count_issues.unionByName(lonly).unionByName(ronly)
+    # one range sort positions both sides: the group is (side, contract)
     order = [F.asc_nulls_first("t"), F.asc_nulls_first("d"), F.asc_nulls_first("a")]
-    pl = group_positions(dl, ["cid"], order).select("cid", "pos", *[F.col(c).alias("l" + c) for c in "tda"])
-    pr = group_positions(dr, ["cid"], order).select(F.col("cid").alias("rcid"), F.col("pos").alias("rpos"),
-                                                    *[F.col(c).alias("r" + c) for c in "tda"])
+    pos = group_positions(both, ["side", "cid"], order)
+    pl = pos.where(F.col("side") == 0).select("cid", "pos", *[F.col(c).alias("l" + c) for c in "tda"])
+    pr = pos.where(F.col("side") == 1).select(F.col("cid").alias("rcid"), F.col("pos").alias("rpos"),
+                                              *[F.col(c).alias("r" + c) for c in "tda"])
     pairs = pl.join(pr, (pl.cid == pr.rcid) & (pl.pos == pr.rpos), "inner")
     cmp = pairs.select("cid", "pos", F.explode(F.array(
         F.struct(F.lit("timestamp").alias("field"), (~F.col("lt").eqNullSafe(F.col("rt"))).alias("bad"),
