@@ -90,8 +90,10 @@ def validate_commands(raw: DataFrame, amount: str = "strict", now: str | None =
         F.try_variant_get(j, "$.newStatus", "string").alias("new_status"),
         F.try_variant_get(j, "$.amount", MONEY.simpleString()).alias("amount"),
         F.coalesce(F.col("_ts"), parse_iso(F.try_variant_get(j, "$.ts", "string")), now_col).alias("ts"),
+        # without a sequence number, a 62-bit hash of the body stands in (ids
+        # derived from it stay inside BIGINT)
         F.coalesce(F.col("_seq"), F.try_variant_get(j, "$.seq", "bigint"),
-                   F.xxhash64("value")).alias("seq"))
+                   F.pmod(F.xxhash64("value"), F.lit(1 << 62))).alias("seq"))
     return valid, rejected
 
 
@@ -131,10 +133,10 @@ def append_rows(base: DataFrame, new: DataFrame, id_cols=("id",)) -> DataFrame:
 
 
 # ---------------------------------------------------------------- M6 / M7
-def latest_commands(commands: DataFrame) -> DataFrame:
-    """Per contract the command with the greatest (ts, seq)."""
+def latest_commands(commands: DataFrame, order=("ts", "seq")) -> DataFrame:
+    """Per contract the command with the greatest ``order`` key (default (ts, seq))."""
     return (commands.groupBy("contract_id")
-            .agg(F.max_by(F.struct("new_status", "ts"), F.struct("ts", "seq")).alias("m"))
+            .agg(F.max_by(F.struct("new_status", "ts"), F.struct(*order)).alias("m"))
             .select("contract_id", F.col("m.new_status").alias("new_status"), F.col("m.ts").alias("ts")))
 
 

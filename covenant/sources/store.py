@@ -90,36 +90,75 @@ def write_batch(spark: SparkSession, base: str, batch_id: int, commands: DataFra
      .write.mode("overwrite").parquet(f"{base}/_commits/batch_id={batch_id}"))
 
 
-def _committed(spark: SparkSession, base: str, name: str) -> DataFrame | None:
+SNAPSHOT = "_snapshot"
+
+
+def _committed(spark: SparkSession, base: str, name: str, after: int | None = None,
+               upto: int | None = None) -> DataFrame | None:
+    """Rows of committed batches (with their ``batch_id``), optionally in (after, upto]."""
     try:
         commits = spark.read.parquet(f"{base}/_commits").select("batch_id")
         delta = spark.read.parquet(f"{base}/{name}_delta")
     except AnalysisException:
         return None
-    return delta.join(commits, "batch_id", "left_semi").drop("batch_id")
+    if after is not None:
+        commits = commits.where(F.col("batch_id") > after)
+    if upto is not None:
+        commits = commits.where(F.col("batch_id") <= upto)
+    return delta.join(commits, "batch_id", "left_semi")
+
 
+def read_with_deltas(spark: SparkSession, base_tables: Tables, base: str, mode: str = "upsert",
+                     upto: int | None = None, use_snapshot: bool = True) -> Tables:
+    """Merge-on-read: the latest compacted snapshot (else ``base_tables``) plus
+    the committed command deltas after it.
 
-def read_with_deltas(spark: SparkSession, base_tables: Tables, base: str, mode: str = "upsert") -> Tables:
-    """Merge-on-read: base tables + committed command deltas."""
+    Commands apply in arrival order: a later micro-batch wins over an earlier
+    one, and within a batch the greatest (ts, seq) wins.
+    """
     from covenant.operators.mutations import update_contracts
-    cmds = _committed(spark, base, "commands")
+    after = None
+    if use_snapshot:
+        v = current_version(spark, f"{base}/{SNAPSHOT}")
+        if v is not None and (upto is None or v <= upto):
+            base_tables, after = read_store(spark, f"{base}/{SNAPSHOT}"), v
+    cmds = _committed(spark, base, "commands", after, upto)
     if cmds is None:
         return base_tables
     cid_type = dict(base_tables.contracts.dtypes)["id"]
-    latest = latest_commands(cmds.withColumn("contract_id", F.col("contract_id").cast(cid_type)))
+    latest = latest_commands(cmds.withColumn("contract_id", F.col("contract_id").cast(cid_type)),
+                             order=("batch_id", "ts", "seq"))
     changes = latest.select(F.col("contract_id").alias("id"), F.col("new_status").alias("contract_status"),
                             F.col("ts").alias("updated_at"))
     merge = upsert_contracts if mode == "upsert" else update_contracts
     contracts = merge(base_tables.contracts, changes)
-    ev = _committed(spark, base, "events")
-    lg = _committed(spark, base, "ledger")
+    ev = _committed(spark, base, "events", after, upto)
+    lg = _committed(spark, base, "ledger", after, upto)
     events = base_tables.events.unionByName(ev.select(*base_tables.events.columns))
     ledger = base_tables.ledger.unionByName(lg.select(*base_tables.ledger.columns))
     return Tables(contracts, events, ledger)
 
 
+def compact_store(spark: SparkSession, base_tables: Tables, base: str, mode: str = "upsert",
+                  max_records_per_file: int | None = None) -> int | None:
+    """Fold every committed batch into a new snapshot (published by its manifest)
+    so reads stop paying for a growing delta log. Returns the last folded batch
+    id. Safe to run while the stream appends: later batches stay deltas."""
+    try:
+        hi = spark.read.parquet(f"{base}/_commits").agg(F.max("batch_id")).first()[0]
+    except AnalysisException:
+        return None
+    if hi is None:
+        return None
+    state = read_with_deltas(spark, base_tables, base, mode, upto=int(hi))
+    write_store(spark, f"{base}/{SNAPSHOT}", int(hi), tables=state, targets={"normalized"},
+                max_records_per_file=max_records_per_file)
+    return int(hi)
+
+
 def rejected_commands(spark: SparkSession, base: str) -> DataFrame | None:
-    return _committed(spark, base, "rejects")
+    r = _committed(spark, base, "rejects")
+    return None if r is None else r.drop("batch_id")
 
 
 def write_chunked(df: DataFrame, path: str, max_records_per_file: int, mode: str = "overwrite") -> None:

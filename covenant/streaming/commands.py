@@ -9,6 +9,8 @@ query cannot double-apply a command.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -34,11 +36,15 @@ def bundle_rows(valid: DataFrame, id_type: str = "bigint", cid_type: str = "bigi
 
 def apply_commands_stream(spark: SparkSession, source: str, store: str, checkpoint: str,
                           amount: str = "strict", id_type: str = "bigint", cid_type: str = "bigint",
-                          available_now: bool = True, now: str | None = None) -> StreamingQuery:
-    raw = read_commands(spark, source, streaming=True)
+                          available_now: bool = True, now: str | None = None,
+                          max_files_per_trigger: int | None = None) -> StreamingQuery:
+    raw = read_commands(spark, source, streaming=True, max_files_per_trigger=max_files_per_trigger)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        valid, rejected = validate_commands(batch, amount=amount, now=now)
+        # like the handler's NOW(): one processing time for the whole batch; a
+        # replayed batch id rewrites its own folders, so the state stays whole
+        stamp = now or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
+        valid, rejected = validate_commands(batch, amount=amount, now=stamp)
         valid = valid.persist()
         ev, lg = bundle_rows(valid, id_type, cid_type)
         write_batch(batch.sparkSession, store, batch_id, valid, ev, lg, rejected)

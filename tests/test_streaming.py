@@ -40,3 +40,29 @@ def test_stream_equals_batch(spark):
     q2 = apply_commands_stream(spark, src, store, ckpt)
     q2.awaitTermination(300)
     assert read_with_deltas(spark, base, store).events.count() == streamed.events.count()
+
+
+def _same(a, b):
+    for x, y in ((a.contracts, b.contracts), (a.events, b.events), (a.ledger, b.ledger)):
+        assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
+
+
+def test_multi_batch_stream_with_compaction(spark):
+    from covenant.sources.store import compact_store
+    root = tempfile.mkdtemp(prefix="stream2-")
+    src, store, ckpt = (os.path.join(root, x) for x in ("in", "store", "ckpt"))
+    bodies = load_command_json(spark, SF).select("value")
+    first, second = bodies.randomSplit([0.6, 0.4], seed=3)
+    first.repartition(3).write.mode("overwrite").text(src)
+    apply_commands_stream(spark, src, store, ckpt, max_files_per_trigger=1,
+                          now="2024-02-01 00:00:00").awaitTermination(300)
+    base = load_tables(spark, SF)
+    before = read_with_deltas(spark, base, store)
+    assert compact_store(spark, base, store) == 2                 # three batches folded
+    _same(read_with_deltas(spark, base, store), before)           # snapshot == replay
+    second.repartition(2).write.mode("append").text(src)
+    apply_commands_stream(spark, src, store, ckpt, max_files_per_trigger=1,
+                          now="2024-02-01 00:00:00").awaitTermination(300)
+    after = read_with_deltas(spark, base, store)                  # snapshot + batches 3, 4
+    _same(after, read_with_deltas(spark, base, store, use_snapshot=False))
+    assert after.events.count() == base.events.count() + bodies.count()
