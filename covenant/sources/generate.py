@@ -85,3 +85,18 @@ def generate(spark: SparkSession, contracts: int = 1000, events_per_contract: in
     lg = lg.join(ids, "owner").select("id", F.col("cid").alias("soul_contract_id"), "amount",
                                      "transaction_time", "description")
     return Tables(c.drop("_n"), e, lg)
+
+
+def seed_contracts(spark: SparkSession, **kw):
+    """The generated contracts (see ``generate``)."""
+    return generate(spark, **kw).contracts
+
+
+def seed_events(spark: SparkSession, **kw):
+    """The generated events."""
+    return generate(spark, **kw).events
+
+
+def seed_ledger(spark: SparkSession, **kw):
+    """The generated ledger rows."""
+    return generate(spark, **kw).ledger
