@@ -74,7 +74,12 @@ def lookup_by_date(rows: DataFrame, time_col: str, day: str) -> DataFrame:
     """Rows of one calendar day as a half-open time range (pushed to parquet)."""
     start = F.lit(day).cast("date").cast("timestamp_ntz")
     end = F.date_add(F.lit(day).cast("date"), 1).cast("timestamp_ntz")
-    return rows.where((F.col(time_col) >= start) & (F.col(time_col) < end)).orderBy(time_col, "id")
+    cond = (F.col(time_col) >= start) & (F.col(time_col) < end)
+    day_col = time_col + "_date"
+    if day_col in rows.columns:
+        # a store written with day partitions: prune to one partition folder
+        cond = cond & (F.col(day_col) == F.lit(day).cast("date"))
+    return rows.where(cond).orderBy(time_col, "id")
 
 
 def missing_in_other(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
