@@ -34,6 +34,25 @@ def _pick(values, u: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.floor(u * len(values)) + 1).cast("int"))
 
 
+def _as_int(v, minimum: int):
+    try:
+        n = int(str(v).strip()) if v is not None else None
+    except ValueError:
+        return None
+    return n if n is not None and n >= minimum else None
+
+
+def resolve_counts(contracts=None, events_per_contract=None, ledger_entries=None) -> tuple[int, int, int]:
+    """Counts from arguments, falling back to the defaults when an argument is
+    missing or invalid (contracts must be > 0, the others >= 0)."""
+    c = _as_int(contracts, 1)
+    e = _as_int(events_per_contract, 0)
+    l = _as_int(ledger_entries, 0)
+    return (DEFAULTS["contracts"] if c is None else c,
+            DEFAULTS["events_per_contract"] if e is None else e,
+            DEFAULTS["ledger_entries"] if l is None else l)
+
+
 def validate_counts(contracts, events_per_contract, ledger_entries) -> tuple[int, int, int]:
     """Counts: contracts > 0, the others >= 0 (integers)."""
     c, e, l = int(contracts), int(events_per_contract), int(ledger_entries)

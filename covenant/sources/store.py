@@ -25,17 +25,23 @@ from covenant.sources.binding import Tables
 TARGETS = ("items", "normalized")
 
 
-def resolve_targets(flags: Iterable[str]) -> set[str]:
-    """Target flags in order; a later flag overrides earlier ones
-    (``items``, ``normalized``, ``both``, ``no-items``, ``no-normalized``)."""
-    out: set[str] = set(TARGETS)
-    for f in flags:
-        if f == "both":
-            out = set(TARGETS)
-        elif f in TARGETS:
-            out = {f}
-        elif f.startswith("no-") and f[3:] in TARGETS:
-            out.discard(f[3:])
+def resolve_targets(target: str | None = None, normalized_only: bool = False, items_only: bool = False,
+                    skip_normalized: bool = False, skip_items: bool = False) -> set[str]:
+    """Which shapes a write goes to. Precedence: the named ``target``
+    ('items' or 'normalized'), then the *only* switches, then the *skip*
+    switches (a skip always wins). No switch: both shapes."""
+    out = set(TARGETS)
+    t = (target or "").lower()
+    if t in TARGETS:
+        out = {t}
+    if normalized_only:
+        out = {"normalized"}
+    if items_only:
+        out = {"items"}
+    if skip_normalized:
+        out.discard("normalized")
+    if skip_items:
+        out.discard("items")
     return out
 
 

@@ -70,9 +70,18 @@ def test_store_versions_and_bounded_files(spark):
 
 
 def test_targets():
-    assert resolve_targets([]) == {"items", "normalized"}
-    assert resolve_targets(["items", "normalized"]) == {"normalized"}
-    assert resolve_targets(["both", "no-items"]) == {"normalized"}
+    assert resolve_targets() == {"items", "normalized"}
+    assert resolve_targets("NORMALIZED") == {"normalized"}
+    assert resolve_targets("normalized", items_only=True) == {"items"}
+    assert resolve_targets(normalized_only=True, items_only=True) == {"items"}
+    assert resolve_targets("items", skip_items=True) == set()
+
+
+def test_count_fallbacks():
+    from covenant.sources.generate import resolve_counts
+    assert resolve_counts() == (1000, 50, 5000)
+    assert resolve_counts("20", 0, "x") == (20, 0, 5000)
+    assert resolve_counts(0, -1, 7) == (1000, 50, 7)
 
 
 def test_lookups(spark):
