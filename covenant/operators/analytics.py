@@ -23,7 +23,7 @@ REDEEMED = "Redeemed"
 def ledger_totals(ledger: DataFrame) -> DataFrame:
     """SUM(amount) per contract."""
     return (ledger.groupBy("soul_contract_id")
-            .agg(F.sum("amount").cast(SUM_MONEY).alias("total_power")))
+            .agg(F.sum("amount").cast(SUM_MONEY).alias("total_power_per_soul")))
 
 
 def gains_losses(ledger: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def location_dashboard(t: Tables, redeemed: str = REDEEMED) -> DataFrame:
     lt = ledger_totals(t.ledger).withColumnRenamed("soul_contract_id", "l_cid")
     c = t.contracts.select("id", "contract_status", "contract_location")
     j = c.join(lt, c.id == lt.l_cid, "left")
-    power = F.coalesce(F.col("total_power"), zero_money())
+    power = F.coalesce(F.col("total_power_per_soul"), zero_money())
     g = (j.groupBy("contract_location")
          .agg(F.count(F.lit(1)).alias("soul_count"),
               F.count(F.when(F.col("contract_status") == redeemed, 1)).alias("redeemed"),
@@ -199,7 +199,7 @@ def location_profitability(t: Tables, redeemed: str = REDEEMED) -> DataFrame:
 # ---------------------------------------------------------------- time series
 def daily_totals(ledger: DataFrame) -> DataFrame:
     """Ledger sum per calendar day of transaction_time."""
-    return (ledger.groupBy(F.to_date("transaction_time").alias("day"))
+    return (ledger.groupBy(F.to_date("transaction_time").alias("contract_date"))
             .agg(F.sum("amount").cast(SUM_MONEY).alias("daily_total")))
 
 
@@ -210,13 +210,14 @@ def running_totals(daily: DataFrame) -> DataFrame:
     The window is unpartitioned but runs over one row per calendar day, a count
     bounded by the date range and not by the data volume.
     """
-    w_run = Window.orderBy(F.asc_nulls_first("day")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    w_run = Window.orderBy(F.asc_nulls_first("contract_date")).rangeBetween(Window.unboundedPreceding,
+                                                                             Window.currentRow)
     w_rank = Window.orderBy(F.desc_nulls_first("daily_total"))
     return daily.select(
-        "day", "daily_total",
+        "contract_date", "daily_total",
         F.sum("daily_total").over(w_run).cast(SUM_MONEY).alias("running_total"),
         F.rank().over(w_rank).cast("long").alias("day_rank"),
-    ).orderBy("day")
+    ).orderBy("contract_date")
 
 
 def dataset_summary(t: Tables) -> DataFrame:

@@ -98,7 +98,7 @@ FROM location_stats ORDER BY profitability_rank
 """
 
 Q["ledger_totals"] = with_binding() + """
-SELECT soul_contract_id, CAST(SUM(amount) AS DECIMAL(38,6)) AS total_power FROM ledger GROUP BY 1"""
+SELECT soul_contract_id, CAST(SUM(amount) AS DECIMAL(38,6)) AS total_power_per_soul FROM ledger GROUP BY 1"""
 
 Q["gains_losses"] = with_binding() + """
 SELECT soul_contract_id,
@@ -110,16 +110,16 @@ Q["last_activity"] = with_binding() + """
 SELECT soul_contract_id, MAX(event_time) AS last_activity FROM contract_events GROUP BY 1"""
 
 _DAILY = """
-daily AS (SELECT CAST(transaction_time AS DATE) AS day, CAST(SUM(amount) AS DECIMAL(38,6)) AS daily_total
+daily AS (SELECT CAST(transaction_time AS DATE) AS contract_date, CAST(SUM(amount) AS DECIMAL(38,6)) AS daily_total
           FROM ledger GROUP BY 1)"""
 
 Q["daily_totals"] = with_binding(_DAILY) + "SELECT * FROM daily"
 
 Q["running_totals"] = with_binding(_DAILY) + """
-SELECT day, daily_total,
-       CAST(SUM(daily_total) OVER (ORDER BY day NULLS FIRST) AS DECIMAL(38,6)) AS running_total,
+SELECT contract_date, daily_total,
+       CAST(SUM(daily_total) OVER (ORDER BY contract_date NULLS FIRST) AS DECIMAL(38,6)) AS running_total,
        RANK() OVER (ORDER BY daily_total DESC NULLS FIRST) AS day_rank
-FROM daily ORDER BY day"""
+FROM daily ORDER BY contract_date"""
 
 Q["dataset_summary"] = with_binding() + """
 SELECT 'contracts' AS table_name, COUNT(*) AS row_count FROM contracts
