@@ -79,13 +79,17 @@ def profile_full(t: Tables, ids=None, nested: bool = False) -> DataFrame:
     if not nested:
         return flat.orderBy("contract_id", "kind_order", F.asc_nulls_last("time")).drop("kind_order")
     rows = flat.where(F.col("kind") != "contract")
-    item = F.struct("kind_order", "time", "description", "amount")
+    # ascending time with NULL times last (the flat form's and SQL's order)
+    item = F.struct("kind_order", F.col("time").isNull().alias("t_null"), "time", "description", "amount")
     arr = rows.groupBy("contract_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     head = flat.where(F.col("kind") == "contract").drop("kind", "kind_order", "time", "description", "amount")
+
+    def part(k):
+        return F.transform(F.filter("items", lambda s: s["kind_order"] == k),
+                           lambda s: F.struct(s["time"].alias("time"), s["description"].alias("description"),
+                                              s["amount"].alias("amount")))
     return (head.join(arr, "contract_id", "left")
-            .select(*head.columns,
-                    F.filter("items", lambda s: s["kind_order"] == 1).alias("events"),
-                    F.filter("items", lambda s: s["kind_order"] == 2).alias("ledger")))
+            .select(*head.columns, part(1).alias("events"), part(2).alias("ledger")))
 
 
 def latest_event(events: DataFrame) -> DataFrame:
