@@ -33,6 +33,10 @@ def get_spark(master: str | None = None, app: str = "covenant",
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode runs every task inside the driver JVM; on a cluster the
+            # launcher sizes the driver and executors instead
+            builder = builder.config("spark.driver.memory", os.environ.get("COVENANT_DRIVER_MEMORY", "12g"))
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
