@@ -42,6 +42,12 @@ def _template(template: str, **cols: Column) -> Column:
 
 
 # ---------------------------------------------------------------- M9
+def _parse_ts(text: Column) -> Column:
+    """Body time: ISO ms text with Z (the item format), else any zone-less
+    timestamp text (microseconds kept), read as a wall-clock TIMESTAMP_NTZ."""
+    return F.coalesce(parse_iso(text), text.try_cast("timestamp_ntz"))
+
+
 def _falsy_json(v: Column) -> Column:
     """JS falsiness of a JSON value: absent, null, '', 0, false."""
     t = F.schema_of_variant(v)
@@ -89,7 +95,7 @@ def validate_commands(raw: DataFrame, amount: str = "strict", now: str | None =
         F.try_variant_get(j, f"$.{id_key}", "string").alias("contract_id"),
         F.try_variant_get(j, "$.newStatus", "string").alias("new_status"),
         F.try_variant_get(j, "$.amount", MONEY.simpleString()).alias("amount"),
-        F.coalesce(F.col("_ts"), parse_iso(F.try_variant_get(j, "$.ts", "string")), now_col).alias("ts"),
+        F.coalesce(F.col("_ts"), _parse_ts(F.try_variant_get(j, "$.ts", "string")), now_col).alias("ts"),
         # without a sequence number, a 62-bit hash of the body stands in (ids
         # derived from it stay inside BIGINT)
         F.coalesce(F.col("_seq"), F.try_variant_get(j, "$.seq", "bigint"),

@@ -197,3 +197,33 @@ register("status_index")(lambda s, d: I.status_index(_items(s, d)).select("statu
 register("parity_ledger_items")(lambda s, d: V.parity_ledger(I.from_items(_items(s, d)).ledger, _t(s, d).ledger))
 register("parity_contracts_items")(lambda s, d: V.parity_contracts(I.from_items(_items(s, d)).contracts,
                                                                    _t(s, d).contracts))
+
+# the streaming command applier (R1), run over command bodies derived from the tables
+from covenant.sources.store import read_with_deltas  # noqa: E402
+from covenant.streaming.commands import apply_commands_stream  # noqa: E402
+
+
+def _streamed(s, d):
+    """Write the commands as JSON request bodies (text files) into a fresh folder
+    under the shared checkpoint directory, run the streaming applier to the end
+    (availableNow) and return the merged store."""
+    def make():
+        import uuid
+        from covenant.session import scratch_path
+        root = scratch_path(s, f"command-stream-{uuid.uuid4().hex}")
+        c = B.load_commands(s, d)
+        bodies = c.select(F.to_json(F.struct(
+            F.col("contract_id").cast("string").alias("soulContractId"),
+            F.col("new_status").alias("newStatus"),
+            F.col("amount").cast("double").alias("amount"),
+            F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"),
+            F.col("seq"))).alias("value"))
+        bodies.write.mode("overwrite").text(f"{root}/in")
+        apply_commands_stream(s, f"{root}/in", f"{root}/store", f"{root}/ckpt").awaitTermination()
+        return read_with_deltas(s, _t(s, d), f"{root}/store")
+    return _memo("streamed", s, d, make)
+
+
+register("stream_commands_contracts")(lambda s, d: _streamed(s, d).contracts)
+register("stream_commands_events")(lambda s, d: _streamed(s, d).events)
+register("stream_commands_ledger")(lambda s, d: _streamed(s, d).ledger)
