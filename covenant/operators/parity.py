@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covenant.functions.exprs import iso_ms
-from covenant.session import checkpoint_dir
+from covenant.session import materialize as materialize_table
 from covenant.operators.positional import group_positions
 from covenant.plans.sizing import broadcast_if_small
 from covenant.sources.schemas import ISSUES, MONEY
@@ -71,16 +71,19 @@ def parity_contracts(left: DataFrame, right: DataFrame, ids: DataFrame | None =
     """V2: per requested id: missing in both / left / right, else status, soulType
     and contractLocation compared null-safely. ``ids`` defaults to every id of
     either store (full outer join)."""
-    ln = normalize_contract(left).withColumn("_l", F.lit(True))
-    rn = normalize_contract(right).withColumn("_r", F.lit(True))
+    fields3 = ("status", "soulType", "contractLocation")
+    lp = normalize_contract(left).select(F.col("id").alias("lid"), F.lit(True).alias("_l"),
+                                         *[F.col(c).alias("l_" + c) for c in fields3])
+    rp = normalize_contract(right).select(F.col("id").alias("rid"), F.lit(True).alias("_r"),
+                                          *[F.col(c).alias("r_" + c) for c in fields3])
     if ids is None:
-        ids = ln.select("id").unionByName(rn.select("id")).distinct()
+        # every id of either store: one full outer join, each store read once
+        j = lp.join(rp, F.col("lid") == F.col("rid"), "full_outer").withColumn(
+            "id", F.coalesce("lid", "rid"))
     else:
         ids = ids.select(F.col(ids.columns[-1]).cast("string").alias("id")).distinct()
-    lp = ln.select("id", "_l", *[F.col(c).alias("l_" + c) for c in ("status", "soulType", "contractLocation")])
-    rp = rn.select(F.col("id").alias("rid"), "_r",
-                   *[F.col(c).alias("r_" + c) for c in ("status", "soulType", "contractLocation")])
-    j = ids.join(lp, "id", "left").join(rp, F.col("id") == F.col("rid"), "left")
+        j = (ids.join(lp, F.col("id") == F.col("lid"), "left")
+             .join(rp, F.col("id") == F.col("rid"), "left"))
     has_l, has_r = F.col("_l").isNotNull(), F.col("_r").isNotNull()
     missing = j.where(~has_l | ~has_r).select(*_issue(
         F.col("id"), "contracts",
@@ -139,14 +142,13 @@ def parity_collection(left: DataFrame, right: DataFrame, time_col: str, scope: s
     if materialize:
         # the differing contracts (usually few) feed several steps: compute the
         # fingerprints once and keep the result in the shared checkpoint folder
-        checkpoint_dir(lc.sparkSession)
-        differ = differ.checkpoint(eager=True)
+        differ = materialize_table(differ, "parity-differ")
     count_issues = differ.where(F.col("nl") != F.col("nr")).select(
         *_issue(F.col("cid"), scope, "count", None, _txt(F.col("nl")), _txt(F.col("nr"))))
     both = (lc.withColumn("side", F.lit(0)).unionByName(rc.withColumn("side", F.lit(1)))
             .join(differ.select("cid"), "cid", "left_semi"))
     if materialize:
-        both = both.checkpoint(eager=True)
+        both = materialize_table(both, "parity-rows")
     dl = both.where(F.col("side") == 0).drop("side")
     dr = both.where(F.col("side") == 1).drop("side")
     if mode == "keyed":
@@ -158,10 +160,17 @@ def parity_collection(left: DataFrame, right: DataFrame, time_col: str, scope: s
     # one range sort positions both sides: the group is (side, contract)
     order = [F.asc_nulls_first("t"), F.asc_nulls_first("d"), F.asc_nulls_first("a")]
     pos = group_positions(both, ["side", "cid"], order)
-    pl = pos.where(F.col("side") == 0).select("cid", "pos", *[F.col(c).alias("l" + c) for c in "tda"])
-    pr = pos.where(F.col("side") == 1).select(F.col("cid").alias("rcid"), F.col("pos").alias("rpos"),
-                                              *[F.col(c).alias("r" + c) for c in "tda"])
-    pairs = pl.join(pr, (pl.cid == pr.rcid) & (pl.pos == pr.rpos), "inner")
+    # pair the i-th left row with the i-th right row: (cid, pos) holds at most
+    # one row per side, so one aggregation does it (no self-join, no skew)
+    left_, right_ = F.col("side") == 0, F.col("side") == 1
+
+    def side(c, cond):
+        return F.max(F.when(cond, F.col(c)))
+    pairs = (pos.groupBy("cid", "pos")
+             .agg(F.count(F.when(left_, 1)).alias("_nl"), F.count(F.when(right_, 1)).alias("_nr"),
+                  *[side(c, left_).alias("l" + c) for c in "tda"],
+                  *[side(c, right_).alias("r" + c) for c in "tda"])
+             .where((F.col("_nl") == 1) & (F.col("_nr") == 1)))
     cmp = pairs.select("cid", "pos", F.explode(F.array(
         F.struct(F.lit("timestamp").alias("field"), (~F.col("lt").eqNullSafe(F.col("rt"))).alias("bad"),
                  F.col("lt").alias("lv"), F.col("rt").alias("rv")),

@@ -7,6 +7,12 @@ the rows are range-partitioned on (group, order), so a hot group is split over
 many partitions; each partition numbers its slice locally and the per-slice
 row counts (one row per partition x group, a small table) give each slice its
 offset. No task ever holds more than one range partition of rows.
+
+Cost: the numbering and the slice counts both read the range-partitioned rows.
+Static planning reuses that shuffle; with AQE on, Spark 4.1 does not reuse a
+range shuffle whose partitions are labelled by ``spark_partition_id()``, so
+the range shuffle runs twice. The counts branch then only adds a partial
+aggregate (one row per slice and group), not a second window.
 """
 
 from __future__ import annotations
@@ -26,20 +32,21 @@ def group_positions(df: DataFrame, group: Sequence[str], order: Sequence[Column
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     group_cols = [F.col(g) for g in group]
-    sliced = (df.repartitionByRange(n, *group_cols, *order_cols)
+    # one struct key per group: never NULL itself and equal when its fields are
+    # equal (NULL fields included), so a NULL group value is a group of its own
+    # and every join below is a plain equi-join on (_slice, _gk)
+    sliced = (df.withColumn("_gk", F.struct(*group_cols))
+              .repartitionByRange(n, *group_cols, *order_cols)
               .withColumn("_slice", F.spark_partition_id()))
     local = sliced.withColumn(
-        "_lrn", F.row_number().over(Window.partitionBy("_slice", *group).orderBy(*order_cols)))
-    counts = local.groupBy("_slice", *group).agg(F.count(F.lit(1)).alias("_cnt"))
-    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    extra = [F.sum("_cnt").over(Window.partitionBy(*group)).alias("_size")] if size_col else []
-    offsets = counts.select("_slice", *group, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
+        "_lrn", F.row_number().over(Window.partitionBy("_slice", "_gk").orderBy(*order_cols)))
+    counts = local.groupBy("_slice", "_gk").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.partitionBy("_gk").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    extra = [F.sum("_cnt").over(Window.partitionBy("_gk")).alias("_size")] if size_col else []
+    offsets = counts.select("_slice", "_gk", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
                             *extra)
-    # null-safe keys: a NULL group value is a group of its own
-    renamed = offsets.withColumnsRenamed({g: f"_o_{g}" for g in ["_slice", *group]})
-    cond = [F.col("_slice") == F.col("_o__slice")] + [F.col(g).eqNullSafe(F.col(f"_o_{g}")) for g in group]
-    j = local.join(renamed, cond, "inner")
+    j = local.join(offsets, ["_slice", "_gk"], "inner")
     out = j.withColumn(pos_col, (F.col("_off") + F.col("_lrn") - 1).cast("long"))
     if size_col:
         out = out.withColumn(size_col, F.col("_size").cast("long")).drop("_size")
-    return out.drop("_slice", "_lrn", "_off", "_o__slice", *[f"_o_{g}" for g in group])
+    return out.drop("_slice", "_gk", "_lrn", "_off")

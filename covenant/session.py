@@ -63,3 +63,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` as a parquet table under the shared
+    checkpoint folder and reading it back.
+
+    Unlike an RDD checkpoint, the re-read table has file statistics (AQE and the
+    broadcast check can size it) and stays a normal file scan, so Spark can
+    prune its columns and reuse exchanges built on it.
+    """
+    import uuid
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
