@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 
 # rows a hinted broadcast side may hold (a few MB for narrow dimension rows)
 DEFAULT_MAX_ROWS = 100_000
-_COUNTS: dict[tuple, int] = {}
+_COUNTS: dict[tuple, tuple[DataFrame, int]] = {}
 
 
 def bounded_count(df: DataFrame, limit: int) -> int:
-    """Row count, but never counts past ``limit + 1`` rows."""
+    """Row count, but never counts past ``limit + 1`` rows (memoized per frame;
+    the memo keeps the frame itself so an id is never reused for another one)."""
     key = (df.sparkSession.sparkContext.applicationId, id(df), limit)
-    if key not in _COUNTS:
-        _COUNTS[key] = df.limit(limit + 1).agg(F.count(F.lit(1))).first()[0]
-    return _COUNTS[key]
+    hit = _COUNTS.get(key)
+    if hit is None or hit[0] is not df:
+        hit = _COUNTS[key] = (df, df.limit(limit + 1).agg(F.count(F.lit(1))).first()[0])
+    return hit[1]
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:

@@ -120,3 +120,18 @@ def test_clustered_day_partitioned_store(spark):
              .agg(F.min("id").alias("lo"), F.max("id").alias("hi")).orderBy("lo").collect())
     assert all(a["hi"] < b["lo"] for a, b in zip(files, files[1:]))
     assert point_get(s.contracts, {"id": 5}).count() == 1
+
+
+def test_size_checked_broadcast(spark):
+    from covenant.plans.sizing import bounded_count, broadcast_if_small
+    small = spark.range(10)
+    big = spark.range(1000)
+    assert bounded_count(big, 100) == 101                       # stops counting past the bound
+    facts = spark.range(5000).withColumn("k", F.col("id") % 10)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in plan(facts.join(broadcast_if_small(small, 100), facts.k == small.id))
+        assert "BroadcastHashJoin" not in plan(facts.join(broadcast_if_small(big, 100), facts.k == big.id))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
