@@ -22,15 +22,21 @@ def _restrict(t: Tables, ids) -> Tables:
                   batch_get(t.ledger, ids, "soul_contract_id"))
 
 
-def profile_joined(t: Tables, ids=None) -> DataFrame:
+def profile_joined(t: Tables, ids) -> DataFrame:
     """Contract row + array_agg(event description) + sum(amount) over the
     contracts LEFT events LEFT ledger fan-out, without building the fan-out.
 
+    ``ids`` is required: the result holds a contract's whole event list in one
+    row, so it is a per-contract lookup (as in the original), not a table scan
+    output; use ``profile_full`` (flat) for every contract.
+
     With E events and L ledger rows: each description appears max(L,1) times,
     a contract without events gets max(L,1) NULLs, total_power = sum * max(E,1)
     (NULL without ledger rows). NULL descriptions are kept (a struct wrapper
     stops collect_list from dropping them).
     """
+    if ids is None:
+        raise ValueError("profile_joined needs ids; use profile_full(...) for all contracts")
     t = _restrict(t, ids)
     ev = (t.events.groupBy(F.col("soul_contract_id").alias("e_cid"))
           .agg(F.transform(F.collect_list(F.struct(F.col("description").alias("d"))),
@@ -58,10 +64,12 @@ def profile_full(t: Tables, ids=None, nested: bool = False) -> DataFrame:
     """Contract + its events by time + its ledger rows by time.
 
     Flat form (default): one row per contract, event and ledger row with a
-    ``kind`` column; 1 + E + L rows per contract. ``nested=True`` gives one row
-    per contract with time-sorted arrays, which holds a whole contract in one
-    row, so use it for bounded contracts only (e.g. with ``ids``).
+    ``kind`` column; 1 + E + L rows per contract, for some or all contracts.
+    ``nested=True`` gives one row per contract with time-sorted arrays; it holds
+    a whole contract in one row, so it needs ``ids``.
     """
+    if nested and ids is None:
+        raise ValueError("the nested profile needs ids; the flat form serves all contracts")
     t = _restrict(t, ids)
     c = t.contracts.select(
         F.col("id").alias("contract_id"), F.lit("contract").alias("kind"), F.lit(0).alias("kind_order"),

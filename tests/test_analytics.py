@@ -95,7 +95,7 @@ def test_golden_rates(spark):
 
 
 def test_profile_joined_nulls(spark):
-    p = by_id(P.profile_joined(fixture(spark)))
+    p = by_id(P.profile_joined(fixture(spark), [1, 2, 3, 4, 5]))
     assert sorted(p[1]["events"]) == ["a", "a", "a", "b", "b", "b"]
     assert p[1]["total_power"] == Decimal("14")                 # 7 x 2 events
     assert p[2]["total_power"] is None and sorted(p[2]["events"], key=str) == [None, "c"]

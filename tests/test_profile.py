@@ -29,8 +29,17 @@ def test_profile_flat_and_nested(spark):
     assert flat.count() == 1 + 3 + 2
     kinds = [r["kind"] for r in flat.collect()]
     assert kinds == ["contract", "event", "event", "event", "ledger", "ledger"]
-    nested = {r["contract_id"]: r for r in profile_full(t, nested=True).collect()}
+    nested = {r["contract_id"]: r for r in profile_full(t, [1, 2, 3], nested=True).collect()}
     ev = [e["description"] for e in nested[1]["events"]]
     assert ev == ["old", "new", "no time"]          # time ascending, NULL time last (as the flat form)
     assert [x["amount"] for x in nested[1]["ledger"]] == [Decimal("5.000000"), Decimal("7.000000")]
     assert nested[3]["events"] is None
+
+
+def test_array_profiles_need_ids(spark):
+    import pytest
+    from covenant.operators.profile import profile_joined
+    with pytest.raises(ValueError):
+        profile_joined(_t(spark), None)
+    with pytest.raises(ValueError):
+        profile_full(_t(spark), nested=True)
