@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 
 from covenant.operators import analytics as A
 from covenant.operators import lookups as L
+from covenant.operators import mutations as M
+from covenant.operators import parity as V
 from covenant.operators import profile as P
+from covenant.operators import stats as T
 from covenant.sources import binding as B
 from covenant.sources import items as I
+from covenant.sources.store import read_with_deltas
+from covenant.streaming.commands import apply_commands_stream
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -114,8 +119,6 @@ register("from_items_ledger")(lambda s, d: I.from_items(_items(s, d)).ledger)
 register("location_dashboard_items")(lambda s, d: A.location_dashboard_items(_items(s, d)))
 
 # parity and validation
-from covenant.operators import parity as V  # noqa: E402
-from covenant.operators import stats as T  # noqa: E402
 
 LIMITS = [("click", 100.0), ("view", 500.0)]   # per-system limit in ms (fixed values)
 
@@ -159,7 +162,6 @@ register("compare_systems")(lambda s, d: T.compare_systems(B.load_measurements(s
                                                            "click", "view", ["scenario"], items=10))
 
 # commands and write bundles
-from covenant.operators import mutations as M  # noqa: E402
 
 
 def _cmds(s, d):
@@ -199,8 +201,6 @@ register("parity_contracts_items")(lambda s, d: V.parity_contracts(I.from_items(
                                                                    _t(s, d).contracts))
 
 # the streaming command applier (R1), run over command bodies derived from the tables
-from covenant.sources.store import read_with_deltas  # noqa: E402
-from covenant.streaming.commands import apply_commands_stream  # noqa: E402
 
 
 def _streamed(s, d):
