@@ -104,37 +104,47 @@ def validate_commands(raw: DataFrame, amount: str = "strict", now: str | None =
 
 
 # ---------------------------------------------------------------- M4 / M5
-def upsert_contracts(contracts: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+def upsert_contracts(contracts: DataFrame, changes: DataFrame, key: str = "id",
+                     insert: bool = True) -> DataFrame:
     """M4: insert-or-overwrite by key. Columns present in ``changes`` overwrite
     the old values where a change row exists; other columns keep the old value
-    (NULL for new keys). ``changes`` must hold one row per key."""
+    (NULL for new keys). ``changes`` must hold one row per key.
+
+    Written as a LEFT join (a small change set is broadcast, so the contracts
+    are not shuffled) plus, for inserts, an anti join that only needs the
+    contracts' key column; a full outer join would shuffle every contract row
+    for every batch of changes.
+    """
+    types = dict(contracts.dtypes)
     upd = [c for c in changes.columns if c != key]
-    ch = changes.select(F.col(key).alias("_ck"), F.lit(True).alias("_hit"),
-                        *[F.col(c).alias("_n_" + c) for c in upd])
-    j = contracts.join(ch, F.col(key) == F.col("_ck"), "full_outer")
+    ch = changes.select(F.col(key).cast(types[key]).alias("_ck"), F.lit(True).alias("_hit"),
+                        *[F.col(c).cast(types[c]).alias("_n_" + c) for c in upd if c in types])
     hit = F.col("_hit").isNotNull()
-    cols = []
-    for c in contracts.columns:
-        if c == key:
-            cols.append(F.coalesce(F.col(key), F.col("_ck").cast(dict(contracts.dtypes)[key])).alias(key))
-        elif c in upd:
-            cols.append(F.when(hit, F.col("_n_" + c).cast(dict(contracts.dtypes)[c])).otherwise(F.col(c)).alias(c))
-        else:
-            cols.append(F.col(c))
-    return j.select(*cols)
+    j = contracts.join(ch, F.col(key) == F.col("_ck"), "left")
+    updated = j.select(*[F.when(hit, F.col("_n_" + c)).otherwise(F.col(c)).alias(c) if c in upd and c != key
+                         else F.col(c) for c in contracts.columns])
+    if not insert:
+        return updated
+    fresh = ch.join(contracts.select(F.col(key).alias("_k")), F.col("_ck") == F.col("_k"), "left_anti")
+    inserted = fresh.select(*[F.col("_ck").alias(c) if c == key
+                              else (F.col("_n_" + c) if c in upd else F.lit(None).cast(types[c])).alias(c)
+                              for c in contracts.columns])
+    return updated.unionByName(inserted)
 
 
 def update_contracts(contracts: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
     """``UPDATE ... WHERE id``: like ``upsert_contracts`` but unknown keys are ignored."""
-    return upsert_contracts(contracts, changes.join(contracts.select(F.col(key).alias("_k")),
-                                                    F.col(key) == F.col("_k"), "left_semi"), key)
+    return upsert_contracts(contracts, changes, key, insert=False)
 
 
-def append_rows(base: DataFrame, new: DataFrame, id_cols=("id",)) -> DataFrame:
+def append_rows(base: DataFrame, new: DataFrame, id_cols=("id",), existing=None) -> DataFrame:
     """M5: insert; rows whose id already exists are not inserted again, so a
-    replayed batch changes nothing."""
+    replayed batch changes nothing. ``existing`` (a condition) narrows the
+    rows of ``base`` that can hold such ids, e.g. only command-created ones,
+    so the check reads a pushed-down slice of the table, not all of it."""
     keys = list(id_cols)
-    fresh = new.join(base.select(*keys), keys, "left_anti")
+    known = base if existing is None else base.where(existing)
+    fresh = new.join(known.select(*keys), keys, "left_anti")
     return base.unionByName(fresh.select(*base.columns))
 
 
@@ -154,6 +164,11 @@ def _new_id(kind: str, id_type: str, seq: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(kind), seq.cast("string")), 256)
 
 
+def _created_rows(id_type: str):
+    """Rows a command can have created: negative ids for integral id columns."""
+    return (F.col("id") < 0) if id_type in ("bigint", "int", "smallint") else None
+
+
 def apply_commands(t: Tables, commands: DataFrame, mode: str = "upsert", with_status: bool = True,
                    with_ledger: bool = True, event_text: str = EVENT_TEXT,
                    ledger_text: str = LEDGER_TEXT) -> Tables:
@@ -176,7 +191,7 @@ def apply_commands(t: Tables, commands: DataFrame, mode: str = "upsert", with_st
         F.col("contract_id").cast(dict(t.events.dtypes)["soul_contract_id"]).alias("soul_contract_id"),
         F.col("ts").alias("event_time"),
         _template(event_text, status=F.col("new_status"), i=F.col("seq")).alias("description"))
-    events = append_rows(t.events, new_events)
+    events = append_rows(t.events, new_events, existing=_created_rows(ev_id_type))
     ledger = t.ledger
     if with_ledger:
         lg_id_type = dict(t.ledger.dtypes)["id"]
@@ -186,7 +201,7 @@ def apply_commands(t: Tables, commands: DataFrame, mode: str = "upsert", with_st
             F.col("amount").cast(MONEY).alias("amount"),
             F.col("ts").alias("transaction_time"),
             _template(ledger_text, status=F.col("new_status")).alias("description"))
-        ledger = append_rows(t.ledger, new_ledger)
+        ledger = append_rows(t.ledger, new_ledger, existing=_created_rows(lg_id_type))
     return Tables(contracts, events, ledger)
 
 
@@ -207,23 +222,26 @@ def apply_commands_items(items: DataFrame, commands: DataFrame) -> DataFrame:
     upd = latest.select(F.concat(F.lit(PK_PREFIX), F.col("contract_id").cast("string")).alias("_upk"),
                         F.col("new_status").alias("_ust"), iso_ms("ts").alias("_uts"))
     # only contract items (one per PK) take part in the join: the other items
-    # of a contract, however many, never meet a join key
+    # of a contract, however many, never meet a join key. A LEFT join lets a
+    # small batch of updates be broadcast; new contracts come from an anti
+    # join on the key column alone.
     is_c = F.col("SK") == CONTRACT_SK
-    base = items.where(is_c).join(upd, F.col("PK") == F.col("_upk"), "full_outer")
+    contract_items = items.where(is_c)
     hit = F.col("_upk").isNotNull()
-    cols = []
-    for c in items.columns:
-        if c == "PK":
-            cols.append(F.coalesce(F.col("PK"), F.col("_upk")).alias("PK"))
-        elif c == "SK":
-            cols.append(F.coalesce(F.col("SK"), F.lit(CONTRACT_SK)).alias("SK"))
-        elif c == "contract_status":
-            cols.append(F.when(hit, F.col("_ust")).otherwise(F.col(c)).alias(c))
-        elif c == "updated_at":
-            cols.append(F.when(hit, F.col("_uts")).otherwise(F.col(c)).alias(c))
-        else:
-            cols.append(F.col(c))
-    updated = base.select(*cols).unionByName(items.where(~is_c | F.col("SK").isNull()))
+    j = contract_items.join(upd, F.col("PK") == F.col("_upk"), "left")
+    updated_c = j.select(*[
+        (F.when(hit, F.col("_ust")).otherwise(F.col(c)) if c == "contract_status"
+         else F.when(hit, F.col("_uts")).otherwise(F.col(c)) if c == "updated_at"
+         else F.col(c)).alias(c) for c in items.columns])
+    missing = upd.join(contract_items.select(F.col("PK").alias("_k")), F.col("_upk") == F.col("_k"), "left_anti")
+    types = dict(items.dtypes)
+    new_c = missing.select(*[
+        (F.col("_upk") if c == "PK" else F.lit(CONTRACT_SK) if c == "SK"
+         else F.col("_ust") if c == "contract_status" else F.col("_uts") if c == "updated_at"
+         else F.lit(0).cast("long") if c == "_seq" else F.lit(None).cast(types[c])).alias(c)
+        for c in items.columns])
+    updated = (updated_c.unionByName(new_c)
+               .unionByName(items.where(~is_c | F.col("SK").isNull())))
     seq_txt = F.col("seq").cast("string")
     pk = F.concat(F.lit(PK_PREFIX), F.col("contract_id").cast("string"))
     ev = commands.select(pk.alias("PK"),
@@ -238,8 +256,12 @@ def apply_commands_items(items: DataFrame, commands: DataFrame) -> DataFrame:
                          _template(ITEM_LEDGER_TEXT, status=F.col("new_status")).alias("description"),
                          F.col("seq").alias("_seq"))
     puts = _conform(ev.unionByName(lg, allowMissingColumns=True))
-    # the contract-item Update is an earlier write than this batch's puts
-    updated = updated.withColumn(
-        "_seq", F.coalesce(F.col("_seq"), F.lit(0)).cast("long") if "_seq" in updated.columns
-        else F.lit(0).cast("long"))
-    return put_items(updated.select(*puts.columns), puts)
+    if "_seq" not in updated.columns:
+        updated = updated.withColumn("_seq", F.lit(0).cast("long"))
+    # the new items' keys are fresh (hash of the command); a replay finds its
+    # keys already present: an anti join on the key columns drops it, so a
+    # batch never re-aggregates the whole item store
+    known = items.select(F.col("PK").alias("_pk"), F.col("SK").alias("_sk"))
+    fresh = puts.join(known, (F.col("PK") == F.col("_pk")) & (F.col("SK") == F.col("_sk")), "left_anti")
+    fresh = put_items(fresh)    # collapses duplicates inside the batch itself
+    return updated.select(*fresh.columns).unionByName(fresh)
