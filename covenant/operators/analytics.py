@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from covenant.functions.exprs import SUM_MONEY, dec_mean, rate_1dp, zero_money
+from covenant.plans.sizing import sort_bounded
 from covenant.sources.binding import Tables
 
 REDEEMED = "Redeemed"
@@ -117,7 +118,8 @@ def location_dashboard(t: Tables, redeemed: str = REDEEMED) -> DataFrame:
         "contract_location", "soul_count", "redeemed", "total_power",
         dec_mean("total_power", "soul_count").alias("avg_power_per_soul"),
         rate_1dp("redeemed", "soul_count").alias("redemption_rate"))
-        .orderBy(F.desc_nulls_first("total_power"), F.asc_nulls_last("contract_location")))
+        .transform(lambda d: sort_bounded(d, F.desc_nulls_first("total_power"),
+                                          F.asc_nulls_last("contract_location"))))
 
 
 def _ranked_locations(per_contract: DataFrame) -> DataFrame:
@@ -136,7 +138,7 @@ def _ranked_locations(per_contract: DataFrame) -> DataFrame:
                     "active_souls",
                     F.rank().over(w).cast("long").alias("profitability_rank"),
                     rate_1dp("active_souls", "total_souls").alias("activity_rate"))
-            .orderBy("profitability_rank", F.asc_nulls_last("contract_location")))
+            .transform(lambda d: sort_bounded(d, "profitability_rank", F.asc_nulls_last("contract_location"))))
 
 
 def risk_analysis_fanout(t: Tables) -> DataFrame:
@@ -177,7 +179,8 @@ def location_dashboard_joined(t: Tables, redeemed: str = REDEEMED) -> DataFrame:
         F.col("sum_power").alias("total_power"),
         dec_mean("sum_power", "n_rows").alias("avg_power_per_soul"),
         rate_1dp("n_redeemed", "n_rows").alias("redemption_rate"))
-        .orderBy(F.desc_nulls_first("total_power"), F.asc_nulls_last("contract_location")))
+        .transform(lambda d: sort_bounded(d, F.desc_nulls_first("total_power"),
+                                          F.asc_nulls_last("contract_location"))))
 
 
 def location_profitability(t: Tables, redeemed: str = REDEEMED) -> DataFrame:
@@ -193,7 +196,7 @@ def location_profitability(t: Tables, redeemed: str = REDEEMED) -> DataFrame:
         dec_mean("sum_power", "n_rows", 2).alias("avg_net_power"),
         F.rank().over(w).cast("long").alias("profitability_rank"),
         F.when(F.col("n_redeemed") > 0, F.lit(100.0)).otherwise(F.lit(0.0)).alias("activity_rate"))
-        .orderBy("profitability_rank", F.asc_nulls_last("contract_location")))
+        .transform(lambda d: sort_bounded(d, "profitability_rank", F.asc_nulls_last("contract_location"))))
 
 
 # ---------------------------------------------------------------- time series
@@ -217,7 +220,7 @@ def running_totals(daily: DataFrame) -> DataFrame:
         "contract_date", "daily_total",
         F.sum("daily_total").over(w_run).cast(SUM_MONEY).alias("running_total"),
         F.rank().over(w_rank).cast("long").alias("day_rank"),
-    ).orderBy("contract_date")
+    ).transform(lambda d: sort_bounded(d, "contract_date"))
 
 
 def dataset_summary(t: Tables) -> DataFrame:
@@ -253,4 +256,5 @@ def location_dashboard_items(items: DataFrame, locations=None, redeemed: str = R
         "contract_location", "soul_count", "redeemed", "total_power",
         dec_mean("total_power", "soul_count").alias("avg_power_per_soul"),
         (F.col("redeemed").cast("double") / F.col("soul_count") * F.lit(100.0)).alias("redemption_rate"))
-        .orderBy(F.desc_nulls_first("total_power"), F.asc_nulls_last("contract_location")))
+        .transform(lambda d: sort_bounded(d, F.desc_nulls_first("total_power"),
+                                          F.asc_nulls_last("contract_location"))))

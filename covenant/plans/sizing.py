@@ -28,3 +28,11 @@ def bounded_count(df: DataFrame, limit: int) -> int:
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
     return F.broadcast(df) if bounded_count(df, max_rows) <= max_rows else df
+
+
+def sort_bounded(df: DataFrame, *order) -> DataFrame:
+    """Final ordering of a result whose row count is bounded by a dimension
+    (one row per location, per day, per system...). The rows move to a single
+    partition after the last aggregation and are sorted there: no range
+    sampling job, and the aggregation itself stays parallel."""
+    return df.repartition(1).sortWithinPartitions(*order)
