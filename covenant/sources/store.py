@@ -107,6 +107,15 @@ def read_store(spark: SparkSession, base: str) -> Tables:
 
 
 # ---------------------------------------------------------------- command deltas
+def is_committed(spark: SparkSession, base: str, batch_id: int) -> bool:
+    """Whether batch ``batch_id`` already has its commit marker."""
+    try:
+        spark.read.parquet(f"{base}/_commits/batch_id={batch_id}")
+        return True
+    except AnalysisException:
+        return False
+
+
 def write_batch(spark: SparkSession, base: str, batch_id: int, commands: DataFrame,
                 new_events: DataFrame, new_ledger: DataFrame, rejected: DataFrame) -> None:
     """Write one micro-batch's deltas, then its commit marker (idempotent per batch id)."""

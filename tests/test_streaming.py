@@ -66,3 +66,17 @@ def test_multi_batch_stream_with_compaction(spark):
     after = read_with_deltas(spark, base, store)                  # snapshot + batches 3, 4
     _same(after, read_with_deltas(spark, base, store, use_snapshot=False))
     assert after.events.count() == base.events.count() + bodies.count()
+
+
+def test_batch_commit_is_idempotent(spark):
+    from covenant.streaming.commands import commit_commands
+    root = tempfile.mkdtemp(prefix="commit-")
+    store = os.path.join(root, "store")
+    raw = load_command_json(spark, SF).select("value", "ts", "seq")
+    commit_commands(spark, store, 0, raw)
+    base = load_tables(spark, SF)
+    once = read_with_deltas(spark, base, store)
+    commit_commands(spark, store, 0, raw)                     # the same batch again
+    _same(read_with_deltas(spark, base, store), once)
+    valid, _ = validate_commands(raw)
+    _same(once, apply_commands(base, valid))                   # equals the pure batch bundle
