@@ -1,7 +1,7 @@
 """Wall time of the headline queries.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_REPEAT (default 2, best run is reported). Each query is executed in
+BENCH_REPEAT (default 3, best run is reported). Each query is executed in
 full through the ``noop`` sink (no collect to the driver). Prints one JSON line.
 """
 
@@ -40,7 +40,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     spark = get_spark(f"local[{cpus}]", app="covenant-bench", shuffle_partitions=max(8, 2 * cpus))
     # warm-up: JVM, code paths, file listing
     REGISTRY["location_dashboard"](spark, sf_dir).write.format("noop").mode("overwrite").save()
