@@ -8,11 +8,9 @@ many partitions; each partition numbers its slice locally and the per-slice
 row counts (one row per partition x group, a small table) give each slice its
 offset. No task ever holds more than one range partition of rows.
 
-Cost: the numbering and the slice counts both read the range-partitioned rows.
-Static planning reuses that shuffle; with AQE on, Spark 4.1 does not reuse a
-range shuffle whose partitions are labelled by ``spark_partition_id()``, so
-the range shuffle runs twice. The counts branch then only adds a partial
-aggregate (one row per slice and group), not a second window.
+Cost: one range shuffle (the slice counts reuse it; the final adaptive plan
+shows a ReusedExchange), one hash shuffle for the per-slice numbering, and
+small shuffles of the per-slice counts (one row per slice and group).
 """
 
 from __future__ import annotations
