@@ -227,3 +227,13 @@ def _streamed(s, d):
 register("stream_commands_contracts")(lambda s, d: _streamed(s, d).contracts)
 register("stream_commands_events")(lambda s, d: _streamed(s, d).events)
 register("stream_commands_ledger")(lambda s, d: _streamed(s, d).ledger)
+
+# the item store after the handlers' write bundle (stale-status hard point H17)
+def _items_after(s, d):
+    return _memo("items_after", s, d, lambda: M.apply_commands_items(_items(s, d), _cmds(s, d)))
+
+
+register("from_items_after_commands_full")(lambda s, d: I.from_items(_items_after(s, d), mode="full").contracts)
+register("consistency_after_commands")(lambda s, d: V.consistency_report(
+    I.items_contracts(_items_after(s, d)),
+    _applied(s, d).contracts.select(F.col("id"), F.col("contract_status").alias("status"))))

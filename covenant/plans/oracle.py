@@ -624,3 +624,28 @@ UNION ALL SELECT id, 'contracts', 'contractLocation', NULL, ll, rl FROM pj WHERE
 Q["stream_commands_contracts"] = Q["apply_commands_contracts"]
 Q["stream_commands_events"] = Q["apply_commands_events"]
 Q["stream_commands_ledger"] = Q["apply_commands_ledger"]
+
+# ------------------------------------------------------------------ item store after the handlers' writes
+_ITEMS_AFTER = "items_after AS (" + Q["apply_commands_items"] + ")"
+Q["from_items_after_commands_full"] = f"""
+WITH {_ITEMS_AFTER}
+SELECT COALESCE(NULLIF(soulId, ''), substring(PK, 6)) AS id,
+       COALESCE(NULLIF(contract_status, ''), NULLIF(status, ''), 'Unknown') AS contract_status,
+       NULLIF(soul_type, '') AS soul_type, NULLIF(contract_location, '') AS contract_location,
+       CAST(try_strptime(COALESCE(NULLIF(updated_at, ''), NULLIF(createdAt, '')), '%Y-%m-%dT%H:%M:%S.%gZ') AS TIMESTAMP)
+         AS updated_at
+FROM items_after WHERE SK = 'CONTRACT'"""
+Q["consistency_after_commands"] = f"""
+WITH {_ITEMS_AFTER},
+lic AS (SELECT substring(PK, 6) AS id, COALESCE(NULLIF(status, ''), NULLIF(contract_status, ''), 'Unknown') AS status
+        FROM items_after WHERE SK = 'CONTRACT'),
+ric AS (SELECT CAST(id AS VARCHAR) AS id, contract_status AS status FROM ({Q["apply_commands_contracts"]}))
+SELECT NULL::VARCHAR AS contract_id, 'contracts' AS scope, 'count' AS field, NULL::BIGINT AS idx,
+       CAST((SELECT COUNT(*) FROM lic) AS VARCHAR) AS left_value, CAST((SELECT COUNT(*) FROM ric) AS VARCHAR) AS right_value
+WHERE (SELECT COUNT(*) FROM lic) <> (SELECT COUNT(*) FROM ric)
+UNION ALL
+SELECT l.id, 'contracts', 'missing_right', NULL, 'present', NULL FROM lic l
+WHERE NOT EXISTS (SELECT 1 FROM ric r WHERE r.id = l.id)
+UNION ALL
+SELECT l.id, 'contracts', 'status', NULL, l.status, r.status FROM lic l JOIN ric r ON r.id = l.id
+WHERE l.status IS DISTINCT FROM r.status"""
