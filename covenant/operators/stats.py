@@ -59,9 +59,10 @@ def summary_stats(df: DataFrame, value: str, by: Sequence[str], levels: int = 4,
     g = groups.select(*by).distinct().join(out.withColumn("_present", F.lit(True)), by, "left")
     absent = F.col("_present").isNull()
     types = dict(out.dtypes)
+    # an absent group is an all-zero sample, labelled like one
+    zero_label = {"consistency": consistency_label(F.lit(0.0), levels), "confidence": confidence_label(F.lit(0))}
     return g.select(*by, *[
-        (F.when(absent, F.lit(0).cast(types[c])).otherwise(F.col(c))
-         if c not in ("consistency", "confidence") else F.col(c)).alias(c) for c in cols])
+        F.when(absent, zero_label.get(c, F.lit(0).cast(types[c]))).otherwise(F.col(c)).alias(c) for c in cols])
 
 
 def two_sample_ttest(df: DataFrame, value: str, group: str, a: str, b: str,

@@ -237,3 +237,50 @@ register("from_items_after_commands_full")(lambda s, d: I.from_items(_items_afte
 register("consistency_after_commands")(lambda s, d: V.consistency_report(
     I.items_contracts(_items_after(s, d)),
     _applied(s, d).contracts.select(F.col("id"), F.col("contract_status").alias("status"))))
+
+# the combined parity report (contracts, events, ledger)
+register("parity_report")(lambda s, d: V.parity_report(_t(s, d), _r(s, d)))
+
+
+# the stream over several micro-batches with a compaction in the middle
+def _streamed_compacted(s, d):
+    def make():
+        import uuid
+        from covenant.session import scratch_path
+        from covenant.sources.store import compact_store
+        root = scratch_path(s, f"command-stream-compacted-{uuid.uuid4().hex}")
+        c = B.load_commands(s, d)
+        bodies = c.select(F.col("seq"), F.to_json(F.struct(
+            F.col("contract_id").cast("string").alias("soulContractId"),
+            F.col("new_status").alias("newStatus"),
+            F.col("amount").cast("double").alias("amount"),
+            F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"),
+            F.col("seq"))).alias("value"))
+        first = bodies.where(F.pmod("seq", F.lit(2)) == 0).select("value")
+        second = bodies.where(F.pmod("seq", F.lit(2)) == 1).select("value")
+        first.repartition(2).write.mode("overwrite").text(f"{root}/in")
+        apply_commands_stream(s, f"{root}/in", f"{root}/store", f"{root}/ckpt",
+                              max_files_per_trigger=1).awaitTermination()
+        compact_store(s, _t(s, d), f"{root}/store")
+        second.repartition(2).write.mode("append").text(f"{root}/in")
+        apply_commands_stream(s, f"{root}/in", f"{root}/store", f"{root}/ckpt",
+                              max_files_per_trigger=1).awaitTermination()
+        return read_with_deltas(s, _t(s, d), f"{root}/store")
+    return _memo("streamed_compacted", s, d, make)
+
+
+register("stream_compacted_events")(lambda s, d: _streamed_compacted(s, d).events)
+register("stream_compacted_ledger")(lambda s, d: _streamed_compacted(s, d).ledger)
+
+
+# summary statistics for every requested (scenario, system), measured or not (T4)
+def _all_groups(s, d):
+    """Every (scenario, event type) pair that occurs: the measured systems and
+    the ones without measurements."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    return e.select(F.pmod("user_id", F.lit(5)).cast("string").alias("scenario"),
+                    F.col("event_type").alias("system")).distinct()
+
+
+register("summary_stats_all_systems")(lambda s, d: T.summary_stats(
+    B.load_measurements(s, d), "elapsed_ms", ["scenario", "system"], groups=_all_groups(s, d)))

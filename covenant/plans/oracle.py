@@ -649,3 +649,29 @@ WHERE NOT EXISTS (SELECT 1 FROM ric r WHERE r.id = l.id)
 UNION ALL
 SELECT l.id, 'contracts', 'status', NULL, l.status, r.status FROM lic l JOIN ric r ON r.id = l.id
 WHERE l.status IS DISTINCT FROM r.status"""
+
+# ------------------------------------------------------------------ more compositions
+Q["parity_report"] = with_binding(_PARITY_CONTRACTS, _LEDGER_PARITY, _positional(
+    "events", "contract_events", "contract_events", _ISO_EV, _ISO_EV, False, "evpar")) + """
+SELECT * FROM contract_issues UNION ALL SELECT * FROM evpar_issues UNION ALL SELECT * FROM lpar_issues"""
+Q["stream_compacted_events"] = Q["apply_commands_events"]
+Q["stream_compacted_ledger"] = Q["apply_commands_ledger"]
+
+_SUMMARY_ALL = _summary("scenario, system", 4)
+Q["summary_stats_all_systems"] = f"""
+WITH groups AS (SELECT DISTINCT CAST(user_id % 5 AS VARCHAR) AS scenario, event_type AS system FROM events),
+stats AS ({_SUMMARY_ALL})
+SELECT g.scenario, g.system,
+       CASE WHEN s.scenario IS NULL THEN 0 ELSE s.n END AS n,
+       CASE WHEN s.scenario IS NULL THEN CAST(0 AS DECIMAL(18,4)) ELSE s.mean END AS mean,
+       CASE WHEN s.scenario IS NULL THEN 0.0::DOUBLE ELSE s.min END AS min,
+       CASE WHEN s.scenario IS NULL THEN 0.0::DOUBLE ELSE s.max END AS max,
+       CASE WHEN s.scenario IS NULL THEN CAST(0 AS DECIMAL(18,4)) ELSE s.stddev END AS stddev,
+       CASE WHEN s.scenario IS NULL THEN CAST(0 AS DECIMAL(18,4)) ELSE s.cv END AS cv,
+       CASE WHEN s.scenario IS NULL THEN CAST(0 AS DECIMAL(18,4)) ELSE s.ci95 END AS ci95,
+       CASE WHEN s.scenario IS NULL THEN 0.0::DOUBLE ELSE s.p50 END AS p50,
+       CASE WHEN s.scenario IS NULL THEN 0.0::DOUBLE ELSE s.p95 END AS p95,
+       CASE WHEN s.scenario IS NULL THEN 0.0::DOUBLE ELSE s.p99 END AS p99,
+       CASE WHEN s.scenario IS NULL THEN 'Excellent' ELSE s.consistency END AS consistency,
+       CASE WHEN s.scenario IS NULL THEN 'LOW' ELSE s.confidence END AS confidence
+FROM groups g LEFT JOIN stats s ON s.scenario = g.scenario AND s.system = g.system"""

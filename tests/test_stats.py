@@ -28,6 +28,7 @@ def test_small_samples_and_empty_groups(spark):
     assert r["one"]["stddev"] is None and r["one"]["cv"] is None
     assert r["zero_mean"]["cv"] is None
     assert r["absent"]["n"] == 0 and r["absent"]["mean"] == 0
+    assert r["absent"]["consistency"] == "Excellent" and r["absent"]["confidence"] == "LOW"
 
 
 def test_labels(spark):
