@@ -284,3 +284,7 @@ def _all_groups(s, d):
 
 register("summary_stats_all_systems")(lambda s, d: T.summary_stats(
     B.load_measurements(s, d), "elapsed_ms", ["scenario", "system"], groups=_all_groups(s, d)))
+
+# item-store read patterns: date buckets and the status index
+register("items_by_date_bucket")(lambda s, d: I.items_by_date_bucket(_items(s, d), I.EVENT_PREFIX, EVENT_DAY))
+register("items_by_status")(lambda s, d: I.items_by_status(_items(s, d), STATUS))

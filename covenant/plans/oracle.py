@@ -675,3 +675,7 @@ SELECT g.scenario, g.system,
        CASE WHEN s.scenario IS NULL THEN 'Excellent' ELSE s.consistency END AS consistency,
        CASE WHEN s.scenario IS NULL THEN 'LOW' ELSE s.confidence END AS confidence
 FROM groups g LEFT JOIN stats s ON s.scenario = g.scenario AND s.system = g.system"""
+Q["items_by_date_bucket"] = with_binding(_ITEMS) + """
+SELECT * FROM items WHERE GSI1PK = 'EVENT#2024-01-15' ORDER BY GSI1SK, PK, SK"""
+Q["items_by_status"] = with_binding(_ITEMS) + """
+SELECT * FROM items WHERE status IS NOT NULL AND SK IS NOT NULL AND status = 'Bound' ORDER BY SK, PK"""

@@ -181,3 +181,16 @@ def lookup_location(items: DataFrame, location: str) -> DataFrame:
 def status_index(items: DataFrame) -> DataFrame:
     """Sparse index (status, SK)."""
     return items.where(F.col("status").isNotNull() & F.col("SK").isNotNull())
+
+
+def items_by_date_bucket(items: DataFrame, kind_prefix: str, day: str) -> DataFrame:
+    """S7 (item form): the date-bucket read pattern, items whose GSI1PK is
+    ``<EVENT#|LEDGER#><yyyy-mm-dd>``, ordered by the bucket's sort key."""
+    return items.where(F.col("GSI1PK") == F.lit(kind_prefix + day)).orderBy("GSI1SK", "PK", "SK")
+
+
+def items_by_status(items: DataFrame, status: str, limit: int | None = None) -> DataFrame:
+    """S5 (item form): status-index query; the index sort key is SK, constant
+    for contracts, so ties are ordered by PK."""
+    df = status_index(items).where(F.col("status") == status).orderBy("SK", "PK")
+    return df.limit(limit) if limit is not None else df
