@@ -1,13 +1,13 @@
 """Publishing store state to files (M10, M11) and the log-structured command store.
 
-Snapshot layout: ``<base>/v=<version>/<table>/`` then ``<base>/_manifest/``
+Snapshot layout: ``<base>/v=<version>/<table>/`` then ``<base>/manifest/``
 (one row: the current version) written last, so a reader never sees a
 half-written version. ``maxRecordsPerFile`` bounds file sizes (the
 reference's 25-item / 3000-row write batches).
 
 Delta layout (for a stream of commands): each micro-batch ``b`` writes
 ``<base>/<table>_delta/batch_id=b/`` (overwriting only that folder, so a
-replay of ``b`` is idempotent) and then ``<base>/_commits/batch_id=b/``.
+replay of ``b`` is idempotent) and then ``<base>/commits/batch_id=b/``.
 Readers only see committed batches; state is base + committed deltas.
 """
 
@@ -86,13 +86,13 @@ def write_store(spark: SparkSession, base: str, version: int, tables: Tables | N
     if "items" in targets and items is not None:
         w(items, "items", "PK", None)
     (spark.range(1).select(F.lit(version).cast("long").alias("version"))
-     .write.mode("overwrite").parquet(f"{base}/_manifest"))
+     .write.mode("overwrite").parquet(f"{base}/manifest"))
     return root
 
 
 def current_version(spark: SparkSession, base: str) -> int | None:
     try:
-        row = spark.read.parquet(f"{base}/_manifest").first()
+        row = spark.read.parquet(f"{base}/manifest").first()
     except AnalysisException:
         return None
     return None if row is None else int(row[0])
@@ -110,7 +110,7 @@ def read_store(spark: SparkSession, base: str) -> Tables:
 def is_committed(spark: SparkSession, base: str, batch_id: int) -> bool:
     """Whether batch ``batch_id`` already has its commit marker."""
     try:
-        spark.read.parquet(f"{base}/_commits/batch_id={batch_id}")
+        spark.read.parquet(f"{base}/commits/batch_id={batch_id}")
         return True
     except AnalysisException:
         return False
@@ -122,18 +122,20 @@ def write_batch(spark: SparkSession, base: str, batch_id: int, commands: DataFra
     for name, df in (("commands", commands), ("events", new_events), ("ledger", new_ledger),
                      ("rejects", rejected)):
         df.write.mode("overwrite").parquet(f"{base}/{name}_delta/batch_id={batch_id}")
-    (spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id"))
-     .write.mode("overwrite").parquet(f"{base}/_commits/batch_id={batch_id}"))
+    # the marker holds only a flag: batch_id is the partition folder's value
+    (spark.range(1).select(F.lit(True).alias("committed"))
+     .write.mode("overwrite").parquet(f"{base}/commits/batch_id={batch_id}"))
 
 
-SNAPSHOT = "_snapshot"
+# plain folder names: Spark treats names starting with "_" or "." as hidden
+SNAPSHOT = "snapshot"
 
 
 def _committed(spark: SparkSession, base: str, name: str, after: int | None = None,
                upto: int | None = None) -> DataFrame | None:
     """Rows of committed batches (with their ``batch_id``), optionally in (after, upto]."""
     try:
-        commits = spark.read.parquet(f"{base}/_commits").select("batch_id")
+        commits = spark.read.parquet(f"{base}/commits").select("batch_id")
         delta = spark.read.parquet(f"{base}/{name}_delta")
     except AnalysisException:
         return None
@@ -181,7 +183,7 @@ def compact_store(spark: SparkSession, base_tables: Tables, base: str, mode: str
     so reads stop paying for a growing delta log. Returns the last folded batch
     id. Safe to run while the stream appends: later batches stay deltas."""
     try:
-        hi = spark.read.parquet(f"{base}/_commits").agg(F.max("batch_id")).first()[0]
+        hi = spark.read.parquet(f"{base}/commits").agg(F.max("batch_id")).first()[0]
     except AnalysisException:
         return None
     if hi is None:
