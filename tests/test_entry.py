@@ -52,3 +52,14 @@ def test_query_matches_oracle(spark, con, name):
     dcols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(dcols)
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(dcols, res.fetchall())
+
+
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+          "timestamp_ntz": "TIMESTAMP", "date": "DATE", "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+def test_query_types_match_oracle(spark, con, name):
+    spark_types = dict(E.queries()[name](spark, SF).dtypes)
+    duck = {c[0]: c[1] for c in con.execute(f"DESCRIBE {E.oracle_sql()[name]}").fetchall()}
+    assert {c: _TYPES.get(t, t.upper()) for c, t in spark_types.items()} == duck
