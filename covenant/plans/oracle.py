@@ -207,18 +207,21 @@ items_raw AS (
          strftime(updated_at, {_ISO}) AS createdAt, NULL::VARCHAR AS updated_at, NULL::VARCHAR AS eventType,
          NULL::VARCHAR AS "timestamp", NULL::VARCHAR AS event_time, NULL::VARCHAR AS transaction_time,
          NULL::VARCHAR AS transaction_type, NULL::DECIMAL(18,6) AS amount, NULL::VARCHAR AS description,
-         'STATUS#' || contract_status AS GSI1PK, strftime(updated_at, {_ISO}) AS GSI1SK, CAST(0 AS BIGINT) AS _seq
+         'STATUS#' || contract_status AS GSI1PK, strftime(updated_at, {_ISO}) AS GSI1SK,
+         NULL::VARCHAR AS updatedAt, NULL::VARCHAR AS soulType, NULL::VARCHAR AS contractLocation,
+         CAST(0 AS BIGINT) AS _seq
   FROM contracts
   UNION ALL
   SELECT 'SOUL#' || CAST(soul_contract_id AS VARCHAR), 'EVENT#' || strftime(event_time, {_ISO}), NULL, NULL, NULL,
          NULL, NULL, NULL, NULL, replace(description, ' ', '_'), strftime(event_time, {_ISO}), NULL, NULL, NULL, NULL,
-         description, 'EVENT#' || substring(strftime(event_time, {_ISO}), 1, 10), strftime(event_time, {_ISO}), id
+         description, 'EVENT#' || substring(strftime(event_time, {_ISO}), 1, 10), strftime(event_time, {_ISO}),
+         NULL, NULL, NULL, id
   FROM contract_events
   UNION ALL
   SELECT 'SOUL#' || CAST(soul_contract_id AS VARCHAR), 'LEDGER#' || strftime(transaction_time, {_ISO}), NULL, NULL,
          NULL, NULL, NULL, NULL, NULL, NULL, strftime(transaction_time, {_ISO}), NULL, NULL, NULL, amount,
          description, 'LEDGER#' || substring(strftime(transaction_time, {_ISO}), 1, 10),
-         strftime(transaction_time, {_ISO}), id
+         strftime(transaction_time, {_ISO}), NULL, NULL, NULL, id
   FROM ledger),
 items AS (
   SELECT * FROM items_raw WHERE PK IS NOT NULL AND SK IS NOT NULL
@@ -240,8 +243,10 @@ ORDER BY status, PK, SK"""
 Q["from_items_contracts"] = with_binding(_ITEMS) + """
 SELECT COALESCE(NULLIF(soulId, ''), substring(PK, 6)) AS id,
        COALESCE(NULLIF(status, ''), NULLIF(contract_status, ''), 'Unknown') AS contract_status,
-       NULLIF(soul_type, '') AS soul_type, NULLIF(contract_location, '') AS contract_location,
-       CAST(try_strptime(NULLIF(createdAt, ''), '%Y-%m-%dT%H:%M:%S.%gZ') AS TIMESTAMP) AS updated_at
+       COALESCE(NULLIF(soul_type, ''), NULLIF(soulType, '')) AS soul_type,
+       COALESCE(NULLIF(contract_location, ''), NULLIF(contractLocation, '')) AS contract_location,
+       CAST(try_strptime(COALESCE(NULLIF(updatedAt, ''), NULLIF(createdAt, '')), '%Y-%m-%dT%H:%M:%S.%gZ') AS TIMESTAMP)
+         AS updated_at
 FROM items WHERE SK = 'CONTRACT'"""
 Q["from_items_ledger"] = with_binding(_ITEMS) + """
 SELECT SK AS id, substring(PK, 6) AS soul_contract_id, amount,
@@ -553,7 +558,7 @@ merged AS (
          i.soul_type, i.contract_location, i.createdAt,
          CASE WHEN u.upk IS NOT NULL THEN u.uts ELSE i.updated_at END AS updated_at,
          i.eventType, i."timestamp", i.event_time, i.transaction_time, i.transaction_type, i.amount, i.description,
-         i.GSI1PK, i.GSI1SK, COALESCE(i._seq, 0) AS _seq
+         i.GSI1PK, i.GSI1SK, i.updatedAt, i.soulType, i.contractLocation, COALESCE(i._seq, 0) AS _seq
   FROM items i FULL JOIN upd u ON i.SK = 'CONTRACT' AND i.PK = u.upk),
 puts AS (
   SELECT 'SOUL#' || CAST(contract_id AS VARCHAR) AS PK, 'EVENT#' || sha256('event|' || CAST(seq AS VARCHAR)) AS SK,
@@ -562,12 +567,13 @@ puts AS (
          NULL::VARCHAR AS eventType, NULL::VARCHAR AS "timestamp", strftime(ts, {_ISO}) AS event_time,
          NULL::VARCHAR AS transaction_time, NULL::VARCHAR AS transaction_type, NULL::DECIMAL(18,6) AS amount,
          'Contract updated to ''' || new_status || '''' AS description, NULL::VARCHAR AS GSI1PK,
-         NULL::VARCHAR AS GSI1SK, seq AS _seq
+         NULL::VARCHAR AS GSI1SK, NULL::VARCHAR AS updatedAt, NULL::VARCHAR AS soulType,
+         NULL::VARCHAR AS contractLocation, seq AS _seq
   FROM commands
   UNION ALL
   SELECT 'SOUL#' || CAST(contract_id AS VARCHAR), 'LEDGER#' || sha256('ledger|' || CAST(seq AS VARCHAR)),
          NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, strftime(ts, {_ISO}), NULL, amount,
-         'Financial transaction for contract update: ' || new_status, NULL, NULL, seq
+         'Financial transaction for contract update: ' || new_status, NULL, NULL, NULL, NULL, NULL, seq
   FROM commands)""") + """
 SELECT * FROM (SELECT * FROM merged UNION ALL SELECT * FROM puts)
 QUALIFY row_number() OVER (PARTITION BY PK, SK ORDER BY _seq DESC) = 1"""
@@ -631,9 +637,10 @@ Q["from_items_after_commands_full"] = f"""
 WITH {_ITEMS_AFTER}
 SELECT COALESCE(NULLIF(soulId, ''), substring(PK, 6)) AS id,
        COALESCE(NULLIF(contract_status, ''), NULLIF(status, ''), 'Unknown') AS contract_status,
-       NULLIF(soul_type, '') AS soul_type, NULLIF(contract_location, '') AS contract_location,
-       CAST(try_strptime(COALESCE(NULLIF(updated_at, ''), NULLIF(createdAt, '')), '%Y-%m-%dT%H:%M:%S.%gZ') AS TIMESTAMP)
-         AS updated_at
+       COALESCE(NULLIF(soul_type, ''), NULLIF(soulType, '')) AS soul_type,
+       COALESCE(NULLIF(contract_location, ''), NULLIF(contractLocation, '')) AS contract_location,
+       CAST(try_strptime(COALESCE(NULLIF(updated_at, ''), NULLIF(updatedAt, ''), NULLIF(createdAt, '')),
+                         '%Y-%m-%dT%H:%M:%S.%gZ') AS TIMESTAMP) AS updated_at
 FROM items_after WHERE SK = 'CONTRACT'"""
 Q["consistency_after_commands"] = f"""
 WITH {_ITEMS_AFTER},

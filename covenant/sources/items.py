@@ -114,19 +114,19 @@ def from_items(items: DataFrame, mode: str = "compat") -> Tables:
     cid = strip_prefix("PK", PK_PREFIX)
     if mode == "full":
         status = first_truthy("contract_status", "status")
-        updated = first_truthy("updated_at", "createdAt")
+        updated = first_truthy("updated_at", "updatedAt", "createdAt")
         ev_time = first_truthy("event_time", "timestamp")
         lg_time = first_truthy("transaction_time", "timestamp")
     else:
         status = first_truthy("status", "contract_status")
-        updated = first_truthy("createdAt")
+        updated = first_truthy("updatedAt", "createdAt")
         ev_time = first_truthy("timestamp")
         lg_time = first_truthy("timestamp")
     contracts = k.where(F.col("_kind") == "contract").select(
         F.coalesce(first_truthy("soulId"), cid).alias("id"),
         F.coalesce(status, F.lit(UNKNOWN_STATUS)).alias("contract_status"),
-        first_truthy("soul_type").alias("soul_type"),
-        first_truthy("contract_location").alias("contract_location"),
+        first_truthy("soul_type", "soulType").alias("soul_type"),
+        first_truthy("contract_location", "contractLocation").alias("contract_location"),
         parse_iso(updated).alias("updated_at"),
     )
     ev_ts = F.coalesce(ev_time, strip_prefix("SK", EVENT_PREFIX))

@@ -48,6 +48,10 @@ ITEMS = T.StructType([
     T.StructField("description", T.StringType()),
     T.StructField("GSI1PK", T.StringType()),
     T.StructField("GSI1SK", T.StringType()),
+    # camelCase spellings some readers fall back to (no writer produces them)
+    T.StructField("updatedAt", T.StringType()),
+    T.StructField("soulType", T.StringType()),
+    T.StructField("contractLocation", T.StringType()),
 ])
 
 COMMANDS = T.StructType([

@@ -107,3 +107,14 @@ def test_parity_report_switches(spark):
     assert scopes(parity_report(left, right, include_events=False, include_ledger=False)) == ["contracts"]
     amt = [r for r in parity_report(left, right).collect() if r["field"] == "amount"]
     assert [(r["idx"], r["left_value"], r["right_value"]) for r in amt] == [(0, "5.000000", "6.000000")]
+
+
+def test_camel_case_fallbacks(spark):
+    items = I._conform(spark.createDataFrame(
+        [("SOUL#8", "CONTRACT", "Bound", None, None, "Evil", "X",
+          "2024-01-01T00:00:00.000Z", "2024-02-01T00:00:00.000Z")],
+        "PK string, SK string, status string, soul_type string, contract_location string, soulType string, "
+        "contractLocation string, createdAt string, updatedAt string"))
+    c = I.from_items(items, "compat").contracts.first()
+    assert (c["soul_type"], c["contract_location"]) == ("Evil", "X")      # snake case missing -> camel case
+    assert str(c["updated_at"]) == "2024-02-01 00:00:00"                  # updatedAt before createdAt
