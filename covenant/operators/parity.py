@@ -192,14 +192,16 @@ def _text_time(df: DataFrame, col: str) -> DataFrame:
     return df
 
 
-def parity_events(left: DataFrame, right: DataFrame, ids=None, mode: str = "positional") -> DataFrame:
+def parity_events(left: DataFrame, right: DataFrame, ids=None, mode: str = "positional",
+                  materialize: bool = True) -> DataFrame:
     return parity_collection(_text_time(left, "event_time"), _text_time(right, "event_time"),
-                             "event_time", "events", False, ids, mode)
+                             "event_time", "events", False, ids, mode, materialize)
 
 
-def parity_ledger(left: DataFrame, right: DataFrame, ids=None, mode: str = "positional") -> DataFrame:
+def parity_ledger(left: DataFrame, right: DataFrame, ids=None, mode: str = "positional",
+                  materialize: bool = True) -> DataFrame:
     return parity_collection(_text_time(left, "transaction_time"), _text_time(right, "transaction_time"),
-                             "transaction_time", "ledger entries", True, ids, mode)
+                             "transaction_time", "ledger entries", True, ids, mode, materialize)
 
 
 # ---------------------------------------------------------------- V4
