@@ -135,3 +135,30 @@ def test_size_checked_broadcast(spark):
         assert "BroadcastHashJoin" not in plan(facts.join(broadcast_if_small(big, 100), facts.k == big.id))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
+
+
+def test_bucketed_store_joins_without_shuffles(spark):
+    from covenant.operators.analytics import risk_analysis_fanout
+    from covenant.sources.binding import load_tables
+    from covenant.sources.store import read_bucketed, write_bucketed
+    t = load_tables(spark, SF)
+    base = tempfile.mkdtemp(prefix="bucketed-")
+    b = write_bucketed(spark, t, base, 8)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        q = risk_analysis_fanout(b)
+        plan = q._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(id" not in plan and "hashpartitioning(soul_contract_id" not in plan
+        assert "SortMergeJoin" in plan
+        assert sorted(map(tuple, q.collect())) == sorted(map(tuple, risk_analysis_fanout(t).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # as in a new session: forget the tables (external, so the files stay) and reopen
+    from covenant.sources.store import _bucket_table
+    for n in ("contracts", "events", "ledger"):
+        spark.sql(f"DROP TABLE {_bucket_table(base, n)}")
+    again = read_bucketed(spark, base, 8)
+    assert again.ledger.count() == t.ledger.count()
+    assert "hashpartitioning(soul_contract_id" not in \
+        risk_analysis_fanout(again)._jdf.queryExecution().executedPlan().toString()
