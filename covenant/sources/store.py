@@ -229,9 +229,17 @@ def write_bucketed(spark: SparkSession, tables: Tables, base: str, buckets: int)
     return read_bucketed(spark, base, buckets)
 
 
-def read_bucketed(spark: SparkSession, base: str, buckets: int) -> Tables:
+def read_bucketed(spark: SparkSession, base: str, buckets: int, use_buckets: bool = True) -> Tables:
     """Open a bucketed store; in a new session the tables are registered again
-    over their folders (schema from the files, bucketing from the arguments)."""
+    over their folders (schema from the files, bucketing from the arguments).
+
+    A bucket is read by one task. When one contract holds a large share of the
+    rows its bucket does too, so for such a store pass ``use_buckets=False``:
+    the same files are read as plain parquet and the plan goes back to
+    exchanges with map-side partial aggregation, which split a hot contract.
+    """
+    if not use_buckets:
+        return Tables(*(spark.read.parquet(f"{base}/{n}") for n in ("contracts", "events", "ledger")))
     out = []
     for name in ("contracts", "events", "ledger"):
         table, key = _bucket_table(base, name), BUCKET_KEYS[name]

@@ -162,3 +162,16 @@ def test_bucketed_store_joins_without_shuffles(spark):
     assert again.ledger.count() == t.ledger.count()
     assert "hashpartitioning(soul_contract_id" not in \
         risk_analysis_fanout(again)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_store_plain_read_for_skew(spark):
+    from covenant.sources.binding import load_tables
+    from covenant.sources.store import read_bucketed, write_bucketed
+    from covenant.operators.analytics import risk_analysis_fanout
+    t = load_tables(spark, SF)
+    base = tempfile.mkdtemp(prefix="bucketed-plain-")
+    write_bucketed(spark, t, base, 4)
+    plain = read_bucketed(spark, base, 4, use_buckets=False)
+    plan = risk_analysis_fanout(plain)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "Exchange hashpartitioning" in plan
+    assert plain.events.count() == t.events.count()
