@@ -1,16 +1,26 @@
-"""Command sources. Each text line is one request body (JSON)."""
+"""Command sources. Each record is one request body (JSON text) in ``value``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def read_commands(spark: SparkSession, path: str, streaming: bool = False,
-                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """Raw request bodies as a ``value`` column, batch or Structured Streaming."""
-    if streaming:
-        r = spark.readStream.format("text")
-        if max_files_per_trigger:
-            r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-        return r.load(path)
-    return spark.read.text(path)
+def read_commands(spark: SparkSession, path: str | None = None, streaming: bool = False,
+                  max_files_per_trigger: int | None = None, format: str = "text",
+                  options: dict | None = None) -> DataFrame:
+    """Raw request bodies as a string ``value`` column, batch or Structured Streaming.
+
+    ``format`` is any Spark source whose records carry the body in ``value``:
+    ``text`` (one body per line, the default), ``json``/``parquet`` files with a
+    ``value`` column, or a message bus such as ``kafka`` (its connector package
+    must be on the classpath; the binary ``value`` is read as UTF-8 text).
+    """
+    reader = spark.readStream if streaming else spark.read
+    reader = reader.format(format)
+    for k, v in (options or {}).items():
+        reader = reader.option(k, v)
+    if streaming and max_files_per_trigger and format not in ("kafka",):
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    df = reader.load(path) if path is not None else reader.load()
+    return df.select(F.col("value").cast("string").alias("value"))

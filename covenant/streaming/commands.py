@@ -57,8 +57,12 @@ def commit_commands(spark: SparkSession, store: str, batch_id: int, raw: DataFra
 def apply_commands_stream(spark: SparkSession, source: str, store: str, checkpoint: str,
                           amount: str = "strict", id_type: str = "bigint", cid_type: str = "bigint",
                           available_now: bool = True, now: str | None = None,
-                          max_files_per_trigger: int | None = None) -> StreamingQuery:
-    raw = read_commands(spark, source, streaming=True, max_files_per_trigger=max_files_per_trigger)
+                          max_files_per_trigger: int | None = None, source_format: str = "text",
+                          source_options: dict | None = None) -> StreamingQuery:
+    """Run the applier over ``source`` (a folder of text bodies by default, or any
+    stream source given by ``source_format``/``source_options``, e.g. kafka)."""
+    raw = read_commands(spark, source, streaming=True, max_files_per_trigger=max_files_per_trigger,
+                        format=source_format, options=source_options)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         # like the handler's NOW(): one processing time for the whole batch; a

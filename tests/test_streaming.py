@@ -80,3 +80,14 @@ def test_batch_commit_is_idempotent(spark):
     _same(read_with_deltas(spark, base, store), once)
     valid, _ = validate_commands(raw)
     _same(once, apply_commands(base, valid))                   # equals the pure batch bundle
+
+
+def test_command_source_formats(spark):
+    from covenant.sources.commands import read_commands
+    root = tempfile.mkdtemp(prefix="cmdsrc-")
+    bodies = spark.createDataFrame([('{"soulContractId": "1", "newStatus": "Bound", "amount": 1}',)], "value string")
+    bodies.write.mode("overwrite").parquet(f"{root}/pq")
+    bodies.write.mode("overwrite").text(f"{root}/txt")
+    for fmt, path in (("parquet", f"{root}/pq"), ("text", f"{root}/txt")):
+        got = read_commands(spark, path, format=fmt)
+        assert got.columns == ["value"] and validate_commands(got)[0].count() == 1
