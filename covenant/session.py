@@ -49,11 +49,15 @@ def get_spark(master: str | None = None, app: str = "covenant",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Only when ``spark.checkpoint.dir`` is unset (local tests) do we create a
-    fresh scratch folder; on a cluster the configured shared path is used.
+    Only when ``spark.checkpoint.dir`` is unset and the master is local (tests)
+    do we create a fresh scratch folder; on a cluster the configured shared
+    path is used, and its absence is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            # executors on other machines cannot share a machine-local folder
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         d = tempfile.mkdtemp(prefix="covenant-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
