@@ -57,3 +57,18 @@ def timing_report(measurements: DataFrame, baseline: str, other: str, by=("scena
     return {"summary": T.summary_stats(measurements, "elapsed_ms", [*by, "system"]),
             "ttest": T.two_sample_ttest(measurements, "elapsed_ms", "system", baseline, other, list(by)),
             "compare": T.compare_systems(measurements, "elapsed_ms", "system", baseline, other, list(by))}
+
+
+def benchmark_suite(t: Tables, right: Tables, commands: DataFrame, status: str = "Bound") -> dict:
+    """The five benchmark workloads: joined profile of one contract (A7), the
+    joined-rows dashboard (A4), a batch get of the first 8 of 10 contracts of a
+    status (S9), touch bundles (M7: time + event, no ledger) and the
+    profitability ranking (A5)."""
+    row = L.sample_common_id(t.contracts, right.contracts, status).first()
+    cid = None if row is None else row[0]
+    ids = L.lookup_status(t.contracts, status, 10).select("id").limit(8)
+    return {"profile": P.profile_joined(t, [cid]),
+            "analytics": A.location_dashboard_joined(t),
+            "batch": L.batch_get(t.contracts, ids),
+            "writes": M.apply_touches(t, commands),
+            "complex": A.location_profitability(t)}

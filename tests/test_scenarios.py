@@ -24,3 +24,12 @@ def test_scenarios_plan_and_run(spark):
     assert s5["fanout"].count() == s5["corrected"].count()
     rep = S.timing_report(load_measurements(spark, SF), "click", "view")
     assert rep["ttest"].count() == 5
+
+
+def test_benchmark_suite(spark):
+    t = load_tables(spark, SF)
+    b = S.benchmark_suite(t, right_store(t), load_commands(spark, SF))
+    assert b["profile"].count() == 1
+    assert b["batch"].count() == 8
+    assert b["writes"].ledger.count() == t.ledger.count()          # touches add no ledger rows
+    assert b["complex"].count() == b["analytics"].count()
