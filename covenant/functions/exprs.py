@@ -11,10 +11,12 @@ ISO_MS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
 def col_(c) -> Column:
+    """A column from a name or a column."""
     return F.col(c) if isinstance(c, str) else c
 
 
 def zero_money() -> Column:
+    """A money zero typed like the money sums."""
     return F.lit(0).cast(SUM_MONEY)
 
 
@@ -65,6 +67,7 @@ def falsy_null(c) -> Column:
 
 
 def first_truthy(*cols) -> Column:
+    """The first value that is neither NULL nor empty text (JS `a || b || c`)."""
     return F.coalesce(*[falsy_null(c) for c in cols])
 
 

@@ -29,6 +29,7 @@ def _issue(contract_id, scope, field, idx, left, right) -> list[Column]:
 
 
 def empty_issues(spark) -> DataFrame:
+    """An empty issue table with the issue schema."""
     return spark.createDataFrame([], ISSUES)
 
 
@@ -194,12 +195,14 @@ def _text_time(df: DataFrame, col: str) -> DataFrame:
 
 def parity_events(left: DataFrame, right: DataFrame, ids=None, mode: str = "positional",
                   materialize: bool = True) -> DataFrame:
+    """V3 for events: positional (or keyed) comparison of two stores' event collections."""
     return parity_collection(_text_time(left, "event_time"), _text_time(right, "event_time"),
                              "event_time", "events", False, ids, mode, materialize)
 
 
 def parity_ledger(left: DataFrame, right: DataFrame, ids=None, mode: str = "positional",
                   materialize: bool = True) -> DataFrame:
+    """V3 for ledger rows: positional (or keyed) comparison including amounts."""
     return parity_collection(_text_time(left, "transaction_time"), _text_time(right, "transaction_time"),
                              "transaction_time", "ledger entries", True, ids, mode, materialize)
 

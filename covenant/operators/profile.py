@@ -110,6 +110,7 @@ def latest_event(events: DataFrame) -> DataFrame:
 
 
 def latest_ledger(ledger: DataFrame) -> DataFrame:
+    """Per contract the latest ledger row (NULL time first, then newest, then lowest id)."""
     k = latest_first_key("transaction_time", "id")
     return (ledger.groupBy(F.col("soul_contract_id").alias("l_cid"))
             .agg(F.min(F.struct(k.alias("k"), F.col("amount"), F.col("transaction_time"))).alias("m"))

@@ -27,6 +27,7 @@ def bounded_count(df: DataFrame, limit: int) -> int:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """Hint a broadcast of ``df`` only when it holds at most ``max_rows`` rows."""
     return F.broadcast(df) if bounded_count(df, max_rows) <= max_rows else df
 
 

@@ -11,9 +11,10 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Defaults tuned for "many executors, large shuffles"; each one is only a
-# default and yields to a value the cluster already configured.
-_DEFAULTS = {
+# SQL defaults tuned for "many executors, large shuffles". Each is applied only
+# when the session has no explicit value (spark-defaults, submit options and the
+# launcher's settings win).
+_SQL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -24,24 +25,27 @@ _DEFAULTS = {
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
-    "spark.ui.enabled": "false",
 }
 
 
 def get_spark(master: str | None = None, app: str = "covenant",
               shuffle_partitions: int | None = None) -> SparkSession:
-    builder = SparkSession.builder.appName(app)
+    """A session with the library's SQL defaults where the session sets nothing else.
+
+    The web UI stays off. Driver memory is chosen only for local masters (every
+    task then runs inside the driver JVM); on a cluster the launcher sizes it.
+    """
+    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
     if master:
         builder = builder.master(master)
         if master.startswith("local"):
-            # local mode runs every task inside the driver JVM; on a cluster the
-            # launcher sizes the driver and executors instead
             builder = builder.config("spark.driver.memory", os.environ.get("COVENANT_DRIVER_MEMORY", "12g"))
-    for k, v in _DEFAULTS.items():
-        builder = builder.config(k, v)
-    if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
+    for k, v in _SQL_DEFAULTS.items():
+        if spark.conf.get(k, None) is None:
+            spark.conf.set(k, v)
+    if shuffle_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

@@ -60,6 +60,7 @@ def _session_key(spark: SparkSession) -> tuple:
 
 
 def refresh_tables() -> None:
+    """Forget the resolved readers and derived plans (after files changed on disk)."""
     _READERS.clear()
     _TABLES.clear()
 
@@ -80,11 +81,14 @@ def _case(col: Column, mapping: dict, default) -> Column:
 
 
 def soul_type_of(id_col: Column) -> Column:
+    """Contract type from the id: the id modulo the number of types picks one."""
     return F.element_at(F.array(*[F.lit(s) for s in SOUL_TYPES]),
                         (F.pmod(id_col, F.lit(len(SOUL_TYPES))) + 1).cast("int"))
 
 
 def load_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts from customers: status from the segment, type from the id,
+    location from the nation, time = the last order date."""
     customer = _read(spark, sf_dir, "customer")
     nation = _read(spark, sf_dir, "nation").select(
         F.col("n_nationkey"), F.col("n_name").alias("contract_location"))
@@ -105,6 +109,7 @@ def load_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract events from the event stream (event type as the description)."""
     return _read(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"),
         F.col("user_id").alias("soul_contract_id"),
@@ -114,6 +119,7 @@ def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger rows from orders (amount negative for status P, so losses occur)."""
     o = _read(spark, sf_dir, "orders")
     amount = F.when(F.col("o_orderstatus") == "P", -F.col("o_totalprice")).otherwise(F.col("o_totalprice"))
     return o.select(

@@ -64,6 +64,7 @@ def validate_counts(contracts, events_per_contract, ledger_entries) -> tuple[int
 def generate(spark: SparkSession, contracts: int = 1000, events_per_contract: int = 50,
              ledger_entries: int = 5000, seed: int = 42, now: str = "2025-01-01 00:00:00",
              loss_fraction: float = 0.0, num_partitions: int | None = None) -> Tables:
+    """A deterministic synthetic store (contracts, events per contract, random ledger rows)."""
     n_c, n_e, n_l = validate_counts(contracts, events_per_contract, ledger_entries)
     pad = max(3, len(str(n_c)))
     now_ts = F.lit(now).cast("timestamp_ntz")

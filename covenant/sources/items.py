@@ -94,6 +94,7 @@ def put_items(items: DataFrame, new: DataFrame | None = None, seq_col: str = "_s
 
 
 def item_kind(sk="SK") -> F.Column:
+    """Item kind from the SK prefix: contract, event or ledger (NULL otherwise)."""
     s = F.col(sk)
     return (F.when(s == CONTRACT_SK, F.lit("contract"))
             .when(s.startswith(EVENT_PREFIX), F.lit("event"))

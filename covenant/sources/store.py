@@ -91,6 +91,7 @@ def write_store(spark: SparkSession, base: str, version: int, tables: Tables | N
 
 
 def current_version(spark: SparkSession, base: str) -> int | None:
+    """The published version of a snapshot store (from its manifest), or None."""
     try:
         row = spark.read.parquet(f"{base}/manifest").first()
     except AnalysisException:
@@ -99,6 +100,7 @@ def current_version(spark: SparkSession, base: str) -> int | None:
 
 
 def read_store(spark: SparkSession, base: str) -> Tables:
+    """The tables of the published version of a snapshot store."""
     v = current_version(spark, base)
     if v is None:
         raise FileNotFoundError(f"no published version under {base}")
@@ -195,6 +197,7 @@ def compact_store(spark: SparkSession, base_tables: Tables, base: str, mode: str
 
 
 def rejected_commands(spark: SparkSession, base: str) -> DataFrame | None:
+    """Rejected request bodies (value, reason) of all committed batches."""
     r = _committed(spark, base, "rejects")
     return None if r is None else r.drop("batch_id")
 
