@@ -209,7 +209,7 @@ def write_chunked(df: DataFrame, path: str, max_records_per_file: int, mode: str
 
 
 # ---------------------------------------------------------------- bucketed layout
-BUCKET_KEYS = {"contracts": "id", "events": "soul_contract_id", "ledger": "soul_contract_id"}
+BUCKET_KEYS = {"contracts": "id", "events": "soul_contract_id", "ledger": "soul_contract_id", "items": "PK"}
 
 
 def _bucket_table(base: str, name: str) -> str:
@@ -217,6 +217,15 @@ def _bucket_table(base: str, name: str) -> str:
     return f"covenant_{name}_{hashlib.sha1(base.encode()).hexdigest()[:10]}"
 
 
+def write_bucketed_items(spark: SparkSession, items: DataFrame, base: str, buckets: int) -> DataFrame:
+    """The item store bucketed and sorted by PK (one contract's items per bucket):
+    the put (grouping on PK, SK) and the per-contract joins of item kinds then
+    run without shuffling the item table."""
+    (items.write.mode("overwrite").bucketBy(buckets, "PK").sortBy("PK", "SK")
+     .option("path", f"{base}/items").saveAsTable(_bucket_table(base, "items")))
+    return spark.table(_bucket_table(base, "items"))
+
+
 def write_bucketed(spark: SparkSession, tables: Tables, base: str, buckets: int) -> Tables:
     """Write the store bucketed (and sorted) by contract id, with the same bucket
     count on all three tables, as external tables of the session catalog.

@@ -175,3 +175,15 @@ def test_bucketed_store_plain_read_for_skew(spark):
     plan = risk_analysis_fanout(plain)._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan and "Exchange hashpartitioning" in plan
     assert plain.events.count() == t.events.count()
+
+
+def test_bucketed_items_put_without_shuffle(spark):
+    from covenant.sources.binding import load_tables
+    from covenant.sources.items import put_items, to_items
+    from covenant.sources.store import write_bucketed_items
+    items = to_items(load_tables(spark, SF))
+    b = write_bucketed_items(spark, items, tempfile.mkdtemp(prefix="bucketed-items-"), 8)
+    put = put_items(b)
+    plan = put._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    assert put.count() == put_items(items).count()
