@@ -139,17 +139,17 @@ def parity_collection(left: DataFrame, right: DataFrame, time_col: str, scope: s
     fp = lf.join(rf, "cid", "full_outer").select(
         "cid", F.coalesce("nl", F.lit(0)).alias("nl"), F.coalesce("nr", F.lit(0)).alias("nr"),
         F.col("hl"), F.col("hr"))
-    differ = fp.where((F.col("nl") != F.col("nr")) | ~F.col("hl").eqNullSafe(F.col("hr")))
-    if materialize:
-        # the differing contracts (usually few) feed several steps: compute the
-        # fingerprints once and keep the result in the shared checkpoint folder
-        differ = materialize_table(differ, "parity-differ")
-    count_issues = differ.where(F.col("nl") != F.col("nr")).select(
-        *_issue(F.col("cid"), scope, "count", None, _txt(F.col("nl")), _txt(F.col("nr"))))
+    differ = fp.where((F.col("nl") != F.col("nr")) | ~F.col("hl").eqNullSafe(F.col("hr"))).select("cid")
     both = (lc.withColumn("side", F.lit(0)).unionByName(rc.withColumn("side", F.lit(1)))
-            .join(differ.select("cid"), "cid", "left_semi"))
+            .join(differ, "cid", "left_semi"))
     if materialize:
+        # the rows of differing contracts (usually few) feed the counts, a range
+        # sort and the pairing: write them once to the shared checkpoint folder
         both = materialize_table(both, "parity-rows")
+    side_counts = both.groupBy("cid").agg(F.count(F.when(F.col("side") == 0, 1)).alias("nl"),
+                                          F.count(F.when(F.col("side") == 1, 1)).alias("nr"))
+    count_issues = side_counts.where(F.col("nl") != F.col("nr")).select(
+        *_issue(F.col("cid"), scope, "count", None, _txt(F.col("nl")), _txt(F.col("nr"))))
     dl = both.where(F.col("side") == 0).drop("side")
     dr = both.where(F.col("side") == 1).drop("side")
     if mode == "keyed":
