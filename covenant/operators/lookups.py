@@ -62,10 +62,17 @@ def resolve_ids(contracts: DataFrame, ids: Sequence | None = None, sample_size:
 def sample_common_id(left: DataFrame, right: DataFrame, status: str = "Bound",
                      candidates: int = 10) -> DataFrame:
     """The first of up to ``candidates`` ``status`` contracts of ``left`` that also
-    exists in ``right``; else the first candidate. One row (id)."""
+    exists in ``right``; else the first candidate. One row (id).
+
+    The candidates (at most ``candidates`` ids, a top-k) are probed in ``right``
+    with a pushed-down ``IN`` filter, like the original's point lookups; the
+    other store is never shuffled to test ten ids.
+    """
     cand = left.where(F.col("contract_status") == status).select("id").orderBy("id").limit(candidates)
-    present = right.select(F.col("id").alias("_rid")).distinct()
-    j = cand.join(present, cand.id == present._rid, "left")
+    ids = [r[0] for r in cand.collect()]
+    cand_df = left.sparkSession.createDataFrame([(i,) for i in ids], f"id {dict(left.dtypes)['id']}")
+    present = batch_get(right.select("id"), ids).select(F.col("id").alias("_rid")).distinct()
+    j = cand_df.join(present, F.col("id") == F.col("_rid"), "left")
     return j.agg(F.min_by("id", F.struct(F.col("_rid").isNull(), F.col("id"))).alias("id")) \
         .where(F.col("id").isNotNull())
 
