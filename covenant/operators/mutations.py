@@ -96,10 +96,10 @@ def validate_commands(raw: DataFrame, amount: str = "strict", now: str | None =
         F.try_variant_get(j, "$.newStatus", "string").alias("new_status"),
         F.try_variant_get(j, "$.amount", MONEY.simpleString()).alias("amount"),
         F.coalesce(F.col("_ts"), _parse_ts(F.try_variant_get(j, "$.ts", "string")), now_col).alias("ts"),
-        # without a sequence number, a 62-bit hash of the body stands in (ids
-        # derived from it stay inside BIGINT)
+        # without a sequence number, a 61-bit hash of the body stands in (the
+        # ids derived from it, -(2*seq + 2), stay inside BIGINT)
         F.coalesce(F.col("_seq"), F.try_variant_get(j, "$.seq", "bigint"),
-                   F.pmod(F.xxhash64("value"), F.lit(1 << 62))).alias("seq"))
+                   F.pmod(F.xxhash64("value"), F.lit(1 << 61))).alias("seq"))
     return valid, rejected
 
 
