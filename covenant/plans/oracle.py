@@ -250,9 +250,9 @@ SELECT COALESCE(NULLIF(soulId, ''), substring(PK, 6)) AS id,
 FROM items WHERE SK = 'CONTRACT'"""
 Q["from_items_ledger"] = with_binding(_ITEMS) + """
 SELECT SK AS id, substring(PK, 6) AS soul_contract_id, amount,
-       CAST(try_strptime(COALESCE(NULLIF("timestamp", ''), substring(SK, 8)), '%Y-%m-%dT%H:%M:%S.%gZ') AS TIMESTAMP)
+       CAST(try_strptime(COALESCE(NULLIF("timestamp", ''), NULLIF(substring(SK, 8), '')), '%Y-%m-%dT%H:%M:%S.%gZ') AS TIMESTAMP)
          AS transaction_time,
-       COALESCE(NULLIF("timestamp", ''), substring(SK, 8)) AS transaction_time_text,
+       COALESCE(NULLIF("timestamp", ''), NULLIF(substring(SK, 8), '')) AS transaction_time_text,
        NULLIF(description, '') AS description
 FROM items WHERE starts_with(SK, 'LEDGER#')"""
 Q["location_dashboard_items"] = with_binding(_ITEMS, """
@@ -358,7 +358,7 @@ FROM (SELECT * FROM krc EXCEPT ALL SELECT * FROM klc)"""
 
 _ITEM_EVENTS = """
 item_events AS (SELECT substring(PK, 6) AS soul_contract_id,
-                       COALESCE(NULLIF("timestamp", ''), substring(SK, 7)) AS event_time_text,
+                       COALESCE(NULLIF("timestamp", ''), NULLIF(substring(SK, 7), '')) AS event_time_text,
                        NULLIF(description, '') AS description
                 FROM items WHERE starts_with(SK, 'EVENT#'))"""
 Q["parity_events"] = with_binding(_ITEMS, _ITEM_EVENTS, _positional(
@@ -590,9 +590,9 @@ SELECT CAST(id AS VARCHAR) AS id, COALESCE(NULLIF(contract_status, ''), 'Unknown
        NULLIF(soul_type, '') AS soulType, NULLIF(contract_location, '') AS contractLocation FROM contracts"""
 Q["from_items_events"] = with_binding(_ITEMS) + """
 SELECT SK AS id, substring(PK, 6) AS soul_contract_id,
-       CAST(try_strptime(COALESCE(NULLIF("timestamp", ''), substring(SK, 7)), '%Y-%m-%dT%H:%M:%S.%gZ') AS TIMESTAMP)
+       CAST(try_strptime(COALESCE(NULLIF("timestamp", ''), NULLIF(substring(SK, 7), '')), '%Y-%m-%dT%H:%M:%S.%gZ') AS TIMESTAMP)
          AS event_time,
-       COALESCE(NULLIF("timestamp", ''), substring(SK, 7)) AS event_time_text,
+       COALESCE(NULLIF("timestamp", ''), NULLIF(substring(SK, 7), '')) AS event_time_text,
        NULLIF(description, '') AS description
 FROM items WHERE starts_with(SK, 'EVENT#')"""
 Q["status_index"] = with_binding(_ITEMS) + """
@@ -601,7 +601,7 @@ SELECT status, SK, PK FROM items WHERE status IS NOT NULL AND SK IS NOT NULL"""
 # ------------------------------------------------------------------ parity of the two shapes
 _ITEM_LEDGER = """
 item_ledger AS (SELECT substring(PK, 6) AS soul_contract_id,
-                       COALESCE(NULLIF("timestamp", ''), substring(SK, 8)) AS time_text,
+                       COALESCE(NULLIF("timestamp", ''), NULLIF(substring(SK, 8), '')) AS time_text,
                        NULLIF(description, '') AS description, amount
                 FROM items WHERE starts_with(SK, 'LEDGER#'))"""
 Q["parity_ledger_items"] = with_binding(_ITEMS, _ITEM_LEDGER, _positional(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covenant.functions.exprs import first_truthy, iso_ms, parse_iso, strip_prefix
+from covenant.functions.exprs import falsy_null, first_truthy, iso_ms, parse_iso, strip_prefix
 from covenant.sources.binding import Tables
 from covenant.sources.schemas import ITEMS, MONEY
 
@@ -130,14 +130,14 @@ def from_items(items: DataFrame, mode: str = "compat") -> Tables:
         first_truthy("contract_location", "contractLocation").alias("contract_location"),
         parse_iso(updated).alias("updated_at"),
     )
-    ev_ts = F.coalesce(ev_time, strip_prefix("SK", EVENT_PREFIX))
+    ev_ts = F.coalesce(ev_time, falsy_null(strip_prefix("SK", EVENT_PREFIX)))
     events = k.where(F.col("_kind") == "event").select(
         F.col("SK").alias("id"), cid.alias("soul_contract_id"),
-        F.coalesce(parse_iso(ev_ts), F.lit(None).cast("timestamp_ntz")).alias("event_time"),
+        parse_iso(ev_ts).alias("event_time"),
         ev_ts.alias("event_time_text"),
         first_truthy("description").alias("description"),
     )
-    lg_ts = F.coalesce(lg_time, strip_prefix("SK", LEDGER_PREFIX))
+    lg_ts = F.coalesce(lg_time, falsy_null(strip_prefix("SK", LEDGER_PREFIX)))
     ledger = k.where(F.col("_kind") == "ledger").select(
         F.col("SK").alias("id"), cid.alias("soul_contract_id"),
         F.col("amount").cast(MONEY).alias("amount"),
