@@ -2,6 +2,10 @@
 
 "Latest per contract" is an aggregate (min over a composite sort key), not a
 window: partial aggregation keeps a hot contract from landing in one task.
+Because the winning row carries text (the description), Spark runs it as a
+sort-based aggregate (partial in every map task, then final), which spills
+gracefully; fetching the text by a join back to the winning row would shuffle
+every event again instead.
 """
 
 from __future__ import annotations
