@@ -226,18 +226,24 @@ def write_bucketed_items(spark: SparkSession, items: DataFrame, base: str, bucke
     return spark.table(_bucket_table(base, "items"))
 
 
-def write_bucketed(spark: SparkSession, tables: Tables, base: str, buckets: int) -> Tables:
+def write_bucketed(spark: SparkSession, tables: Tables, base: str, buckets: int,
+                   max_records_per_file: int | None = None) -> Tables:
     """Write the store bucketed (and sorted) by contract id, with the same bucket
     count on all three tables, as external tables of the session catalog.
 
     Joins of contracts with per-contract aggregates of events and ledger then
     need no shuffle at all: the aggregations run on the bucketed scans and the
     join partitions line up bucket by bucket (co-located joins).
+    ``max_records_per_file`` bounds file sizes, so a hot bucket is several
+    files that ``read_bucketed(..., use_buckets=False)`` scans in parallel.
     """
     for name, df in (("contracts", tables.contracts), ("events", tables.events), ("ledger", tables.ledger)):
         key = BUCKET_KEYS[name]
-        (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
-         .option("path", f"{base}/{name}").saveAsTable(_bucket_table(base, name)))
+        w = df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", f"{base}/{name}")
+        if max_records_per_file:
+            # a hot bucket becomes several files, which a plain read scans in parallel
+            w = w.option("maxRecordsPerFile", int(max_records_per_file))
+        w.saveAsTable(_bucket_table(base, name))
     return read_bucketed(spark, base, buckets)
 
 
