@@ -170,7 +170,7 @@ def test_bucketed_store_plain_read_for_skew(spark):
     from covenant.operators.analytics import risk_analysis_fanout
     t = load_tables(spark, SF)
     base = tempfile.mkdtemp(prefix="bucketed-plain-")
-    write_bucketed(spark, t, base, 4, max_records_per_file=500)
+    write_bucketed(spark, t, base, 4, max_records_per_file=100)     # ~375 ledger rows per bucket
     ledger_files = [f for f in os.listdir(f"{base}/ledger") if f.endswith(".parquet")]
     assert len(ledger_files) > 4                               # buckets split into bounded files
     plain = read_bucketed(spark, base, 4, use_buckets=False)
