@@ -35,9 +35,11 @@ def test_run_history(spark):
     d = tempfile.mkdtemp(prefix="hist-")
     with open(os.path.join(d, "benchmark-results-1.json"), "w") as f:
         f.write('{"timestamp": "2025-01-01T00:00:00Z", "summary": {"x": 1}}')
-    time.sleep(0.05)
     with open(os.path.join(d, "contrast-benchmark-2.json"), "w") as f:
         f.write("{bad")
+    now = time.time()
+    os.utime(os.path.join(d, "benchmark-results-1.json"), (now - 60, now - 60))   # older
+    os.utime(os.path.join(d, "contrast-benchmark-2.json"), (now, now))            # newer
     with open(os.path.join(d, "other.json"), "w") as f:
         f.write("{}")
     rows = run_history(spark, d).collect()
