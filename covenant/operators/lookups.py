@@ -94,9 +94,11 @@ def missing_in_other(left: DataFrame, right: DataFrame, key: str = "id") -> Data
     return left.join(right.select(F.col(key).alias("_k")), F.col(key) == F.col("_k"), "left_anti")
 
 
-def structure_sample(df: DataFrame, key: str, n: int = 3) -> DataFrame:
-    """The first ``n`` rows by key (a structure probe; the limit is the feature)."""
-    return df.orderBy(key).limit(n)
+def structure_sample(df: DataFrame, key, n: int = 3) -> DataFrame:
+    """The first ``n`` rows by key (a structure probe; the limit is the feature).
+    ``key`` is a column name or a list of them."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return df.orderBy(*keys).limit(n)
 
 
 def table_inventory(spark: SparkSession, base: str, expected: Iterable[str],

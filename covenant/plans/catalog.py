@@ -288,3 +288,6 @@ register("summary_stats_all_systems")(lambda s, d: T.summary_stats(
 # item-store read patterns: date buckets and the status index
 register("items_by_date_bucket")(lambda s, d: I.items_by_date_bucket(_items(s, d), I.EVENT_PREFIX, EVENT_DAY))
 register("items_by_status")(lambda s, d: I.items_by_status(_items(s, d), STATUS))
+
+# structure probe of the item store (A13: the first 3 items by key)
+register("items_structure_sample")(lambda s, d: L.structure_sample(_items(s, d).select("PK", "SK"), ["PK", "SK"]))
