@@ -122,13 +122,13 @@ def location_dashboard(t: Tables, redeemed: str = REDEEMED) -> DataFrame:
                                           F.asc_nulls_last("contract_location"))))
 
 
-def _ranked_locations(per_contract: DataFrame) -> DataFrame:
+def _ranked_locations(per_contract: DataFrame, active_over: int = 5) -> DataFrame:
     net = F.col("gains") - F.col("losses")
     g = (per_contract.where((F.col("gains") > 0) | (F.col("losses") > 0))
          .groupBy("contract_location")
          .agg(F.count(F.lit(1)).alias("total_souls"),
               F.sum(net).cast(SUM_MONEY).alias("net_sum"),
-              F.count(F.when(F.col("event_count") > 5, 1)).alias("active_souls")))
+              F.count(F.when(F.col("event_count") > active_over, 1)).alias("active_souls")))
     avg_exact = F.col("net_sum") / F.col("total_souls")
     # one row per location: an unpartitioned rank over a bounded row count
     w = Window.orderBy(F.desc_nulls_first("avg_exact"))
@@ -141,14 +141,15 @@ def _ranked_locations(per_contract: DataFrame) -> DataFrame:
             .transform(lambda d: sort_bounded(d, "profitability_rank", F.asc_nulls_last("contract_location"))))
 
 
-def risk_analysis_fanout(t: Tables) -> DataFrame:
-    """A3: risk ranking with the reference's fan-out multiplicities (see J3)."""
-    return _ranked_locations(fanout_join_metrics(t, corrected=False))
+def risk_analysis_fanout(t: Tables, active_over: int = 5) -> DataFrame:
+    """A3: risk ranking with the reference's fan-out multiplicities (see J3); a
+    contract is active with more than ``active_over`` (joined) events."""
+    return _ranked_locations(fanout_join_metrics(t, corrected=False), active_over)
 
 
-def risk_analysis(t: Tables) -> DataFrame:
+def risk_analysis(t: Tables, active_over: int = 5) -> DataFrame:
     """Same ranking, each event and ledger row counted once (our correction)."""
-    return _ranked_locations(fanout_join_metrics(t, corrected=True))
+    return _ranked_locations(fanout_join_metrics(t, corrected=True), active_over)
 
 
 def _joined_location_stats(t: Tables, redeemed: str) -> DataFrame:

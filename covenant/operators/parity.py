@@ -208,8 +208,13 @@ def parity_ledger(left: DataFrame, right: DataFrame, ids=None, mode: str = "posi
 
 
 # ---------------------------------------------------------------- V4
-def parity_summary(issues: DataFrame, ids: DataFrame) -> DataFrame:
-    """V4: ids checked, issue count, contracts with issues, ok flag (one row)."""
+def parity_summary(issues: DataFrame, ids: DataFrame, skip_events: bool = False,
+                   skip_ledger: bool = False) -> DataFrame:
+    """V4: ids checked, issue count, contracts with issues, ok flag (one row).
+    ``skip_events`` / ``skip_ledger`` leave those collections' issues out."""
+    skipped = (["events"] if skip_events else []) + (["ledger entries", "ledger"] if skip_ledger else [])
+    if skipped:
+        issues = issues.where(~F.col("scope").isin(*skipped))
     idf = ids.select(F.col(ids.columns[-1]).cast("string").alias("contract_id")).distinct()
     per_id = issues.where(F.col("contract_id").isNotNull()).groupBy("contract_id").agg(
         F.count(F.lit(1)).alias("n_issues"))

@@ -113,3 +113,9 @@ def test_running_totals(spark):
 def test_dataset_summary(spark):
     s = {r["table_name"]: r["row_count"] for r in A.dataset_summary(fixture(spark)).collect()}
     assert s == {"contracts": 5, "events": 4, "ledger": 7}
+
+
+def test_active_threshold_parameter(spark):
+    r5 = {x["contract_location"]: x["active_souls"] for x in A.risk_analysis_fanout(fixture(spark)).collect()}
+    r10 = {x["contract_location"]: x["active_souls"] for x in A.risk_analysis_fanout(fixture(spark), 10).collect()}
+    assert r5["X"] == 1 and r10["X"] == 0          # contract 1 has 6 joined events

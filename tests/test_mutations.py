@@ -118,3 +118,16 @@ def test_camel_case_fallbacks(spark):
     c = I.from_items(items, "compat").contracts.first()
     assert (c["soul_type"], c["contract_location"]) == ("Evil", "X")      # snake case missing -> camel case
     assert str(c["updated_at"]) == "2024-02-01 00:00:00"                  # updatedAt before createdAt
+
+
+def test_parity_summary_skip_switches(spark):
+    from covenant.operators.parity import parity_report, parity_summary
+    left = make_tables(spark, [(1, "Bound", "Evil", "X", None)], [(1, 1, "2024-01-01 00:00:00", "e")],
+                       [(1, 1, 5, "2024-01-01 00:00:00", "a")])
+    right = make_tables(spark, [(1, "Bound", "Evil", "X", None)], [], [(1, 1, 6, "2024-01-01 00:00:00", "a")])
+    issues = parity_report(left, right)
+    ids = spark.createDataFrame([("1",)], "id string")
+    assert parity_summary(issues, ids).first()["mismatches"] == 2          # event count + ledger amount
+    only_events = parity_summary(issues, ids, skip_ledger=True).first()
+    assert only_events["mismatches"] == 1 and not only_events["ok"]
+    assert parity_summary(issues, ids, skip_events=True, skip_ledger=True).first()["ok"]
