@@ -91,3 +91,20 @@ def test_command_source_formats(spark):
     for fmt, path in (("parquet", f"{root}/pq"), ("text", f"{root}/txt")):
         got = read_commands(spark, path, format=fmt)
         assert got.columns == ["value"] and validate_commands(got)[0].count() == 1
+
+
+def test_update_only_store_ignores_unknown_contracts(spark):
+    from covenant.streaming.commands import commit_commands
+    root = tempfile.mkdtemp(prefix="upd-only-")
+    store = os.path.join(root, "store")
+    raw = spark.createDataFrame(
+        [('{"soulContractId": "999999", "newStatus": "Redeemed", "amount": 3, "ts": "2024-03-01 00:00:00", "seq": 7}',)],
+        "value string")
+    commit_commands(spark, store, 0, raw)
+    base = load_tables(spark, SF)
+    upd = read_with_deltas(spark, base, store, mode="update_only")
+    ups = read_with_deltas(spark, base, store, mode="upsert")
+    assert upd.contracts.count() == base.contracts.count()              # unknown id not inserted
+    assert ups.contracts.count() == base.contracts.count() + 1
+    assert upd.events.count() == base.events.count() + 1                # the event is still recorded
+    assert upd.ledger.count() == base.ledger.count() + 1
