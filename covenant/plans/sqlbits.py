@@ -77,6 +77,3 @@ def dec_mean(total: str, n: str, scale: int = 6) -> str:
     unit = f"CAST({10.0 ** -scale:.{scale}f} AS DECIMAL({scale + 1},{scale}))" if scale else "1"
     return f"CAST(CAST({q} AS DECIMAL(38,0)) * {unit} AS DECIMAL(38,{scale}))"
 
-
-def iso_ms(ts: str) -> str:
-    return f"strftime({ts}, '%Y-%m-%dT%H:%M:%S.%gZ')"
