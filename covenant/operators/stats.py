@@ -25,6 +25,13 @@ def _d(c):
     return c.cast(STAT)
 
 
+def _join_groups(left: DataFrame, right: DataFrame, by: list[str], how: str) -> DataFrame:
+    """Join on the group columns null-safely (a NULL group value is a group of its own)."""
+    r = right.withColumnsRenamed({c: f"_r_{c}" for c in by})
+    cond = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in by]
+    return left.join(r, cond, how).drop(*[f"_r_{c}" for c in by])
+
+
 def summary_stats(df: DataFrame, value: str, by: Sequence[str], levels: int = 4,
                   groups: DataFrame | None = None) -> DataFrame:
     """N, mean, min, max, sample sd, cv %, 95 % half-width,
@@ -44,7 +51,7 @@ def summary_stats(df: DataFrame, value: str, by: Sequence[str], levels: int = 4,
     ranked = ranked.where(F.col("pos").isin(*targets))
     pct = ranked.groupBy(*by).agg(*[
         F.max(F.when(F.col("pos") == F.floor(nd * F.lit(p)), v)).alias(k) for k, p in PERCENTILES.items()])
-    s = mom.join(pct, by, "left")
+    s = _join_groups(mom, pct, by, "left")
     cv = F.try_divide(F.lit(100.0) * F.col("sd"), F.col("mean"))
     out = s.select(
         *by, F.col("n").cast("long").alias("n"), _d(F.col("mean")).alias("mean"),
@@ -56,7 +63,7 @@ def summary_stats(df: DataFrame, value: str, by: Sequence[str], levels: int = 4,
     if groups is None:
         return out
     cols = [c for c in out.columns if c not in by]
-    g = groups.select(*by).distinct().join(out.withColumn("_present", F.lit(True)), by, "left")
+    g = _join_groups(groups.select(*by).distinct(), out.withColumn("_present", F.lit(True)), by, "left")
     absent = F.col("_present").isNull()
     types = dict(out.dtypes)
     # an absent group is an all-zero sample, labelled like one

@@ -75,3 +75,11 @@ def test_decimal_stats_types(spark):
     df = sample(spark, {"a": [1, 2, 3]})
     r = summary_stats(df, "elapsed_ms", ["scenario"]).first()
     assert r["mean"] == Decimal("2.0000") and r["stddev"] == Decimal("1.0000")
+
+
+def test_null_group_keeps_its_percentiles(spark):
+    df = spark.createDataFrame([(None, "s", i, float(i)) for i in range(1, 11)] +
+                               [("a", "s", i, float(i)) for i in range(1, 11)],
+                               "scenario string, system string, iteration long, elapsed_ms double")
+    r = {x["scenario"]: x for x in summary_stats(df, "elapsed_ms", ["scenario"]).collect()}
+    assert (r[None]["p50"], r[None]["p95"]) == (6.0, 10.0) == (r["a"]["p50"], r["a"]["p95"])
