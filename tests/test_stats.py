@@ -83,3 +83,15 @@ def test_null_group_keeps_its_percentiles(spark):
                                "scenario string, system string, iteration long, elapsed_ms double")
     r = {x["scenario"]: x for x in summary_stats(df, "elapsed_ms", ["scenario"]).collect()}
     assert (r[None]["p50"], r[None]["p95"]) == (6.0, 10.0) == (r["a"]["p50"], r["a"]["p95"])
+
+
+def test_missing_group_follows_the_nan_rules(spark):
+    """A scenario without samples of one system: the statistics are NULL and the
+    step functions fall through exactly as they do for NaN in the original."""
+    df = spark.createDataFrame([("only_a", "kv", i, float(i)) for i in range(1, 6)],
+                               "scenario string, system string, iteration long, elapsed_ms double")
+    t = two_sample_ttest(df, "elapsed_ms", "system", "kv", "sql", ["scenario"]).first()
+    assert t["n2"] == 0 and t["t_stat"] is None and t["effect_size"] is None
+    assert (t["p_value"], t["significant"], t["effect"]) == (0.2, False, "large")
+    c = compare_systems(df, "elapsed_ms", "system", "kv", "sql", ["scenario"]).first()
+    assert c["ratio"] is None and c["faster"] == "sql"
