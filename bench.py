@@ -44,18 +44,25 @@ def main() -> None:
     spark = get_spark(f"local[{cpus}]", app="covenant-bench", shuffle_partitions=max(8, 2 * cpus))
     # warm-up: JVM, code paths, file listing
     REGISTRY["location_dashboard"](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    times = {}
+    times, failed = {}, {}
     for name in HEADLINE:
         best = None
-        for _ in range(repeat):
-            t0 = time.perf_counter()
-            REGISTRY[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            dt = time.perf_counter() - t0
-            best = dt if best is None else min(best, dt)
-        times[name] = round(best, 3)
+        try:
+            for _ in range(repeat):
+                t0 = time.perf_counter()
+                REGISTRY[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+                dt = time.perf_counter() - t0
+                best = dt if best is None else min(best, dt)
+            times[name] = round(best, 3)
+        except Exception as ex:  # noqa: BLE001 - one failing query must not hide the others
+            failed[name] = str(ex).splitlines()[0][:200]
+            print(f"bench: {name} failed: {failed[name]}", file=sys.stderr)
     m = re.search(r"sf([0-9.]+)", sf_dir)
-    print(json.dumps({"metric": "total_wall_time_headline_queries", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": float(m.group(1)) if m else sf_dir}))
+    out = {"metric": "total_wall_time_headline_queries", "value": round(sum(times.values()), 3),
+           "unit": "sec", "queries": times, "sf": float(m.group(1)) if m else sf_dir}
+    if failed:
+        out["failed"] = failed
+    print(json.dumps(out))
     spark.stop()
 
 
