@@ -135,3 +135,25 @@ def readiness(inventory: DataFrame) -> DataFrame:
 def missing_tables(inventory: DataFrame) -> DataFrame:
     """Expected table names minus the present ones."""
     return inventory.where(~F.col("present")).select("table_name")
+
+
+def store_inventory(tables: dict, expected) -> DataFrame:
+    """A12 over a store held as DataFrames: ``tables`` maps names to DataFrames
+    (or None when absent); one row per expected name with presence and count."""
+    present = {k: v for k, v in tables.items() if v is not None}
+    if not present:
+        raise ValueError("at least one table is needed to build the inventory")
+    spark = next(iter(present.values())).sparkSession
+    parts = []
+    for name in expected:
+        df = present.get(name)
+        if df is None:
+            parts.append(spark.range(1).select(F.lit(name).alias("table_name"), F.lit(False).alias("present"),
+                                               F.lit(None).cast("long").alias("row_count")))
+        else:
+            parts.append(df.agg(F.count(F.lit(1)).alias("row_count"))
+                         .select(F.lit(name).alias("table_name"), F.lit(True).alias("present"), "row_count"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -291,3 +291,8 @@ register("items_by_status")(lambda s, d: I.items_by_status(_items(s, d), STATUS)
 
 # structure probe of the item store (A13: the first 3 items by key)
 register("items_structure_sample")(lambda s, d: L.structure_sample(_items(s, d).select("PK", "SK"), ["PK", "SK"]))
+
+# A12 over the bound store's relations (the three tables the schema creates)
+STORE_TABLES = ["contracts", "events", "ledger"]
+register("store_inventory")(lambda s, d: L.store_inventory(
+    {"contracts": _t(s, d).contracts, "events": _t(s, d).events, "ledger": _t(s, d).ledger}, STORE_TABLES))

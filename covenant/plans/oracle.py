@@ -685,3 +685,7 @@ SELECT * FROM items WHERE GSI1PK = 'EVENT#2024-01-15' ORDER BY GSI1SK, PK, SK"""
 Q["items_by_status"] = with_binding(_ITEMS) + """
 SELECT * FROM items WHERE status IS NOT NULL AND SK IS NOT NULL AND status = 'Bound' ORDER BY SK, PK"""
 Q["items_structure_sample"] = with_binding(_ITEMS) + "SELECT PK, SK FROM items ORDER BY PK, SK LIMIT 3"
+Q["store_inventory"] = with_binding() + """
+SELECT 'contracts' AS table_name, TRUE AS present, COUNT(*) AS row_count FROM contracts
+UNION ALL SELECT 'events', TRUE, COUNT(*) FROM contract_events
+UNION ALL SELECT 'ledger', TRUE, COUNT(*) FROM ledger"""

@@ -191,3 +191,14 @@ def test_bucketed_items_put_without_shuffle(spark):
     plan = put._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
     assert put.count() == put_items(items).count()
+
+
+def test_store_inventory(spark):
+    from covenant.operators.lookups import store_inventory
+    from covenant.sources.binding import load_tables
+    t = load_tables(spark, SF)
+    inv = {r["table_name"]: r for r in store_inventory({"contracts": t.contracts, "events": None},
+                                                       ["contracts", "events", "ledger"]).collect()}
+    assert inv["contracts"]["present"] and inv["contracts"]["row_count"] == t.contracts.count()
+    assert not inv["events"]["present"] and not inv["ledger"]["present"]
+    assert readiness(store_inventory({"contracts": t.contracts}, ["contracts", "events"])).first()["ready"] is False
