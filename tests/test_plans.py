@@ -61,3 +61,16 @@ def test_no_python_and_no_cartesian(spark):
         p = plan(spark, name)
         assert "EvalPython" not in p and "InPandas" not in p
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_co_located_store_needs_no_exchange(spark, no_auto_broadcast):
+    import tempfile
+
+    from covenant.operators.analytics import fanout_join_metrics
+    from covenant.operators.profile import audit_latest
+    from covenant.sources.binding import load_tables
+    from covenant.sources.store import write_bucketed
+    b = write_bucketed(spark, load_tables(spark, SF), tempfile.mkdtemp(prefix="plans-colocated-"), 8)
+    for df in (fanout_join_metrics(b), audit_latest(b)):
+        p = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in p, p
