@@ -185,7 +185,7 @@ def trie_links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) ->
                 part += 1
 
     packed = (keyed.repartition(parts, "node", "cut").sortWithinPartitions("node", "cut").select("node", "cut", "fp")
-              .mapInArrow(blocks, "node long, cut int, leaves binary"))
+              .mapInArrow(blocks, "node long, cut long, leaves binary"))
     packed = materialize(packed, "simhash-blocks")
     ids = packed.select("node", "cut")
     left = ids.select(F.col("node").alias("ln"), F.col("cut").alias("lc"),
