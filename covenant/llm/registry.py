@@ -5,10 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from covenant.llm import mixing, simhash
+from covenant.llm import chat, langcrf, mixing, simhash, tokencount
 from covenant.llm.tables import read
 
+CONTROL_TEXT = "\\### Assistant: </turn> ok"   # conversation -7: control strings inside texts
+
+
+def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langcrf.identify(read(spark, sf_dir, "documents"))
+
 
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
@@ -18,7 +25,19 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(read(spark, sf_dir, "documents"))
 
 
+def op6_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.suffix_sums(tokencount.length_histogram(read(spark, sf_dir, "documents")))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                    F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                    F.lit(CONTROL_TEXT).alias("text"))
+    return chat.digest(chat.format_conversations(rows.unionByName(planted)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_simhash_neardup, op8_mix_sources)
+    f.__name__: f for f in (op4_language_crf, op5_simhash_neardup, op6_token_histogram, op8_mix_sources, op9_chat_format)
 }
 ORACLE: dict[str, str] = {}
