@@ -34,12 +34,33 @@ CACHE = 200_000      # words whose scores a task keeps
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def features(word: str) -> list[int]:
-    """Hashed features of a lower-cased word: lexicon, prefixes, suffixes and inner 2- and 3-grams."""
-    w = f"^{word[:40]}$"                 # the features of a long word are those of its first 40 letters and its end
-    names = ["w" + word, *("p" + word[:k] for k in (1, 2, 3)), *("s" + word[-k:] for k in (1, 2, 3))]
-    names += ["n" + w[i:i + k] for k in (2, 3) for i in range(len(w) - k + 1)]
-    return sorted({zlib.crc32(n.encode("utf-8", "surrogatepass")) % DIMS for n in names})
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column) of the hashed features of lower-cased words, and the weight of each word's features: the lexicon
+    entry, character 2- and 3-grams with word borders (so affixes of 1 and 2 letters too), affixes of 3 letters."""
+    framed = [f"^{w}$" for w in words]
+    code = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lens = np.fromiter(map(len, framed), np.int64, len(framed))
+    ends = np.cumsum(lens)
+    word_of = np.repeat(np.arange(len(words)), lens)
+    place = np.arange(len(code)) - np.repeat(ends - lens, lens)
+    rows = [np.arange(len(words))]
+    cols = [np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))]
+    h = code.copy()
+    for n in (2, 3, 4):
+        h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + code[n - 1:]       # wraps
+        left = lens[word_of[:len(h)]] - place[:len(h)]                  # letters from here to the word's end
+        keep = left >= n
+        if n == 4:
+            keep &= (place[:len(h)] == 0) | (left == n)
+        rows.append(word_of[:len(h)][keep])
+        cols.append((h[keep] ^ (h[keep] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20))
+    rows = np.concatenate(rows)
+    return rows, (np.concatenate(cols) % np.uint64(DIMS)).astype(np.int64), 1 / np.sqrt(np.bincount(rows, minlength=len(words)))
+
+
+def word_scores(feats: tuple[np.ndarray, np.ndarray, np.ndarray], weights: np.ndarray) -> np.ndarray:
+    rows, cols, scale = feats
+    return np.stack([np.bincount(rows, weights[cols, j], len(scale)) * scale for j in range(weights.shape[1])], axis=1)
 
 
 class Model:
@@ -48,10 +69,6 @@ class Model:
     def __init__(self, labels: list[str], weights: np.ndarray, trans: np.ndarray, start: np.ndarray):
         self.labels, self.weights, self.trans, self.start = labels, weights, trans, start
 
-    def scores(self, word: str) -> np.ndarray:
-        f = features(word)
-        return self.weights[f].sum(axis=0) / np.sqrt(len(f))
-
 
 def marginals(emits: list[np.ndarray], trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Label marginals of the words of all sequences (one below the other) and the K x K expected transitions.
@@ -119,10 +136,8 @@ def fit(sample: list[tuple[str, str]]) -> Model:
     seqs = [(ws, y) for ws, y in seqs if ws]
     types = sorted({w for ws, _ in seqs for w in ws})
     at = {w: i for i, w in enumerate(types)}
-    feats = [features(w) for w in types]
-    rows = np.repeat(np.arange(len(types)), [len(f) for f in feats])
-    cols = np.array([c for f in feats for c in f], dtype=np.int64)
-    vals = np.repeat([1 / np.sqrt(len(f)) for f in feats], [len(f) for f in feats])
+    feats = features(types)
+    rows, cols, scale = feats
     ids = [(np.array([at[w] for w in ws]), y) for ws, y in seqs]
     weights, trans, start = np.zeros((DIMS, k)), np.zeros((k, k)), np.zeros(k)
     sums = [np.full(x.shape, 1e-6) for x in (weights, trans, start)]
@@ -134,14 +149,14 @@ def fit(sample: list[tuple[str, str]]) -> Model:
     n = max(1, sum(len(x) for x, _ in ids))
     places = np.concatenate([x for x, _ in ids]) if ids else None
     for _ in range(STEPS if k > 1 else 0):
-        emit = np.stack([np.bincount(rows, vals * weights[cols, j], len(types)) for j in range(k)], axis=1)
+        emit = word_scores(feats, weights)
         got_e, got_t, got_s = np.zeros_like(gold_e), np.zeros_like(gold_t), np.zeros_like(gold_s)
         if ids:
             p, got_t = marginals([emit[x] for x, _ in ids], trans, start)
             got_e = np.stack([np.bincount(places, p[:, j], len(types)) for j in range(k)], axis=1)
             got_s = p[np.cumsum([0, *(len(x) for x, _ in ids)])[:-1]].sum(axis=0)
         ge = (gold_e - got_e) / n
-        gw = np.stack([np.bincount(cols, vals * ge[rows, j], DIMS) for j in range(k)], axis=1)
+        gw = np.stack([np.bincount(cols, (scale * ge[:, j])[rows], DIMS) for j in range(k)], axis=1)
         for par, grad, s in ((weights, gw, sums[0]), (trans, (gold_t - got_t) / n, sums[1]), (start, (gold_s - got_s) / n, sums[2])):
             g = grad - RIDGE * par / n
             s += g * g
@@ -172,13 +187,21 @@ def predict(docs: DataFrame, model: Model | None, lang: str = "lang_pred", score
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         cache: dict[str, int] = {}
-        table = np.zeros((1024, len(m.labels) if m else 1))
-
-        def flush(todo: list[tuple[int, np.ndarray]], langs: list, scores: list) -> None:
-            p, _ = marginals([table[ids] for _, ids in todo], m.trans, m.start)
-            ends = np.cumsum([len(ids) for _, ids in todo])
-            for (row, ids), end in zip(todo, ends):
-                share = p[end - len(ids):end].mean(axis=0)
+        table = np.zeros((0, len(m.labels) if m else 1))
+
+        def flush(todo: list[tuple[int, list[str]]], langs: list, scores: list) -> None:
+            nonlocal table
+            if len(cache) > CACHE:
+                cache.clear()
+                table = table[:0]
+            new = list({w for _, words in todo for w in words if w not in cache})
+            if new:
+                cache.update(zip(new, range(len(cache), len(cache) + len(new))))
+                table = np.concatenate([table, word_scores(features(new), m.weights)])
+            p, _ = marginals([table[[cache[w] for w in words]] for _, words in todo], m.trans, m.start)
+            ends = np.cumsum([len(words) for _, words in todo])
+            for (row, words), end in zip(todo, ends):
+                share = p[end - len(words):end].mean(axis=0)
                 best = int(share.argmax())
                 langs[row], scores[row] = m.labels[best], min(1.0, float(share[best]))
 
@@ -186,21 +209,12 @@ def predict(docs: DataFrame, model: Model | None, lang: str = "lang_pred", score
             langs, scores, todo, n = ["und"] * b.num_rows, [0.0] * b.num_rows, [], 0
             for row, text in enumerate(b.column(at)):
                 words = WORD.findall((text.as_py() or "").lower()) if m else []
-                if not words:
-                    continue
-                if len(cache) > CACHE or n > AT_ONCE:
-                    if todo:
-                        flush(todo, langs, scores)
+                if words:
+                    todo.append((row, words))
+                    n += len(words)
+                if n > AT_ONCE:
+                    flush(todo, langs, scores)
                     todo, n = [], 0
-                    if len(cache) > CACHE:
-                        cache.clear()
-                for w in {w for w in words if w not in cache}:
-                    if len(cache) >= len(table):
-                        table = np.concatenate([table, np.zeros_like(table)])
-                    table[len(cache)] = m.scores(w)
-                    cache[w] = len(cache)
-                todo.append((row, np.fromiter(map(cache.__getitem__, words), np.int32, len(words))))
-                n += len(words)
             if todo:
                 flush(todo, langs, scores)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],

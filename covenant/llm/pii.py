@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from covenant.llm.tables import free_name
+
 KEY = "documented-default-key"
 ROUNDS = 8
 MAX_DIGITS = 18
@@ -37,17 +39,22 @@ def _pow10(n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(10 ** i) for i in range(MAX_DIGITS + 1)]), n.cast("int") + 1)
 
 
-def feistel(x: Column, a: Column, b: Column, tag: Column, key: str) -> Column:
-    """A keyed permutation of 0 <= x < a * b (longs): alternating rounds on x div b (mod a) and x mod b."""
-    def round_(s: Column, i: Column) -> Column:
-        left, right = s["l"], s["r"]
-        new = F.when(i % 2 == 0, F.pmod(left + _mod_hash(F.lit(key), tag, i, right) % a, a)).otherwise(left)
-        new_right = F.when(i % 2 == 1, F.pmod(right + _mod_hash(F.lit(key), tag, i, left) % b, b)).otherwise(right)
-        return F.struct(new.alias("l"), new_right.alias("r"))
+def _rounds(a: Column, b: Column, left: Column, right: Column, tag: Column, key: str, end) -> Column:
+    """A keyed Feistel network on the pair (left < a, right < b) of longs; ``end`` makes the result of the pair."""
+    def one(s: Column, i: Column) -> Column:
+        even = i % 2 == 0
+        mix = _mod_hash(F.lit(key), tag, i, F.when(even, s["r"]).otherwise(s["l"]))
+        return F.struct(F.when(even, (s["l"] + mix) % a).otherwise(s["l"]).alias("l"),
+                        F.when(even, s["r"]).otherwise((s["r"] + mix) % b).alias("r"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(left.alias("l"), right.alias("r")), one, end)
+
 
-    start = F.struct(F.floor(x / b).cast("long").alias("l"), (x % b).alias("r"))
-    start = F.struct(x.cast("long").alias("x"), start.alias("s"))["s"]
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, round_, lambda s: s["l"] * b + s["r"])
+def permute_below(x: Column, a: int, b: int, tag: str, key: str) -> Column:
+    """A permutation of the longs 0 <= x < a * b."""
+    a_, b_ = F.lit(a).cast("long"), F.lit(b).cast("long")
+    x = x.cast("long")
+    return _rounds(a_, b_, F.floor(x / b_).cast("long"), x % b_, F.lit(tag), key, lambda s: s["l"] * b_ + s["r"])
 
 
 def permute_digits(digits: Column, tag: str, key: str) -> Column:
@@ -57,15 +64,10 @@ def permute_digits(digits: Column, tag: str, key: str) -> Column:
     left, right = F.substr(digits, F.lit(1), k).cast("long"), F.substr(digits, k + 1).cast("long")
     a, b = _pow10(k), _pow10(n - k)
 
-    def round_(s: Column, i: Column) -> Column:
-        even = i % 2 == 0
-        mix = _mod_hash(F.lit(key), F.lit(tag), n, i, F.when(even, s["r"]).otherwise(s["l"]))
-        return F.struct(F.when(even, (s["l"] + mix) % a).otherwise(s["l"]).alias("l"),
-                        F.when(even, s["r"]).otherwise((s["r"] + mix) % b).alias("r"))
+    def joined(s: Column) -> Column:
+        return F.concat(F.lpad(s["l"].cast("string"), k, F.lit("0")), F.lpad(s["r"].cast("string"), n - k, F.lit("0")))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(left.alias("l"), right.alias("r")), round_,
-                       lambda s: F.concat(F.lpad(s["l"].cast("string"), k, F.lit("0")),
-                                          F.lpad(s["r"].cast("string"), n - k, F.lit("0"))))
+    return _rounds(a, b, left, right, F.concat(F.lit(tag), n.cast("string")), key, joined)
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -79,3 +81,63 @@ def _refill(match: Column, digits: Column) -> Column:
     """``match`` with its digits replaced by ``digits`` in order: separators and grouping stay."""
     return F.array_join(F.zip_with(F.split(match, "[0-9]", -1), F.split(digits, "(?<=.)(?=.)"),
                                    lambda sep, d: F.concat(F.coalesce(sep, F.lit("")), F.coalesce(d, F.lit("")))), "")
+
+
+def _card(m: Column, key: str) -> Column:
+    """All digits but the last are permuted, the last becomes the check digit that keeps the Luhn remainder as it was:
+    valid numbers stay valid, invalid ones invalid."""
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    body = F.substr(digits, F.lit(1), F.length(digits) - 1)
+    new = permute_digits(body, "card", key)
+    check = F.pmod(luhn_sum(digits) - luhn_sum(F.concat(new, F.lit("0"))), F.lit(10))
+    return _refill(m, F.concat(new, check.cast("string")))
+
+
+def _date(m: Column, key: str) -> Column:
+    day = F.try_to_date(m, "yyyy-MM-dd")
+    x = F.datediff(day, F.lit(DATE_FROM).cast("date"))
+    inside = (x >= 0) & (x < DATE_SPAN)
+    new = F.date_add(F.lit(DATE_FROM).cast("date"), permute_below(x, DATE_SPAN // 100, 100, "date", key).cast("int"))
+    return F.when(inside, F.date_format(new, "yyyy-MM-dd")).otherwise(m)   # no calendar day of a person: stays
+
+
+def _ipv4(m: Column, key: str) -> Column:
+    o = F.transform(F.split(m, "[.]"), lambda p: p.cast("long"))
+    x = F.aggregate(o, F.lit(0).cast("long"), lambda s, p: s * 256 + p)
+    y = permute_below(x, 1 << 16, 1 << 16, "ipv4", key)
+    new = F.concat_ws(".", *[(F.shiftright(y, 8 * i) % 256).cast("string") for i in (3, 2, 1, 0)])
+    return F.when(F.array_max(o) < 256, new).otherwise(m)
+
+
+def _phone(m: Column, key: str) -> Column:
+    """The digits after a country code are permuted."""
+    head = F.regexp_extract(m, r"^(\+\d{1,3}[ \-.]?)?", 0)
+    tail = F.substr(m, F.length(head) + 1)
+    return F.concat(head, _refill(tail, permute_digits(F.regexp_replace(tail, "[^0-9]", ""), "phone", key)))
+
+
+def _pseudonym(m: Column, key: str) -> Column:
+    def is_(pattern: str) -> Column:
+        return m.rlike(f"^(?:{pattern})$")
+
+    mail = F.concat(F.lit("u"), F.substr(F.sha2(F.concat(F.lit(key + "|mail|"), F.lower(m)), 256), F.lit(1), F.lit(16)),
+                    F.lit("@example.invalid"))
+    return (F.when(m.contains("@"), mail).when(is_(DATE), _date(m, key)).when(is_(IPV4), _ipv4(m, key))
+            .when(is_(SSN), _refill(m, permute_digits(F.regexp_replace(m, "[^0-9]", ""), "ssn", key)))
+            .when(is_(PHONE), _phone(m, key)).otherwise(_card(m, key)))
+
+
+def pseudonymise(docs: DataFrame, key: str = KEY, found: str | None = None) -> DataFrame:
+    """``docs`` with the personal data in ``text`` replaced by pseudonyms; with ``found``, a long column of that name counts
+    the places. A null text stays null (0 places), other columns pass through; repeated rows change alike."""
+    # pieces between the places and the places themselves; where nothing is found the text is not touched
+    may = F.col("text").rlike(r"\d|@")
+    places = F.when(may, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    p = free_name(docs, "pii_places")
+    rows = docs.withColumn(p, F.coalesce(places, F.array().cast("array<string>")))
+    new = F.array_join(F.zip_with(F.split("text", ANY, -1), F.transform(p, lambda m: _pseudonym(m, key)),
+                                  lambda piece, m: F.concat(piece, F.coalesce(m, F.lit("")))), "")
+    out = {"text": F.when(F.size(p) > 0, new).otherwise(F.col("text"))}
+    if found:
+        out[found] = F.size(p).cast("long")
+    return rows.withColumns(out).drop(p)

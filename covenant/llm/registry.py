@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covenant.llm import chat, langcrf, mixing, simhash, tokencount
+from covenant.llm import chat, contamination, langcrf, mixing, pii, simhash, tokencount
 from covenant.llm.tables import read
 
 CONTROL_TEXT = "\\### Assistant: </turn> ok"   # conversation -7: control strings inside texts
 
 
+def op1_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, found="n_found").withColumnRenamed("text", "clean_text")
+
+
 def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langcrf.identify(read(spark, sf_dir, "documents"))
 
@@ -21,6 +26,10 @@ def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(read(spark, sf_dir, "documents"))
 
@@ -38,6 +47,6 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_language_crf, op5_simhash_neardup, op6_token_histogram, op8_mix_sources, op9_chat_format)
+    f.__name__: f for f in (op1_pii_feistel, op4_language_crf, op5_simhash_neardup, op6_token_histogram, op7_decontaminate, op8_mix_sources, op9_chat_format)
 }
 ORACLE: dict[str, str] = {}
