@@ -8,22 +8,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from covenant.llm import mixing, simhash
+from covenant.llm import contamination, langcrf, mixing, pii, simhash
 from covenant.llm.tables import read
 from covenant.session import materialize
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """CRF language ID: documents without a language that takes half of their words go."""
+    return langcrf.keep_identified(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-duplicates: one document of each component stays."""
     return simhash.drop_near_duplicates(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return contamination.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts become format-preserving pseudonyms; no document goes."""
+    return pii.pseudonymise(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: a document stands as often as the mix takes it."""
     return mixing.mix(docs)
 
 
-STAGES = [("simhash_near_dedup", near_dedup), ("mix_sources", mix_sources)]
+STAGES = [("language_id", language_id), ("simhash_near_dedup", near_dedup), ("decontaminate", decontaminate),
+          ("pii_pseudonyms", pseudonyms), ("mix_sources", mix_sources)]
 
 ORACLE_SQL = None   # trained, hashed and iterative stages: tested against brute force instead
 
