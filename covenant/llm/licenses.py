@@ -15,8 +15,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covenant.session import materialize
-
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LEAST = 0.8     # IDF-weighted share of a template's words that stand at their places
 
@@ -81,7 +79,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, least: fl
 
     A null or empty text has no words and score 0; repeated rows are scanned alike; an empty table gives no rows.
     """
-    split = materialize(docs.select("doc_id", words(F.col("text")).alias("ws")), "licence-words")
+    split = docs.select("doc_id", words(F.col("text")).alias("ws"))
     idf = licence_idf(split, templates)
     index = []          # (rarest key word, template, its position)
     for t in templates:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covenant.llm import chat, contamination, htmltext, langcrf, licenses, mixing, pii, simhash, tokencount
+from covenant.llm import chat, contamination, htmltext, kmtree, langcrf, licenses, mixing, pii, simhash, tokencount
 from covenant.llm.tables import read
 
 CONTROL_TEXT = "\\### Assistant: </turn> ok"   # conversation -7: control strings inside texts
@@ -18,6 +18,11 @@ def op1_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, found="n_found").withColumnRenamed("text", "clean_text")
 
 
+def op2_ann_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return kmtree.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(read(spark, sf_dir, "documents")))
 
@@ -56,6 +61,6 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii_feistel, op3_license_scan, op4_language_crf, op5_simhash_neardup, op6_token_histogram, op7_decontaminate, op8_mix_sources, op9_chat_format, op10_html_text)
+    f.__name__: f for f in (op1_pii_feistel, op2_ann_kmeans_tree, op3_license_scan, op4_language_crf, op5_simhash_neardup, op6_token_histogram, op7_decontaminate, op8_mix_sources, op9_chat_format, op10_html_text)
 }
 ORACLE: dict[str, str] = {}
