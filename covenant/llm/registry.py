@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covenant.llm import chat, contamination, htmltext, kmtree, langcrf, licenses, mixing, pii, simhash, tokencount
+from covenant.llm import chat, contamination, htmltext, kmtree, langcrf, licenses, mixing, oracle, pii, simhash, tokencount
 from covenant.llm.tables import read
 
 CONTROL_TEXT = "\\### Assistant: </turn> ok"   # conversation -7: control strings inside texts
@@ -36,7 +36,8 @@ def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination.contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return contamination.contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")) \
+        .drop("text_hash")
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +64,4 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii_feistel, op2_ann_kmeans_tree, op3_license_scan, op4_language_crf, op5_simhash_neardup, op6_token_histogram, op7_decontaminate, op8_mix_sources, op9_chat_format, op10_html_text)
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_decontaminate": oracle.CONTAINMENT, "op9_chat_format": oracle.CHAT}
