@@ -24,6 +24,10 @@ REASON_NO_BODY = "Missing request body"
 REASON_BAD_JSON = "Invalid JSON"
 REASON_STRICT = "Missing soulContractId, newStatus, or amount"
 REASON_LENIENT = "Missing soulId, newStatus, or amount in request"
+REASON_AMOUNT = "Amount out of range"
+REASON_SEQ = "Invalid seq"
+REASON_ID = "Invalid contract id"
+MAX_SEQ = 1 << 61     # the ids derived from a sequence number, -(2*seq + 2), stay inside BIGINT
 NUMERIC_JSON = ("BIGINT", "DOUBLE", "DECIMAL", "INT", "FLOAT")
 
 
@@ -57,7 +61,7 @@ def _falsy_json(v: Column) -> Column:
             | (t.startswith("DECIMAL") | t.isin(*NUMERIC_JSON)) & (F.try_variant_get(v, "$", "double") == 0))
 
 
-def validate_commands(raw: DataFrame, amount: str = "strict", now: str | None = None):
+def validate_commands(raw: DataFrame, amount: str = "strict", now: str | None = None, cid_type: str | None = None):
     """M9: raw request bodies (column ``value``; optional ``ts``/``seq``) ->
     (valid, rejected).
 
@@ -67,6 +71,9 @@ def validate_commands(raw: DataFrame, amount: str = "strict", now: str | None =
     handler): id key ``soulId`` and amount merely present (a string or JSON
     null passes). A body may carry ``ts`` (ISO ms text) and ``seq``; otherwise
     ``now`` and a hash of the body stand in, so replays are deterministic.
+    No value is changed silently: an amount outside decimal(18,6), a ``seq``
+    that is no number from 0 below 2^61 and, with ``cid_type``, an id that is
+    no such value are rejected with a reason of their own.
     """
     v = F.try_parse_json(F.col("value"))
     id_key = "soulContractId" if amount == "strict" else "soulId"
@@ -81,9 +88,16 @@ def validate_commands(raw: DataFrame, amount: str = "strict", now: str | None =
         amount_ok = vam.isNotNull()
         reason_missing = REASON_LENIENT
     is_object = F.schema_of_variant(v).startswith("OBJECT")
-    reason = (F.when(F.col("value").isNull(), F.lit(REASON_NO_BODY))
+    numeric = am_type.startswith("DECIMAL") | am_type.isin(*NUMERIC_JSON)
+    vseq = F.try_variant_get(v, "$.seq", "variant")
+    seq = F.try_variant_get(v, "$.seq", "bigint")
+    bad_seq = vseq.isNotNull() & (F.schema_of_variant(vseq) != "VOID") & ~F.coalesce((seq >= 0) & (seq < MAX_SEQ), F.lit(False))
+    bad_id = F.try_variant_get(v, f"$.{id_key}", "string").try_cast(cid_type).isNull() if cid_type else F.lit(False)
+    reason = (F.when(F.col("value").isNull() | (F.col("value") == ""), F.lit(REASON_NO_BODY))
               .when(v.isNull(), F.lit(REASON_BAD_JSON))
-              .when(~is_object | _falsy_json(vid) | _falsy_json(vst) | ~amount_ok, F.lit(reason_missing)))
+              .when(~is_object | _falsy_json(vid) | _falsy_json(vst) | ~amount_ok, F.lit(reason_missing))
+              .when(numeric & F.try_variant_get(v, "$.amount", MONEY.simpleString()).isNull(), F.lit(REASON_AMOUNT))
+              .when(bad_seq, F.lit(REASON_SEQ)).when(bad_id, F.lit(REASON_ID)))
     ts_in = F.col("ts") if "ts" in raw.columns else F.lit(None).cast("timestamp_ntz")
     seq_in = F.col("seq") if "seq" in raw.columns else F.lit(None).cast("long")
     staged = raw.select(F.col("value"), reason.alias("reason"), v.alias("_v"), ts_in.alias("_ts"),
@@ -99,7 +113,7 @@ def validate_commands(raw: DataFrame, amount: str = "strict", now: str | None =
         # without a sequence number, a 61-bit hash of the body stands in (the
         # ids derived from it, -(2*seq + 2), stay inside BIGINT)
         F.coalesce(F.col("_seq"), F.try_variant_get(j, "$.seq", "bigint"),
-                   F.pmod(F.xxhash64("value"), F.lit(1 << 61))).alias("seq"))
+                   F.pmod(F.xxhash64("value"), F.lit(MAX_SEQ))).alias("seq"))
     return valid, rejected
 
 

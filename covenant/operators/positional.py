@@ -8,9 +8,9 @@ many partitions; each partition numbers its slice locally and the per-slice
 row counts (one row per partition x group, a small table) give each slice its
 offset. No task ever holds more than one range partition of rows.
 
-Cost: one range shuffle (the slice counts reuse it; the final adaptive plan
-shows a ReusedExchange), one hash shuffle for the per-slice numbering, and
-small shuffles of the per-slice counts (one row per slice and group).
+Cost: one range shuffle whose result is written to the shared folder, one hash
+shuffle for the per-slice numbering, and small shuffles of the per-slice counts
+(one row per slice and group).
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from covenant.session import materialize
+
 
 def group_positions(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
                     pos_col: str = "pos", num_partitions: int | None = None,
@@ -33,12 +35,13 @@ def group_positions(df: DataFrame, group: Sequence[str], order: Sequence[Column
     # one struct key per group: never NULL itself and equal when its fields are
     # equal (NULL fields included), so a NULL group value is a group of its own
     # and every join below is a plain equi-join on (_slice, _gk)
-    sliced = (df.withColumn("_gk", F.struct(*group_cols))
-              .repartitionByRange(n, *group_cols, *order_cols)
-              .withColumn("_slice", F.spark_partition_id()))
+    # the bounds of a range shuffle are sampled: the sliced rows are written once, so that the numbering and the
+    # counts below see the same slices whatever columns each of them reads
+    sliced = materialize(df.repartitionByRange(n, *group_cols, *order_cols).withColumn("_slice", F.spark_partition_id()),
+                         "positions").withColumn("_gk", F.struct(*group_cols))
     local = sliced.withColumn(
         "_lrn", F.row_number().over(Window.partitionBy("_slice", "_gk").orderBy(*order_cols)))
-    counts = local.groupBy("_slice", "_gk").agg(F.count(F.lit(1)).alias("_cnt"))
+    counts = sliced.groupBy("_slice", "_gk").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy("_gk").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     extra = [F.sum("_cnt").over(Window.partitionBy("_gk")).alias("_size")] if size_col else []
     offsets = counts.select("_slice", "_gk", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
