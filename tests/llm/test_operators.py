@@ -153,12 +153,13 @@ def test_mix_targets_and_repeats(docs):
     rows = [(i, "w " * (i % 7), None, ("a", "b", "c", None)[i % 4]) for i in range(200)] + [(1, "w w w", None, "a")] * 2 + [(None, None, None, "b")]
     got = mixing.mix_plan(docs(rows)).collect()
     assert len(got) == len(rows) and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
-    size, taken = {}, {}
+    taken = {}
     for r in got:
-        size[r["target"]] = r["source_size"]
-        taken[r["target"]] = taken.get(r["target"], 0) + r["taken"]
-    assert abs(sum(size) - sum(size.values())) < 1e-6                     # one target per source: shares of all words
-    assert all(abs(taken[t] - t) <= 7 and t <= 3 * s + 1e-9 for t, s in size.items())
+        key = (r["source_size"], r["target"])                             # sources 1 and 4 both weigh 5
+        taken[key] = taken.get(key, 0) + r["taken"]
+    assert len(taken) == 4
+    assert abs(sum(t for _, t in taken) - sum(s for s, _ in taken)) < 1e-6    # the targets share all words
+    assert all(abs(k - t) <= 7 and t <= 3 * s + 1e-9 for (s, t), k in taken.items())
     again = mixing.mix_plan(docs(rows)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert mixing.mix_plan(docs([])).count() == 0
