@@ -33,7 +33,7 @@ BLOCK = 1 << 18      # leaves in one block (2 MB)
 TOP = 6              # least depth of the top level
 DEEPEST_TOP = 16     # its greatest depth: node counts (2^depth rows) stay broadcastable
 FRONTIER = 1 << 15   # node pairs descended at once
-LEAF_PAIRS = 16      # a node pair with so few leaf pairs is compared leaf by leaf
+LEAF_PAIRS = 1 << 15 # a node pair with so few leaf pairs is compared in one dense step (256 KB)
 HASHED_AT_ONCE = 1 << 16
 
 
@@ -111,6 +111,19 @@ class _Trie:
         return hi - (ones[hi] - ones[lo])
 
 
+def _dense(a: np.ndarray, b: np.ndarray, alo: int, ahi: int, blo: int, bhi: int, budget: int,
+           own: bool) -> tuple[np.ndarray, np.ndarray] | None:
+    """The pairs within the budget of two short ranges of leaves (``own``: only i < j)."""
+    near = np.bitwise_count(a[alo:ahi, None] ^ b[None, blo:bhi]) <= budget
+    if not near.any():
+        return None
+    i, j = np.nonzero(near)
+    i, j = i + alo, j + blo
+    if own:
+        i, j = i[i < j], j[i < j]
+    return (i, j) if len(i) else None
+
+
 def close_leaves(a: np.ndarray, b: np.ndarray | None, depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Arrays (i, j) of all leaf pairs a[i], b[j] that differ in at most ``budget`` bits, without equal leaves of one
     block (``b`` None: pairs i < j within ``a``). All of a, and all of b, share their first ``depth`` bits."""
@@ -128,17 +141,11 @@ def close_leaves(a: np.ndarray, b: np.ndarray | None, depth: int, budget: int) -
         d, alo, ahi, blo, bhi, err = todo.pop()
         n = (ahi - alo).astype(np.int64) * (bhi - blo)
         few = n <= LEAF_PAIRS
-        if few.any():
-            m = n[few]
-            first = np.repeat(np.cumsum(m) - m, m)
-            k = np.arange(int(m.sum())) - first
-            width = np.repeat(bhi[few] - blo[few], m)
-            i, j = np.repeat(alo[few], m) + k // width, np.repeat(blo[few], m) + k % width
-            if own:
-                i, j = i[i < j], j[i < j]
-            near = np.bitwise_count(ta.leaves[i] ^ tb.leaves[j]) <= budget
-            if near.any():
-                yield i[near], j[near]
+        near = [_dense(ta.leaves, tb.leaves, *node, budget, own)
+                for node in zip(*(x[few].tolist() for x in (alo, ahi, blo, bhi)))]
+        near = [p for p in near if p is not None]
+        if near:
+            yield np.concatenate([i for i, _ in near]), np.concatenate([j for _, j in near])
         if few.all():
             continue
         alo, ahi, blo, bhi, err = (x[~few] for x in (alo, ahi, blo, bhi, err))
