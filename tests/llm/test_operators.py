@@ -213,7 +213,7 @@ def test_html_extraction(spark):
     assert htmltext.main_text("just text") == "just text"
     assert len(htmltext.main_text("<div>" * 5000 + "deep")) == 4
     df = spark.createDataFrame([(1, None, None), (2, "u", page), (2, "u", page)], "page_id long, url string, html string")
-    assert sorted(len(r["text"]) for r in htmltext.extract(df).collect()) == [0, 35, 35]
+    assert sorted(r["text"] for r in htmltext.extract(df).collect()) == ["", *["A & B\n\none two three four\n\nfive é"] * 2]
 
 
 def test_token_histogram(spark, docs):
