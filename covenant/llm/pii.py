@@ -84,29 +84,32 @@ def _refill(match: Column, digits: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    """All digits but the last are permuted, the last becomes the check digit that keeps the Luhn remainder as it was:
-    valid numbers stay valid, invalid ones invalid."""
+    """All digits but the last are permuted, the last becomes the check digit: valid numbers stay valid."""
     digits = F.regexp_replace(m, "[^0-9]", "")
     body = F.substr(digits, F.lit(1), F.length(digits) - 1)
     new = permute_digits(body, "card", key)
-    check = F.pmod(luhn_sum(digits) - luhn_sum(F.concat(new, F.lit("0"))), F.lit(10))
+    check = F.pmod(-luhn_sum(F.concat(new, F.lit("0"))), F.lit(10))
     return _refill(m, F.concat(new, check.cast("string")))
 
 
+def _day(m: Column) -> Column:
+    """Days from DATE_FROM on; null if there is no such calendar day."""
+    return F.datediff(F.try_to_date(m, "yyyy-MM-dd"), F.lit(DATE_FROM).cast("date"))
+
+
 def _date(m: Column, key: str) -> Column:
-    day = F.try_to_date(m, "yyyy-MM-dd")
-    x = F.datediff(day, F.lit(DATE_FROM).cast("date"))
-    inside = (x >= 0) & (x < DATE_SPAN)
-    new = F.date_add(F.lit(DATE_FROM).cast("date"), permute_below(x, DATE_SPAN // 100, 100, "date", key).cast("int"))
-    return F.when(inside, F.date_format(new, "yyyy-MM-dd")).otherwise(m)   # no calendar day of a person: stays
+    new = F.date_add(F.lit(DATE_FROM).cast("date"), permute_below(_day(m), DATE_SPAN // 100, 100, "date", key).cast("int"))
+    return F.date_format(new, "yyyy-MM-dd")
+
+
+def _octets(m: Column) -> Column:
+    return F.transform(F.split(m, "[.]"), lambda p: p.cast("long"))
 
 
 def _ipv4(m: Column, key: str) -> Column:
-    o = F.transform(F.split(m, "[.]"), lambda p: p.cast("long"))
-    x = F.aggregate(o, F.lit(0).cast("long"), lambda s, p: s * 256 + p)
+    x = F.aggregate(_octets(m), F.lit(0).cast("long"), lambda s, p: s * 256 + p)
     y = permute_below(x, 1 << 16, 1 << 16, "ipv4", key)
-    new = F.concat_ws(".", *[(F.shiftright(y, 8 * i) % 256).cast("string") for i in (3, 2, 1, 0)])
-    return F.when(F.array_max(o) < 256, new).otherwise(m)
+    return F.concat_ws(".", *[(F.shiftright(y, 8 * i) % 256).cast("string") for i in (3, 2, 1, 0)])
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -116,20 +119,30 @@ def _phone(m: Column, key: str) -> Column:
     return F.concat(head, _refill(tail, permute_digits(F.regexp_replace(tail, "[^0-9]", ""), "phone", key)))
 
 
-def _pseudonym(m: Column, key: str) -> Column:
-    def is_(pattern: str) -> Column:
-        return m.rlike(f"^(?:{pattern})$")
+def _is(m: Column, pattern: str) -> Column:
+    return m.rlike(f"^(?:{pattern})$")
 
+
+def _valid(m: Column) -> Column:
+    """Whether a place holds what it looks like: a day of the date domain, octets below 256, a card's check digit."""
+    card = luhn_sum(F.regexp_replace(m, "[^0-9]", "")) % 10 == 0
+    return F.coalesce(F.when(m.contains("@"), True).when(_is(m, DATE), _day(m).between(0, DATE_SPAN - 1))
+                      .when(_is(m, IPV4), F.array_max(_octets(m)) < 256).when(_is(m, SSN) | _is(m, PHONE), True)
+                      .otherwise(card), F.lit(False))
+
+
+def _pseudonym(m: Column, key: str) -> Column:
     mail = F.concat(F.lit("u"), F.substr(F.sha2(F.concat(F.lit(key + "|mail|"), F.lower(m)), 256), F.lit(1), F.lit(16)),
                     F.lit("@example.invalid"))
-    return (F.when(m.contains("@"), mail).when(is_(DATE), _date(m, key)).when(is_(IPV4), _ipv4(m, key))
-            .when(is_(SSN), _refill(m, permute_digits(F.regexp_replace(m, "[^0-9]", ""), "ssn", key)))
-            .when(is_(PHONE), _phone(m, key)).otherwise(_card(m, key)))
+    return (F.when(~_valid(m), m).when(m.contains("@"), mail).when(_is(m, DATE), _date(m, key))
+            .when(_is(m, IPV4), _ipv4(m, key))
+            .when(_is(m, SSN), _refill(m, permute_digits(F.regexp_replace(m, "[^0-9]", ""), "ssn", key)))
+            .when(_is(m, PHONE), _phone(m, key)).otherwise(_card(m, key)))
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, found: str | None = None) -> DataFrame:
     """``docs`` with the personal data in ``text`` replaced by pseudonyms; with ``found``, a long column of that name counts
-    the places. A null text stays null (0 places), other columns pass through; repeated rows change alike."""
+    the places. Numbers that only look like one (no check digit, octets above 255, no such day) stay. A null text stays null (0 places), other columns pass through; repeated rows change alike."""
     # pieces between the places and the places themselves; where nothing is found the text is not touched
     may = F.col("text").rlike(r"\d|@")
     places = F.when(may, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
@@ -139,5 +152,5 @@ def pseudonymise(docs: DataFrame, key: str = KEY, found: str | None = None) -> D
                                   lambda piece, m: F.concat(piece, F.coalesce(m, F.lit("")))), "")
     out = {"text": F.when(F.size(p) > 0, new).otherwise(F.col("text"))}
     if found:
-        out[found] = F.size(p).cast("long")
+        out[found] = F.size(F.filter(p, _valid)).cast("long")
     return rows.withColumns(out).drop(p)

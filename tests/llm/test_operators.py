@@ -113,6 +113,14 @@ def _luhn(s):
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(ds)) % 10
 
 
+def test_pii_leaves_numbers_that_fail_validation(docs):
+    text = "4111111111111112 and 999.1.1.1 and 2023-02-30 and 9807915762804490"
+    got = pii.pseudonymise(docs([(1, text), (2, "card 4111111111111111 now")]), found="n").orderBy("doc_id").collect()
+    assert got[0]["text"] == text and got[0]["n"] == 0
+    card = got[1]["text"].split()[1]
+    assert got[1]["n"] == 1 and card != "4111111111111111" and len(card) == 16 and _luhn(card) == 0
+
+
 def test_pii_formats_and_links(docs):
     rows = [(1, "card 4111 1111 1111 1111 born 1984-02-29 at 10.0.0.255 or +1 (555) 555-1234."),
             (2, "again 4111 1111 1111 1111, mail a.b@x.example.com; 123-45-6789"),
