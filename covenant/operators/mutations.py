@@ -61,7 +61,8 @@ def _falsy_json(v: Column) -> Column:
             | (t.startswith("DECIMAL") | t.isin(*NUMERIC_JSON)) & (F.try_variant_get(v, "$", "double") == 0))
 
 
-def validate_commands(raw: DataFrame, amount: str = "strict", now: str | None = None, cid_type: str | None = None):
+def validate_commands(raw: DataFrame, amount: str = "strict", now: str | None = None, cid_type: str | None = None,
+                      source: str = ""):
     """M9: raw request bodies (column ``value``; optional ``ts``/``seq``) ->
     (valid, rejected).
 
@@ -70,7 +71,9 @@ def validate_commands(raw: DataFrame, amount: str = "strict", now: str | None =
     ``soulContractId`` and amount must be a JSON number. ``lenient`` (key-value
     handler): id key ``soulId`` and amount merely present (a string or JSON
     null passes). A body may carry ``ts`` (ISO ms text) and ``seq``; otherwise
-    ``now`` and a hash of the body stand in, so replays are deterministic.
+    ``now`` and a hash of (``source``, ``now``, body, place of the row in
+    ``raw``) stand in: every request is one of its own, also if bodies repeat,
+    and the same batch with the same ``now`` gives the same numbers again.
     No value is changed silently: an amount outside decimal(18,6), a ``seq``
     that is no number from 0 below 2^61 and, with ``cid_type``, an id that is
     no such value are rejected with a reason of their own.
@@ -101,7 +104,7 @@ def validate_commands(raw: DataFrame, amount: str = "strict", now: str | None =
     ts_in = F.col("ts") if "ts" in raw.columns else F.lit(None).cast("timestamp_ntz")
     seq_in = F.col("seq") if "seq" in raw.columns else F.lit(None).cast("long")
     staged = raw.select(F.col("value"), reason.alias("reason"), v.alias("_v"), ts_in.alias("_ts"),
-                        seq_in.alias("_seq"))
+                        seq_in.alias("_seq"), F.monotonically_increasing_id().alias("_place"))
     rejected = staged.where(F.col("reason").isNotNull()).select("value", "reason")
     j = F.col("_v")
     now_col = F.lit(now).cast("timestamp_ntz") if now else F.lit(None).cast("timestamp_ntz")
@@ -110,10 +113,9 @@ def validate_commands(raw: DataFrame, amount: str = "strict", now: str | None =
         F.try_variant_get(j, "$.newStatus", "string").alias("new_status"),
         F.try_variant_get(j, "$.amount", MONEY.simpleString()).alias("amount"),
         F.coalesce(F.col("_ts"), _parse_ts(F.try_variant_get(j, "$.ts", "string")), now_col).alias("ts"),
-        # without a sequence number, a 61-bit hash of the body stands in (the
-        # ids derived from it, -(2*seq + 2), stay inside BIGINT)
+        # the ids derived from a sequence number, -(2*seq + 2), stay inside BIGINT
         F.coalesce(F.col("_seq"), F.try_variant_get(j, "$.seq", "bigint"),
-                   F.pmod(F.xxhash64("value"), F.lit(MAX_SEQ))).alias("seq"))
+                   F.pmod(F.xxhash64(F.lit(source), F.lit(now or ""), "value", "_place"), F.lit(MAX_SEQ))).alias("seq"))
     return valid, rejected
 
 

@@ -45,7 +45,7 @@ def commit_commands(spark: SparkSession, store: str, batch_id: int, raw: DataFra
     if is_committed(spark, store, batch_id):
         return
     stamp = now or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
-    valid, rejected = validate_commands(raw, amount=amount, now=stamp, cid_type=cid_type)
+    valid, rejected = validate_commands(raw, amount=amount, now=stamp, cid_type=cid_type, source=f"batch {batch_id}")
     valid = valid.persist()
     try:
         ev, lg = bundle_rows(valid, id_type, cid_type)

@@ -30,3 +30,12 @@ def test_positions_with_payload(spark, reuse):
         assert got.count() == 120_000
     finally:
         spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_repeated_bodies_stay_requests_of_their_own(spark):
+    body = '{"soulContractId": 1, "newStatus": "Redeemed", "amount": 2.5}'
+    raw = spark.createDataFrame([(body,), (body,), (body,)], "value string")
+    first = [r["seq"] for r in M.validate_commands(raw, now="2024-01-01 00:00:00")[0].collect()]
+    again = [r["seq"] for r in M.validate_commands(raw, now="2024-01-01 00:00:00")[0].collect()]
+    later = [r["seq"] for r in M.validate_commands(raw, now="2024-01-02 00:00:00")[0].collect()]
+    assert len(set(first)) == 3 and sorted(first) == sorted(again) and not set(first) & set(later)
