@@ -1,6 +1,7 @@
 """Approximate nearest neighbours (largest inner product) by a hierarchical k-means tree, best bin first.
 
-1. A tree of k-means splits is fitted on a bounded sample (``SAMPLE`` vectors of least seeded hash, a documented bound).
+1. A tree of k-means splits is fitted on a bounded sample (of each of ``SAMPLE`` hash slots the vector of least second
+   hash, whatever the order of the ids; a documented bound).
 2. Every vector descends to its leaf; a leaf is cut into blocks by hash, so a hot leaf is many rows, not one.
 3. Every query walks the tree through a priority queue of unexplored nodes (greatest inner product with the centre
    first) and visits leaves; the number of visits is widened on the sample until the wanted recall is reached there.
@@ -27,7 +28,8 @@ PROBES = 200         # sample vectors that calibrate the number of visits
 RECALL = 0.97        # wanted on the sample
 VECTORS = 2048       # vectors of one block
 QUERIES = 512        # queries of one block
-SEED = 11
+SEED = 11            # deals the vectors to the slots of the sample
+SEED_PICK = 12       # picks one vector of a slot
 
 
 class Tree:
@@ -125,14 +127,21 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1) if len(col) else np.zeros((0, 1))
 
 
+def sample(base: DataFrame) -> DataFrame:
+    """(vec_id, v): at most ``SAMPLE`` vectors from the whole table. The pick within a slot is by a hash of its own: by
+    the id it would be a prefix of the table."""
+    slots = F.pmod(F.xxhash64(F.lit(SEED), "vec_id"), F.lit(SAMPLE))
+    least = F.min_by(F.struct("vec_id", "v"), F.xxhash64(F.lit(SEED_PICK), "vec_id"))
+    return base.groupBy(slots.alias("slot")).agg(least.alias("one")).select("one.*")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every row of ``queries`` among ``vectors`` (both vec_id,
     embedding), nearest first, ties to the smaller vec_id; all candidates, if there are fewer. Rows with the query's own
     vec_id are no candidates; a repeated vec_id is a candidate with each of its rows."""
     spark = vectors.sparkSession
     base = materialize(usable(vectors), "ann-vectors")
-    slots = F.pmod(F.xxhash64(F.lit(SEED), "vec_id"), F.lit(SAMPLE))
-    picked = base.groupBy(slots.alias("slot")).agg(F.min_by("v", "vec_id").alias("v")).select("v").collect()
+    picked = sample(base).select("v").collect()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not picked:
         return empty

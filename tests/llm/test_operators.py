@@ -254,3 +254,24 @@ def test_ann_recall_and_cases(spark):
     assert out == [(0, 1, 1, 1.0), (0, 2, 7, 1.0), (0, 3, 20, 0.5), (0, 4, 2, 0.0),
                    (20, 1, 0, 0.5), (20, 2, 1, 0.5), (20, 3, 7, 0.5), (20, 4, 2, 0.0)]
     assert kmtree.nearest(df.limit(0), df).count() == 0
+
+
+def test_ann_sample_is_no_prefix_and_later_clusters_are_found(spark):
+    n, size, dim = 64_000, 500, 16                                       # ids ordered by cluster, 128 clusters
+    ids = spark.range(1_000_000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("v"))
+    tenths = {r["t"]: r["count"] for r in kmtree.sample(ids).groupBy(F.floor(F.col("vec_id") / 100_000).alias("t")).count().collect()}
+    assert sum(tenths.values()) == kmtree.SAMPLE and min(tenths.get(t, 0) for t in range(10)) > 1300
+    rng = np.random.default_rng(4)
+    x = (np.repeat(rng.normal(size=(n // size, dim)), size, axis=0) + 0.4 * rng.normal(size=(n, dim))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    got = {}
+    for r in kmtree.nearest(df, df.where("vec_id % 640 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    x = x.astype(float)
+    hits = []
+    for q in range(0, n, 640):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len(got[q] & set(np.argsort(-s, kind="stable")[:20].tolist())) / 20)
+    assert len(hits) == 100 and np.mean(hits) >= 0.9 and np.mean(hits[50:]) >= 0.9
