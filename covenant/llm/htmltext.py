@@ -25,18 +25,40 @@ CLOSES_P = set("address article aside blockquote center details div dl fieldset
                "hr main menu nav ol p pre section table ul li dd dt tr td th body".split())
 SCOPES = {"li": ("li", "ul ol menu"), "dd": ("dd dt", "dl"), "dt": ("dd dt", "dl"), "tr": ("tr td th", "table"),
           "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
-NOISE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adv|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|"
-                   r"newsletter|subscribe|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|"
-                   r"comments?|disqus|respond|replies|share|sharing|social|related|recommend\w*|pagination|pager|login)(?:$|[\s_-])", re.I)
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+# words of class and id that name what is no article; the ambiguous ones are also words of articles and their layout
+PLAIN = re.compile(r"ads?|adv|advert\w*|sponsor\w*|cookies?|gdpr|popup|modal|newsletter|subscribe|sidebar|nav|navbar|navigation|"
+                   r"breadcrumbs?|footer|masthead|comments?|disqus|pagination|pager")
+AMBIGUOUS = re.compile(r"banner|promo\w*|consent|notice|side|widgets?|menu|header|respond|replies|share|sharing|social|related|"
+                       r"recommend\w*|login")
+NEUTRAL = re.compile(r"\d*|area|bar|block|box|buttons?|container|content|footer|form|inner|items?|left|links?|list|outer|posts?|"
+                     r"right|row|section|site|top|wrap|wrapper")
+LAYOUT = set("has no non not with without".split())      # has-sidebar, no-comments: the layout, not the thing
 ROLES = set("navigation banner contentinfo complementary search dialog alert menu menubar alertdialog".split())
 KEEP = set("html body article main".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "drop", "chars", "tags", "link_chars", "link_tags", "density", "sums")
+    __slots__ = ("tag", "parent", "kids", "drop", "names", "own", "article", "chars", "tags", "link_chars", "link_tags",
+                 "density", "sums")
 
-    def __init__(self, tag: str, parent: "Node | None", drop: bool = False):
-        self.tag, self.parent, self.kids, self.drop = tag, parent, [], drop
+    def __init__(self, tag: str, parent: "Node | None", drop: bool = False, names: tuple[int, int] = (0, 0)):
+        self.tag, self.parent, self.kids, self.drop, self.names, self.own = tag, parent, [], drop, names, 0
+
+
+def _noise(value: str) -> int:
+    """3: one of the names is a noise word, or made of such and neutral ones; 2: the same with ambiguous words only; 1: a
+    noise word is but a part of a name; 0: none. Names like has-sidebar speak of the layout."""
+    level = 0
+    for name in value.lower().split():
+        parts = re.split("[-_]+", name)
+        if parts[0] in LAYOUT:
+            continue
+        plain = any(PLAIN.fullmatch(x) for x in parts)
+        if plain or any(AMBIGUOUS.fullmatch(x) for x in parts):
+            whole = all(PLAIN.fullmatch(x) or AMBIGUOUS.fullmatch(x) or NEUTRAL.fullmatch(x) for x in parts)
+            level = max(level, (3 if plain else 2) if whole else 1)
+    return level
 
 
 class _Dom(HTMLParser):
@@ -64,12 +86,12 @@ class _Dom(HTMLParser):
         if self.at.tag == "head" and tag == "body":
             self.at = self.at.parent
         a = {k: v or "" for k, v in attrs}
-        noisy = tag not in KEEP and bool(NOISE.search(a.get("class", "")) or NOISE.search(a.get("id", "")))
+        names = (0, 0) if tag in KEEP or tag in HEADINGS else (_noise(a.get("class", "")), _noise(a.get("id", "")))
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
         # the header of an article holds its title
         own_header = tag == "header" and any(n.tag == "article" for n in _up(self.at))
-        drop = (tag in DROPPED and not own_header) or noisy or hidden or a.get("role", "") in ROLES
-        node = Node(tag, self.at, drop)
+        drop = (tag in DROPPED and not own_header) or hidden or a.get("role", "") in ROLES
+        node = Node(tag, self.at, drop, names)
         self.at.kids.append(node)
         self.nodes.append(node)
         if tag not in VOID:
@@ -87,6 +109,7 @@ class _Dom(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.at.kids.append(data)
+        self.at.own += len("".join(data.split()))
 
 
 def _up(n: Node | None) -> Iterator[Node]:
@@ -95,18 +118,50 @@ def _up(n: Node | None) -> Iterator[Node]:
         n = n.parent
 
 
-def _measure(nodes: list[Node]) -> None:
-    """Characters, tags, their share in links, density and the children's density sum of every node, leaves first."""
+def _count(nodes: list[Node]) -> None:
+    """Characters, tags, their share in links and the characters in article or main of every node, leaves first."""
     for n in reversed(nodes):
-        n.chars = n.tags = n.link_chars = n.link_tags = 0
-        for k in n.kids if not n.drop else ():
-            if isinstance(k, str):
-                n.chars += len("".join(k.split()))
-            elif not k.drop:
+        n.chars = n.tags = n.link_chars = n.link_tags = n.article = 0
+        if n.drop:
+            continue
+        n.chars = n.own
+        for k in n.kids:
+            if not isinstance(k, str) and not k.drop:
                 n.chars += k.chars
                 n.tags += k.tags + 1
                 n.link_chars += k.chars if k.tag == "a" else k.link_chars
                 n.link_tags += k.link_tags + (k.tag == "a")
+                n.article += k.article
+        if n.tag in ("article", "main"):
+            n.article = n.chars
+
+
+def _drop_named(nodes: list[Node]) -> None:
+    """Drop by class and id. Never headings, the greater part of the article elements' text, nor, on a page without such
+    elements, of all text. A plain noise name drops its element; an ambiguous one (ids within an article too: they are
+    anchors) drops it when half of its text is links or it stands beside the article; a part of a name needs the links and
+    drops no section of an article and nothing that holds one."""
+    if not any(n.names != (0, 0) for n in nodes):
+        return
+    _count(nodes)
+    top = nodes[0]
+    for n in nodes:
+        if n.names == (0, 0) or n.drop:
+            continue
+        inside = any(u.tag in ("article", "main") for u in _up(n.parent))
+        level = max(n.names[0], min(n.names[1], 2) if inside else n.names[1])
+        if 2 * n.article > top.article or (not top.article and 2 * n.chars > top.chars):
+            continue
+        links = n.chars > 0 and 2 * n.link_chars >= n.chars
+        if level == 3 or (level == 2 and (links or (top.article and not inside and not n.article))):
+            n.drop = True
+        elif level == 1 and links and not n.article and not (inside and n.tag == "section"):
+            n.drop = True
+
+
+def _measure(nodes: list[Node]) -> None:
+    """Counts, density and the children's density sum of every node, leaves first."""
+    _count(nodes)
     body = next((n for n in nodes if n.tag == "body"), nodes[0])
     ratio = body.link_chars / body.chars if body.chars else 0.0
     for n in reversed(nodes):
@@ -151,6 +206,7 @@ def main_text(html: str | None) -> str:
     dom = _Dom()
     dom.feed(html or "")
     dom.close()
+    _drop_named(dom.nodes)
     _measure(dom.nodes)
     body = next((n for n in dom.nodes if n.tag == "body"), dom.root)
     live = []

@@ -275,3 +275,17 @@ def test_ann_sample_is_no_prefix_and_later_clusters_are_found(spark):
         s[q] = -np.inf
         hits.append(len(got[q] & set(np.argsort(-s, kind="stable")[:20].tolist())) / 20)
     assert len(hits) == 100 and np.mean(hits) >= 0.9 and np.mean(hits[50:]) >= 0.9
+
+
+def test_html_names_drop_no_text_of_the_article():
+    p = "<p>" + "Plain sentences of the article without any link. " * 6 + "</p>"
+    text = htmltext.main_text(p)
+    inner = (f"<h2 id=side-effects>Side effects</h2>{p}<section id=related-work><h2 id=related>Related</h2>{p}</section>"
+             f"<section id=social-history>{p}</section><div class=notice>{p}</div><div class=ad>Buy</div>"
+             "<div class='share links'><a href=x>post it</a> <a href=y>send it</a></div>")
+    want = "\n\n".join(["Side effects", text, "Related", text, text, text])
+    page = "<html><body><nav><a href=x>m</a></nav>%s<div id=comments><p>nice post</p></div><footer>f</footer></body></html>"
+    for wrap in ("<article>%s</article>", "<div class='layout has-sidebar'><article>%s</article></div>",
+                 "<div class=no-comments><main>%s</main></div>", "<div class=sidebar><article>%s</article></div>"):
+        assert htmltext.main_text(page % (wrap % inner)) == want
+    assert htmltext.main_text(page % f"<div class=widget>{p}{p}</div>") == f"{text}\n\n{text}"    # most of the page's text
