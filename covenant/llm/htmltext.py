@@ -2,6 +2,7 @@
 
 For every DOM node the link-adjusted characters per tag are computed, the densities of its children summed, and the
 subtree of greatest sum taken; from it the path to body is climbed while density stays at body's threshold or above.
+Elements article and main never narrow the result; one that lies in such an element is widened to hold all of them.
 Elements that are no article by their kind (scripts, menus, forms, adverts, comments, ...) are left out beforehand.
 """
 
@@ -201,6 +202,21 @@ def _blocks(top: Node) -> list[str]:
     return out
 
 
+def _widened(best: Node, live: list[Node]) -> Node:
+    """The nearest element that holds ``best``, the article or main around it and all others that are not mostly links."""
+    parts = [n for n in live if n.tag in ("article", "main") and 2 * n.link_chars < n.chars]
+    if not parts:
+        return best
+    shared = list(_up(best))                  # from best upwards; the first that all parts are below or equal to
+    if not any(n in parts for n in shared) and not any(best in _up(n) for n in parts):
+        return best
+    for n in parts:
+        above = {id(u) for u in _up(n)}
+        while id(shared[0]) not in above:
+            shared.pop(0)
+    return shared[0]
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks joined by blank lines; empty if the page is null or has no text."""
     dom = _Dom()
@@ -224,8 +240,7 @@ def main_text(html: str | None) -> str:
         if n in (body, dom.root) or n.tag == "html" or n.density < body.density:
             break
         best = n
-    best = next((n for n in path if n.tag == "article"), next((n for n in path if n.tag == "main"), best))
-    return "\n\n".join(_blocks(best))
+    return "\n\n".join(_blocks(_widened(best, live)))
 
 
 def extract(pages: DataFrame, text: str = "text") -> DataFrame:

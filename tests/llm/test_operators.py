@@ -289,3 +289,14 @@ def test_html_names_drop_no_text_of_the_article():
                  "<div class=no-comments><main>%s</main></div>", "<div class=sidebar><article>%s</article></div>"):
         assert htmltext.main_text(page % (wrap % inner)) == want
     assert htmltext.main_text(page % f"<div class=widget>{p}{p}</div>") == f"{text}\n\n{text}"    # most of the page's text
+
+
+def test_html_keeps_all_articles_of_a_page():
+    parts = [f"Part {i} " + "of a text with several sentences in it. " * (3 + i) for i in range(3)]
+    texts = "\n\n".join(" ".join(t.split()) for t in parts)
+    many = "".join(f"<article><p>{t}</p></article>" for t in parts)
+    nested = f"<article><p>{parts[0]}</p><article><p>{parts[1]}</p><div><p>{parts[2]}</p></div></article></article>"
+    for body in (many, f"<div>{many}</div>", f"<main>{many}</main>", nested):
+        assert htmltext.main_text(f"<html><body><nav>menu</nav>{body}<footer>foot</footer></body></html>") == texts
+    teasers = "<section><article><a href=x>another page</a></article></section>"
+    assert htmltext.main_text(f"<html><body>{nested}{teasers}</body></html>") == texts
