@@ -19,15 +19,27 @@ ROUNDS = 8
 MAX_DIGITS = 18
 DATE_SPAN = 36500     # days from DATE_FROM on: the domain of date pseudonyms
 DATE_FROM = "1930-01-01"
+DAYS = 3652425        # 0000-01-01 to 9999-12-31: days outside of the first domain are permuted in one of their own
+FIRST_DAY = "0000-01-01"
+FAR = (1325, 2729)    # its size as a product: DAYS - DATE_SPAN
 
 # What is looked for, in order of precedence at one place.
 EMAIL = r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})*\.[A-Za-z]{2,24}"
 DATE = r"(?<![\w\-])\d{4}-\d{2}-\d{2}(?![\w\-])"
 IPV4 = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)"
 PHONE = r"(?:\+\d{1,3}[ \-.]?)?\(\d{2,4}\)[ \-.]?\d{3,4}[ \-.]\d{4}(?!\d)|\+\d{1,3}(?:[ \-.]\d{2,4}){2,4}(?!\d)|(?<![\w\-.])\d{3}[\-.]\d{3}[\-.]\d{4}(?![\w\-])"
+PLUS = r"|(?<![\w.])\+(?=[1-9](?:[ \-()]*\d){7})"      # at least eight digits
+PHONE += PLUS + r"\d{8,15}(?!\d)" + PLUS + r"\d{1,3}[ \-]?\(?\d{1,5}\)?[ \-]?\d{4,9}(?!\d)"
+PHONE += PLUS + r"\d{1,3}[ \-]\d{1,5}[ \-]\d{3,9}(?:[ \-]\d{1,4}){0,2}(?!\d)" + PLUS + r"\d{1,3}[ \-]\d(?:[ \-]\d{2}){4}(?!\d)"
+PHONE += r"|(?<![\w\-.+])(?<!\d )\d{3} \d{3} \d{4}(?![\w\-])(?! \d)"
 SSN = r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
-CARD = r"(?<![\w.\-])\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}(?![\w])"
-ANY = "|".join((EMAIL, DATE, IPV4, SSN, PHONE, CARD))
+# A card starts a group of digits. It is looked for at every such place, in the layouts of 4-4-4-..., 4-4-4-4-1 to -3, 4-6-5
+# and 4-6-4 (longest first); only those with a check digit become part of the pattern of their text.
+CARD_FROM = r"(?<![\w.])(?<![^\d]-)(?<!^-)"
+CARD_TO = r"(?!\w)"
+CARDS = (r"\d{4}(?:[ \-]?\d{4}){3}[ \-]\d{1,3}", r"\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}", r"\d{4}[ \-]\d{6}[ \-]\d{4,5}")
+CARD_AT = CARD_FROM + r"(?=(\d{4}[\w \-]{9,24}))"
+ANY = "|".join((EMAIL, DATE, IPV4, SSN, PHONE))
 
 
 def _mod_hash(key: Column, *parts: Column) -> Column:
@@ -92,13 +104,20 @@ def _card(m: Column, key: str) -> Column:
     return _refill(m, F.concat(new, check.cast("string")))
 
 
-def _day(m: Column) -> Column:
-    """Days from DATE_FROM on; null if there is no such calendar day."""
-    return F.datediff(F.try_to_date(m, "yyyy-MM-dd"), F.lit(DATE_FROM).cast("date"))
+def _day(m: Column, start: str = DATE_FROM) -> Column:
+    """Days from ``start`` on; null if there is no such calendar day."""
+    return F.datediff(F.try_to_date(m, "yyyy-MM-dd"), F.lit(start).cast("date"))
 
 
 def _date(m: Column, key: str) -> Column:
-    new = F.date_add(F.lit(DATE_FROM).cast("date"), permute_below(_day(m), DATE_SPAN // 100, 100, "date", key).cast("int"))
+    near = permute_below(_day(m), DATE_SPAN // 100, 100, "date", key).cast("int")
+    # the days outside, numbered without a gap
+    before = F.datediff(F.lit(DATE_FROM).cast("date"), F.lit(FIRST_DAY).cast("date"))
+    n = _day(m, FIRST_DAY)
+    far = permute_below(F.when(n < before, n).otherwise(n - DATE_SPAN), *FAR, "far-date", key).cast("int")
+    far = F.when(far < before, far).otherwise(far + DATE_SPAN)
+    new = F.when(_day(m).between(0, DATE_SPAN - 1), F.date_add(F.lit(DATE_FROM).cast("date"), near)).otherwise(
+        F.date_add(F.lit(FIRST_DAY).cast("date"), far))
     return F.date_format(new, "yyyy-MM-dd")
 
 
@@ -123,10 +142,24 @@ def _is(m: Column, pattern: str) -> Column:
     return m.rlike(f"^(?:{pattern})$")
 
 
+def _checked(m: Column) -> Column:
+    return luhn_sum(F.regexp_replace(m, "[^0-9]", "")) % 10 == 0
+
+
+def _cards(text: Column) -> Column:
+    """The valid card numbers of a text as a pattern's alternatives, each behind a bar; empty if there are none."""
+    near = F.regexp_extract_all(text, F.lit(CARD_AT), F.lit(1))
+    here = F.flatten(F.transform(near, lambda s: F.array(*[F.regexp_extract(s, f"^(?:{c}){CARD_TO}", 0) for c in CARDS])))
+    valid = F.array_distinct(F.filter(here, lambda c: F.when(c == "", False).otherwise(_checked(c))))
+    # digits, blanks and hyphens only: nothing to quote; of several at one place the longest
+    ordered = F.reverse(F.array_sort(F.transform(valid, lambda c: F.struct(F.length(c).alias("n"), c.alias("c")))))
+    return F.array_join(F.transform(ordered, lambda o: F.concat(F.lit("|" + CARD_FROM), o["c"], F.lit(CARD_TO))), "")
+
+
 def _valid(m: Column) -> Column:
-    """Whether a place holds what it looks like: a day of the date domain, octets below 256, a card's check digit."""
-    card = luhn_sum(F.regexp_replace(m, "[^0-9]", "")) % 10 == 0
-    return F.coalesce(F.when(m.contains("@"), True).when(_is(m, DATE), _day(m).between(0, DATE_SPAN - 1))
+    """Whether a place holds what it looks like: a calendar day, octets below 256, a card's check digit."""
+    card = _checked(m)
+    return F.coalesce(F.when(m.contains("@"), True).when(_is(m, DATE), _day(m).isNotNull())
                       .when(_is(m, IPV4), F.array_max(_octets(m)) < 256).when(_is(m, SSN) | _is(m, PHONE), True)
                       .otherwise(card), F.lit(False))
 
@@ -145,12 +178,13 @@ def pseudonymise(docs: DataFrame, key: str = KEY, found: str | None = None) -> D
     the places. Numbers that only look like one (no check digit, octets above 255, no such day) stay. A null text stays null (0 places), other columns pass through; repeated rows change alike."""
     # pieces between the places and the places themselves; where nothing is found the text is not touched
     may = F.col("text").rlike(r"\d|@")
-    places = F.when(may, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    p = free_name(docs, "pii_places")
-    rows = docs.withColumn(p, F.coalesce(places, F.array().cast("array<string>")))
-    new = F.array_join(F.zip_with(F.split("text", ANY, -1), F.transform(p, lambda m: _pseudonym(m, key)),
+    p, look = free_name(docs, "pii_places"), free_name(docs, "pii_pattern")
+    rows = docs.withColumn(look, F.concat(F.lit(ANY), F.when(F.col("text").rlike(CARD_AT), _cards(F.col("text"))).otherwise(F.lit(""))))
+    places = F.when(may, F.regexp_extract_all("text", F.col(look), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn(p, F.coalesce(places, F.array().cast("array<string>")))
+    new = F.array_join(F.zip_with(F.split("text", F.col(look), -1), F.transform(p, lambda m: _pseudonym(m, key)),
                                   lambda piece, m: F.concat(piece, F.coalesce(m, F.lit("")))), "")
     out = {"text": F.when(F.size(p) > 0, new).otherwise(F.col("text"))}
     if found:
         out[found] = F.size(F.filter(p, _valid)).cast("long")
-    return rows.withColumns(out).drop(p)
+    return rows.withColumns(out).drop(p, look)

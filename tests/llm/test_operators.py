@@ -300,3 +300,24 @@ def test_html_keeps_all_articles_of_a_page():
         assert htmltext.main_text(f"<html><body><nav>menu</nav>{body}<footer>foot</footer></body></html>") == texts
     teasers = "<section><article><a href=x>another page</a></article></section>"
     assert htmltext.main_text(f"<html><body>{nested}{teasers}</body></html>") == texts
+
+
+def test_pii_leaves_no_valid_data_in_clear(spark, docs):
+    clear = ["1928-05-06", "0000-02-29", "9999-12-31", "2029-12-07", "2024-02-29", "3782 822463 10005", "3056 930902 5904",
+             "4111 1111 1111 1111", "5555-5555-5555-4444", "+4915112345678", "+49 30 1234567", "555 123 4567", "+33 6 12 34 56 78"]
+    rows = [(i, f"see {c}, ok") for i, c in enumerate(clear)]
+    rows += [(50, "2024 4111 1111 1111 1111"), (51, "2024-4111-1111-1111-1111."), (52, "1234 5678 3782 822463 10005 1"),
+             (53, "4111 1111 1111 1112 and 2024 123-45-6789"), (54, "1 555 123 4567 8 and 1.4111111111111111, +1.50000, x+12345678")]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(docs(rows), found="n").collect()}
+    for i, c in enumerate(clear):
+        new = got[i]["text"]
+        assert got[i]["n"] == 1 and new != rows[i][1] and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", rows[i][1]), (c, new)
+    for i, card in ((50, r"2024 (\d{4} \d{4} \d{4} \d{4})"), (51, r"2024-(\d{4}-\d{4}-\d{4}-\d{4})\."), (52, r"1234 5678 (\d{4} \d{6} \d{5}) 1")):
+        new = re.fullmatch(card, got[i]["text"])
+        assert got[i]["n"] == 1 and new and _luhn(new[1]) == 0 and new[1] not in rows[len(clear) + i - 50][1]
+    assert got[53]["n"] == 1 and got[53]["text"].startswith("4111 1111 1111 1112 and 2024 ") and "6789" not in got[53]["text"]
+    assert got[54]["n"] == 0 and got[54]["text"] == rows[-1][1]
+    days = spark.range(0, 3652425, 97).select(F.date_format(F.date_add(F.lit("0000-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
+    new = days.select("d", pii._date(F.col("d"), "k").alias("e"))
+    assert new.where("e is null or not e rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}$'").count() == 0
+    assert new.select("e").distinct().count() == days.count()
