@@ -14,7 +14,7 @@ from covenant.session import materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """CRF language ID: documents without a language that takes half of their words go."""
+    """CRF language ID: documents without one (null or letterless texts) go, mixed and short ones stay."""
     return langcrf.keep_identified(docs)
 
 

@@ -238,9 +238,9 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(rows.select("doc_id", "text", held_out().alias("held_out")), model).drop("text")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text has a language that takes at least ``least`` of its words; ``und`` rows go."""
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text has a language, however its words are shared among languages; ``und`` rows (null or
+    letterless texts; all, if there are no labelled rows to learn from) go."""
     model = train(docs.where(~held_out()))
-    lang = free_name(docs, "crf_lang")
-    score = free_name(docs, "crf_score")
-    return predict(docs, model, lang, score).where((F.col(lang) != "und") & (F.col(score) >= least)).select(docs.columns)
+    lang, score = free_name(docs, "crf_lang"), free_name(docs, "crf_score")
+    return predict(docs, model, lang, score).where(F.col(lang) != "und").select(docs.columns)
