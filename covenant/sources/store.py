@@ -5,10 +5,12 @@ Snapshot layout: ``<base>/v=<version>/<table>/`` then ``<base>/manifest/``
 half-written version. ``maxRecordsPerFile`` bounds file sizes (the
 reference's 25-item / 3000-row write batches).
 
-Delta layout (for a stream of commands): each micro-batch ``b`` writes
-``<base>/<table>_delta/batch_id=b/`` (overwriting only that folder, so a
-replay of ``b`` is idempotent) and then ``<base>/commits/batch_id=b/``.
-Readers only see committed batches; state is base + committed deltas.
+Delta layout (for streams of commands): each micro-batch ``b`` of a source
+(a streaming query, known by the id in its checkpoint) writes
+``<base>/<table>_delta/source=<source>/batch_id=b/`` (overwriting only that
+folder, so a replay of ``b`` is idempotent) and then
+``<base>/commits/source=<source>/batch_id=b/``. Readers only see committed
+batches; state is base + all committed deltas, whatever their order.
 """
 
 from __future__ import annotations
@@ -109,71 +111,66 @@ def read_store(spark: SparkSession, base: str) -> Tables:
 
 
 # ---------------------------------------------------------------- command deltas
-def is_committed(spark: SparkSession, base: str, batch_id: int) -> bool:
-    """Whether batch ``batch_id`` already has its commit marker."""
+BATCH_SOURCE = "batch"      # the source of batches that no streaming query numbers
+
+
+def _folder(source: str, batch_id: int) -> str:
+    return f"source={source}/batch_id={batch_id}"
+
+
+def is_committed(spark: SparkSession, base: str, batch_id: int, source: str = BATCH_SOURCE) -> bool:
+    """Whether batch ``batch_id`` of ``source`` already has its commit marker."""
     try:
-        spark.read.parquet(f"{base}/commits/batch_id={batch_id}")
+        spark.read.parquet(f"{base}/commits/{_folder(source, batch_id)}")
         return True
     except AnalysisException:
         return False
 
 
 def write_batch(spark: SparkSession, base: str, batch_id: int, commands: DataFrame,
-                new_events: DataFrame, new_ledger: DataFrame, rejected: DataFrame) -> None:
-    """Write one micro-batch's deltas, then its commit marker (idempotent per batch id)."""
+                new_events: DataFrame, new_ledger: DataFrame, rejected: DataFrame, source: str = BATCH_SOURCE) -> None:
+    """Write one micro-batch's deltas, then its commit marker (idempotent per source and batch id)."""
     for name, df in (("commands", commands), ("events", new_events), ("ledger", new_ledger),
                      ("rejects", rejected)):
-        df.write.mode("overwrite").parquet(f"{base}/{name}_delta/batch_id={batch_id}")
-    # the marker holds only a flag: batch_id is the partition folder's value
+        df.write.mode("overwrite").parquet(f"{base}/{name}_delta/{_folder(source, batch_id)}")
+    # the marker holds only a flag: source and batch_id are the partition folders' values
     (spark.range(1).select(F.lit(True).alias("committed"))
-     .write.mode("overwrite").parquet(f"{base}/commits/batch_id={batch_id}"))
+     .write.mode("overwrite").parquet(f"{base}/commits/{_folder(source, batch_id)}"))
 
 
 # plain folder names: Spark treats names starting with "_" or "." as hidden
 SNAPSHOT = "snapshot"
 
 
-def _committed(spark: SparkSession, base: str, name: str, after: int | None = None,
-               upto: int | None = None) -> DataFrame | None:
-    """Rows of committed batches (with their ``batch_id``), optionally in (after, upto]."""
+def _committed(spark: SparkSession, base: str, name: str) -> DataFrame | None:
+    """Rows of all committed batches (with their ``source`` and ``batch_id``)."""
     try:
-        commits = spark.read.parquet(f"{base}/commits").select("batch_id")
+        commits = spark.read.parquet(f"{base}/commits").select("source", "batch_id")
         delta = spark.read.parquet(f"{base}/{name}_delta")
     except AnalysisException:
         return None
-    if after is not None:
-        commits = commits.where(F.col("batch_id") > after)
-    if upto is not None:
-        commits = commits.where(F.col("batch_id") <= upto)
-    return delta.join(commits, "batch_id", "left_semi")
+    return delta.join(commits, ["source", "batch_id"], "left_semi")
 
 
 def read_with_deltas(spark: SparkSession, base_tables: Tables, base: str, mode: str = "upsert",
-                     upto: int | None = None, use_snapshot: bool = True) -> Tables:
-    """Merge-on-read: the latest compacted snapshot (else ``base_tables``) plus
-    the committed command deltas after it.
-
-    Commands apply in arrival order: a later micro-batch wins over an earlier
-    one, and within a batch the greatest (ts, seq) wins.
+                     use_snapshot: bool = True) -> Tables:
+    """Merge-on-read: ``base_tables`` plus the command deltas of all committed
+    batches. Per contract the command with the greatest (ts, seq) wins, as in
+    the batch bundle, so neither sources nor the order of batches can hide one.
+    A snapshot is never read instead: ``use_snapshot`` makes no difference.
     """
     from covenant.operators.mutations import update_contracts
-    after = None
-    if use_snapshot:
-        v = current_version(spark, f"{base}/{SNAPSHOT}")
-        if v is not None and (upto is None or v <= upto):
-            base_tables, after = read_store(spark, f"{base}/{SNAPSHOT}"), v
-    cmds = _committed(spark, base, "commands", after, upto)
+    cmds = _committed(spark, base, "commands")
     if cmds is None:
         return base_tables
     cid_type = dict(base_tables.contracts.dtypes)["id"]
-    latest = latest_commands(cmds.withColumn("contract_id", F.col("contract_id").cast(cid_type)),
-                             order=("batch_id", "ts", "seq"))
+    latest = latest_commands(cmds.withColumn("contract_id", F.col("contract_id").cast(cid_type)))
     changes = latest.select(F.col("contract_id").alias("id"), F.col("new_status").alias("contract_status"),
                             F.col("ts").alias("updated_at"))
     merge = upsert_contracts if mode == "upsert" else update_contracts
     contracts = merge(base_tables.contracts, changes)
-    ev = _committed(spark, base, "events", after, upto)
-    lg = _committed(spark, base, "ledger", after, upto)
+    ev = _committed(spark, base, "events")
+    lg = _committed(spark, base, "ledger")
     events = base_tables.events.unionByName(ev.select(*base_tables.events.columns))
     ledger = base_tables.ledger.unionByName(lg.select(*base_tables.ledger.columns))
     return Tables(contracts, events, ledger)
@@ -181,16 +178,17 @@ def read_with_deltas(spark: SparkSession, base_tables: Tables, base: str, mode:
 
 def compact_store(spark: SparkSession, base_tables: Tables, base: str, mode: str = "upsert",
                   max_records_per_file: int | None = None) -> int | None:
-    """Fold every committed batch into a new snapshot (published by its manifest)
-    so reads stop paying for a growing delta log. Returns the last folded batch
-    id. Safe to run while the stream appends: later batches stay deltas."""
+    """Write the state of all committed batches as a snapshot (published by its
+    manifest) for readers of ``read_store``. Returns the greatest committed batch
+    id. Safe to run while streams append: the state itself is always read from
+    all committed batches."""
     try:
         hi = spark.read.parquet(f"{base}/commits").agg(F.max("batch_id")).first()[0]
     except AnalysisException:
         return None
     if hi is None:
         return None
-    state = read_with_deltas(spark, base_tables, base, mode, upto=int(hi))
+    state = read_with_deltas(spark, base_tables, base, mode)
     write_store(spark, f"{base}/{SNAPSHOT}", int(hi), tables=state, targets={"normalized"},
                 max_records_per_file=max_records_per_file)
     return int(hi)
@@ -199,7 +197,7 @@ def compact_store(spark: SparkSession, base_tables: Tables, base: str, mode: str
 def rejected_commands(spark: SparkSession, base: str) -> DataFrame | None:
     """Rejected request bodies (value, reason) of all committed batches."""
     r = _committed(spark, base, "rejects")
-    return None if r is None else r.drop("batch_id")
+    return None if r is None else r.drop("source", "batch_id")
 
 
 def write_chunked(df: DataFrame, path: str, max_records_per_file: int, mode: str = "overwrite") -> None:

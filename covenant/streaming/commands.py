@@ -2,9 +2,11 @@
 
 readStream.text -> foreachBatch: validate (M9), derive the bundle's new rows
 (M6) and write them as the batch's deltas with a commit marker last. The
-checkpoint makes the source offsets exactly-once; a batch id that already has
-its commit marker is skipped and an uncommitted one is rewritten in full, so a
-lost executor or a restarted query cannot double-apply a command.
+checkpoint makes the source offsets exactly-once; a batch id of this query that
+already has its commit marker is skipped and an uncommitted one is rewritten in
+full, so a lost executor or a restarted query cannot double-apply a command.
+Batches are keyed by query (the id in the checkpoint) and batch id: a second
+stream or a new checkpoint on the same store loses none.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from covenant.operators.mutations import EVENT_TEXT, LEDGER_TEXT, _new_id, _template, validate_commands
 from covenant.sources.commands import read_commands
 from covenant.sources.schemas import MONEY
-from covenant.sources.store import is_committed, write_batch
+from covenant.sources.store import BATCH_SOURCE, is_committed, write_batch
 
 
 def bundle_rows(valid: DataFrame, id_type: str = "bigint", cid_type: str = "bigint"):
@@ -35,21 +37,22 @@ def bundle_rows(valid: DataFrame, id_type: str = "bigint", cid_type: str = "bigi
 
 
 def commit_commands(spark: SparkSession, store: str, batch_id: int, raw: DataFrame, amount: str = "strict",
-                    id_type: str = "bigint", cid_type: str = "bigint", now: str | None = None) -> None:
+                    id_type: str = "bigint", cid_type: str = "bigint", now: str | None = None,
+                    source: str = BATCH_SOURCE) -> None:
     """Apply one batch of raw request bodies to a stored store: validate, derive
-    the bundle's rows, write them as batch ``batch_id``'s deltas and commit it
-    (the atomic unit is the batch). A batch id that is already committed is
-    skipped: its first committed content stands and readers never see it
+    the bundle's rows, write them as the deltas of batch ``batch_id`` of ``source``
+    and commit it (the atomic unit is the batch). A batch of that source and id
+    that is already committed is skipped: its first committed content stands and readers never see it
     rewritten. Used by the stream for every micro-batch and usable on its own
     for batch jobs."""
-    if is_committed(spark, store, batch_id):
+    if is_committed(spark, store, batch_id, source):
         return
     stamp = now or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
-    valid, rejected = validate_commands(raw, amount=amount, now=stamp, cid_type=cid_type, source=f"batch {batch_id}")
+    valid, rejected = validate_commands(raw, amount=amount, now=stamp, cid_type=cid_type, source=f"{source} {batch_id}")
     valid = valid.persist()
     try:
         ev, lg = bundle_rows(valid, id_type, cid_type)
-        write_batch(spark, store, batch_id, valid, ev, lg, rejected)
+        write_batch(spark, store, batch_id, valid, ev, lg, rejected, source)
     finally:
         valid.unpersist()
 
@@ -67,7 +70,8 @@ def apply_commands_stream(spark: SparkSession, source: str, store: str, checkpoi
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         # like the handler's NOW(): one processing time for the whole batch; a
         # replayed batch id rewrites its own folders, so the state stays whole
-        commit_commands(batch.sparkSession, store, batch_id, batch, amount, id_type, cid_type, now)
+        query = batch.sparkSession.read.json(f"{checkpoint}/metadata").first()["id"]
+        commit_commands(batch.sparkSession, store, batch_id, batch, amount, id_type, cid_type, now, query)
 
     w = raw.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

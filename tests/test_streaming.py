@@ -108,3 +108,22 @@ def test_update_only_store_ignores_unknown_contracts(spark):
     assert ups.contracts.count() == base.contracts.count() + 1
     assert upd.events.count() == base.events.count() + 1                # the event is still recorded
     assert upd.ledger.count() == base.ledger.count() + 1
+
+
+def test_no_source_and_no_batch_order_hides_a_command(spark):
+    from covenant.sources.store import compact_store
+    from covenant.streaming.commands import commit_commands
+    root = tempfile.mkdtemp(prefix="sources-")
+    store = os.path.join(root, "store")
+    body = '{"soulContractId": "%d", "newStatus": "Redeemed", "amount": 3, "ts": "2031-03-0%d 00:00:00", "seq": %d}'
+    base = load_tables(spark, SF)
+    for i in (1, 2):                                            # two streams, both start with batch 0
+        spark.createDataFrame([(body % (990000 + i, i, i),)], "value string").write.text(f"{root}/in{i}")
+        apply_commands_stream(spark, f"{root}/in{i}", store, f"{root}/ckpt{i}").awaitTermination(300)
+    commit_commands(spark, store, 5, spark.createDataFrame([(body % (990003, 3, 3),)], "value string"))
+    assert compact_store(spark, base, store) == 5
+    commit_commands(spark, store, 4, spark.createDataFrame([(body % (990004, 4, 4),), (body % (990003, 1, 0),)], "value string"))
+    state = read_with_deltas(spark, base, store)
+    new = {r["id"]: r["updated_at"].day for r in state.contracts.where("id > 990000").collect()}
+    assert new == {990001: 1, 990002: 2, 990003: 3, 990004: 4}
+    assert state.events.count() == base.events.count() + 5 and state.ledger.count() == base.ledger.count() + 5
