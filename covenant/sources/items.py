@@ -82,6 +82,8 @@ def put_items(items: DataFrame, new: DataFrame | None = None, seq_col: str = "_s
     sequence, so every attribute comes from the winning write, Catalyst prunes
     the attributes a query does not use before the shuffle, and partial
     aggregation collapses a key written a billion times to one row per map task.
+
+    Writes without a key have no place in the store: ``rejected_items`` returns them.
     """
     w = items if new is None else items.unionByName(new, allowMissingColumns=True)
     w = w.where(F.col("PK").isNotNull() & F.col("SK").isNotNull())
@@ -93,6 +95,17 @@ def put_items(items: DataFrame, new: DataFrame | None = None, seq_col: str = "_s
             .agg(*[F.max_by(F.col(c), F.col("_order")).alias(c) for c in attrs]))
 
 
+REASON_NO_PK = "no partition key (null contract id)"
+REASON_NO_SK = "no sort key (null time)"
+
+
+def rejected_items(items: DataFrame, new: DataFrame | None = None) -> DataFrame:
+    """The writes that ``put_items`` does not store, whole and with a ``reason``: those whose PK or SK is null."""
+    w = items if new is None else items.unionByName(new, allowMissingColumns=True)
+    reason = F.when(F.col("PK").isNull(), F.lit(REASON_NO_PK)).when(F.col("SK").isNull(), F.lit(REASON_NO_SK))
+    return w.withColumn("reason", reason).where(F.col("reason").isNotNull())
+
+
 def item_kind(sk="SK") -> F.Column:
     """Item kind from the SK prefix: contract, event or ledger (NULL otherwise)."""
     s = F.col(sk)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from covenant.operators import mutations as M
 from covenant.operators.positional import group_positions
+from covenant.sources import items as I
+from tests.conftest import make_tables
 
 
 def test_every_rejection_reason(spark):
@@ -39,3 +41,15 @@ def test_repeated_bodies_stay_requests_of_their_own(spark):
     again = [r["seq"] for r in M.validate_commands(raw, now="2024-01-01 00:00:00")[0].collect()]
     later = [r["seq"] for r in M.validate_commands(raw, now="2024-01-02 00:00:00")[0].collect()]
     assert len(set(first)) == 3 and sorted(first) == sorted(again) and not set(first) & set(later)
+
+
+def test_item_writes_without_a_key_are_rejected_with_a_reason(spark):
+    t = make_tables(spark, [(1, "Bound", "Evil", "X", None)],
+                    [(1, 1, None, "a"), (2, 1, None, "b"), (3, 1, "2024-01-01", "c")],
+                    [(5, 1, 2, None, "e"), (6, 1, 3, "2024-01-02", "f")])
+    writes = I.to_items(t)
+    strays = writes.where("_seq in (3, 5)").withColumn("PK", F.lit(None).cast("string"))
+    kept, rejected = I.put_items(writes, strays).collect(), I.rejected_items(writes, strays).collect()
+    assert sorted((r["_seq"], r["description"], r["reason"]) for r in rejected) == [
+        (1, "a", I.REASON_NO_SK), (2, "b", I.REASON_NO_SK), (3, "c", I.REASON_NO_PK), (5, "e", I.REASON_NO_PK), (5, "e", I.REASON_NO_SK)]
+    assert len(kept) == 3 and len(kept) + len(rejected) == writes.count() + strays.count()       # no write is lost
