@@ -137,7 +137,7 @@ def _all_ids(s, d):
 
 
 def _all_issues(s, d):
-    return V.parity_report(_t(s, d), _r(s, d), include_events=False)
+    return V.parity_report(_t(s, d), _r(s, d))
 
 
 register("consistency_report")(lambda s, d: V.consistency_report(_left_items_contracts(s, d), _right_status(s, d)))

@@ -74,3 +74,18 @@ def test_co_located_store_needs_no_exchange(spark, no_auto_broadcast):
     for df in (fanout_join_metrics(b), audit_latest(b)):
         p = df._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in p, p
+
+
+def test_parity_summary_counts_the_events(spark, monkeypatch):
+    from covenant.plans import catalog
+    from covenant.sources.binding import right_store
+    right = right_store(catalog._t(spark, SF))
+    drifted = right.with_(events=right.events.where("id % 50 <> 0"))
+
+    def mismatches():
+        return (catalog.REGISTRY["parity_summary"](spark, SF).first()["mismatches"],
+                catalog.REGISTRY["parity_issue_counts"](spark, SF).where("n_issues > 0").agg({"n_issues": "sum"}).first()[0])
+
+    same = mismatches()
+    monkeypatch.setattr(catalog, "_r", lambda s, d: drifted)
+    assert mismatches()[0] > same[0] and mismatches()[1] > same[1]
