@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covenant.llm import (chat, contamination, fillmiddle, htmltext, kmtree, langcrf, licenses, mixing, oracle, pii, simhash,
-                          tokencount)
+                          suffixlevels, tokencount)
 from covenant.llm.tables import read
 
 CONTROL_TEXT = "\\### Assistant: </turn> ok"   # conversation -7: control strings inside texts
@@ -62,6 +62,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixlevels.dedup(read(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fillmiddle.digest(fillmiddle.fill_in_middle(read(spark, sf_dir, "documents")))
 
@@ -69,7 +73,7 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii_feistel, op2_ann_kmeans_tree, op3_license_scan, op4_language_crf, op5_simhash_neardup,
                             op6_token_histogram, op7_decontaminate, op8_mix_sources, op9_chat_format, op10_html_text,
-                            op12_fill_in_middle)
+                            op11_suffix_levels, op12_fill_in_middle)
 }
 ORACLE: dict[str, str] = {"op7_decontaminate": oracle.CONTAINMENT, "op9_chat_format": oracle.CHAT,
                           "op12_fill_in_middle": oracle.FILL_IN_MIDDLE}
