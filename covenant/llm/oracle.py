@@ -51,3 +51,40 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a EN
        sha256(t) AS restored_sha256
 FROM s
 """
+
+PREFIX_TRIE = r"""
+WITH RECURSIVE src AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv, turn, length(coalesce(text, '')) AS chars,
+         sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t
+  FROM conversations WHERE conv_id IS NOT NULL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, t) AS pos FROM src),
+ids AS (SELECT DISTINCT conv, CAST(conv AS VARCHAR) AS s FROM src),
+bits AS (  -- crc32 of the decimal id, one bit a step: a byte comes in at the first of its eight bits
+  SELECT conv, s, 0 AS i, CAST(4294967295 AS BIGINT) AS crc FROM ids
+  UNION ALL
+  SELECT conv, s, i + 1,
+         CASE WHEN x % 2 = 1 THEN xor(x // 2, CAST(3988292384 AS BIGINT)) ELSE x // 2 END
+  FROM (SELECT conv, s, i, CASE WHEN i % 8 = 0 THEN xor(crc, CAST(ascii(s[i // 8 + 1]) AS BIGINT)) ELSE crc END AS x
+        FROM bits WHERE i < 8 * length(s))),
+grafts AS (SELECT conv, conv - conv % 100 AS base, xor(crc, CAST(4294967295 AS BIGINT)) % 6 AS h FROM bits WHERE i = 8 * length(s)),
+parts AS (
+  SELECT g.conv, 0 AS side, n.pos, n.t, n.chars FROM grafts g JOIN numbered n ON n.conv = g.base AND n.pos <= g.h
+  UNION ALL SELECT g.conv, 1, n.pos, n.t, n.chars FROM grafts g JOIN numbered n ON n.conv = g.conv AND n.pos > g.h),
+rebuilt AS (SELECT conv, row_number() OVER (PARTITION BY conv ORDER BY side, pos) AS depth, t, chars FROM parts),
+paths AS (SELECT conv, depth, chars, md5(string_agg(t, '') OVER (PARTITION BY conv ORDER BY depth)) AS node FROM rebuilt
+          UNION ALL SELECT conv, 0, 0, 'root' FROM ids),
+linked AS (SELECT *, lag(node) OVER (PARTITION BY conv ORDER BY depth) AS parent,
+                  max(depth) OVER (PARTITION BY conv) AS size FROM paths),
+nodes AS (SELECT node, depth, min(conv) AS conv_id, min(parent) AS parent, count(*) AS n_convs, min(chars) AS chars,
+                 string_agg(CAST(conv AS VARCHAR), ',' ORDER BY conv) FILTER (depth = size) AS ends
+          FROM linked GROUP BY node, depth),
+kids AS (SELECT parent, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+facts AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.parent = n.node AND k.depth = n.depth),
+sums AS (  -- a node counts for every node on the path of its smallest member down to it
+  SELECT p.node, p.depth, sum(CASE WHEN f.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((f.n_convs - 1) * f.chars) AS saved
+  FROM facts f JOIN paths p ON p.conv = f.conv_id AND p.depth <= f.depth GROUP BY p.node, p.depth)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM facts f JOIN sums s ON s.node = f.node AND s.depth = f.depth
+LEFT JOIN nodes u ON u.node = f.parent AND u.depth = f.depth - 1
+"""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covenant.llm import (chat, contamination, fillmiddle, htmltext, kmtree, langcrf, licenses, mixing, oracle, pii, simhash,
-                          suffixlevels, tokencount)
+from covenant.llm import (chat, contamination, fillmiddle, htmltext, kmtree, langcrf, licenses, mixing, oracle, pii, prefixtrie,
+                          simhash, suffixlevels, tokencount)
 from covenant.llm.tables import read
 
 CONTROL_TEXT = "\\### Assistant: </turn> ok"   # conversation -7: control strings inside texts
@@ -70,10 +70,15 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fillmiddle.digest(fillmiddle.fill_in_middle(read(spark, sf_dir, "documents")))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii_feistel, op2_ann_kmeans_tree, op3_license_scan, op4_language_crf, op5_simhash_neardup,
                             op6_token_histogram, op7_decontaminate, op8_mix_sources, op9_chat_format, op10_html_text,
-                            op11_suffix_levels, op12_fill_in_middle)
+                            op11_suffix_levels, op12_fill_in_middle,
+                            op13_prefix_trie)
 }
 ORACLE: dict[str, str] = {"op7_decontaminate": oracle.CONTAINMENT, "op9_chat_format": oracle.CHAT,
-                          "op12_fill_in_middle": oracle.FILL_IN_MIDDLE}
+                          "op12_fill_in_middle": oracle.FILL_IN_MIDDLE, "op13_prefix_trie": oracle.PREFIX_TRIE}
