@@ -51,3 +51,24 @@ def group_positions(df: DataFrame, group: Sequence[str], order: Sequence[Column
     if size_col:
         out = out.withColumn(size_col, F.col("_size").cast("long")).drop("_size")
     return out.drop("_slice", "_gk", "_lrn", "_off")
+
+
+def prefix_sums(df: DataFrame, order: Sequence[Column | str], sums: dict[str, Column],
+                num_partitions: int | None = None) -> DataFrame:
+    """Add running totals over the whole table: ``sums`` maps a new column to the value it sums up, the row's own
+    included, in the total order ``order`` (rows that compare equal must be told apart by it).
+
+    The rows are range-partitioned on ``order`` and written once; every slice sums up its own rows, and one row of
+    totals per slice (as many as partitions) gives each slice its start. No task holds more than a slice.
+    """
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    sliced = materialize(df.withColumns(sums).repartitionByRange(n, *order_cols).withColumn("_slice", F.spark_partition_id()),
+                         "prefix-sums")
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (sliced.groupBy("_slice").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+              .select("_slice", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums]))
+    within = Window.partitionBy("_slice").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = sliced.withColumns({c: F.sum(c).over(within) for c in sums}).join(F.broadcast(starts), "_slice")
+    return out.withColumns({c: F.col(c) + F.col(f"_b_{c}") for c in sums}).drop("_slice", *[f"_b_{c}" for c in sums])
