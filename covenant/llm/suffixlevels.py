@@ -33,15 +33,17 @@ LENGTH = 200                    # bytes of a repeat
 GRAM = 64                       # bytes of the prefix that index entries match on
 SPREAD = LENGTH - GRAM + 1      # windows that can share an anchor
 BATCHES = 4                     # a power of two ends in one level
-HOT = 2_000                     # contexts of one prefix that one task compares
+HOT = 8_000                     # contexts of one prefix that one task compares
 PIECE = 1 << 18                 # bytes handled at once, whatever the length of a text
-CHUNK_BYTES = 4 << 20           # contexts compared at once
+CHUNK_BYTES = 1 << 20           # contexts compared at once
+CHUNK_WINDOWS = 400_000         # and windows
+CHUNK_ROWS = 20_000             # rows of a batch that Python hands back
 _PLACE = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15      # odd, so that it has an inverse
 _TABLES = [np.random.default_rng(s).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for s in (11, 12)]
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.multiply.accumulate(np.full(n, _BASE, np.uint64))
     down = np.multiply.accumulate(np.full(n, pow(_BASE, -1, 1 << 64), np.uint64))
@@ -87,29 +89,40 @@ ENTRY = "batch int, g long, c long, rid long, pos int, t binary"
 def _entries(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Index entries of every text and, as batch -1, one row (g = rid, t = digest of the text) per text with entries."""
     rid = TaskContext.get().partitionId() << 33
+    names = ["batch", "g", "c", "rid", "pos", "t"]
+    batch, g, c, rids, pos, t = rows = [[] for _ in names]
+
+    def out() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(batch, pa.int32()), _signed(g), _signed(c), pa.array(rids, pa.int64()),
+                                           pa.array(pos, pa.int32()), pa.array(t, pa.binary())], names=names)
+        for x in rows:
+            x.clear()
+        return made
+
     for b in it:
-        batch, g, c, rids, pos, t = [], [], [], [], [], []
-        for text in b.column(0).to_pylist():
-            data = (text or "").encode()
+        for text in b.column(0):
+            data = (text.as_py() or "").encode()
             places = anchors(data).tolist()
             if not places:
                 continue
             rid += 1
             key = hashlib.sha256(data).digest()
-            batch.append(-1), g.append(rid), c.append(0), pos.append(-1), t.append(key)
-            for p in places:
-                a = max(0, p - SPREAD + 1)
-                context = data[a:p + LENGTH]
-                g.append(xxhash.xxh3_64_intdigest(data[p:p + GRAM]))
-                c.append(xxhash.xxh3_64_intdigest(context, (p - a) << 8 | len(context) - (p - a)))
             n = len(places)
+            begins = [p - SPREAD + 1 if p >= SPREAD else 0 for p in places]
+            g.append(rid)
+            g += [xxhash.xxh3_64_intdigest(data[p:p + GRAM]) for p in places]
+            c.append(0)
+            c += [xxhash.xxh3_64_intdigest(data[a:p + LENGTH], (p - a) << 8 | min(len(data) - p, LENGTH)) for a, p in zip(begins, places)]
+            batch.append(-1)
             batch += [key[0] % BATCHES] * n       # copies of a text share a batch
             rids += [rid] * (n + 1)
+            pos.append(-1)
             pos += places
+            t.append(key)
             t += [None] * n
-        yield pa.RecordBatch.from_arrays([pa.array(batch, pa.int32()), _signed(g), _signed(c), pa.array(rids, pa.int64()),
-                                          pa.array(pos, pa.int32()), pa.array(t, pa.binary())],
-                                         names=["batch", "g", "c", "rid", "pos", "t"])
+            if len(g) >= CHUNK_ROWS:
+                yield out()
+    yield out()
 
 
 def _bucketed(df: DataFrame, name: str, buckets: int, order: tuple[str, ...], batches: bool = False) -> DataFrame:
@@ -150,90 +163,105 @@ def merged(one: DataFrame, other: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- windows of contexts
-def _windows(contexts: list[bytes], left: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, start, offset of the anchor, digest, second digest) of every window of ``contexts``."""
-    sizes = np.array([len(x) for x in contexts])
-    counts = np.maximum(0, sizes - LENGTH + 1)
-    row = np.repeat(np.arange(len(contexts)), counts)
-    start = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = (np.cumsum(sizes) - sizes)[row] + start
-    data = np.frombuffer(b"".join(contexts), np.uint8)
-    return row, start, left[row] - start, rolling(data, LENGTH, 0)[at], rolling(data, LENGTH, 1)[at]
+class _Windows:
+    """The windows of rows of contexts, by the offset of the anchor in them: only windows of equal offset can be equal."""
+
+    def __init__(self, contexts: list[bytes], left: list[int]):
+        sizes = np.array([len(x) for x in contexts])
+        data = np.frombuffer(b"".join(contexts), np.uint8)
+        self.left, self.last, self.at = np.array(left), sizes - LENGTH, np.cumsum(sizes) - sizes
+        self.digests = [rolling(data, LENGTH, i) for i in (0, 1)]
+
+    def parts(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """(row, start, offset, digest, second digest) of all windows, a bounded number at a time."""
+        step = max(1, CHUNK_WINDOWS // len(self.left))
+        for lo in range(0, SPREAD, step):
+            start = self.left[:, None] - np.arange(lo, min(lo + step, SPREAD))
+            row, nth = np.nonzero((start >= 0) & (start <= self.last[:, None]))
+            start = start[row, nth]
+            at = self.at[row] + start
+            yield row, start, nth + lo, self.digests[0][at], self.digests[1][at]
 
 
 def _runs(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first start, last start) of maximal runs of consecutive starts."""
-    new = np.append(True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1))
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(row)) - 1
+    """(row, first start, last start) of maximal runs of consecutive starts of a row, from windows in any order."""
+    order = np.lexsort((start, row))
+    row, start = row[order], start[order]
+    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1))[:len(row)])
+    last = np.append(first[1:], len(row))[:len(first)] - 1
     return row[first], start[first], start[last]
 
 
 def _compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts, all of a prefix together, to the spans (t, a, b) of windows that another context of the prefix holds."""
-    def spans(rows: list[dict]) -> pa.RecordBatch:
-        g = np.array([r["g"] for r in rows], np.int64)
-        gid = np.cumsum(np.append(True, g[1:] != g[:-1])).astype(np.uint64)
-        left = np.array([r["pos"] - r["a"] for r in rows])
-        row, start, offset, h1, h2 = _windows([r["context"] for r in rows], left)
-        group = gid[row] << np.uint64(8) | offset.astype(np.uint64)
-        key = h1 ^ (group * np.uint64(_BASE))
-        order = np.argsort(key, kind="stable")
-        same = (key[order[1:]] == key[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]]) & (group[order[1:]] == group[order[:-1]])
-        twice = np.zeros(len(row), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        twice &= ~np.array([r["whole"] for r in rows])[row]
-        row, first, last = _runs(row[twice], start[twice])
-        a = np.array([r["a"] for r in rows], np.int64)[row]
-        return pa.RecordBatch.from_arrays([pa.array([rows[i]["t"] for i in row], pa.binary()), pa.array(a + first),
-                                           pa.array(a + last + LENGTH)], names=["t", "a", "b"])
-
-    held, size = [], 0
+    def spans(g: list[int], t: list[bytes], pos: list[int], a: list[int], whole: list[bool], context: list[bytes]) -> pa.RecordBatch:
+        gs = np.array(g, np.int64)
+        gid = np.cumsum(np.append(True, gs[1:] != gs[:-1])).astype(np.uint64) << np.uint64(8)
+        rim, found = ~np.array(whole), []
+        for row, start, offset, h1, h2 in _Windows(context, [p - x for p, x in zip(pos, a)]).parts():
+            group = gid[row] | offset.astype(np.uint64)
+            key = h1 ^ (group * np.uint64(_BASE))
+            order = np.argsort(key, kind="stable")
+            k, h, w = key[order], h2[order], group[order]
+            same = np.flatnonzero((k[1:] == k[:-1]) & (h[1:] == h[:-1]) & (w[1:] == w[:-1]))
+            twice = np.unique(order[np.append(same, same + 1)])
+            twice = twice[rim[row[twice]]]
+            found.append((row[twice], start[twice]))
+        row, first, last = _runs(*(np.concatenate(x) for x in zip(*found)))
+        begin = np.array(a, np.int64)[row]
+        return pa.RecordBatch.from_arrays([pa.array([t[i] for i in row], pa.binary()), pa.array(begin + first),
+                                           pa.array(begin + last + LENGTH)], names=["t", "a", "b"])
+
+    held, size = [[] for _ in range(6)], 0
     for b in it:
-        for r in b.to_pylist():
-            if size >= CHUNK_BYTES and r["g"] != held[-1]["g"]:
-                yield spans(held)
-                held, size = [], 0
-            held.append(r)
-            size += len(r["context"])
-    if held:
-        yield spans(held)
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if size >= CHUNK_BYTES and row[0] != held[0][-1]:
+                yield spans(*held)
+                held, size = [[] for _ in range(6)], 0
+            for x, v in zip(held, row):
+                x.append(v)
+            size += len(row[5])
+    if size:
+        yield spans(*held)
 
 
 def _exploded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts to their windows: (w1, w2, t, a, whole), where (w1, w2) digests prefix, anchor offset and content."""
     for b in it:
-        if not b.num_rows:
-            continue
-        rows = b.to_pylist()
-        left = np.array([r["pos"] - r["a"] for r in rows])
-        row, start, offset, h1, h2 = _windows([r["context"] for r in rows], left)
-        g = np.array([r["g"] for r in rows], np.int64).view(np.uint64)[row] + offset.astype(np.uint64)
-        a = np.array([r["a"] for r in rows], np.int64)[row] + start
-        for i in range(0, len(row), 50_000):
-            cut = slice(i, i + 50_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((h1 ^ g * np.uint64(_BASE))[cut].view(np.int64)), pa.array((h2 + g)[cut].view(np.int64)),
-                 pa.array([rows[k]["t"] for k in row[cut]], pa.binary()), pa.array(a[cut]),
-                 pa.array([rows[k]["whole"] for k in row[cut]])], names=["w1", "w2", "t", "a", "whole"])
+        for i in range(0, b.num_rows, 500):
+            g, t, pos, a, whole, context = (c.to_pylist() for c in b.slice(i, 500).columns)
+            gs, begin = np.array(g, np.int64).view(np.uint64), np.array(a, np.int64)
+            for row, start, offset, h1, h2 in _Windows(context, [p - x for p, x in zip(pos, a)]).parts():
+                k = gs[row] + offset.astype(np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((h1 ^ k * np.uint64(_BASE)).view(np.int64)), pa.array((h2 + k).view(np.int64)),
+                     pa.array([t[r] for r in row], pa.binary()), pa.array(begin[row] + start),
+                     pa.array([whole[r] for r in row], pa.bool_())], names=["w1", "w2", "t", "a", "whole"])
 
 
 def _contexts(hot: bool):
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["g", "t", "pos", "a", "whole", "context"]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+        rows: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            columns = zip(*rows) if rows else ((),) * len(names)
+            made = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=names)
+            rows.clear()
+            return made
+
         for b in it:
-            for t, z, marks in zip(*(b.column(i).to_pylist() for i in range(3))):
-                marks = [m for m in marks if m["ask"] and m["hot"] == hot]
-                if not marks:
-                    continue
-                data = zstandard.decompress(z)
-                start = [max(0, m["pos"] - SPREAD + 1) for m in marks]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([m["g"] for m in marks], pa.int64()), pa.array([t] * len(marks), pa.binary()),
-                     pa.array([m["pos"] for m in marks], pa.int64()), pa.array(start, pa.int64()),
-                     pa.array([m["whole"] for m in marks], pa.bool_()),
-                     pa.array([data[a:m["pos"] + LENGTH] for a, m in zip(start, marks)], pa.binary())],
-                    names=["g", "t", "pos", "a", "whole", "context"])
+            for t, z, marks in zip(*b.columns[:3]):
+                marks = [m for m in marks.as_py() if m["ask"] and m["hot"] == hot]
+                if marks:
+                    t, data = t.as_py(), zstandard.decompress(z.as_py())
+                    for m in marks:
+                        a = max(0, m["pos"] - SPREAD + 1)
+                        rows.append((m["g"], t, m["pos"], a, m["whole"], data[a:m["pos"] + LENGTH]))
+                    if len(rows) >= CHUNK_ROWS // 4:
+                        yield out()
+        yield out()
     return cut
 
 
@@ -244,8 +272,8 @@ def _cut_out(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts, their marks and spans to (t, n_removed, n_spans, kept_sha256)."""
     for b in it:
         out = []
-        for t, z, marks, spans in zip(*(b.column(i).to_pylist() for i in range(4))):
-            data = zstandard.decompress(z)
+        for t, z, marks, spans in zip(*b.columns):
+            t, marks, spans, data = t.as_py(), marks.as_py(), spans.as_py(), zstandard.decompress(z.as_py())
             covers = [(max(0, m["pos"] - SPREAD + 1), min(len(data), m["pos"] + LENGTH)) for m in marks if m["whole"]]
             runs: list[list[int]] = []
             for x, y in sorted(covers + [(s["a"], s["b"]) for s in spans or ()]):
@@ -315,7 +343,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     marked = packed.join(listed, "t").select("t", "z", "marks", "copies")
 
     rims = marked.mapInArrow(_contexts(False), CONTEXT).repartition("g").sortWithinPartitions("g").mapInArrow(_compare, "t binary, a long, b long")
-    windows = marked.mapInArrow(_contexts(True), CONTEXT).mapInArrow(_exploded, "w1 long, w2 long, t binary, a long, whole boolean")
+    hot = materialize(marked.where(F.exists("marks", lambda m: m["hot"])).mapInArrow(_contexts(True), CONTEXT), "suffix-hot")
+    windows = hot.mapInArrow(_exploded, "w1 long, w2 long, t binary, a long, whole boolean")
     shared = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
     counted = windows.where("not whole").join(shared, ["w1", "w2"], "left_semi").select("t", "a", (F.col("a") + LENGTH).alias("b"))
     spans = rims.union(counted).groupBy("t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
