@@ -7,6 +7,7 @@ Texts are encoded with a public byte-level BPE vocabulary; its path is a paramet
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,9 +23,29 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MAX_VOCABULARY_BYTES = 64 << 20
 # Fixed value: the public split pattern of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# White space as the split pattern knows it; a run so long would exhaust the pattern's stack, which steps back in it.
+LONG_SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 STRIDE = 256   # lengths in one block of the two-level suffix sums
 
 
+def encoders(raw: bytes) -> tuple[tiktoken.Encoding, tiktoken.Encoding]:
+    """The vocabulary with its split pattern, and without one: a text is a single piece."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+    return tuple(tiktoken.Encoding("public", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (PATTERN, r"[\s\S]+"))
+
+
+def count_tokens(text: str, enc: tiktoken.Encoding, piece: tiktoken.Encoding) -> int:
+    """Tokens of ``text``. A long run of white space is cut out and counted alone, exactly as the pattern takes it: whole
+    at the end of a text, else without its last character, which goes with what follows."""
+    n = at = 0
+    for run in LONG_SPACE.finditer(text):
+        a, b = run.span()
+        b -= b < len(text)
+        n += len(enc.encode_ordinary(text[at:a])) + len(piece.encode_ordinary(text[a:b]))
+        at = b
+    return n + len(enc.encode_ordinary(text[at:]))
+
+
 def with_token_counts(docs: DataFrame, column: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """``docs`` and a long ``column``: the tokens of the whole text (null or empty: 0)."""
     with open(vocabulary, "rb") as f:
@@ -36,10 +57,9 @@ def with_token_counts(docs: DataFrame, column: str, vocabulary: str = VOCABULARY
     out = T.StructType([*docs.schema.fields, T.StructField(column, T.LongType())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
-        enc = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        enc, piece = encoders(shared.value)
         for b in it:
-            n = [len(enc.encode_ordinary(t.as_py() or "")) for t in b.column(at)]
+            n = [count_tokens(t.as_py() or "", enc, piece) for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], [*b.schema.names, column])
 
     return docs.mapInArrow(batches, out)
