@@ -11,6 +11,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SEED = 20240
+WINDOW = 1 << 10           # lengths that the first try of the remaining budget gives back
+GIVE_BACK = 3              # documents of a length that a window gives back at most
+WHOLE_FIT = 1 << 22        # words that the dynamic programming takes in at most
 BROADCAST_ROWS = 200_000   # class tables up to this many (short) rows are broadcast, larger ones are shuffled
 
 
@@ -29,37 +34,75 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _subset_sum(lengths: list[int], rooms: list[int], budget: int) -> list[int]:
+    """How many of each length (at most its room) give the greatest sum up to ``budget``: bounded-knapsack dynamic
+    programming over a bit set of sums. Only about every sqrt-th set is kept for the way back, the others are made again."""
+    steps, mask = [], (1 << (budget + 1)) - 1
+    for i, (n, room) in enumerate(zip(lengths, rooms)):
+        room, size = min(room, budget // n), 1
+        while room:                      # 1, 2, 4, ... and the rest: every number up to room is a sum of these
+            k = min(size, room)
+            steps.append((i, k, k * n))
+            room, size = room - k, size * 2
+    stride = max(1, math.isqrt(len(steps)))
+    kept, sums, done = {0: 1}, 1, 0
+    while done < len(steps) and not sums >> budget & 1:
+        sums |= (sums << steps[done][2]) & mask
+        done += 1
+        if done % stride == 0:
+            kept[done] = sums
+    at, take = sums.bit_length() - 1, [0] * len(lengths)
+    while at:
+        begin = (done - 1) // stride * stride
+        sets = [kept[begin]]
+        for s in range(begin, done - 1):
+            sets.append(sets[-1] | (sets[-1] << steps[s][2]) & mask)
+        for s in range(done - 1, begin - 1, -1):
+            if at and not sets[s - begin] >> at & 1:      # not a sum without this step
+                i, k, words = steps[s]
+                take[i] += k
+                at -= words
+        done = begin
+    return take
+
+
 def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many of each length to take (at most its count) so that the sum comes as near below ``budget`` as it can:
-    a proportional share of each length, the longest that fit, then an exact subset sum over the remaining lengths."""
+    """How many of each length to take (at most its count) so that the sum comes as near below ``budget`` as it can.
+
+    A proportional share of each length, then the longest that fit, then the dynamic programming over the remaining
+    budget: it gives back some of the lengths up to a window and fills what that frees, over wider windows until nothing
+    is left. If the widest still leaves words, a budget of at most ``WHOLE_FIT`` words is fitted anew as a whole: then the
+    sum is the greatest there is. A larger one may fall short by less than the shortest length that has documents left.
+    """
     total = sum(n * c for n, c in zip(lengths, counts))
     if budget >= total:
         return list(counts)
     take = [c * budget // total for c in counts]
     left = budget - sum(n * t for n, t in zip(lengths, take))
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    reach = 2 * max(lengths)
-    for i in order:                      # down to a budget of at most two of the longest documents
-        more = min(counts[i] - take[i], max(0, (left - reach) // lengths[i]))
+    order = sorted(range(len(lengths)), key=lambda i: lengths[i])
+    for i in reversed(order):
+        more = min(counts[i] - take[i], left // lengths[i])
         take[i] += more
         left -= more * lengths[i]
-    mask, sums, via = (1 << (left + 1)) - 1, 1, {}
-    for i in order:
-        room, size = min(counts[i] - take[i], left // lengths[i]), 1
-        while room and not sums >> left & 1:
-            k = min(size, room)
-            room, size = room - k, size * 2
-            new = (sums << (k * lengths[i])) & mask & ~sums
-            sums |= new
-            while new:                   # every sum is recorded once, when first reached
-                low = new & -new
-                via[low.bit_length() - 1] = (i, k)
-                new ^= low
-    at = sums.bit_length() - 1           # the greatest sum within the budget
-    while at:
-        i, k = via[at]
-        take[i] += k
-        at -= k * lengths[i]
+    window = WINDOW
+    while left:
+        free, back, freed = [i for i in order if lengths[i] <= window], {}, left
+        for i in free:
+            back[i] = max(0, min(take[i], GIVE_BACK, (left + 4 * window - freed) // lengths[i]))
+            freed += back[i] * lengths[i]
+        if freed > WHOLE_FIT:
+            break
+        got = _subset_sum([lengths[i] for i in free], [counts[i] - take[i] + back[i] for i in free], freed)
+        rest = freed - sum(lengths[i] * k for i, k in zip(free, got))
+        if rest < left:
+            left = rest
+            for i, k in zip(free, got):
+                take[i] += k - back[i]
+        if window >= lengths[order[-1]]:
+            break
+        window *= 16
+    if left and budget <= WHOLE_FIT:
+        return _subset_sum(lengths, counts, budget)
     return take
 
 
