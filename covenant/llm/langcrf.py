@@ -10,12 +10,12 @@ Training uses a bounded sample of labelled rows (``TRAIN_DOCS`` per language, th
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,14 +24,16 @@ from covenant.llm.tables import free_name
 
 TRAIN_DOCS = 120     # labelled documents per language in the training sample
 TRAIN_WORDS = 100    # words of each of them
+TRAIN_CHARS = 2_000  # and characters that they are looked for in
 DIMS = 1 << 15       # hashed features
 STEPS = 60           # gradient steps
 RIDGE = 1e-3
 SEED = 7
 BLOCK = 32           # positions of a text walked at once in forward-backward
-AT_ONCE = 40_000     # words (and the rest of a text) in one forward-backward
+AT_ONCE = 640_000    # words times labels squared in one forward-backward over several texts
+LONG = 4_000_000     # the same of one text above which it is walked word by word, in pieces of bounded memory
 CACHE = 200_000      # words whose scores a task keeps
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}+")
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,6 +130,54 @@ def marginals(emits: list[np.ndarray], trans: np.ndarray, start: np.ndarray) ->
     return p, (e / e.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
 
 
+class Scores:
+    """The word scores of a long text, looked up slice by slice."""
+
+    def __init__(self, table: np.ndarray, ids: np.ndarray):
+        self.table, self.ids = table, ids
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        return self.table[self.ids[part]]
+
+
+def label_shares(emit: Scores | np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Mean label marginals of one sequence, by a forward-backward that keeps a piece of the words at a time: the forward
+    state is kept at the pieces' starts only and walked again when the backward state comes by."""
+    k, n = len(start), len(emit)
+    size = max(1, LONG // (8 * k))
+    a = np.exp(trans - trans.max())
+
+    def weights(at: int) -> np.ndarray:
+        e = emit[at:at + size]
+        return np.exp(e - e.max(axis=1, keepdims=True))
+
+    def forward(v: np.ndarray, psi: np.ndarray, first: bool) -> np.ndarray:
+        out = np.empty_like(psi)
+        for i, w in enumerate(psi):
+            v = (v if first and i == 0 else v @ a) * w
+            v /= v.sum()
+            out[i] = v
+        return out
+
+    begins = [np.exp(start - start.max())]
+    for at in range(0, n, size):
+        begins.append(forward(begins[-1], weights(at), at == 0)[-1])
+    shares, after = np.zeros(k), np.ones(k)
+    for at in reversed(range(0, n, size)):
+        psi = weights(at)
+        alpha, beta = forward(begins[at // size], psi, at == 0), np.empty_like(psi)
+        for i in range(len(psi) - 1, -1, -1):
+            beta[i] = after
+            after = a @ (psi[i] * after)
+            after /= after.sum()
+        p = alpha * beta
+        shares += (p / p.sum(axis=1, keepdims=True)).sum(axis=0)
+    return shares / n
+
+
 def fit(sample: list[tuple[str, str]]) -> Model:
     """The CRF of maximum penalised likelihood (Adagrad) on (text, language) rows, whose words all carry the language."""
     labels = sorted({lang for _, lang in sample})
@@ -168,7 +218,7 @@ def fit(sample: list[tuple[str, str]]) -> Model:
 def train(docs: DataFrame) -> Model | None:
     """A model of the labelled rows of ``docs`` (text, lang), or None if there is no labelled text with a letter."""
     rows = docs.where("lang is not null and text rlike '\\\\p{L}'").select(
-        "lang", F.substring("text", 1, TRAIN_WORDS * 20).alias("text"), F.xxhash64(F.lit(SEED), "text").alias("h"))
+        "lang", F.substring("text", 1, TRAIN_CHARS).alias("text"), F.xxhash64(F.lit(SEED), "text").alias("h"))
     # bounded per language while aggregating: no task holds a language's rows
     least = rows.groupBy("lang", F.pmod("h", F.lit(TRAIN_DOCS)).alias("slot")).agg(F.min_by("text", "h").alias("text"))
     sample = sorted((r["text"], r["lang"]) for r in least.select("text", "lang").collect())
@@ -198,10 +248,14 @@ def predict(docs: DataFrame, model: Model | None, lang: str = "lang_pred", score
             if new:
                 cache.update(zip(new, range(len(cache), len(cache) + len(new))))
                 table = np.concatenate([table, word_scores(features(new), m.weights)])
-            p, _ = marginals([table[[cache[w] for w in words]] for _, words in todo], m.trans, m.start)
-            ends = np.cumsum([len(words) for _, words in todo])
-            for (row, words), end in zip(todo, ends):
-                share = p[end - len(words):end].mean(axis=0)
+            ids = [np.fromiter((cache[w] for w in words), np.int64, len(words)) for _, words in todo]
+            if len(todo) == 1 and len(ids[0]) * len(m.labels) ** 2 > LONG:
+                shares = [label_shares(Scores(table, ids[0]), m.trans, m.start)]
+            else:
+                p, _ = marginals([table[x] for x in ids], m.trans, m.start)
+                ends = np.cumsum([len(x) for x in ids])
+                shares = [p[end - len(x):end].mean(axis=0) for x, end in zip(ids, ends)]
+            for (row, _), share in zip(todo, shares):
                 best = int(share.argmax())
                 langs[row], scores[row] = m.labels[best], min(1.0, float(share[best]))
 
@@ -209,12 +263,12 @@ def predict(docs: DataFrame, model: Model | None, lang: str = "lang_pred", score
             langs, scores, todo, n = ["und"] * b.num_rows, [0.0] * b.num_rows, [], 0
             for row, text in enumerate(b.column(at)):
                 words = WORD.findall((text.as_py() or "").lower()) if m else []
+                if todo and (n + len(words)) * len(m.labels) ** 2 > AT_ONCE:
+                    flush(todo, langs, scores)
+                    todo, n = [], 0
                 if words:
                     todo.append((row, words))
                     n += len(words)
-                if n > AT_ONCE:
-                    flush(todo, langs, scores)
-                    todo, n = [], 0
             if todo:
                 flush(todo, langs, scores)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
