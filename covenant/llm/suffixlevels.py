@@ -83,18 +83,21 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64), pa.int64())
 
 
-ENTRY = "batch int, g long, c long, rid long, pos int, t binary"
+ENTRY = "batch int, g long, c long, rid long, pos int, more array<int>, t binary"
 
 
 def _entries(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index entries of every text and, as batch -1, one row (g = rid, t = digest of the text) per text with entries."""
+    """Index entries of every text and, as batch -1, one row (g = rid, t = digest of the text) per text with entries.
+
+    What repeats inside a text with its context is one entry with ``more`` places."""
     rid = TaskContext.get().partitionId() << 33
-    names = ["batch", "g", "c", "rid", "pos", "t"]
-    batch, g, c, rids, pos, t = rows = [[] for _ in names]
+    names = ["batch", "g", "c", "rid", "pos", "more", "t"]
+    batch, g, c, rids, pos, more, t = rows = [[] for _ in names]
 
     def out() -> pa.RecordBatch:
         made = pa.RecordBatch.from_arrays([pa.array(batch, pa.int32()), _signed(g), _signed(c), pa.array(rids, pa.int64()),
-                                           pa.array(pos, pa.int32()), pa.array(t, pa.binary())], names=names)
+                                           pa.array(pos, pa.int32()), pa.array(more, pa.list_(pa.int32())), pa.array(t, pa.binary())],
+                                          names=names)
         for x in rows:
             x.clear()
         return made
@@ -107,17 +110,25 @@ def _entries(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             rid += 1
             key = hashlib.sha256(data).digest()
-            n = len(places)
             begins = [p - SPREAD + 1 if p >= SPREAD else 0 for p in places]
-            g.append(rid)
-            g += [xxhash.xxh3_64_intdigest(data[p:p + GRAM]) for p in places]
-            c.append(0)
-            c += [xxhash.xxh3_64_intdigest(data[a:p + LENGTH], (p - a) << 8 | min(len(data) - p, LENGTH)) for a, p in zip(begins, places)]
+            prefixes = [xxhash.xxh3_64_intdigest(data[p:p + GRAM]) for p in places]
+            contexts = [xxhash.xxh3_64_intdigest(data[a:p + LENGTH], (p - a) << 8 | min(len(data) - p, LENGTH))
+                        for a, p in zip(begins, places)]
+            first: dict[tuple[int, int], list[int]] = {}
+            for entry, p in zip(zip(prefixes, contexts), places):
+                first.setdefault(entry, []).append(p)
+            n = len(first)
             batch.append(-1)
             batch += [key[0] % BATCHES] * n       # copies of a text share a batch
+            g.append(rid)
+            g += [e[0] for e in first]
+            c.append(0)
+            c += [e[1] for e in first]
             rids += [rid] * (n + 1)
             pos.append(-1)
-            pos += places
+            pos += [x[0] for x in first.values()]
+            more.append(None)
+            more += [x[1:] or None for x in first.values()]
             t.append(key)
             t += [None] * n
             if len(g) >= CHUNK_ROWS:
@@ -274,7 +285,8 @@ def _cut_out(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for t, z, marks, spans in zip(*b.columns):
             t, marks, spans, data = t.as_py(), marks.as_py(), spans.as_py(), zstandard.decompress(z.as_py())
-            covers = [(max(0, m["pos"] - SPREAD + 1), min(len(data), m["pos"] + LENGTH)) for m in marks if m["whole"]]
+            covers = [(max(0, p - SPREAD + 1), min(len(data), p + LENGTH)) for m in marks if m["whole"]
+                      for p in (m["pos"], *(m["more"] or ()))]
             runs: list[list[int]] = []
             for x, y in sorted(covers + [(s["a"], s["b"]) for s in spans or ()]):
                 if runs and x <= runs[-1][1]:
@@ -307,19 +319,20 @@ def repeated_entries(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     entries = docs.select("text").mapInArrow(_entries, ENTRY).repartition(buckets, "g")
     entries = _bucketed(entries, "suffix_entries", buckets, ("g", "c"), batches=True)
     family, found = LevelFamily(buckets), []
+    places = 1 + F.coalesce(F.array_size("more"), F.lit(0))
     for batch in range(BATCHES):
-        found += family.add(entries.where(F.col("batch") == batch).groupBy("g").agg(F.count("*").alias("n")))
+        found += family.add(entries.where(F.col("batch") == batch).groupBy("g").agg(F.sum(places).alias("n")))
     repeats = found[0]
     for more in found[1:]:
         repeats = repeats.union(more)
-    rows = entries.where("batch >= 0").select("g", "c", "rid", "pos").join(repeats.distinct(), "g", "left_semi")
+    rows = entries.where("batch >= 0").select("g", "c", "rid", "pos", "more").join(repeats.distinct(), "g", "left_semi")
     same = Window.partitionBy("g", "c")
-    rows = rows.withColumns({"n": F.count("*").over(same), "nth": F.row_number().over(same.orderBy("rid", "pos"))})
+    rows = rows.withColumns({"n": F.sum(places).over(same), "nth": F.row_number().over(same.orderBy("rid", "pos"))})
     prefix = Window.partitionBy("g")
     rows = rows.withColumns({"contexts": F.sum((F.col("nth") == 1).cast("int")).over(prefix),
                              "rim": F.max(F.col("n") == 1).over(prefix)})
     # every rim is asked for its windows, and one entry of each repeated context beside a rim
-    rows = rows.select("rid", "pos", "g", (F.col("n") > 1).alias("whole"), (F.col("contexts") > HOT).alias("hot"),
+    rows = rows.select("rid", "pos", "more", "g", (F.col("n") > 1).alias("whole"), (F.col("contexts") > HOT).alias("hot"),
                        (F.col("rim") & (F.col("nth") == 1)).alias("ask"))
     return materialize(rows, "suffix-repeats"), entries.where("batch = -1").select(F.col("g").alias("rid"), "t")
 
@@ -334,7 +347,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     marks, texts = repeated_entries(docs)
     copies = texts.groupBy("t").agg(F.count("*").alias("copies"))
     texts = texts.join(copies, "t")
-    listed = marks.groupBy("rid").agg(F.collect_list(F.struct("pos", "g", "whole", "hot", "ask")).alias("marks"))
+    listed = marks.groupBy("rid").agg(F.collect_list(F.struct("pos", "more", "g", "whole", "hot", "ask")).alias("marks"))
     # a text that stands in several rows goes as a whole: only what others need of it is looked up
     asked = F.when(F.col("copies") > 1, F.filter("marks", lambda m: m["ask"])).otherwise(F.col("marks"))
     listed = (listed.join(texts, "rid").withColumn("marks", asked).where(F.size("marks") > 0)
