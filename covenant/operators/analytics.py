@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from covenant.functions.exprs import SUM_MONEY, dec_mean, rate_1dp, zero_money
+from covenant.operators.positional import prefix_sums, ranks
 from covenant.plans.sizing import sort_bounded
 from covenant.sources.binding import Tables
 
@@ -224,6 +225,24 @@ def running_totals(daily: DataFrame) -> DataFrame:
     ).transform(lambda d: sort_bounded(d, "contract_date"))
 
 
+def contract_activity_ranks(t: Tables) -> DataFrame:
+    """W1 + W2 with a group per contract: contracts ranked by their number of
+    ledger rows, with and without gaps (ties share a rank)."""
+    n = t.ledger.groupBy(F.col("soul_contract_id").alias("l_cid")).agg(F.count(F.lit(1)).alias("n"))
+    per = t.contracts.select("id").join(n, F.col("id") == F.col("l_cid"), "left").select("id", F.coalesce("n", F.lit(0)).alias("entries"))
+    return ranks(per, "entries", "activity_rank", "activity_dense_rank")
+
+
+def ledger_running_totals(ledger: DataFrame) -> DataFrame:
+    """W3 + W4 with a group per day and contract: ledger sums and their running
+    total in the order (day, contract), without a window over all groups."""
+    daily = (ledger.groupBy(F.to_date("transaction_time").alias("contract_date"), "soul_contract_id")
+             .agg(F.sum("amount").cast(SUM_MONEY).alias("daily_total")))
+    rows = prefix_sums(daily, [F.col("contract_date").asc_nulls_first(), F.col("soul_contract_id").asc_nulls_first()],
+                       {"running_total": F.col("daily_total")})
+    return rows.withColumn("running_total", F.col("running_total").cast(SUM_MONEY))
+
+
 def dataset_summary(t: Tables) -> DataFrame:
     """Row count of each relation of a store, one row per relation."""
     def cnt(df, name):

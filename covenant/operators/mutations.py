@@ -4,6 +4,11 @@ DataFrame and ``covenant.sources.store`` publishes it.
 
 "Latest command per contract" is a ``max_by`` aggregate (partial aggregation,
 skew-safe); the bundle's new rows are a projection of the commands (no joins).
+
+A request is identified by its place in its source (``covenant.sources.commands``),
+never by its body: ``seq`` of a command is that place as a number, and the ids of
+the rows a command creates follow from it. Repeated bodies, and clients that
+repeat a ``seq`` of their own, are requests of their own.
 """
 
 from __future__ import annotations
@@ -12,7 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covenant.functions.exprs import iso_ms, parse_iso
+from covenant.operators.keyset import BROADCAST_BYTES, broadcast_within, fresh_rows, held_keys
+from covenant.plans.sizing import plan_bytes
 from covenant.sources.binding import Tables
+from covenant.sources.commands import MAX_SEQ, ORIGIN, with_places
 from covenant.sources.schemas import MONEY
 
 # ---- fixed values: texts and rejection reasons of the command handlers ----
@@ -20,6 +28,7 @@ EVENT_TEXT = "Contract updated to '{status}'"
 LEDGER_TEXT = "Financial transaction: {status}"
 ITEM_LEDGER_TEXT = "Financial transaction for contract update: {status}"
 TOUCH_TEXT = "Benchmark event {i}"
+DEMO_TRANSACTION = "redemption"
 REASON_NO_BODY = "Missing request body"
 REASON_BAD_JSON = "Invalid JSON"
 REASON_STRICT = "Missing soulContractId, newStatus, or amount"
@@ -27,7 +36,6 @@ REASON_LENIENT = "Missing soulId, newStatus, or amount in request"
 REASON_AMOUNT = "Amount out of range"
 REASON_SEQ = "Invalid seq"
 REASON_ID = "Invalid contract id"
-MAX_SEQ = 1 << 61     # the ids derived from a sequence number, -(2*seq + 2), stay inside BIGINT
 NUMERIC_JSON = ("BIGINT", "DOUBLE", "DECIMAL", "INT", "FLOAT")
 
 
@@ -70,14 +78,21 @@ def validate_commands(raw: DataFrame, amount: str = "strict", now: str | None =
     rejected: (value, reason). ``strict`` (relational handler): id key
     ``soulContractId`` and amount must be a JSON number. ``lenient`` (key-value
     handler): id key ``soulId`` and amount merely present (a string or JSON
-    null passes). A body may carry ``ts`` (ISO ms text) and ``seq``; otherwise
-    ``now`` and a hash of (``source``, ``now``, body, place of the row in
-    ``raw``) stand in: every request is one of its own, also if bodies repeat,
-    and the same batch with the same ``now`` gives the same numbers again.
-    No value is changed silently: an amount outside decimal(18,6), a ``seq``
-    that is no number from 0 below 2^61 and, with ``cid_type``, an id that is
-    no such value are rejected with a reason of their own.
+    null passes). A body may carry ``ts`` (ISO ms text); otherwise ``now``.
+
+    ``seq`` is the request's place in its source: the column ``seq`` of ``raw``,
+    or the number of the origin columns that ``read_commands`` adds. A frame
+    with neither has no places; there a hash of (``source``, ``now``, body,
+    place of the row in ``raw``) stands in: every request is one of its own,
+    also if bodies repeat, and the same batch with the same ``now`` gives the
+    same numbers again. A ``seq`` inside a body identifies nothing.
+
+    No value is changed silently: an amount outside decimal(18,6), a body's
+    ``seq`` that is no number from 0 below 2^61 and, with ``cid_type``, an id
+    that is no such value are rejected with a reason of their own.
     """
+    if "seq" not in raw.columns and set(ORIGIN) <= set(raw.columns):
+        raw = with_places(raw)
     v = F.try_parse_json(F.col("value"))
     id_key = "soulContractId" if amount == "strict" else "soulId"
     vid = F.try_variant_get(v, f"$.{id_key}", "variant")
@@ -113,8 +128,7 @@ def validate_commands(raw: DataFrame, amount: str = "strict", now: str | None =
         F.try_variant_get(j, "$.newStatus", "string").alias("new_status"),
         F.try_variant_get(j, "$.amount", MONEY.simpleString()).alias("amount"),
         F.coalesce(F.col("_ts"), _parse_ts(F.try_variant_get(j, "$.ts", "string")), now_col).alias("ts"),
-        # the ids derived from a sequence number, -(2*seq + 2), stay inside BIGINT
-        F.coalesce(F.col("_seq"), F.try_variant_get(j, "$.seq", "bigint"),
+        F.coalesce(F.col("_seq"),
                    F.pmod(F.xxhash64(F.lit(source), F.lit(now or ""), "value", "_place"), F.lit(MAX_SEQ))).alias("seq"))
     return valid, rejected
 
@@ -127,21 +141,21 @@ def upsert_contracts(contracts: DataFrame, changes: DataFrame, key: str = "id",
     (NULL for new keys). ``changes`` must hold one row per key.
 
     Written as a LEFT join (a small change set is broadcast, so the contracts
-    are not shuffled) plus, for inserts, an anti join that only needs the
-    contracts' key column; a full outer join would shuffle every contract row
-    for every batch of changes.
+    are not shuffled); the new keys are those that a filter of the changes does
+    not find among the contracts' keys (``keyset``). A full outer join would
+    shuffle every contract row for every batch of changes.
     """
     types = dict(contracts.dtypes)
     upd = [c for c in changes.columns if c != key]
     ch = changes.select(F.col(key).cast(types[key]).alias("_ck"), F.lit(True).alias("_hit"),
                         *[F.col(c).cast(types[c]).alias("_n_" + c) for c in upd if c in types])
     hit = F.col("_hit").isNotNull()
-    j = contracts.join(ch, F.col(key) == F.col("_ck"), "left")
+    j = contracts.join(broadcast_within(ch), F.col(key) == F.col("_ck"), "left")
     updated = j.select(*[F.when(hit, F.col("_n_" + c)).otherwise(F.col(c)).alias(c) if c in upd and c != key
                          else F.col(c) for c in contracts.columns])
     if not insert:
         return updated
-    fresh = ch.join(contracts.select(F.col(key).alias("_k")), F.col("_ck") == F.col("_k"), "left_anti")
+    fresh = fresh_rows(contracts.select(F.col(key).alias("_ck")), ch, ["_ck"])
     inserted = fresh.select(*[F.col("_ck").alias(c) if c == key
                               else (F.col("_n_" + c) if c in upd else F.lit(None).cast(types[c])).alias(c)
                               for c in contracts.columns])
@@ -154,14 +168,14 @@ def update_contracts(contracts: DataFrame, changes: DataFrame, key: str = "id")
 
 
 def append_rows(base: DataFrame, new: DataFrame, id_cols=("id",), existing=None) -> DataFrame:
-    """M5: insert; rows whose id already exists are not inserted again, so a
-    replayed batch changes nothing. ``existing`` (a condition) narrows the
-    rows of ``base`` that can hold such ids, e.g. only command-created ones,
-    so the check reads a pushed-down slice of the table, not all of it."""
-    keys = list(id_cols)
+    """M5: insert; rows that already exist are not inserted again, so a replayed
+    batch changes nothing. ``id_cols`` are the columns that tell a replay.
+    ``existing`` (a condition) narrows the rows of ``base`` that can hold such
+    rows, e.g. only command-created ones, so the check reads a pushed-down slice
+    of the table, not all of it; the table's keys are filtered by the batch's
+    and never shuffled (``keyset``)."""
     known = base if existing is None else base.where(existing)
-    fresh = new.join(known.select(*keys), keys, "left_anti")
-    return base.unionByName(fresh.select(*base.columns))
+    return base.unionByName(fresh_rows(known, new, id_cols).select(*base.columns))
 
 
 # ---------------------------------------------------------------- M6 / M7
@@ -207,7 +221,8 @@ def apply_commands(t: Tables, commands: DataFrame, mode: str = "upsert", with_st
         F.col("contract_id").cast(dict(t.events.dtypes)["soul_contract_id"]).alias("soul_contract_id"),
         F.col("ts").alias("event_time"),
         _template(event_text, status=F.col("new_status"), i=F.col("seq")).alias("description"))
-    events = append_rows(t.events, new_events, existing=_created_rows(ev_id_type))
+    # a replayed row has the id, the contract and the time of the stored one: an id alone may be a hash
+    events = append_rows(t.events, new_events, ("id", "soul_contract_id", "event_time"), _created_rows(ev_id_type))
     ledger = t.ledger
     if with_ledger:
         lg_id_type = dict(t.ledger.dtypes)["id"]
@@ -217,7 +232,7 @@ def apply_commands(t: Tables, commands: DataFrame, mode: str = "upsert", with_st
             F.col("amount").cast(MONEY).alias("amount"),
             F.col("ts").alias("transaction_time"),
             _template(ledger_text, status=F.col("new_status")).alias("description"))
-        ledger = append_rows(t.ledger, new_ledger, existing=_created_rows(lg_id_type))
+        ledger = append_rows(t.ledger, new_ledger, ("id", "soul_contract_id", "transaction_time"), _created_rows(lg_id_type))
     return Tables(contracts, events, ledger)
 
 
@@ -227,57 +242,86 @@ def apply_touches(t: Tables, commands: DataFrame, mode: str = "update_only") ->
 
 
 # ---------------------------------------------------------------- M8
+def _item_pk(cid: str = "contract_id") -> Column:
+    from covenant.sources.items import PK_PREFIX
+    return F.concat(F.lit(PK_PREFIX), F.col(cid).cast("string"))
+
+
+def _apply_item_bundle(items: DataFrame, updates: DataFrame, puts: DataFrame) -> DataFrame:
+    """Contract items take the attributes of ``updates`` (PK, SK and those set; one row per contract; a missing item is
+    created with the key and these attributes only), and ``puts`` are stored unless the store holds their keys.
+
+    The store is read twice: once whole, with a broadcast of a small update set, and once by its keys, filtered by the
+    batch's keys. Neither read shuffles it.
+    """
+    from covenant.sources.items import CONTRACT_SK, put_items
+    if "_seq" not in items.columns:
+        items = items.withColumn("_seq", F.lit(0).cast("long"))
+    types, sets = dict(items.dtypes), [c for c in updates.columns if c not in ("PK", "SK")]
+    upd = updates.select(F.col("PK").alias("_upk"), *[F.col(c).cast(types[c]).alias(f"_u_{c}") for c in sets])
+    is_contract, hit = F.col("SK").eqNullSafe(F.lit(CONTRACT_SK)), F.col("_upk").isNotNull()
+    # only contract items (one per PK) meet a join key: the other items of a contract, however many, pass by
+    j = items.where(is_contract).join(broadcast_within(upd), F.col("PK") == F.col("_upk"), "left")
+    updated = j.select(*[F.when(hit, F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c) if c in sets else F.col(c) for c in items.columns])
+    created = updates.select(*[(F.col(c) if c in ("PK", "SK", *sets) else F.lit(0) if c == "_seq" else F.lit(None)).cast(types[c]).alias(c)
+                               for c in items.columns])
+    writes = created.unionByName(put_items(puts).select(*items.columns))    # a batch may repeat a key
+    return updated.unionByName(items.where(~is_contract)).unionByName(fresh_rows(items, writes, ("PK", "SK")).select(*items.columns))
+
+
+def _item_sk(prefix: str, kind: str) -> Column:
+    """Sort key of an item that a command creates: a digest of the request's place."""
+    return F.concat(F.lit(prefix), F.sha2(F.concat(F.lit(kind + "|"), F.col("seq").cast("string")), 256))
+
+
 def apply_commands_items(items: DataFrame, commands: DataFrame) -> DataFrame:
     """M8: the key-value form of the bundle. The contract item gets an Update
     (SET contract_status, updated_at; a missing item is created holding only the
     key and those two attributes, so it is absent from both indexes); event and
-    ledger items are Puts keyed by a deterministic suffix."""
-    from covenant.sources.items import (CONTRACT_SK, EVENT_PREFIX, LEDGER_PREFIX, PK_PREFIX, _conform,
-                                        put_items)
-    latest = latest_commands(commands)
-    upd = latest.select(F.concat(F.lit(PK_PREFIX), F.col("contract_id").cast("string")).alias("_upk"),
-                        F.col("new_status").alias("_ust"), iso_ms("ts").alias("_uts"))
-    # only contract items (one per PK) take part in the join: the other items
-    # of a contract, however many, never meet a join key. A LEFT join lets a
-    # small batch of updates be broadcast; new contracts come from an anti
-    # join on the key column alone.
-    is_c = F.col("SK") == CONTRACT_SK
-    contract_items = items.where(is_c)
-    hit = F.col("_upk").isNotNull()
-    j = contract_items.join(upd, F.col("PK") == F.col("_upk"), "left")
-    updated_c = j.select(*[
-        (F.when(hit, F.col("_ust")).otherwise(F.col(c)) if c == "contract_status"
-         else F.when(hit, F.col("_uts")).otherwise(F.col(c)) if c == "updated_at"
-         else F.col(c)).alias(c) for c in items.columns])
-    missing = upd.join(contract_items.select(F.col("PK").alias("_k")), F.col("_upk") == F.col("_k"), "left_anti")
-    types = dict(items.dtypes)
-    new_c = missing.select(*[
-        (F.col("_upk") if c == "PK" else F.lit(CONTRACT_SK) if c == "SK"
-         else F.col("_ust") if c == "contract_status" else F.col("_uts") if c == "updated_at"
-         else F.lit(0).cast("long") if c == "_seq" else F.lit(None).cast(types[c])).alias(c)
-        for c in items.columns])
-    updated = (updated_c.unionByName(new_c)
-               .unionByName(items.where(~is_c | F.col("SK").isNull())))
-    seq_txt = F.col("seq").cast("string")
-    pk = F.concat(F.lit(PK_PREFIX), F.col("contract_id").cast("string"))
-    ev = commands.select(pk.alias("PK"),
-                         F.concat(F.lit(EVENT_PREFIX), F.sha2(F.concat(F.lit("event|"), seq_txt), 256)).alias("SK"),
-                         iso_ms("ts").alias("event_time"),
-                         _template(EVENT_TEXT, status=F.col("new_status")).alias("description"),
-                         F.col("seq").alias("_seq"))
-    lg = commands.select(pk.alias("PK"),
-                         F.concat(F.lit(LEDGER_PREFIX), F.sha2(F.concat(F.lit("ledger|"), seq_txt), 256)).alias("SK"),
-                         F.col("amount").cast(MONEY).alias("amount"),
-                         iso_ms("ts").alias("transaction_time"),
-                         _template(ITEM_LEDGER_TEXT, status=F.col("new_status")).alias("description"),
-                         F.col("seq").alias("_seq"))
-    puts = _conform(ev.unionByName(lg, allowMissingColumns=True))
-    if "_seq" not in updated.columns:
-        updated = updated.withColumn("_seq", F.lit(0).cast("long"))
-    # the new items' keys are fresh (hash of the command); a replay finds its
-    # keys already present: an anti join on the key columns drops it, so a
-    # batch never re-aggregates the whole item store
-    known = items.select(F.col("PK").alias("_pk"), F.col("SK").alias("_sk"))
-    fresh = puts.join(known, (F.col("PK") == F.col("_pk")) & (F.col("SK") == F.col("_sk")), "left_anti")
-    fresh = put_items(fresh)    # collapses duplicates inside the batch itself
-    return updated.select(*fresh.columns).unionByName(fresh)
+    ledger items are Puts keyed by a suffix that follows from the request's place."""
+    from covenant.sources.items import CONTRACT_SK, EVENT_PREFIX, LEDGER_PREFIX, _conform
+    updates = latest_commands(commands).select(
+        _item_pk().alias("PK"), F.lit(CONTRACT_SK).alias("SK"), F.col("new_status").alias("contract_status"), iso_ms("ts").alias("updated_at"))
+    ev = commands.select(_item_pk().alias("PK"), _item_sk(EVENT_PREFIX, "event").alias("SK"), iso_ms("ts").alias("event_time"),
+                         _template(EVENT_TEXT, status=F.col("new_status")).alias("description"), F.col("seq").alias("_seq"))
+    lg = commands.select(_item_pk().alias("PK"), _item_sk(LEDGER_PREFIX, "ledger").alias("SK"),
+                         F.col("amount").cast(MONEY).alias("amount"), iso_ms("ts").alias("transaction_time"),
+                         _template(ITEM_LEDGER_TEXT, status=F.col("new_status")).alias("description"), F.col("seq").alias("_seq"))
+    return _apply_item_bundle(items, updates, _conform(ev.unionByName(lg, allowMissingColumns=True)))
+
+
+def apply_demo_items(items: DataFrame, commands: DataFrame) -> DataFrame:
+    """M8, the demo's write: the Update sets ``status`` (what the readers and the
+    location index use) and ``updated_at``; the event and the ledger item are keyed
+    by the time itself, so two commands of one contract in the same millisecond
+    share a key and the later one (greater ``seq``) stands, as a put does."""
+    from covenant.sources.items import CONTRACT_SK, EVENT_PREFIX, LEDGER_PREFIX, _conform
+    updates = latest_commands(commands).select(_item_pk().alias("PK"), F.lit(CONTRACT_SK).alias("SK"), F.col("new_status").alias("status"),
+                                               iso_ms("ts").alias("updated_at"))
+    at = iso_ms("ts")
+    ev = commands.select(_item_pk().alias("PK"), F.concat(F.lit(EVENT_PREFIX), at).alias("SK"), at.alias("timestamp"),
+                         _template(EVENT_TEXT, status=F.col("new_status")).alias("description"), F.col("seq").alias("_seq"))
+    lg = commands.select(_item_pk().alias("PK"), F.concat(F.lit(LEDGER_PREFIX), at).alias("SK"), F.col("amount").cast(MONEY).alias("amount"),
+                         F.lit(DEMO_TRANSACTION).alias("transaction_type"), at.alias("timestamp"), F.col("seq").alias("_seq"))
+    return _put_item_bundle(items, updates, _conform(ev.unionByName(lg, allowMissingColumns=True)))
+
+
+def apply_touches_items(items: DataFrame, commands: DataFrame) -> DataFrame:
+    """M7, item form: the Update sets ``updated_at`` alone; one event item per
+    command, keyed by its time (a put: see ``apply_demo_items``)."""
+    from covenant.sources.items import CONTRACT_SK, EVENT_PREFIX, _conform
+    updates = latest_commands(commands).select(_item_pk().alias("PK"), F.lit(CONTRACT_SK).alias("SK"), iso_ms("ts").alias("updated_at"))
+    at = iso_ms("ts")
+    ev = commands.select(_item_pk().alias("PK"), F.concat(F.lit(EVENT_PREFIX), at).alias("SK"), at.alias("timestamp"),
+                         _template(TOUCH_TEXT, i=F.col("seq")).alias("description"), F.col("seq").alias("_seq"))
+    return _put_item_bundle(items, updates, _conform(ev))
+
+
+def _put_item_bundle(items: DataFrame, updates: DataFrame, puts: DataFrame) -> DataFrame:
+    """Like ``_apply_item_bundle``, but a put replaces the item that the store holds under its key: the stored items with
+    a key of the batch (few) go, the batch's items come."""
+    from covenant.sources.items import put_items
+    puts = put_items(puts)
+    gone = puts.select("PK", "SK")
+    gone = F.broadcast(gone) if plan_bytes(gone) <= BROADCAST_BYTES else held_keys(items, gone, ("PK", "SK"))
+    return _apply_item_bundle(items.join(gone, ["PK", "SK"], "left_anti"), updates, puts)

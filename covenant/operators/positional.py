@@ -72,3 +72,15 @@ def prefix_sums(df: DataFrame, order: Sequence[Column | str], sums: dict[str, Co
     within = Window.partitionBy("_slice").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = sliced.withColumns({c: F.sum(c).over(within) for c in sums}).join(F.broadcast(starts), "_slice")
     return out.withColumns({c: F.col(c) + F.col(f"_b_{c}") for c in sums}).drop("_slice", *[f"_b_{c}" for c in sums])
+
+
+def ranks(df: DataFrame, value: str, rank_col: str = "rank", dense_col: str = "dense_rank") -> DataFrame:
+    """Add ``rank()`` and ``dense_rank()`` of every row by ``value``, greatest first (null before all), equal values alike.
+
+    Rows are counted per distinct value first; the counts' running totals give a value its rank and the number of values
+    before it its dense rank. No window spans the rows, and a value that many rows share is one row until the join back.
+    """
+    counts = df.groupBy(F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = prefix_sums(counts, [F.col("_value").desc_nulls_first()], {"_upto": F.col("_n"), dense_col: F.lit(1).cast("long")})
+    keyed = upto.select("_value", (F.col("_upto") - F.col("_n") + 1).alias(rank_col), dense_col)
+    return df.join(keyed, F.col(value).eqNullSafe(F.col("_value"))).drop("_value")

@@ -130,3 +130,23 @@ def audit_latest(t: Tables, ids=None) -> DataFrame:
             .join(latest_ledger(t.ledger), c.id == F.col("l_cid"), "left")
             .select("id", "contract_status", "updated_at", "last_event", "last_event_time",
                     "last_amount", "last_amount_time"))
+
+
+def audit_latest_items(items: DataFrame) -> DataFrame:
+    """M12, item form: per contract item its status and update time, the event and the ledger item of greatest sort key.
+
+    One aggregation per kind over the items' own columns; a contract without events or ledger items has nulls there.
+    """
+    from covenant.functions.exprs import first_truthy, strip_prefix
+    from covenant.sources.items import CONTRACT_SK, EVENT_PREFIX, LEDGER_PREFIX, PK_PREFIX
+
+    def latest(prefix: str, value: str, key: str, name: str) -> DataFrame:
+        return (items.where(F.col("SK").startswith(prefix)).groupBy(F.col("PK").alias(f"{key}_pk"))
+                .agg(F.max("SK").alias(key), F.max_by(value, "SK").alias(name)))
+
+    e, lg = latest(EVENT_PREFIX, "description", "last_event", "last_event_text"), latest(LEDGER_PREFIX, "amount", "last_ledger", "last_amount")
+    c = items.where(F.col("SK") == CONTRACT_SK)
+    return (c.join(e, c.PK == F.col("last_event_pk"), "left").join(lg, c.PK == F.col("last_ledger_pk"), "left")
+            .select(strip_prefix("PK", PK_PREFIX).alias("id"), first_truthy("status", "contract_status").alias("status"),
+                    first_truthy("updated_at", "updatedAt", "createdAt").alias("updated_at"),
+                    "last_event", "last_event_text", "last_ledger", "last_amount"))

@@ -203,25 +203,34 @@ register("parity_contracts_items")(lambda s, d: V.parity_contracts(I.from_items(
 # the streaming command applier (R1), run over command bodies derived from the tables
 
 
+LOG = "value string, partition int, offset long"
+
+
+def _request_log(s, d):
+    """The commands as a message log (value, partition, offset): a request's place is its event's id."""
+    return B.load_commands(s, d).select(F.to_json(F.struct(
+        F.col("contract_id").cast("string").alias("soulContractId"),
+        F.col("new_status").alias("newStatus"),
+        F.col("amount").cast("double").alias("amount"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"),
+        F.col("seq"))).alias("value"), F.lit(0).alias("partition"), F.col("seq").alias("offset"))
+
+
+def _stream_log(s, logs, cid_type, base, files=None):
+    """Write each frame of ``logs`` into a fresh folder under the shared checkpoint directory and run the streaming
+    applier over all of it (availableNow) before the next one is added; the store after the last."""
+    import uuid
+    from covenant.session import scratch_path
+    root = scratch_path(s, f"command-stream-{uuid.uuid4().hex}")
+    for log in logs:
+        log.write.mode("append").parquet(f"{root}/in")
+        apply_commands_stream(s, f"{root}/in", f"{root}/store", f"{root}/ckpt", cid_type=cid_type, max_files_per_trigger=files,
+                              source_format="parquet", source_schema=LOG).awaitTermination()
+    return read_with_deltas(s, base, f"{root}/store")
+
+
 def _streamed(s, d):
-    """Write the commands as JSON request bodies (text files) into a fresh folder
-    under the shared checkpoint directory, run the streaming applier to the end
-    (availableNow) and return the merged store."""
-    def make():
-        import uuid
-        from covenant.session import scratch_path
-        root = scratch_path(s, f"command-stream-{uuid.uuid4().hex}")
-        c = B.load_commands(s, d)
-        bodies = c.select(F.to_json(F.struct(
-            F.col("contract_id").cast("string").alias("soulContractId"),
-            F.col("new_status").alias("newStatus"),
-            F.col("amount").cast("double").alias("amount"),
-            F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"),
-            F.col("seq"))).alias("value"))
-        bodies.write.mode("overwrite").text(f"{root}/in")
-        apply_commands_stream(s, f"{root}/in", f"{root}/store", f"{root}/ckpt").awaitTermination()
-        return read_with_deltas(s, _t(s, d), f"{root}/store")
-    return _memo("streamed", s, d, make)
+    return _memo("streamed", s, d, lambda: _stream_log(s, [_request_log(s, d)], "bigint", _t(s, d)))
 
 
 register("stream_commands_contracts")(lambda s, d: _streamed(s, d).contracts)
@@ -242,35 +251,15 @@ register("consistency_after_commands")(lambda s, d: V.consistency_report(
 register("parity_report")(lambda s, d: V.parity_report(_t(s, d), _r(s, d)))
 
 
-# the stream over several micro-batches with a compaction in the middle
-def _streamed_compacted(s, d):
-    def make():
-        import uuid
-        from covenant.session import scratch_path
-        from covenant.sources.store import compact_store
-        root = scratch_path(s, f"command-stream-compacted-{uuid.uuid4().hex}")
-        c = B.load_commands(s, d)
-        bodies = c.select(F.col("seq"), F.to_json(F.struct(
-            F.col("contract_id").cast("string").alias("soulContractId"),
-            F.col("new_status").alias("newStatus"),
-            F.col("amount").cast("double").alias("amount"),
-            F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"),
-            F.col("seq"))).alias("value"))
-        first = bodies.where(F.pmod("seq", F.lit(2)) == 0).select("value")
-        second = bodies.where(F.pmod("seq", F.lit(2)) == 1).select("value")
-        first.repartition(2).write.mode("overwrite").text(f"{root}/in")
-        apply_commands_stream(s, f"{root}/in", f"{root}/store", f"{root}/ckpt",
-                              max_files_per_trigger=1).awaitTermination()
-        compact_store(s, _t(s, d), f"{root}/store")
-        second.repartition(2).write.mode("append").text(f"{root}/in")
-        apply_commands_stream(s, f"{root}/in", f"{root}/store", f"{root}/ckpt",
-                              max_files_per_trigger=1).awaitTermination()
-        return read_with_deltas(s, _t(s, d), f"{root}/store")
-    return _memo("streamed_compacted", s, d, make)
-
-
-register("stream_compacted_events")(lambda s, d: _streamed_compacted(s, d).events)
-register("stream_compacted_ledger")(lambda s, d: _streamed_compacted(s, d).ledger)
+# the stream over several micro-batches, stopped and started again in the middle
+def _streamed_twice(s, d):
+    log = _request_log(s, d)
+    halves = [log.where(F.pmod("offset", F.lit(2)) == i).repartition(2) for i in (0, 1)]
+    return _memo("streamed_twice", s, d, lambda: _stream_log(s, halves, "bigint", _t(s, d), files=1))
+
+
+register("stream_compacted_events")(lambda s, d: _streamed_twice(s, d).events)
+register("stream_compacted_ledger")(lambda s, d: _streamed_twice(s, d).ledger)
 
 
 # summary statistics for every requested (scenario, system), measured or not (T4)
@@ -296,3 +285,111 @@ register("items_structure_sample")(lambda s, d: L.structure_sample(_items(s, d).
 STORE_TABLES = ["contracts", "events", "ledger"]
 register("store_inventory")(lambda s, d: L.store_inventory(
     {"contracts": _t(s, d).contracts, "events": _t(s, d).events, "ledger": _t(s, d).ledger}, STORE_TABLES))
+
+
+# requests that repeat: every one comes twice with the same body, and clients number theirs from 0 to 6
+def _repeated_log(s, d):
+    twice = B.load_commands(s, d).withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
+    return twice.select(F.to_json(F.struct(
+        F.col("contract_id").cast("string").alias("soulContractId"), F.col("new_status").alias("newStatus"),
+        F.col("amount").cast("double").alias("amount"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"),
+        F.pmod("seq", F.lit(7)).alias("seq"))).alias("value"), F.lit(0).alias("partition"),
+        (F.col("seq") * 2 + F.col("again")).alias("offset"))
+
+
+def _repeated_commands(s, d):
+    """The same log read as a batch source."""
+    def make():
+        import uuid
+        from covenant.session import scratch_path
+        from covenant.sources.commands import read_commands
+        path = scratch_path(s, f"request-log-{uuid.uuid4().hex}")
+        _repeated_log(s, d).write.parquet(path)
+        valid, _ = M.validate_commands(read_commands(s, path, format="parquet"), cid_type="bigint")
+        return valid.withColumn("contract_id", F.col("contract_id").cast("long"))
+    return _memo("repeated_commands", s, d, make)
+
+
+register("requests_repeated_events")(lambda s, d: M.apply_commands(_t(s, d), _repeated_commands(s, d)).events)
+register("requests_repeated_ledger")(lambda s, d: M.apply_commands(_t(s, d), _repeated_commands(s, d)).ledger)
+register("requests_repeated_items")(lambda s, d: M.apply_commands_items(_items(s, d), _repeated_commands(s, d)))
+register("stream_repeated_events")(lambda s, d: _memo(
+    "streamed_repeats", s, d, lambda: _stream_log(s, [_repeated_log(s, d)], "bigint", _t(s, d))).events)
+
+
+# a store with text ids, and the stream with its defaults
+TEXT_ID = "soul_%09d"
+
+
+def _text_store(s, d):
+    t = _t(s, d)
+    text = lambda c: F.format_string(TEXT_ID, c).alias(c)
+    return B.Tables(t.contracts.select(text("id"), *t.contracts.columns[1:]),
+                    t.events.select("id", text("soul_contract_id"), "event_time", "description"),
+                    t.ledger.select("id", text("soul_contract_id"), "amount", "transaction_time", "description"))
+
+
+def _streamed_text(s, d):
+    c = B.load_commands(s, d)
+    log = c.select(F.to_json(F.struct(
+        F.format_string(TEXT_ID, "contract_id").alias("soulContractId"), F.col("new_status").alias("newStatus"),
+        F.col("amount").cast("double").alias("amount"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))).alias("value"), F.lit(0).alias("partition"), F.col("seq").alias("offset"))
+    return _memo("streamed_text", s, d, lambda: _stream_log(s, [log], None, _text_store(s, d)))
+
+
+register("stream_text_ids_contracts")(lambda s, d: _streamed_text(s, d).contracts)
+register("stream_text_ids_ledger")(lambda s, d: _streamed_text(s, d).ledger)
+
+# item forms of the demo's write, of the touch bundle and of the audit
+register("apply_demo_items")(lambda s, d: M.apply_demo_items(_items(s, d), _cmds(s, d)))
+register("apply_touches_items")(lambda s, d: M.apply_touches_items(_items(s, d), _cmds(s, d)))
+register("audit_latest_items")(lambda s, d: P.audit_latest_items(_items(s, d)))
+
+# parity of requested ids: some are in both stores, in one of them, in neither
+register("parity_requested_ids")(lambda s, d: V.parity_contracts(
+    _t(s, d).contracts, _r(s, d).contracts, s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"))))
+
+
+# events that differ between the stores
+def _drifted_events(s, d):
+    e = _t(s, d).events
+    return e.where(F.pmod("id", F.lit(50)) != 0).withColumn(
+        "description", F.when(F.pmod("id", F.lit(53)) == 0, F.lit("changed")).otherwise(F.col("description")))
+
+
+register("parity_events_drifted")(lambda s, d: V.parity_events(_t(s, d).events, _drifted_events(s, d)))
+
+
+# every reason to reject a request, and to reject an item write
+def _odd_bodies(s, d):
+    i = F.col("event_id")
+    body = lambda cid, rest: F.concat(F.lit('{"soulContractId": '), cid, F.lit(', "newStatus": "Bound", ' + rest + '}'))
+    num = i.cast("string")
+    cases = [F.lit(None).cast("string"), F.lit(""), F.concat(F.lit("{bad "), num), body(num, '"note": 1'), body(num, '"amount": "5"'),
+             body(num, '"amount": 5000000000000'), body(num, '"amount": 5, "seq": -1'),
+             body(F.concat(F.lit('"soul_'), num, F.lit('"')), '"amount": 5'), body(num, '"amount": 5')]
+    value = F.element_at(F.array(*cases), (F.pmod(i, F.lit(len(cases))) + 1).cast("int"))
+    return s.read.parquet(f"{d}/events.parquet").select(value.alias("value"), i.alias("seq"))
+
+
+register("validate_commands_reasons")(lambda s, d: M.validate_commands(_odd_bodies(s, d), cid_type="bigint")[1])
+
+
+def _keyless_writes(s, d):
+    t = _t(s, d)
+    e = t.events
+    return I.to_items(t.with_(events=e.select(
+        "id", F.when(F.pmod("id", F.lit(103)) != 0, F.col("soul_contract_id")).alias("soul_contract_id"),
+        F.when(F.pmod("id", F.lit(101)) != 0, F.col("event_time")).alias("event_time"), "description")))
+
+
+register("rejected_items")(lambda s, d: I.rejected_items(_keyless_writes(s, d)).select("PK", "SK", "description", "_seq", "reason"))
+
+# the item dashboard for the locations a caller lists (one of them is unknown)
+LOCATIONS = ["NATION_1", "NATION_7", "NATION_12", "Hell_Gate"]
+register("location_dashboard_items_listed")(lambda s, d: A.location_dashboard_items(_items(s, d), LOCATIONS))
+
+# ranks and running totals over as many groups as there are contracts and days
+register("contract_activity_ranks")(lambda s, d: A.contract_activity_ranks(_t(s, d)))
+register("ledger_running_totals")(lambda s, d: A.ledger_running_totals(_t(s, d).ledger))

@@ -687,3 +687,112 @@ Q["store_inventory"] = with_binding() + """
 SELECT 'contracts' AS table_name, TRUE AS present, COUNT(*) AS row_count FROM contracts
 UNION ALL SELECT 'events', TRUE, COUNT(*) FROM contract_events
 UNION ALL SELECT 'ledger', TRUE, COUNT(*) FROM ledger"""
+
+# ------------------------------------------------------------------ requests that repeat
+
+
+def _twice(sql: str) -> str:
+    """``sql`` over commands that all come twice, at two places of the log."""
+    return sql.replace("commands AS (", "commands_once AS (", 1).replace("measurements AS (", """commands AS (
+  SELECT contract_id, new_status, amount, ts, seq * 2 + again AS seq FROM commands_once, (VALUES (0), (1)) v(again)),
+measurements AS (""", 1)
+
+
+Q["requests_repeated_events"] = _twice(Q["apply_commands_events"])
+Q["requests_repeated_ledger"] = _twice(Q["apply_commands_ledger"])
+Q["requests_repeated_items"] = _twice(Q["apply_commands_items"])
+Q["stream_repeated_events"] = _twice(Q["apply_commands_events"])
+
+# ------------------------------------------------------------------ text ids
+Q["stream_text_ids_contracts"] = f"""
+SELECT printf('soul_%09d', id) AS id, contract_status, soul_type, contract_location, updated_at
+FROM ({Q["apply_commands_contracts"]})"""
+Q["stream_text_ids_ledger"] = f"""
+SELECT id, printf('soul_%09d', soul_contract_id) AS soul_contract_id, amount, transaction_time, description
+FROM ({Q["apply_commands_ledger"]})"""
+
+# ------------------------------------------------------------------ item forms
+_ITEM_TYPES = {c: "VARCHAR" for c in (
+    "PK", "SK", "soulId", "status", "contract_status", "soul_type", "contract_location", "createdAt", "updated_at", "eventType",
+    '"timestamp"', "event_time", "transaction_time", "transaction_type", "amount", "description", "GSI1PK", "GSI1SK", "updatedAt",
+    "soulType", "contractLocation", "_seq")} | {"amount": "DECIMAL(18,6)", "_seq": "BIGINT"}
+
+
+def _item(**given: str) -> str:
+    """Select list of an item: the given attributes, NULL for the others."""
+    given = {('"timestamp"' if k == "timestamp" else k): v for k, v in given.items()}
+    return ", ".join(f"{given[c]} AS {c}" if c in given else f"NULL::{t} AS {c}" for c, t in _ITEM_TYPES.items())
+
+
+def _put_bundle(puts: str, **sets: str) -> str:
+    """The item store after an update of contract items (``sets``: columns of latest) and puts that replace."""
+    merged = ", ".join({"PK": "COALESCE(i.PK, u.PK)", "SK": "COALESCE(i.SK, 'CONTRACT')", "_seq": "COALESCE(i._seq, 0)"}.get(
+        c, f"CASE WHEN u.PK IS NOT NULL THEN u.{c} ELSE i.{c} END" if c in sets else f"i.{c}") + f" AS {c}" for c in _ITEM_TYPES)
+    upd = ", ".join(f"{v} AS {c}" for c, v in sets.items())
+    return with_binding(_ITEMS, _LATEST, f"""
+upd AS (SELECT 'SOUL#' || CAST(contract_id AS VARCHAR) AS PK, {upd} FROM latest),
+all_puts AS ({puts}),
+puts AS (SELECT * FROM all_puts QUALIFY row_number() OVER (PARTITION BY PK, SK ORDER BY _seq DESC) = 1),
+kept AS (SELECT * FROM items i WHERE NOT EXISTS (SELECT 1 FROM puts p WHERE p.PK = i.PK AND p.SK = i.SK))""") + f"""
+SELECT {merged} FROM kept i FULL JOIN upd u ON i.SK = 'CONTRACT' AND i.PK = u.PK
+UNION ALL SELECT * FROM puts"""
+
+
+_CMD_PK, _CMD_TS = "'SOUL#' || CAST(contract_id AS VARCHAR)", f"strftime(ts, {_ISO})"
+Q["apply_demo_items"] = _put_bundle(
+    "SELECT " + _item(PK=_CMD_PK, SK=f"'EVENT#' || {_CMD_TS}", timestamp=_CMD_TS, description="'Contract updated to ''' || new_status || ''''",
+                      _seq="seq") + " FROM commands UNION ALL SELECT "
+    + _item(PK=_CMD_PK, SK=f"'LEDGER#' || {_CMD_TS}", timestamp=_CMD_TS, amount="amount", transaction_type="'redemption'", _seq="seq")
+    + " FROM commands", status="new_status", updated_at=_CMD_TS)
+Q["apply_touches_items"] = _put_bundle(
+    "SELECT " + _item(PK=_CMD_PK, SK=f"'EVENT#' || {_CMD_TS}", timestamp=_CMD_TS, description="'Benchmark event ' || CAST(seq AS VARCHAR)",
+                      _seq="seq") + " FROM commands", updated_at=_CMD_TS)
+Q["audit_latest_items"] = with_binding(_ITEMS, """
+le AS (SELECT PK, SK, description FROM items WHERE starts_with(SK, 'EVENT#')
+       QUALIFY row_number() OVER (PARTITION BY PK ORDER BY SK DESC) = 1),
+ll AS (SELECT PK, SK, amount FROM items WHERE starts_with(SK, 'LEDGER#')
+       QUALIFY row_number() OVER (PARTITION BY PK ORDER BY SK DESC) = 1)""") + """
+SELECT substring(i.PK, 6) AS id, COALESCE(NULLIF(i.status, ''), NULLIF(i.contract_status, '')) AS status,
+       COALESCE(NULLIF(i.updated_at, ''), NULLIF(i.updatedAt, ''), NULLIF(i.createdAt, '')) AS updated_at,
+       le.SK AS last_event, le.description AS last_event_text, ll.SK AS last_ledger, ll.amount AS last_amount
+FROM items i LEFT JOIN le ON le.PK = i.PK LEFT JOIN ll ON ll.PK = i.PK WHERE i.SK = 'CONTRACT'"""
+Q["location_dashboard_items_listed"] = Q["location_dashboard_items"].replace(
+    "status IS NOT NULL AND SK = 'CONTRACT')",
+    "status IS NOT NULL AND SK = 'CONTRACT' AND contract_location IN ('NATION_1', 'NATION_7', 'NATION_12', 'Hell_Gate'))")
+
+# ------------------------------------------------------------------ parity of requested ids, events that differ
+Q["parity_requested_ids"] = with_binding(_PARITY_CONTRACTS.replace(
+    "all_ids AS (SELECT id FROM pln UNION SELECT id FROM prn)",
+    "all_ids AS (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS id FROM part)")) + "SELECT * FROM contract_issues"
+Q["parity_events_drifted"] = with_binding("""
+drifted AS (SELECT id, soul_contract_id, event_time, CASE WHEN id % 53 = 0 THEN 'changed' ELSE description END AS description
+            FROM contract_events WHERE id % 50 <> 0)""",
+    _positional("events", "contract_events", "drifted", _ISO_EV, _ISO_EV, False, "dpar")) + "SELECT * FROM dpar_issues"
+
+# ------------------------------------------------------------------ rejections
+Q["validate_commands_reasons"] = """
+WITH b AS (SELECT event_id AS i, event_id % 9 AS k, '{"soulContractId": ' AS a, ', "newStatus": "Bound", ' AS s FROM events)
+SELECT CASE k WHEN 1 THEN '' WHEN 2 THEN '{bad ' || i WHEN 3 THEN a || i || s || '"note": 1}'
+              WHEN 4 THEN a || i || s || '"amount": "5"}' WHEN 5 THEN a || i || s || '"amount": 5000000000000}'
+              WHEN 6 THEN a || i || s || '"amount": 5, "seq": -1}' WHEN 7 THEN a || '"soul_' || i || '"' || s || '"amount": 5}' END AS value,
+       CASE k WHEN 0 THEN 'Missing request body' WHEN 1 THEN 'Missing request body' WHEN 2 THEN 'Invalid JSON'
+              WHEN 5 THEN 'Amount out of range' WHEN 6 THEN 'Invalid seq' WHEN 7 THEN 'Invalid contract id'
+              ELSE 'Missing soulContractId, newStatus, or amount' END AS reason
+FROM b WHERE k <> 8"""
+Q["rejected_items"] = with_binding() + f"""
+SELECT CASE WHEN id % 103 <> 0 THEN 'SOUL#' || CAST(soul_contract_id AS VARCHAR) END AS PK,
+       CASE WHEN id % 101 <> 0 THEN 'EVENT#' || strftime(event_time, {_ISO}) END AS SK, description, id AS _seq,
+       CASE WHEN id % 103 = 0 THEN 'no partition key (null contract id)' ELSE 'no sort key (null time)' END AS reason
+FROM contract_events WHERE id % 103 = 0 OR id % 101 = 0"""
+
+# ------------------------------------------------------------------ ranks and running totals over many groups
+Q["contract_activity_ranks"] = with_binding() + """
+, n AS (SELECT c.id, COUNT(l.id) AS entries FROM contracts c LEFT JOIN ledger l ON l.soul_contract_id = c.id GROUP BY c.id)
+SELECT id, entries, CAST(rank() OVER (ORDER BY entries DESC) AS BIGINT) AS activity_rank,
+       CAST(dense_rank() OVER (ORDER BY entries DESC) AS BIGINT) AS activity_dense_rank FROM n"""
+Q["ledger_running_totals"] = with_binding() + """
+, d AS (SELECT CAST(transaction_time AS DATE) AS contract_date, soul_contract_id, CAST(SUM(amount) AS DECIMAL(38,6)) AS daily_total
+        FROM ledger GROUP BY ALL)
+SELECT contract_date, soul_contract_id, daily_total,
+       CAST(SUM(daily_total) OVER (ORDER BY contract_date NULLS FIRST, soul_contract_id NULLS FIRST
+                                   ROWS UNBOUNDED PRECEDING) AS DECIMAL(38,6)) AS running_total FROM d"""

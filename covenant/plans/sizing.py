@@ -16,6 +16,11 @@ DEFAULT_MAX_ROWS = 100_000
 _COUNTS: dict[tuple, tuple[DataFrame, int]] = {}
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of ``df`` in bytes: file sizes, an upper bound after filters and aggregates. No job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def bounded_count(df: DataFrame, limit: int) -> int:
     """Row count, but never counts past ``limit + 1`` rows (memoized per frame;
     the memo keeps the frame itself so an id is never reused for another one)."""

@@ -64,7 +64,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         d = tempfile.mkdtemp(prefix="covenant-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if spark.sparkContext.getCheckpointDir() is None:     # each call of the setter makes a folder
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
@@ -79,9 +80,13 @@ def materialize(df, name: str):
 
     Unlike an RDD checkpoint, the re-read table has file statistics (AQE and the
     broadcast check can size it) and stays a normal file scan, so Spark can
-    prune its columns and reuse exchanges built on it.
+    prune its columns and reuse exchanges built on it. The files are deleted
+    when the application ends: a result that reads them may live as long.
     """
     import uuid
-    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.parquet(path)

@@ -1,8 +1,8 @@
 """Publishing store state to files (M10, M11) and the log-structured command store.
 
-Snapshot layout: ``<base>/v=<version>/<table>/`` then ``<base>/manifest/``
-(one row: the current version) written last, so a reader never sees a
-half-written version. ``maxRecordsPerFile`` bounds file sizes (the
+Snapshot layout: ``<base>/v=<version>/<table>/`` then ``<base>/manifest/n=<k>/``
+(one row: the version) written last and never again: the entry of greatest ``k``
+is the published version, so a reader never sees a half-written one. ``maxRecordsPerFile`` bounds file sizes (the
 reference's 25-item / 3000-row write batches).
 
 Delta layout (for streams of commands): each micro-batch ``b`` of a source
@@ -87,18 +87,24 @@ def write_store(spark: SparkSession, base: str, version: int, tables: Tables | N
         w(tables.ledger, "ledger", "soul_contract_id", "transaction_time")
     if "items" in targets and items is not None:
         w(items, "items", "PK", None)
+    last = _manifest(spark, base)
     (spark.range(1).select(F.lit(version).cast("long").alias("version"))
-     .write.mode("overwrite").parquet(f"{base}/manifest"))
+     .write.mode("error").parquet(f"{base}/manifest/n={0 if last is None else last['n'] + 1}"))
     return root
 
 
-def current_version(spark: SparkSession, base: str) -> int | None:
-    """The published version of a snapshot store (from its manifest), or None."""
+def _manifest(spark: SparkSession, base: str):
+    """The last entry (n, version) of a store's manifest, or None."""
     try:
-        row = spark.read.parquet(f"{base}/manifest").first()
+        return spark.read.parquet(f"{base}/manifest").orderBy(F.desc("n")).first()
     except AnalysisException:
         return None
-    return None if row is None else int(row[0])
+
+
+def current_version(spark: SparkSession, base: str) -> int | None:
+    """The published version of a snapshot store (from its manifest), or None."""
+    row = _manifest(spark, base)
+    return None if row is None else int(row["version"])
 
 
 def read_store(spark: SparkSession, base: str) -> Tables:
@@ -138,10 +144,6 @@ def write_batch(spark: SparkSession, base: str, batch_id: int, commands: DataFra
      .write.mode("overwrite").parquet(f"{base}/commits/{_folder(source, batch_id)}"))
 
 
-# plain folder names: Spark treats names starting with "_" or "." as hidden
-SNAPSHOT = "snapshot"
-
-
 def _committed(spark: SparkSession, base: str, name: str) -> DataFrame | None:
     """Rows of all committed batches (with their ``source`` and ``batch_id``)."""
     try:
@@ -152,52 +154,47 @@ def _committed(spark: SparkSession, base: str, name: str) -> DataFrame | None:
     return delta.join(commits, ["source", "batch_id"], "left_semi")
 
 
-def read_with_deltas(spark: SparkSession, base_tables: Tables, base: str, mode: str = "upsert",
-                     use_snapshot: bool = True) -> Tables:
+def _as_store(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Delta rows in the columns and types of a store's table; rows whose contract id is none of the store's type go
+    (``rejected_commands`` returns their requests)."""
+    types = dict(table.dtypes)
+    rows = rows.withColumn(key, F.col(key).try_cast(types[key]))
+    return rows.where(F.col(key).isNotNull()).select(*[F.col(c).cast(types[c]).alias(c) for c in table.columns])
+
+
+def read_with_deltas(spark: SparkSession, base_tables: Tables, base: str, mode: str = "upsert") -> Tables:
     """Merge-on-read: ``base_tables`` plus the command deltas of all committed
     batches. Per contract the command with the greatest (ts, seq) wins, as in
     the batch bundle, so neither sources nor the order of batches can hide one.
-    A snapshot is never read instead: ``use_snapshot`` makes no difference.
     """
     from covenant.operators.mutations import update_contracts
     cmds = _committed(spark, base, "commands")
     if cmds is None:
         return base_tables
     cid_type = dict(base_tables.contracts.dtypes)["id"]
-    latest = latest_commands(cmds.withColumn("contract_id", F.col("contract_id").cast(cid_type)))
+    cmds = cmds.withColumn("contract_id", F.col("contract_id").try_cast(cid_type)).where("contract_id is not null")
+    latest = latest_commands(cmds)
     changes = latest.select(F.col("contract_id").alias("id"), F.col("new_status").alias("contract_status"),
                             F.col("ts").alias("updated_at"))
     merge = upsert_contracts if mode == "upsert" else update_contracts
     contracts = merge(base_tables.contracts, changes)
-    ev = _committed(spark, base, "events")
-    lg = _committed(spark, base, "ledger")
-    events = base_tables.events.unionByName(ev.select(*base_tables.events.columns))
-    ledger = base_tables.ledger.unionByName(lg.select(*base_tables.ledger.columns))
+    events = base_tables.events.unionByName(_as_store(_committed(spark, base, "events"), base_tables.events, "soul_contract_id"))
+    ledger = base_tables.ledger.unionByName(_as_store(_committed(spark, base, "ledger"), base_tables.ledger, "soul_contract_id"))
     return Tables(contracts, events, ledger)
 
 
-def compact_store(spark: SparkSession, base_tables: Tables, base: str, mode: str = "upsert",
-                  max_records_per_file: int | None = None) -> int | None:
-    """Write the state of all committed batches as a snapshot (published by its
-    manifest) for readers of ``read_store``. Returns the greatest committed batch
-    id. Safe to run while streams append: the state itself is always read from
-    all committed batches."""
-    try:
-        hi = spark.read.parquet(f"{base}/commits").agg(F.max("batch_id")).first()[0]
-    except AnalysisException:
-        return None
-    if hi is None:
-        return None
-    state = read_with_deltas(spark, base_tables, base, mode)
-    write_store(spark, f"{base}/{SNAPSHOT}", int(hi), tables=state, targets={"normalized"},
-                max_records_per_file=max_records_per_file)
-    return int(hi)
-
-
-def rejected_commands(spark: SparkSession, base: str) -> DataFrame | None:
-    """Rejected request bodies (value, reason) of all committed batches."""
+def rejected_commands(spark: SparkSession, base: str, cid_type: str | None = None) -> DataFrame | None:
+    """Rejected request bodies (value, reason) of all committed batches. With ``cid_type``, the type of a store's contract
+    ids, also the requests that were taken in with an id that is no such value (their id as the value)."""
+    from covenant.operators.mutations import REASON_ID
     r = _committed(spark, base, "rejects")
-    return None if r is None else r.drop("source", "batch_id")
+    if r is None:
+        return None
+    r = r.drop("source", "batch_id")
+    if cid_type:
+        unfit = _committed(spark, base, "commands").where(F.col("contract_id").try_cast(cid_type).isNull())
+        r = r.unionByName(unfit.select(F.col("contract_id").cast("string").alias("value"), F.lit(REASON_ID).alias("reason")))
+    return r
 
 
 def write_chunked(df: DataFrame, path: str, max_records_per_file: int, mode: str = "overwrite") -> None:

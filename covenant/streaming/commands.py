@@ -6,7 +6,10 @@ checkpoint makes the source offsets exactly-once; a batch id of this query that
 already has its commit marker is skipped and an uncommitted one is rewritten in
 full, so a lost executor or a restarted query cannot double-apply a command.
 Batches are keyed by query (the id in the checkpoint) and batch id: a second
-stream or a new checkpoint on the same store loses none.
+stream or a new checkpoint on the same store loses none. A request is known by
+its place in the source, so its rows have the same ids in a stream and in a batch.
+Contract ids are text, as requests carry them, unless ``cid_type`` says otherwise:
+then an id that is no such value is rejected when it comes in.
 """
 
 from __future__ import annotations
@@ -23,9 +26,9 @@ from covenant.sources.schemas import MONEY
 from covenant.sources.store import BATCH_SOURCE, is_committed, write_batch
 
 
-def bundle_rows(valid: DataFrame, id_type: str = "bigint", cid_type: str = "bigint"):
+def bundle_rows(valid: DataFrame, id_type: str = "bigint", cid_type: str | None = None):
     """New event and ledger rows of a batch of valid commands."""
-    cmd = valid.withColumn("contract_id", F.col("contract_id").cast(cid_type))
+    cmd = valid.withColumn("contract_id", F.col("contract_id").cast(cid_type or "string"))
     ev = cmd.select(_new_id("event", id_type, F.col("seq")).alias("id"),
                     F.col("contract_id").alias("soul_contract_id"), F.col("ts").alias("event_time"),
                     _template(EVENT_TEXT, status=F.col("new_status")).alias("description"))
@@ -37,7 +40,7 @@ def bundle_rows(valid: DataFrame, id_type: str = "bigint", cid_type: str = "bigi
 
 
 def commit_commands(spark: SparkSession, store: str, batch_id: int, raw: DataFrame, amount: str = "strict",
-                    id_type: str = "bigint", cid_type: str = "bigint", now: str | None = None,
+                    id_type: str = "bigint", cid_type: str | None = None, now: str | None = None,
                     source: str = BATCH_SOURCE) -> None:
     """Apply one batch of raw request bodies to a stored store: validate, derive
     the bundle's rows, write them as the deltas of batch ``batch_id`` of ``source``
@@ -58,14 +61,14 @@ def commit_commands(spark: SparkSession, store: str, batch_id: int, raw: DataFra
 
 
 def apply_commands_stream(spark: SparkSession, source: str, store: str, checkpoint: str,
-                          amount: str = "strict", id_type: str = "bigint", cid_type: str = "bigint",
+                          amount: str = "strict", id_type: str = "bigint", cid_type: str | None = None,
                           available_now: bool = True, now: str | None = None,
                           max_files_per_trigger: int | None = None, source_format: str = "text",
-                          source_options: dict | None = None) -> StreamingQuery:
+                          source_options: dict | None = None, source_schema: str | None = None) -> StreamingQuery:
     """Run the applier over ``source`` (a folder of text bodies by default, or any
     stream source given by ``source_format``/``source_options``, e.g. kafka)."""
     raw = read_commands(spark, source, streaming=True, max_files_per_trigger=max_files_per_trigger,
-                        format=source_format, options=source_options)
+                        format=source_format, options=source_options, schema=source_schema)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         # like the handler's NOW(): one processing time for the whole batch; a

@@ -47,7 +47,8 @@ def test_lookups_push_filters_into_parquet(spark):
 
 def test_positions_are_sliced_not_grouped_whole(spark):
     p = plan(spark, "summary_stats")
-    assert "rangepartitioning" in p
+    # the slices were range-partitioned and written: the numbering scans them
+    assert "rangepartitioning" not in p and re.search(r"FileScan parquet \[[^\]]*_slice[^\]]*\][^\n]*positions-", p)
     numbering = [line for line in p.splitlines() if "Window [row_number()" in line]
     assert numbering
     for line in numbering:
@@ -89,3 +90,9 @@ def test_parity_summary_counts_the_events(spark, monkeypatch):
     same = mismatches()
     monkeypatch.setattr(catalog, "_r", lambda s, d: drifted)
     assert mismatches()[0] > same[0] and mismatches()[1] > same[1]
+
+
+def test_replay_checks_never_shuffle_the_store(spark, no_auto_broadcast):
+    p = plan(spark, "apply_commands_events")
+    assert "hashpartitioning(id#" not in p.replace("_held_", "") or "LeftSemi" in p
+    assert re.search(r"BroadcastHashJoin \[[^\]]*\], \[[^\]]*\], LeftSemi", p)
