@@ -24,10 +24,10 @@ FIRST_DAY = "0000-01-01"
 FAR = (1325, 2729)    # its size as a product: DAYS - DATE_SPAN
 
 # What is looked for, in order of precedence at one place.
-EMAIL = r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})*\.[A-Za-z]{2,24}"
-DATE = r"(?<![\w\-])\d{4}-\d{2}-\d{2}(?![\w\-])"
+EMAIL = r"[\p{L}\p{M}\p{N}._%+\-]{1,64}@[\p{L}\p{M}\p{N}\-]{1,63}(?:\.[\p{L}\p{M}\p{N}\-]{1,63})*\.[\p{L}\p{M}]{2,24}"
+DATE = r"(?<!\d)(?<!\d-)\d{4}-\d{2}-\d{2}(?!\d)(?!-\d)"      # also within a time or a name
 IPV4 = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)"
-PHONE = r"(?:\+\d{1,3}[ \-.]?)?\(\d{2,4}\)[ \-.]?\d{3,4}[ \-.]\d{4}(?!\d)|\+\d{1,3}(?:[ \-.]\d{2,4}){2,4}(?!\d)|(?<![\w\-.])\d{3}[\-.]\d{3}[\-.]\d{4}(?![\w\-])"
+PHONE = r"(?:\+\d{1,3}[ \-.]?)?\(\d{2,4}\)[ \-.]?\d{3,4}[ \-.]?\d{4}(?!\d)|\+\d{1,3}(?:[ \-.]\d{2,4}){2,4}(?!\d)|(?<![\w\-.])\d{3}[\-.]\d{3}[\-.]\d{4}(?![\w\-])"
 PLUS = r"|(?<![\w.])\+(?=[1-9](?:[ \-()]*\d){7})"      # at least eight digits
 PHONE += PLUS + r"\d{8,15}(?!\d)" + PLUS + r"\d{1,3}[ \-]?\(?\d{1,5}\)?[ \-]?\d{4,9}(?!\d)"
 PHONE += PLUS + r"\d{1,3}[ \-]\d{1,5}[ \-]\d{3,9}(?:[ \-]\d{1,4}){0,2}(?!\d)" + PLUS + r"\d{1,3}[ \-]\d(?:[ \-]\d{2}){4}(?!\d)"
@@ -35,10 +35,13 @@ PHONE += r"|(?<![\w\-.+])(?<!\d )\d{3} \d{3} \d{4}(?![\w\-])(?! \d)"
 SSN = r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
 # A card starts a group of digits. It is looked for at every such place, in the layouts of 4-4-4-..., 4-4-4-4-1 to -3, 4-6-5
 # and 4-6-4 (longest first); only those with a check digit become part of the pattern of their text.
-CARD_FROM = r"(?<![\w.])(?<![^\d]-)(?<!^-)"
+# A dot or hyphen before it may follow a letter (no.4111..., card-4111...), else it would be a fraction or a sign.
+CARD_FROM = r"(?<!\w)(?<![^\p{L}]\.)(?<!^\.)(?<![^\d\p{L}]-)(?<!^-)"
 CARD_TO = r"(?!\w)"
 CARDS = (r"\d{4}(?:[ \-]?\d{4}){3}[ \-]\d{1,3}", r"\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}", r"\d{4}[ \-]\d{6}[ \-]\d{4,5}")
 CARD_AT = CARD_FROM + r"(?=(\d{4}[\w \-]{9,24}))"
+# The country codes of E.164 (zones 1 and 7, the two-digit codes; every other one has three digits).
+COUNTRY = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 ANY = "|".join((EMAIL, DATE, IPV4, SSN, PHONE))
 
 
@@ -132,10 +135,12 @@ def _ipv4(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The digits after a country code are permuted."""
-    head = F.regexp_extract(m, r"^(\+\d{1,3}[ \-.]?)?", 0)
-    tail = F.substr(m, F.length(head) + 1)
-    return F.concat(head, _refill(tail, permute_digits(F.regexp_replace(tail, "[^0-9]", ""), "phone", key)))
+    """The digits of the national number are permuted, whatever the spelling: a country code, which only follows a plus,
+    stays and is told from them by the table of codes."""
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    code = F.when(m.startswith("+"), F.regexp_extract(digits, COUNTRY, 1)).otherwise(F.lit(""))
+    national = F.substr(digits, F.length(code) + 1)
+    return _refill(m, F.concat(code, permute_digits(national, "phone", key)))
 
 
 def _is(m: Column, pattern: str) -> Column:
