@@ -120,15 +120,33 @@ def _fingerprint(c: DataFrame) -> DataFrame:
                                 F.struct(F.sum(h1), F.sum(h2)).alias("hs"))
 
 
+def differing_blocks(pos: DataFrame, block: int) -> DataFrame:
+    """The positioned rows (side, cid, pos, t, d, a) in blocks of ``block`` positions whose two sides differ: the second
+    level of the hash tree above the rows, the first is the contract's fingerprint.
+
+    A block's sides are equal if their counts and the sums of two independent hashes over (position, row) are: both sides
+    are summed with opposite signs, so one aggregation with map-side partial sums compares them, whatever a contract's size.
+    """
+    sign = F.when(F.col("side") == 0, 1).otherwise(-1)
+    rows = pos.withColumn("_block", F.floor(F.col("pos") / block))
+    sums = [F.sum(h("pos", "t", "d", "a").cast("decimal(38,0)") * sign) for h in (F.xxhash64, F.hash)]
+    differ = (rows.groupBy(F.col("cid").alias("_bc"), F.col("_block").alias("_bb")).agg(
+        F.sum(sign).alias("_n"), *[x.alias(f"_h{i}") for i, x in enumerate(sums)])
+        .where("_n <> 0 or _h0 <> 0 or _h1 <> 0").select("_bc", "_bb"))
+    return rows.join(differ, F.col("cid").eqNullSafe(F.col("_bc")) & (F.col("_block") == F.col("_bb")), "left_semi").drop("_block")
+
+
 def parity_collection(left: DataFrame, right: DataFrame, time_col: str, scope: str,
                       amount: bool, ids: DataFrame | None = None, mode: str = "positional",
-                      materialize: bool = True) -> DataFrame:
+                      materialize: bool = True, block: int | None = None) -> DataFrame:
     """V3: compare two stores' time-ordered collections per contract.
 
     Contracts are first compared by an order-free fingerprint (count + hash sum);
     only those that differ are compared row by row. ``positional`` pairs the
     i-th rows (the reference's semantics: one lost row shifts every later
-    position); ``keyed`` reports the multiset difference instead.
+    position); ``keyed`` reports the multiset difference instead. ``block``: the
+    positions of a differing contract are compared by digests of so many at
+    once first, and row by row only in the blocks that differ.
     """
     lc, rc = _collection(left, time_col, amount), _collection(right, time_col, amount)
     if ids is not None:
@@ -164,6 +182,8 @@ def parity_collection(left: DataFrame, right: DataFrame, time_col: str, scope: s
     # pair the i-th left row with the i-th right row: (cid, pos) holds at most
     # one row per side, so one aggregation does it (no self-join, no skew)
     left_, right_ = F.col("side") == 0, F.col("side") == 1
+    if block:
+        pos = differing_blocks(pos, block)
 
     def side(c, cond):
         return F.max(F.when(cond, F.col(c)))
@@ -201,10 +221,10 @@ def parity_events(left: DataFrame, right: DataFrame, ids=None, mode: str = "posi
 
 
 def parity_ledger(left: DataFrame, right: DataFrame, ids=None, mode: str = "positional",
-                  materialize: bool = True) -> DataFrame:
+                  materialize: bool = True, block: int | None = None) -> DataFrame:
     """V3 for ledger rows: positional (or keyed) comparison including amounts."""
     return parity_collection(_text_time(left, "transaction_time"), _text_time(right, "transaction_time"),
-                             "transaction_time", "ledger entries", True, ids, mode, materialize)
+                             "transaction_time", "ledger entries", True, ids, mode, materialize, block)
 
 
 # ---------------------------------------------------------------- V4

@@ -59,6 +59,26 @@ def profile_joined(t: Tables, ids) -> DataFrame:
                     (F.col("s_l") * e_mult).cast(SUM_MONEY).alias("total_power"))
 
 
+def profile_multiset(t: Tables, ids=None) -> DataFrame:
+    """A7 as a multiset, for some or all contracts: one row per contract and different event text with the number of times
+    it stands in the fan-out (its events times max(L, 1); a contract without events has the text NULL max(L, 1) times), and
+    the contract's ``total_power`` as in ``profile_joined``.
+
+    No row holds a contract's event list: texts are counted before the join, so a contract with 10^6 events is as many
+    rows as it has different texts, and the ledger is one row per contract.
+    """
+    t = _restrict(t, ids)
+    ev = t.events.groupBy(F.col("soul_contract_id").alias("e_cid"), F.col("description").alias("event")).agg(F.count(F.lit(1)).alias("n_d"))
+    n_e = t.events.groupBy(F.col("soul_contract_id").alias("n_cid")).agg(F.count(F.lit(1)).alias("n_e"))
+    lg = (t.ledger.groupBy(F.col("soul_contract_id").alias("l_cid"))
+          .agg(F.count(F.lit(1)).alias("n_l"), F.sum("amount").cast(SUM_MONEY).alias("s_l")))
+    per = t.contracts.select("id").join(n_e, F.col("id") == F.col("n_cid"), "left").join(lg, F.col("id") == F.col("l_cid"), "left").select(
+        "id", F.greatest(F.coalesce("n_l", F.lit(0)), F.lit(1)).alias("l_mult"),
+        (F.col("s_l") * F.greatest(F.coalesce("n_e", F.lit(0)), F.lit(1))).cast(SUM_MONEY).alias("total_power"))
+    return per.join(ev, F.col("id") == F.col("e_cid"), "left").select(
+        "id", "event", (F.coalesce("n_d", F.lit(1)) * F.col("l_mult")).cast("long").alias("times"), "total_power")
+
+
 def events_text(arr) -> F.Column:
     """Order-free text form of an array (sorted, NULLs as 'NULL') for comparisons."""
     return F.array_join(F.array_sort(F.col(arr)), "|", "NULL")

@@ -10,15 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from covenant.functions.labels import (SIGNIFICANCE, Z95, confidence_label, consistency_label,
                                        effect_label, step_p_value)
+from covenant.operators.keyset import broadcast_within
 from covenant.operators.positional import group_positions
+from covenant.session import materialize
 
 STAT = "decimal(18,4)"
 PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+ACCURACY = 10_000     # of the quantile sketches that bracket an exact percentile
 
 
 def _d(c):
@@ -32,25 +35,66 @@ def _join_groups(left: DataFrame, right: DataFrame, by: list[str], how: str) ->
     return left.join(r, cond, how).drop(*[f"_r_{c}" for c in by])
 
 
+def sorted_ranks(df: DataFrame, value: str, by: Sequence[str], percentiles: dict[str, float] = PERCENTILES) -> DataFrame:
+    """Nearest-rank percentiles per group by the rows' positions in a range sort."""
+    v, nd = F.col(value), F.col("n").cast("double")
+    ranked = group_positions(df.where(v.isNotNull()).select(*by, value), by, [v], size_col="n")
+    ranked = ranked.where(F.col("pos").isin(*[F.floor(nd * F.lit(p)) for p in percentiles.values()]))
+    return ranked.groupBy(*by).agg(*[F.max(F.when(F.col("pos") == F.floor(nd * F.lit(p)), v)).alias(k) for k, p in percentiles.items()])
+
+
+def nearest_ranks(df: DataFrame, value: str, by: Sequence[str], percentiles: dict[str, float] = PERCENTILES,
+                  accuracy: int = ACCURACY) -> DataFrame:
+    """Exact nearest-rank percentiles (element floor(n*p) of the sorted sample) per group, by selection: no sort of the
+    samples, no copy of them.
+
+    A mergeable quantile sketch per group (rank error at most n/accuracy) brackets every percentile between two sample
+    values. One more pass counts what lies below a bracket and ranks only what lies inside it: about 4/accuracy of the
+    samples, or all copies of a value that many samples share, which count as one. The brackets (one row per group) are
+    the only thing written. A percentile outside of its bracket would be an error, never a wrong value.
+    """
+    by, v = list(by), F.col(value)
+    rows = df.where(v.isNotNull()).select(*by, value)
+    edges = [q for p in percentiles.values() for q in (max(0.0, p - 2 / accuracy), min(1.0, p + 2 / accuracy))]
+    groups = materialize(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(
+        value, F.array(*[F.lit(q) for q in edges]), F.lit(accuracy)).alias("_q")), "percentile-brackets")
+    # a row meets its group's brackets: how many samples are below each, and which of them are inside
+    inside = F.array(*[F.when(v.between(F.col("_q")[2 * i], F.col("_q")[2 * i + 1]), F.lit(i)) for i in range(len(percentiles))])
+    met = _join_groups(rows, broadcast_within(groups), by, "inner")
+    below = met.groupBy(*by).agg(*[F.count(F.when(v < F.col("_q")[2 * i], 1)).alias(f"_b{i}") for i in range(len(percentiles))])
+    values = (met.select(*by, value, F.explode(F.array_compact(inside)).alias("_i"))
+              .groupBy(*by, "_i", value).agg(F.count(F.lit(1)).alias("_c")))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_i").orderBy(value))
+    values = values.withColumn("_upto", upto)
+    at = _join_groups(values, _join_groups(groups.select(*by, "_n"), below, by, "inner"), by, "inner")
+    n = F.col("_n").cast("double")
+    hits = []
+    for i, (name, p) in enumerate(percentiles.items()):
+        k = F.floor(n * F.lit(p)) - F.col(f"_b{i}")          # its place inside the bracket
+        here = (F.col("_i") == i) & (F.col("_upto") - F.col("_c") <= k) & (k < F.col("_upto"))
+        hits.append(F.max(F.when(here, v)).alias(name))
+    out = at.groupBy(*by).agg(*hits)
+    return out.select(*by, *[F.coalesce(name, F.raise_error(F.lit(f"{name} lies outside of its bracket")).cast(dict(df.dtypes)[value])).alias(name)
+                             for name in percentiles])
+
+
 def summary_stats(df: DataFrame, value: str, by: Sequence[str], levels: int = 4,
-                  groups: DataFrame | None = None) -> DataFrame:
+                  groups: DataFrame | None = None, percentiles: str = "sort") -> DataFrame:
     """N, mean, min, max, sample sd, cv %, 95 % half-width,
     nearest-rank p50/p95/p99 (element floor(n*p) of the sorted sample), labels.
 
     n = 1 gives sd/cv NULL; mean 0 gives cv NULL. ``groups`` (the requested
     groups) turns absent groups into all-zero rows (the empty-sample rule).
+    ``percentiles``: ``sort`` numbers a written range sort of the samples,
+    ``select`` finds the same values by selection (``nearest_ranks``).
     """
     by = list(by)
     v = F.col(value)
     mom = df.groupBy(*by).agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.stddev_samp(v).alias("sd"))
-    ranked = group_positions(df.where(v.isNotNull()).select(*by, value), by, [F.col(value)], size_col="n")
     nd = F.col("n").cast("double")
-    targets = [F.floor(nd * F.lit(p)) for p in PERCENTILES.values()]
-    ranked = ranked.where(F.col("pos").isin(*targets))
-    pct = ranked.groupBy(*by).agg(*[
-        F.max(F.when(F.col("pos") == F.floor(nd * F.lit(p)), v)).alias(k) for k, p in PERCENTILES.items()])
+    pct = nearest_ranks(df, value, by) if percentiles == "select" else sorted_ranks(df, value, by)
     s = _join_groups(mom, pct, by, "left")
     cv = F.try_divide(F.lit(100.0) * F.col("sd"), F.col("mean"))
     out = s.select(

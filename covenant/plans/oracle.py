@@ -796,3 +796,21 @@ Q["ledger_running_totals"] = with_binding() + """
 SELECT contract_date, soul_contract_id, daily_total,
        CAST(SUM(daily_total) OVER (ORDER BY contract_date NULLS FIRST, soul_contract_id NULLS FIRST
                                    ROWS UNBOUNDED PRECEDING) AS DECIMAL(38,6)) AS running_total FROM d"""
+
+# ------------------------------------------------------------------ other forms
+Q["profile_multiset"] = with_binding() + """
+, fan AS (SELECT c.id, e.description AS event, l.amount FROM contracts c
+          LEFT JOIN contract_events e ON e.soul_contract_id = c.id LEFT JOIN ledger l ON l.soul_contract_id = c.id),
+power AS (SELECT id, CAST(SUM(amount) AS DECIMAL(38,6)) AS total_power FROM fan GROUP BY id)
+SELECT id, event, COUNT(*) AS times, MIN(total_power) AS total_power FROM fan JOIN power USING (id) GROUP BY id, event"""
+Q["summary_stats_selected"] = Q["summary_stats"]
+Q["parity_ledger_blocks"] = Q["parity_ledger"]
+_EXPECTED = """
+WITH inv AS (SELECT 'customer' AS table_name, TRUE AS present, (SELECT COUNT(*) FROM customer) AS row_count
+  UNION ALL SELECT 'orders', TRUE, (SELECT COUNT(*) FROM orders) UNION ALL SELECT 'events', TRUE, (SELECT COUNT(*) FROM events)
+  UNION ALL SELECT 'souls', FALSE, NULL)
+"""
+Q["missing_tables"] = _EXPECTED + "SELECT table_name FROM inv WHERE NOT present"
+Q["readiness_partial"] = _EXPECTED + """
+SELECT COUNT(*) AS expected, COUNT(CASE WHEN present THEN 1 END) AS present, CAST(SUM(COALESCE(row_count, 0)) AS BIGINT) AS total_rows,
+       COUNT(CASE WHEN present THEN 1 END) IN (0, COUNT(*)) AS ready FROM inv"""

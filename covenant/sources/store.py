@@ -48,13 +48,14 @@ def resolve_targets(target: str | None = None, normalized_only: bool = False, it
 
 
 DAY_SUFFIX = "_date"
+POINT_KEYS = {"contracts": ("id",), "events": ("id", "soul_contract_id"), "ledger": ("id", "soul_contract_id"), "items": ("PK",)}
 TIME_COLS = {"events": "event_time", "ledger": "transaction_time"}
 
 
 def write_store(spark: SparkSession, base: str, version: int, tables: Tables | None = None,
                 items: DataFrame | None = None, targets: Iterable[str] = TARGETS,
                 max_records_per_file: int | None = None, cluster: bool = False,
-                partition_by_day: bool = False, num_partitions: int | None = None) -> str:
+                partition_by_day: bool = False, num_partitions: int | None = None, point_keys: int | None = None) -> str:
     """Write the selected targets as version ``version`` and publish it.
 
     ``cluster``: contracts range-partitioned by id, events/ledger (and items)
@@ -77,6 +78,9 @@ def write_store(spark: SparkSession, base: str, version: int, tables: Tables | N
         wr = df.write.mode("overwrite")
         if max_records_per_file:
             wr = wr.option("maxRecordsPerFile", int(max_records_per_file))
+        for column in POINT_KEYS[name] if point_keys else ():
+            wr = wr.option(f"parquet.bloom.filter.enabled#{column}", "true").option(
+                f"parquet.bloom.filter.expected.ndv#{column}", int(point_keys))
         if partition_by_day and time:
             wr = wr.partitionBy(time + DAY_SUFFIX)
         wr.parquet(f"{root}/{name}")
