@@ -14,9 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covenant.plans.sizing import bounded_count, plan_bytes
+from covenant.plans.sizing import BROADCAST_BYTES, bounded_count, plan_bytes
 
-BROADCAST_BYTES = 8 << 20
 FILTER_KEYS = 4_000_000        # a filter of so many keys has 1 M words, about 32 MB as a broadcast table
 BITS_PER_KEY = 16
 
@@ -42,11 +41,6 @@ def may_hold(store: DataFrame, batch: DataFrame, keys: Sequence[str], n: int) ->
             .where(F.getbit("_bits", F.col("_bit")) == 1).drop("_word", "_bit", "_bits"))
 
 
-def broadcast_within(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast of ``df`` if its plan's size is within ``max_bytes``; beyond it the join is left to Spark."""
-    return F.broadcast(df) if plan_bytes(df) <= max_bytes else df
-
-
 def _same(left: Sequence[str], right: Sequence[str]):
     """Null-safe equality of two lists of columns: a null key is a key."""
     cond = None

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from covenant.operators.positional import prefix_sums
+
 # id lists up to this length become an IN-list literal (pushed to parquet);
 # longer lists go through a DataFrame and a semi join.
 ISIN_MAX = 1000
@@ -59,6 +61,13 @@ def resolve_ids(contracts: DataFrame, ids: Sequence | None = None, sample_size:
     return first.select((F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("pos"), "id")
 
 
+def first_seen_ids(rows: DataFrame, id_col: str, order: str) -> DataFrame:
+    """X1 over a table: the different ids of ``rows``, numbered from 0 in the order they are first seen (``order`` is a
+    unique column). One row per id; the numbering is a distributed running count."""
+    first = rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(order).alias("_first"))
+    return prefix_sums(first, ["_first"], {"_nth": F.lit(1).cast("long")}).select((F.col("_nth") - 1).alias("pos"), "id")
+
+
 def sample_common_id(left: DataFrame, right: DataFrame, status: str = "Bound",
                      candidates: int = 10) -> DataFrame:
     """The first of up to ``candidates`` ``status`` contracts of ``left`` that also

@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covenant.functions.exprs import iso_ms, parse_iso
-from covenant.operators.keyset import BROADCAST_BYTES, broadcast_within, fresh_rows, held_keys
-from covenant.plans.sizing import plan_bytes
+from covenant.operators.keyset import fresh_rows, held_keys
+from covenant.plans.sizing import BROADCAST_BYTES, broadcast_within, plan_bytes
 from covenant.sources.binding import Tables
 from covenant.sources.commands import MAX_SEQ, ORIGIN, with_places
 from covenant.sources.schemas import MONEY

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from covenant.functions.exprs import iso_ms
 from covenant.session import materialize as materialize_table
 from covenant.operators.positional import group_positions
-from covenant.plans.sizing import broadcast_if_small
+from covenant.plans.sizing import broadcast_within
 from covenant.sources.schemas import ISSUES, MONEY
 
 UNKNOWN = "Unknown"
@@ -263,9 +263,9 @@ def issue_counts(issues: DataFrame, ids: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- V6
 def threshold_violations(measurements: DataFrame, limits: DataFrame) -> DataFrame:
     """V6: measurements above their system's limit. ``limits`` is (system, limit_ms),
-    one row per system: broadcast behind a row-count check, so a system holding
+    one row per system: broadcast behind a check of its size, so a system holding
     a third of all measurements never meets a shuffle join."""
-    return (measurements.join(broadcast_if_small(limits), "system", "inner")
+    return (measurements.join(broadcast_within(limits), "system", "inner")
             .where(F.col("elapsed_ms") > F.col("limit_ms"))
             .select("scenario", "system", "iteration", "elapsed_ms", "limit_ms"))
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from covenant.functions.labels import (SIGNIFICANCE, Z95, confidence_label, consistency_label,
                                        effect_label, step_p_value)
-from covenant.operators.keyset import broadcast_within
 from covenant.operators.positional import group_positions
+from covenant.plans.sizing import broadcast_within
 from covenant.session import materialize
 
 STAT = "decimal(18,4)"

@@ -60,6 +60,12 @@ def _items(spark, d):
     return _memo("items", spark, d, lambda: I.put_items(I.to_items(_t(spark, d))))
 
 
+def _item_store(spark, d):
+    """The item store as a written table: what command batches are applied to."""
+    from covenant.session import materialize
+    return _memo("item_store", spark, d, lambda: materialize(_items(spark, d), "item-store"))
+
+
 def sample_id(spark, d):
     """The id a profile/lookup scenario works on: S11 over the two stores (one
     scalar, picked once per session like the original picks it before timing)."""
@@ -185,7 +191,7 @@ register("apply_commands_ledger")(lambda s, d: _applied(s, d).ledger)
 register("apply_update_only_contracts")(lambda s, d: _applied(s, d, mode="update_only").contracts)
 register("apply_touches_events")(lambda s, d: M.apply_touches(_t(s, d), _cmds(s, d)).events)
 register("audit_after_commands")(lambda s, d: P.audit_latest(_applied(s, d)))
-register("apply_commands_items")(lambda s, d: M.apply_commands_items(_items(s, d), _cmds(s, d)))
+register("apply_commands_items")(lambda s, d: M.apply_commands_items(_item_store(s, d), _cmds(s, d)))
 
 # remaining lookups / projections
 register("lookup_ledger_by_date")(lambda s, d: L.lookup_by_date(_t(s, d).ledger, "transaction_time", "1995-03-01"))
@@ -239,7 +245,7 @@ register("stream_commands_ledger")(lambda s, d: _streamed(s, d).ledger)
 
 # the item store after the handlers' write bundle (stale-status hard point H17)
 def _items_after(s, d):
-    return _memo("items_after", s, d, lambda: M.apply_commands_items(_items(s, d), _cmds(s, d)))
+    return _memo("items_after", s, d, lambda: M.apply_commands_items(_item_store(s, d), _cmds(s, d)))
 
 
 register("from_items_after_commands_full")(lambda s, d: I.from_items(_items_after(s, d), mode="full").contracts)
@@ -312,7 +318,7 @@ def _repeated_commands(s, d):
 
 register("requests_repeated_events")(lambda s, d: M.apply_commands(_t(s, d), _repeated_commands(s, d)).events)
 register("requests_repeated_ledger")(lambda s, d: M.apply_commands(_t(s, d), _repeated_commands(s, d)).ledger)
-register("requests_repeated_items")(lambda s, d: M.apply_commands_items(_items(s, d), _repeated_commands(s, d)))
+register("requests_repeated_items")(lambda s, d: M.apply_commands_items(_item_store(s, d), _repeated_commands(s, d)))
 register("stream_repeated_events")(lambda s, d: _memo(
     "streamed_repeats", s, d, lambda: _stream_log(s, [_repeated_log(s, d)], "bigint", _t(s, d))).events)
 
@@ -342,8 +348,8 @@ register("stream_text_ids_contracts")(lambda s, d: _streamed_text(s, d).contract
 register("stream_text_ids_ledger")(lambda s, d: _streamed_text(s, d).ledger)
 
 # item forms of the demo's write, of the touch bundle and of the audit
-register("apply_demo_items")(lambda s, d: M.apply_demo_items(_items(s, d), _cmds(s, d)))
-register("apply_touches_items")(lambda s, d: M.apply_touches_items(_items(s, d), _cmds(s, d)))
+register("apply_demo_items")(lambda s, d: M.apply_demo_items(_item_store(s, d), _cmds(s, d)))
+register("apply_touches_items")(lambda s, d: M.apply_touches_items(_item_store(s, d), _cmds(s, d)))
 register("audit_latest_items")(lambda s, d: P.audit_latest_items(_items(s, d)))
 
 # parity of requested ids: some are in both stores, in one of them, in neither
@@ -402,3 +408,38 @@ register("parity_ledger_blocks")(lambda s, d: V.parity_ledger(_t(s, d).ledger, _
 EXPECTED = ["customer", "orders", "events", "souls"]
 register("missing_tables")(lambda s, d: L.missing_tables(L.table_inventory(s, d, EXPECTED)))
 register("readiness_partial")(lambda s, d: L.readiness(L.table_inventory(s, d, EXPECTED)))
+
+# X1 over a table, M10 and M11 as written files
+register("first_seen_ids")(lambda s, d: L.first_seen_ids(_t(s, d).events, "soul_contract_id", "id"))
+MAX_ROWS = 3000
+
+
+def _chunked(s, d):
+    """The ledger written in files of at most MAX_ROWS rows: rows read back, and files above the bound."""
+    import uuid
+    from covenant.session import scratch_path
+    from covenant.sources.store import write_chunked
+    path = scratch_path(s, f"chunked-{uuid.uuid4().hex}")
+    write_chunked(_t(s, d).ledger, path, MAX_ROWS)
+    files = s.read.parquet(path).groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n"))
+    return files.agg(F.sum("n").cast("long").alias("rows"), F.count(F.when(F.col("n") > MAX_ROWS, 1)).alias("files_above_bound"))
+
+
+def _targeted(s, d):
+    """Rows per table that a store holds after a write with some target switches (NULL: not written)."""
+    import uuid
+    from covenant.session import scratch_path
+    from covenant.sources.store import resolve_targets, write_store
+    cases = {"all": {}, "items_only": {"items_only": True}, "normalized": {"target": "Normalized"},
+             "last_wins": {"normalized_only": True, "items_only": True}, "skipped": {"items_only": True, "skip_items": True}}
+    out = None
+    for name, switches in cases.items():
+        base = scratch_path(s, f"targets-{uuid.uuid4().hex}")
+        root = write_store(s, base, 1, _t(s, d), _item_store(s, d), resolve_targets(**switches))
+        rows = L.table_inventory(s, root, ["contracts", "items"], suffix="").select(F.lit(name).alias("switches"), "table_name", "row_count")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+register("write_chunked")(_chunked)
+register("write_targets")(_targeted)

@@ -814,3 +814,13 @@ Q["missing_tables"] = _EXPECTED + "SELECT table_name FROM inv WHERE NOT present"
 Q["readiness_partial"] = _EXPECTED + """
 SELECT COUNT(*) AS expected, COUNT(CASE WHEN present THEN 1 END) AS present, CAST(SUM(COALESCE(row_count, 0)) AS BIGINT) AS total_rows,
        COUNT(CASE WHEN present THEN 1 END) IN (0, COUNT(*)) AS ready FROM inv"""
+Q["first_seen_ids"] = with_binding() + """
+, f AS (SELECT soul_contract_id AS id, MIN(id) AS first FROM contract_events WHERE soul_contract_id IS NOT NULL GROUP BY soul_contract_id)
+SELECT CAST(row_number() OVER (ORDER BY first) - 1 AS BIGINT) AS pos, id FROM f"""
+Q["write_chunked"] = with_binding() + "SELECT COUNT(*) AS rows, CAST(0 AS BIGINT) AS files_above_bound FROM ledger"
+Q["write_targets"] = with_binding(_ITEMS, """
+counts AS (SELECT 'contracts' AS table_name, COUNT(*) AS n FROM contracts UNION ALL SELECT 'items', COUNT(*) FROM items),
+cases AS (SELECT * FROM (VALUES ('all', TRUE, TRUE), ('items_only', FALSE, TRUE), ('normalized', TRUE, FALSE), ('last_wins', FALSE, TRUE),
+                                ('skipped', FALSE, FALSE)) v(switches, tables, store))""") + """
+SELECT switches, table_name, CASE WHEN (table_name = 'items' AND store) OR (table_name = 'contracts' AND tables) THEN n END AS row_count
+FROM cases, counts"""

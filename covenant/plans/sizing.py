@@ -1,5 +1,7 @@
 """Size-checked broadcast.
 
+``broadcast_within`` compares Catalyst's size estimate (file sizes, no job) with a
+bound in bytes.
 ``broadcast_if_small`` counts a (dimension-like) side once and hints a
 broadcast only when the count is under a bound; beyond it the join is left
 to Spark (shuffle join, AQE may still convert it at runtime). The check is
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 # rows a hinted broadcast side may hold (a few MB for narrow dimension rows)
 DEFAULT_MAX_ROWS = 100_000
+# bytes of files (or of a local table) behind a broadcast side
+BROADCAST_BYTES = 8 << 20
 _COUNTS: dict[tuple, tuple[DataFrame, int]] = {}
 
 
@@ -21,6 +25,11 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def broadcast_within(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast of ``df`` if its plan's size is within ``max_bytes``; beyond it the join is left to Spark."""
+    return F.broadcast(df) if plan_bytes(df) <= max_bytes else df
+
+
 def bounded_count(df: DataFrame, limit: int) -> int:
     """Row count, but never counts past ``limit + 1`` rows (memoized per frame;
     the memo keeps the frame itself so an id is never reused for another one)."""

@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covenant.plans.sizing import broadcast_if_small
+from covenant.plans.sizing import broadcast_within
 from covenant.sources.schemas import MONEY
 
 # ---- fixed values of the binding (must stay equal to the SQL oracle) ----
@@ -101,9 +101,9 @@ def load_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
         soul_type_of(F.col("c_custkey")).alias("soul_type"),
         F.col("c_nationkey"),
     )
-    # nation is a dimension: broadcast behind a row-count check (a shuffle join
+    # nation is a dimension: broadcast behind a check of its size (a shuffle join
     # on a 25-value key would put every customer of a nation in one task)
-    c = c.join(broadcast_if_small(nation), c.c_nationkey == nation.n_nationkey, "left")
+    c = c.join(broadcast_within(nation), c.c_nationkey == nation.n_nationkey, "left")
     c = c.join(last_order, c.id == last_order.o_custkey, "left")
     return c.select("id", "contract_status", "soul_type", "contract_location", "updated_at")
 
