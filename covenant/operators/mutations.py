@@ -117,9 +117,11 @@ def validate_commands(raw: DataFrame, amount: str = "strict", now: str | None =
               .when(numeric & F.try_variant_get(v, "$.amount", MONEY.simpleString()).isNull(), F.lit(REASON_AMOUNT))
               .when(bad_seq, F.lit(REASON_SEQ)).when(bad_id, F.lit(REASON_ID)))
     ts_in = F.col("ts") if "ts" in raw.columns else F.lit(None).cast("timestamp_ntz")
-    seq_in = F.col("seq") if "seq" in raw.columns else F.lit(None).cast("long")
+    placed = "seq" in raw.columns        # and fit for a streaming plan, which numbers no rows
+    seq_in = F.col("seq") if placed else F.lit(None).cast("long")
+    place = F.lit(0).cast("long") if placed else F.monotonically_increasing_id()
     staged = raw.select(F.col("value"), reason.alias("reason"), v.alias("_v"), ts_in.alias("_ts"),
-                        seq_in.alias("_seq"), F.monotonically_increasing_id().alias("_place"))
+                        seq_in.alias("_seq"), place.alias("_place"))
     rejected = staged.where(F.col("reason").isNotNull()).select("value", "reason")
     j = F.col("_v")
     now_col = F.lit(now).cast("timestamp_ntz") if now else F.lit(None).cast("timestamp_ntz")

@@ -443,3 +443,23 @@ def _targeted(s, d):
 
 register("write_chunked")(_chunked)
 register("write_targets")(_targeted)
+
+
+# R1 as keyed state: the later half of the log comes first
+def _state_contracts(s, d):
+    def make():
+        import uuid
+        from covenant.session import scratch_path
+        from covenant.streaming.commands import contracts_with_state, latest_state, latest_state_stream
+        root = scratch_path(s, f"command-state-{uuid.uuid4().hex}")
+        log = _request_log(s, d)
+        middle = log.agg(F.expr("percentile_approx(offset, 0.5)").alias("m"))
+        for late in (True, False):
+            half = log.join(F.broadcast(middle)).where((F.col("offset") > F.col("m")) == late).drop("m")
+            half.write.mode("append").parquet(f"{root}/in")
+            latest_state_stream(s, f"{root}/in", f"{root}/ckpt", source_schema=LOG).awaitTermination()
+        return contracts_with_state(_t(s, d), latest_state(s, f"{root}/ckpt"))
+    return _memo("state_contracts", s, d, make)
+
+
+register("stream_state_contracts")(_state_contracts)

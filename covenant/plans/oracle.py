@@ -824,3 +824,4 @@ cases AS (SELECT * FROM (VALUES ('all', TRUE, TRUE), ('items_only', FALSE, TRUE)
                                 ('skipped', FALSE, FALSE)) v(switches, tables, store))""") + """
 SELECT switches, table_name, CASE WHEN (table_name = 'items' AND store) OR (table_name = 'contracts' AND tables) THEN n END AS row_count
 FROM cases, counts"""
+Q["stream_state_contracts"] = Q["apply_commands_contracts"]

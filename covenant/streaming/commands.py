@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from covenant.operators.mutations import EVENT_TEXT, LEDGER_TEXT, _new_id, _template, validate_commands
-from covenant.sources.commands import read_commands
+from covenant.operators.mutations import EVENT_TEXT, LEDGER_TEXT, _new_id, _template, upsert_contracts, update_contracts, validate_commands
+from covenant.sources.binding import Tables
+from covenant.sources.commands import OFFSET_BITS, read_commands
 from covenant.sources.schemas import MONEY
 from covenant.sources.store import BATCH_SOURCE, is_committed, write_batch
 
@@ -79,3 +80,49 @@ def apply_commands_stream(spark: SparkSession, source: str, store: str, checkpoi
     w = raw.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
+
+
+# ---------------------------------------------------------------- latest state per contract
+def latest_state_stream(spark: SparkSession, source: str, checkpoint: str, changes: str | None = None, amount: str = "strict",
+                        available_now: bool = True, max_files_per_trigger: int | None = None, source_format: str = "parquet",
+                        source_options: dict | None = None, source_schema: str | None = None) -> StreamingQuery:
+    """Keep the latest command of every contract as the keyed state of a streaming aggregation: the greatest (ts, place)
+    wins, so neither a late command nor the order of batches overwrites a later one, and a restart loses none.
+
+    The source has to name its places (a message log with partition and offset): text lines have no number inside a
+    stream. ``changes``: a folder to which each batch's changed contracts are written (``batch_id=<b>``, replaced whole if
+    the batch is repeated). The state holds one row per contract that commands name, whatever the length of the log.
+    """
+    raw = read_commands(spark, source, streaming=True, max_files_per_trigger=max_files_per_trigger, format=source_format,
+                        options=source_options, schema=source_schema)
+    place = F.shiftleft(F.coalesce("origin_partition", F.lit(0)), OFFSET_BITS) + F.col("origin_offset")
+    valid, _ = validate_commands(raw.select("value", place.alias("seq")), amount=amount)
+    latest = valid.groupBy("contract_id").agg(F.max(F.struct("ts", "seq", "new_status")).alias("latest"))
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("contract_id", "latest.new_status", "latest.ts", "latest.seq")
+        if changes:
+            rows.write.mode("overwrite").parquet(f"{changes}/batch_id={batch_id}")
+        else:
+            rows.write.format("noop").mode("overwrite").save()
+
+    w = latest.writeStream.outputMode("update").foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
+
+
+def latest_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(contract_id, new_status, ts, seq): the state of ``latest_state_stream`` as of its last finished batch, read from
+    the state store itself."""
+    state = spark.read.format("statestore").load(checkpoint)
+    latest = F.col("value").getField(state.schema["value"].dataType.fields[0].name)
+    return state.select(F.col("key").getField("contract_id").alias("contract_id"), latest["new_status"].alias("new_status"),
+                        latest["ts"].alias("ts"), latest["seq"].alias("seq"))
+
+
+def contracts_with_state(t: Tables, state: DataFrame, mode: str = "upsert") -> DataFrame:
+    """The contracts of ``t`` with the status and time of ``state``; ids that are none of the store's type are left out."""
+    cid_type = dict(t.contracts.dtypes)["id"]
+    changes = state.select(F.col("contract_id").try_cast(cid_type).alias("id"), F.col("new_status").alias("contract_status"),
+                           F.col("ts").alias("updated_at")).where("id is not null")
+    return (upsert_contracts if mode == "upsert" else update_contracts)(t.contracts, changes)
