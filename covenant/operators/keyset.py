@@ -50,12 +50,13 @@ def _same(left: Sequence[str], right: Sequence[str]):
     return cond
 
 
-def held_keys(store: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The keys of ``batch`` (columns ``keys``, equal names and types on both sides) that ``store`` holds."""
+def held_keys(store: DataFrame, batch: DataFrame, keys: Sequence[str], small: bool | None = None) -> DataFrame:
+    """The keys of ``batch`` (columns ``keys``, equal names and types on both sides) that ``store`` holds. ``small``: whether
+    the batch is known to be within ``BROADCAST_BYTES`` (else its plan is asked)."""
     keys = list(keys)
     asked = [f"_asked_{k}" for k in keys]
     have, want = store.select(*keys), batch.select(*[F.col(k).alias(a) for k, a in zip(keys, asked)])
-    if plan_bytes(want) <= BROADCAST_BYTES:
+    if plan_bytes(want) <= BROADCAST_BYTES if small is None else small:
         return have.join(F.broadcast(want), _same(keys, asked), "left_semi")
     n = bounded_count(want, FILTER_KEYS)
     if n <= FILTER_KEYS:
@@ -63,9 +64,12 @@ def held_keys(store: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFr
     return have.join(want, _same(keys, asked), "left_semi")
 
 
-def fresh_rows(store: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows of ``batch`` whose keys ``store`` does not hold."""
+def fresh_rows(store: DataFrame, batch: DataFrame, keys: Sequence[str], small: bool | None = None) -> DataFrame:
+    """The rows of ``batch`` whose keys ``store`` does not hold. The keys of a store are unique, so the hits of a batch
+    within the broadcast bound are within it too."""
     keys = list(keys)
     held = [f"_held_{k}" for k in keys]
-    hits = held_keys(store, batch, keys).select(*[F.col(k).alias(h) for k, h in zip(keys, held)])
+    small = plan_bytes(batch.select(*keys)) <= BROADCAST_BYTES if small is None else small
+    hits = held_keys(store, batch, keys, small).select(*[F.col(k).alias(h) for k, h in zip(keys, held)])
+    hits = F.broadcast(hits) if small else hits
     return batch.join(hits, _same(keys, held), "left_anti")

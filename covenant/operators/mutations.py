@@ -137,7 +137,7 @@ def validate_commands(raw: DataFrame, amount: str = "strict", now: str | None =
 
 # ---------------------------------------------------------------- M4 / M5
 def upsert_contracts(contracts: DataFrame, changes: DataFrame, key: str = "id",
-                     insert: bool = True) -> DataFrame:
+                     insert: bool = True, small: bool | None = None) -> DataFrame:
     """M4: insert-or-overwrite by key. Columns present in ``changes`` overwrite
     the old values where a change row exists; other columns keep the old value
     (NULL for new keys). ``changes`` must hold one row per key.
@@ -152,24 +152,24 @@ def upsert_contracts(contracts: DataFrame, changes: DataFrame, key: str = "id",
     ch = changes.select(F.col(key).cast(types[key]).alias("_ck"), F.lit(True).alias("_hit"),
                         *[F.col(c).cast(types[c]).alias("_n_" + c) for c in upd if c in types])
     hit = F.col("_hit").isNotNull()
-    j = contracts.join(broadcast_within(ch), F.col(key) == F.col("_ck"), "left")
+    j = contracts.join(F.broadcast(ch) if small else broadcast_within(ch) if small is None else ch, F.col(key) == F.col("_ck"), "left")
     updated = j.select(*[F.when(hit, F.col("_n_" + c)).otherwise(F.col(c)).alias(c) if c in upd and c != key
                          else F.col(c) for c in contracts.columns])
     if not insert:
         return updated
-    fresh = fresh_rows(contracts.select(F.col(key).alias("_ck")), ch, ["_ck"])
+    fresh = fresh_rows(contracts.select(F.col(key).alias("_ck")), ch, ["_ck"], small)
     inserted = fresh.select(*[F.col("_ck").alias(c) if c == key
                               else (F.col("_n_" + c) if c in upd else F.lit(None).cast(types[c])).alias(c)
                               for c in contracts.columns])
     return updated.unionByName(inserted)
 
 
-def update_contracts(contracts: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+def update_contracts(contracts: DataFrame, changes: DataFrame, key: str = "id", small: bool | None = None) -> DataFrame:
     """``UPDATE ... WHERE id``: like ``upsert_contracts`` but unknown keys are ignored."""
-    return upsert_contracts(contracts, changes, key, insert=False)
+    return upsert_contracts(contracts, changes, key, insert=False, small=small)
 
 
-def append_rows(base: DataFrame, new: DataFrame, id_cols=("id",), existing=None) -> DataFrame:
+def append_rows(base: DataFrame, new: DataFrame, id_cols=("id",), existing=None, small: bool | None = None) -> DataFrame:
     """M5: insert; rows that already exist are not inserted again, so a replayed
     batch changes nothing. ``id_cols`` are the columns that tell a replay.
     ``existing`` (a condition) narrows the rows of ``base`` that can hold such
@@ -177,7 +177,7 @@ def append_rows(base: DataFrame, new: DataFrame, id_cols=("id",), existing=None)
     of the table, not all of it; the table's keys are filtered by the batch's
     and never shuffled (``keyset``)."""
     known = base if existing is None else base.where(existing)
-    return base.unionByName(fresh_rows(known, new, id_cols).select(*base.columns))
+    return base.unionByName(fresh_rows(known, new, id_cols, small).select(*base.columns))
 
 
 # ---------------------------------------------------------------- M6 / M7
@@ -210,13 +210,14 @@ def apply_commands(t: Tables, commands: DataFrame, mode: str = "upsert", with_st
     ``mode='upsert'`` creates unknown contracts (NULL type/location);
     ``'update_only'`` leaves contracts untouched for unknown ids."""
     cid_type = dict(t.contracts.dtypes)["id"]
+    small = plan_bytes(commands) <= BROADCAST_BYTES      # asked once: every key set of the batch is narrower
     cmd = commands.withColumn("contract_id", F.col("contract_id").cast(cid_type))
     latest = latest_commands(cmd)
     changes = latest.select(F.col("contract_id").alias("id"),
                             *([F.col("new_status").alias("contract_status")] if with_status else []),
                             F.col("ts").alias("updated_at"))
     merge = upsert_contracts if mode == "upsert" else update_contracts
-    contracts = merge(t.contracts, changes)
+    contracts = merge(t.contracts, changes, small=small)
     ev_id_type = dict(t.events.dtypes)["id"]
     new_events = cmd.select(
         _new_id("event", ev_id_type, F.col("seq")).alias("id"),
@@ -224,7 +225,7 @@ def apply_commands(t: Tables, commands: DataFrame, mode: str = "upsert", with_st
         F.col("ts").alias("event_time"),
         _template(event_text, status=F.col("new_status"), i=F.col("seq")).alias("description"))
     # a replayed row has the id, the contract and the time of the stored one: an id alone may be a hash
-    events = append_rows(t.events, new_events, ("id", "soul_contract_id", "event_time"), _created_rows(ev_id_type))
+    events = append_rows(t.events, new_events, ("id", "soul_contract_id", "event_time"), _created_rows(ev_id_type), small)
     ledger = t.ledger
     if with_ledger:
         lg_id_type = dict(t.ledger.dtypes)["id"]
@@ -234,7 +235,7 @@ def apply_commands(t: Tables, commands: DataFrame, mode: str = "upsert", with_st
             F.col("amount").cast(MONEY).alias("amount"),
             F.col("ts").alias("transaction_time"),
             _template(ledger_text, status=F.col("new_status")).alias("description"))
-        ledger = append_rows(t.ledger, new_ledger, ("id", "soul_contract_id", "transaction_time"), _created_rows(lg_id_type))
+        ledger = append_rows(t.ledger, new_ledger, ("id", "soul_contract_id", "transaction_time"), _created_rows(lg_id_type), small)
     return Tables(contracts, events, ledger)
 
 

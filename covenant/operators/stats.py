@@ -79,14 +79,14 @@ def nearest_ranks(df: DataFrame, value: str, by: Sequence[str], percentiles: dic
 
 
 def summary_stats(df: DataFrame, value: str, by: Sequence[str], levels: int = 4,
-                  groups: DataFrame | None = None, percentiles: str = "sort") -> DataFrame:
+                  groups: DataFrame | None = None, percentiles: str = "select") -> DataFrame:
     """N, mean, min, max, sample sd, cv %, 95 % half-width,
     nearest-rank p50/p95/p99 (element floor(n*p) of the sorted sample), labels.
 
     n = 1 gives sd/cv NULL; mean 0 gives cv NULL. ``groups`` (the requested
     groups) turns absent groups into all-zero rows (the empty-sample rule).
-    ``percentiles``: ``sort`` numbers a written range sort of the samples,
-    ``select`` finds the same values by selection (``nearest_ranks``).
+    ``percentiles``: ``select`` finds them by selection (``nearest_ranks``),
+    ``sort`` numbers a written range sort of the samples; the values are the same.
     """
     by = list(by)
     v = F.col(value)

@@ -803,7 +803,7 @@ Q["profile_multiset"] = with_binding() + """
           LEFT JOIN contract_events e ON e.soul_contract_id = c.id LEFT JOIN ledger l ON l.soul_contract_id = c.id),
 power AS (SELECT id, CAST(SUM(amount) AS DECIMAL(38,6)) AS total_power FROM fan GROUP BY id)
 SELECT id, event, COUNT(*) AS times, MIN(total_power) AS total_power FROM fan JOIN power USING (id) GROUP BY id, event"""
-Q["summary_stats_selected"] = Q["summary_stats"]
+Q["summary_stats_sorted"] = Q["summary_stats"]
 Q["parity_ledger_blocks"] = Q["parity_ledger"]
 _EXPECTED = """
 WITH inv AS (SELECT 'customer' AS table_name, TRUE AS present, (SELECT COUNT(*) FROM customer) AS row_count

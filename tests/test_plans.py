@@ -46,7 +46,7 @@ def test_lookups_push_filters_into_parquet(spark):
 
 
 def test_positions_are_sliced_not_grouped_whole(spark):
-    p = plan(spark, "summary_stats")
+    p = plan(spark, "summary_stats_sorted")
     # the slices were range-partitioned and written: the numbering scans them
     assert "rangepartitioning" not in p and re.search(r"FileScan parquet \[[^\]]*_slice[^\]]*\][^\n]*positions-", p)
     numbering = [line for line in p.splitlines() if "Window [row_number()" in line]
