@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import sys
 
-import __spark_entry__ as E
+from covenant.plans.catalog import REGISTRY
 from covenant.session import get_spark
 
 
@@ -42,14 +42,14 @@ def main():
     print("Physical plan shape of every registered query (`python tools_plans.py`), broadcast off and AQE off, i.e.")
     print("the static plan a 100 TB run starts from (AQE then coalesces partitions and splits skewed joins).")
     print("`single_exch` appears only for global aggregates and for ranks over locations or days (bounded rows);")
-    print("`reused` counts exchanges Spark computes once and reads again (e.g. the range shuffle of the")
-    print("skew-safe position helper feeds both its numbering and its slice counts).\n")
+    print("`reused` counts exchanges Spark computes once and reads again. Operators that write an intermediate (positions,")
+    print("running totals, ranks, the item store that command batches are applied to) show the plan above the written table.\n")
     print("| query | " + " | ".join(cols) + " |")
     print("| --- | " + " | ".join("---" for _ in cols) + " |")
-    for name in sorted(E.queries()):
+    for name in sorted(REGISTRY):
         if name.startswith("stream_"):
             continue   # runs a streaming query when called; its plan is a file scan of the deltas
-        plan = E.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        plan = REGISTRY[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         s = summarize(plan)
         print(f"| {name} | " + " | ".join(str(s[c]) for c in cols) + " |")
     co_located(spark, sf, cols)
