@@ -35,6 +35,8 @@ DEEPEST_TOP = 16     # its greatest depth: node counts (2^depth rows) stay broad
 FRONTIER = 1 << 15   # node pairs descended at once
 LEAF_PAIRS = 1 << 15 # a node pair with so few leaf pairs is compared in one dense step (256 KB)
 HASHED_AT_ONCE = 1 << 16
+HOT_KEYS = 10_000    # a fingerprint of over a ten-thousandth of all rows is hot: there can't be more of them than this
+HOT_ROWS = 64        # the least number of rows of a hot fingerprint
 
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
@@ -258,10 +260,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     component_id is the smallest doc_id reachable over links of at most ``max_bits`` differing bits. A null or
     blank text has fingerprint zero and links like any other. A row with a null doc_id gets a row too, but names no
     component (a component of such rows alone has a null component_id); repeated rows are repeated in the result.
+
+    Rows of hot fingerprints (all blank texts, the copies of one page) meet their classes where they are read: only
+    the others are dealt by fingerprint, so no fingerprint brings one task more than its ten-thousandth of the rows.
     """
     prints = materialize(with_fingerprints(docs.select("doc_id", "text"), "fp", shingle).select("doc_id", "fp"),
                          "simhash-prints")
-    return prints.join(_classes(prints, max_bits), "fp").select(
+    classes = materialize(_classes(prints, max_bits), "simhash-classes")
+    over = max(HOT_ROWS, prints.count() // HOT_KEYS)
+    hot = F.broadcast(prints.groupBy("fp").count().where(F.col("count") > over).select("fp"))     # HOT_KEYS rows at most
+    often = prints.join(F.broadcast(classes.join(hot, "fp")), "fp")
+    rare = prints.join(hot, "fp", "left_anti").join(classes, "fp")
+    return often.unionByName(rare).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
