@@ -1,9 +1,10 @@
 """SimHash near-duplicates: 64-bit fingerprints linked by a binary-trie self-join.
 
 1. ``with_fingerprints``: one SimHash per row, in Arrow batches.
-2. ``trie_links``: the distinct fingerprints are the leaves of a binary trie. The node pairs of a top level whose
-   prefixes differ in at most the budget become Spark rows (two blocks of leaves each); every task then descends its
-   node pairs together, adds the differing bits and drops a pair as soon as the budget is exceeded.
+2. ``trie_links``: the distinct fingerprints are the leaves of binary tries, one for each way to turn one of
+   budget + 1 pieces of the bits to the front. The nodes of a top level within that piece become Spark rows (blocks of
+   leaves); every task then descends its nodes paired with themselves, adds the differing bits and drops a node pair as
+   soon as the budget is exceeded.
 3. ``components``: the links, already reduced to a spanning forest per node pair, are contracted to stars.
 
 Copies share one leaf, so a group of copies costs one fingerprint whatever its size. A trie node with more leaves
@@ -31,12 +32,14 @@ MAX_BITS = 4         # fingerprints link at so many differing bits or fewer
 SEED = 42
 BLOCK = 1 << 18      # leaves in one block (2 MB)
 TOP = 6              # least depth of the top level
-DEEPEST_TOP = 16     # its greatest depth: node counts (2^depth rows) stay broadcastable
+DEEPEST_TOP = 16     # its greatest depth: node counts (2^depth rows a trie) stay broadcastable
+NODE = 1 << 12       # wanted leaves of a node of the top level
 FRONTIER = 1 << 15   # node pairs descended at once
 LEAF_PAIRS = 1 << 15 # a node pair with so few leaf pairs is compared in one dense step (256 KB)
 HASHED_AT_ONCE = 1 << 16
 HOT_KEYS = 10_000    # a fingerprint of over a ten-thousandth of all rows is hot: there can't be more of them than this
 HOT_ROWS = 64        # the least number of rows of a hot fingerprint
+BLOCKS = pa.schema([("by", pa.int32()), ("node", pa.int64()), ("cut", pa.int64()), ("leaves", pa.binary())])
 
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
@@ -165,58 +168,74 @@ def close_leaves(a: np.ndarray, b: np.ndarray | None, depth: int, budget: int) -
                 todo.append((d + 1, la[x], ha[x], lb[x], hb[x], e[x]))
 
 
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    """Fingerprints turned left by ``by`` bits, 0 to 63."""
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by)) if by else x
+
+
 def trie_links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """Links (u, v) between distinct fingerprints of the one-column table ``fps`` (long, distinct) that differ in at
-    most ``max_bits`` bits, reduced to a spanning forest of each pair of blocks: what is linked stays connected."""
+    most ``max_bits`` bits, reduced to a spanning forest of each pair of blocks: what is linked stays connected.
+
+    The bits are cut into ``max_bits + 1`` equal pieces, and there is a trie for each piece, over the fingerprints
+    turned so that the piece comes first. Two fingerprints in reach are equal in one of the pieces at least, so in that
+    trie they are under one node at the depth of the piece: nodes of the top level are paired with themselves only, and
+    a fingerprint travels ``max_bits + 1`` times, however many node pairs a single trie would have to keep.
+    """
     spark = fps.sparkSession
     fps = fps.toDF("fp")
     total = fps.count()
-    depth = min(DEEPEST_TOP, max(TOP, math.ceil(math.log2(max(1, total / block)))))
-    masks = [m for m in range(1 << depth) if m.bit_count() <= max_bits]
+    width = 64 // (max_bits + 1)
+    depth = min(DEEPEST_TOP, width, max(TOP, math.ceil(math.log2(max(1, total / NODE)))))
+    turns = [i * width for i in range(max_bits + 1)] if depth else [0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism * 2)
 
-    node = F.shiftrightunsigned("fp", 64 - depth).alias("node")
-    keyed = fps.select("fp", node)
-    sizes = keyed.groupBy("node").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("cuts"))
-    # at most 2^DEEPEST_TOP rows
-    keyed = keyed.join(F.broadcast(sizes), "node").withColumn("cut", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int"))
+    def turned(by: int) -> F.Column:
+        return F.shiftleft("fp", by).bitwiseOR(F.shiftrightunsigned("fp", 64 - by)) if by else F.col("fp")
+
+    each = F.explode(F.array(*[F.struct(F.lit(by).alias("by"), turned(by).alias("fp")) for by in turns])).alias("t")
+    node = F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
+    keyed = fps.select(each).select("t.by", "t.fp").withColumn("node", node)
+    sizes = keyed.groupBy("by", "node").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("cuts"))
+    # at most 2^DEEPEST_TOP rows a trie
+    keyed = keyed.join(F.broadcast(sizes), ["by", "node"]).withColumn("cut", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int"))
 
     def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple[int, int, int]]:
+        def rows() -> Iterator[tuple[int, int, int, int]]:
             for b in it:
                 yield from zip(*(c.to_pylist() for c in b.columns))
 
-        for (n, c), group in itertools.groupby(rows(), key=lambda r: r[:2]):
+        for (by, n, c), group in itertools.groupby(rows(), key=lambda r: r[:3]):
             part = 0
             while leaves := list(itertools.islice(group, 2 * block)):  # a cut holds about one block
-                packed = np.sort(np.array([r[2] for r in leaves], np.int64).view(np.uint64)).tobytes()
-                yield pa.RecordBatch.from_pylist([{"node": n, "cut": c * 1000 + part, "leaves": packed}])
+                packed = np.sort(np.array([r[3] for r in leaves], np.int64).view(np.uint64)).tobytes()
+                yield pa.RecordBatch.from_pylist([{"by": by, "node": n, "cut": c * 1000 + part, "leaves": packed}], BLOCKS)
                 part += 1
 
-    packed = (keyed.repartition(parts, "node", "cut").sortWithinPartitions("node", "cut").select("node", "cut", "fp")
-              .mapInArrow(blocks, "node long, cut long, leaves binary"))
+    packed = (keyed.repartition(parts, "by", "node", "cut").sortWithinPartitions("by", "node", "cut")
+              .select("by", "node", "cut", "fp").mapInArrow(blocks, "by int, node long, cut long, leaves binary"))
     packed = materialize(packed, "simhash-blocks")
-    ids = packed.select("node", "cut")
-    left = ids.select(F.col("node").alias("ln"), F.col("cut").alias("lc"),
-                      F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
-    left = left.withColumn("rn", F.col("ln").bitwiseXOR(F.col("mask"))).where("ln <= rn")
-    pairs = left.join(ids.select(F.col("node").alias("rn"), F.col("cut").alias("rc")), "rn").where("ln < rn or lc <= rc")
-    a = packed.select(F.col("node").alias("ln"), F.col("cut").alias("lc"), F.col("leaves").alias("a"))
-    b = packed.select(F.col("node").alias("rn"), F.col("cut").alias("rc"), F.col("leaves").alias("b"))
-    work = (pairs.join(a, ["ln", "lc"]).join(b, ["rn", "rc"])
-            .repartition(parts * 4, "ln", "lc", "rn", "rc").select("ln", "lc", "rn", "rc", "a", "b"))
+    own = packed.select("by", F.col("leaves").alias("a"), F.lit(None).cast("binary").alias("b"))
+    # blocks of one node meet in pairs; most nodes are one block
+    a = packed.select("by", "node", F.col("cut").alias("lc"), F.col("leaves").alias("a"))
+    b = packed.select("by", "node", F.col("cut").alias("rc"), F.col("leaves").alias("b"))
+    pairs = packed.select("by", "node", F.col("cut").alias("lc")).join(
+        packed.select("by", "node", F.col("cut").alias("rc")), ["by", "node"]).where("lc < rc")
+    cross = pairs.join(a, ["by", "node", "lc"]).join(b, ["by", "node", "rc"]).select("by", "a", "b")
+    work = own.unionByName(cross).repartition(parts * 4, F.xxhash64("a", "b"))
 
     def descend(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for k in range(batch.num_rows):
-                ln, lc, rn, rc, x, y = (c[k].as_py() for c in batch.columns)
-                own = (ln, lc) == (rn, rc)
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                forest = _Forest(len(x) if own else len(x) + len(y))
-                for i, j in close_leaves(x, None if own else y, depth, max_bits):
-                    forest.add(i, j if own else j + len(x))
+                by, x, y = (c[k].as_py() for c in batch.columns)
+                alone = y is None
+                x = np.frombuffer(x, np.uint64)
+                y = x[:0] if alone else np.frombuffer(y, np.uint64)
+                forest = _Forest(len(x) + len(y))
+                for i, j in close_leaves(x, None if alone else y, depth, max_bits):
+                    forest.add(i, j if alone else j + len(x))
                 if forest.edges:
-                    every = (x if own else np.concatenate([x, y])).view(np.int64)
+                    every = _turned(np.concatenate([x, y]), -by % 64).view(np.int64)
                     e = np.array(forest.edges)
                     yield pa.RecordBatch.from_arrays([pa.array(every[e[:, 0]]), pa.array(every[e[:, 1]])], ["u", "v"])
 

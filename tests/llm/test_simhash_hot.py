@@ -68,3 +68,58 @@ def test_fingerprint_is_independent_of_batches():
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_one_document_of_each_class_stays(spark):
+    rows = corpus() + [(105, "another text under a used id"), (None, "no id"), (None, None)]
+    random.Random(2).shuffle(rows)
+    out = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    named = [(i, t) for i, t in rows if i is not None]
+    top = {}
+    prints = {fingerprint(t) for _, t in named}
+    root = {f: f for f in prints}
+    for a in prints:
+        for b in prints:
+            if (a ^ b).bit_count() <= 4:
+                old, new = root[a], root[b]
+                root = {f: new if r == old else r for f, r in root.items()}
+    for i, t in named:
+        top[root[fingerprint(t)]] = min(i, top.get(root[fingerprint(t)], i))
+    want = {(i, fingerprint(t)) for i, t in named if top[root[fingerprint(t)]] == i}
+    kept = out.collect()
+    assert sorted((r["doc_id"], fingerprint(r["text"])) for r in kept if r["doc_id"] is not None) == sorted(want)
+    assert sum(r["doc_id"] is None for r in kept) == 2
+
+
+@pytest.mark.parametrize("block", [1 << 18, 50])
+@pytest.mark.parametrize("max_bits", [0, 1, 4, 9, 70])
+def test_links_connect_what_all_pairs_connect(spark, block, max_bits):
+    rng = random.Random(9)
+    seeds = [rng.getrandbits(64) for _ in range(60)] + [0, 1, (1 << 64) - 1, 1 << 63]
+    fps = set(seeds)
+    for f in seeds:
+        for bits in (1, 2, 4, 4, 5, 9, 10):
+            fps.add(f ^ sum(1 << b for b in rng.sample(range(64), bits)))
+    low = rng.getrandbits(40) << 24
+    fps |= {low | rng.getrandbits(24) for _ in range(150)}      # one node of the top level holds them all
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
+    links = [(u % (1 << 64), v % (1 << 64)) for u, v in
+             simhash.trie_links(spark.createDataFrame(signed, "fp long"), max_bits, block).collect()]
+
+    def classes_of(pairs):
+        root = {f: f for f in fps}
+
+        def top(f):
+            while root[f] != f:
+                f = root[f]
+            return f
+
+        for u, v in pairs:
+            root[top(u)] = top(v)
+        groups = {}
+        for f in fps:
+            groups.setdefault(top(f), set()).add(f)
+        return sorted(map(sorted, groups.values()))
+
+    every = [(u, v) for u in fps for v in fps if u < v and (u ^ v).bit_count() <= max_bits]
+    assert classes_of(links) == classes_of(every)
