@@ -264,13 +264,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _classes(prints: DataFrame, max_bits: int) -> DataFrame:
-    """(fp, component_id) of every fingerprint of ``prints`` (doc_id, fp)."""
+    """(fp, least_id, component_id) of every fingerprint of ``prints`` (doc_id, fp); least_id is its smallest doc_id."""
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     roots = components(trie_links(first.select("fp"), max_bits)).withColumnRenamed("u", "fp")
     linked = first.join(roots, "fp")
     ids = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     linked = linked.join(ids, "root").select("fp", "component_id")
-    return first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
+    return first.join(linked, "fp", "left").select("fp", "least_id", F.coalesce("component_id", "least_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     """
     prints = materialize(with_fingerprints(docs.select("doc_id", "text"), "fp", shingle).select("doc_id", "fp"),
                          "simhash-prints")
-    classes = materialize(_classes(prints, max_bits), "simhash-classes")
+    classes = materialize(_classes(prints, max_bits).select("fp", "component_id"), "simhash-classes")
     over = max(HOT_ROWS, prints.count() // HOT_KEYS)
     hot = F.broadcast(prints.groupBy("fp").count().where(F.col("count") > over).select("fp"))     # HOT_KEYS rows at most
     often = prints.join(F.broadcast(classes.join(hot, "fp")), "fp")
@@ -299,10 +299,13 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int
 
     Of repeated rows (same doc_id, same fingerprint) one stays. Rows with a null doc_id can't be named and stay as
     they are; all columns of ``docs`` are kept whatever their names.
+
+    The document that names a component is the smallest of its own fingerprint too, so the classes alone say which
+    (doc_id, fingerprint) stay; no row is dealt by its fingerprint for it.
     """
     fp = free_name(docs, "fp")
     full = materialize(with_fingerprints(docs, fp, shingle), "simhash-docs")
     prints = full.select("doc_id", F.col(fp).alias("fp"))
-    kept = prints.join(_classes(prints, max_bits), "fp").where("doc_id = component_id").select("doc_id", F.col("fp").alias(fp))
-    named = full.join(kept.distinct(), ["doc_id", fp], "left_semi").dropDuplicates(["doc_id", fp])
+    kept = _classes(prints, max_bits).where("least_id = component_id").select(F.col("least_id").alias("doc_id"), F.col("fp").alias(fp))
+    named = full.join(kept, ["doc_id", fp], "left_semi").dropDuplicates(["doc_id", fp])
     return named.select(docs.columns).union(full.where("doc_id is null").select(docs.columns))
