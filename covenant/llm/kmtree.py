@@ -5,7 +5,9 @@
 2. Every vector descends to its leaf; a leaf is cut into blocks by hash, so a hot leaf is many rows, not one.
 3. Every query walks the tree through a priority queue of unexplored nodes (greatest inner product with the centre
    first) and visits leaves; the number of visits is widened on the sample until the wanted recall is reached there.
-4. Query blocks meet the vector blocks of their leaves; exact double-precision products are ranked, block by block.
+4. Query blocks meet the vector blocks of their leaves; exact double-precision products are ranked, block by block. The
+   key names the leaf, the block of vectors and a shelf of query blocks, so neither a leaf of many copies nor a leaf that
+   every query visits is one task's work.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ PROBES = 200         # sample vectors that calibrate the number of visits
 RECALL = 0.97        # wanted on the sample
 VECTORS = 2048       # vectors of one block
 QUERIES = 512        # queries of one block
+SHELF = 16           # query blocks that meet a block of vectors under one key
 SEED = 11            # deals the vectors to the slots of the sample
 SEED_PICK = 12       # picks one vector of a slot
 
@@ -159,7 +162,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     counts = materialize(placed.groupBy("leaf").agg(F.count("*").alias("n")), "ann-counts")
     sizes = {r["leaf"]: r["n"] for r in counts.collect()}      # one number per leaf of the bounded tree
     held = spark.sparkContext.broadcast(sizes)
-    block = F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / VECTORS)).alias("block")
+    n_blocks = F.ceil(F.col("n") / VECTORS)
+    block = F.pmod(F.xxhash64("vec_id"), n_blocks).alias("block")
     blocks = placed.join(F.broadcast(counts), "leaf").groupBy("leaf", block).agg(
         F.collect_list("vec_id").alias("ids"), F.flatten(F.collect_list("v")).alias("x"))
 
@@ -185,9 +189,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     asked = usable(queries)
     walked = materialize(asked.mapInArrow(walk, "query_id long, q array<double>, leaf long"), "ann-visits")
     per_leaf = walked.groupBy("leaf").agg(F.ceil(F.count("*") / QUERIES).alias("parts"))
-    qblocks = walked.join(F.broadcast(per_leaf), "leaf").groupBy("leaf", F.pmod(F.xxhash64("query_id"), "parts").alias("part")).agg(
+    part = F.pmod(F.xxhash64("query_id"), "parts")
+    qblocks = walked.join(F.broadcast(per_leaf), "leaf").groupBy("leaf", part.alias("part")).agg(
         F.collect_list("query_id").alias("qids"), F.flatten(F.collect_list("q")).alias("q"))
-    pairs = qblocks.join(blocks, "leaf").select("qids", "q", "ids", "x")
+    # leaves are as many as the bounded tree has
+    qblocks = qblocks.join(F.broadcast(counts), "leaf").select(
+        "leaf", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)).alias("block"),
+        F.floor(F.col("part") / SHELF).alias("shelf"), "qids", "q")
+    shelves = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("parts") - 1) / SHELF))).alias("shelf")
+    blocks = blocks.join(F.broadcast(per_leaf), "leaf").select("leaf", "block", shelves, "ids", "x")
+    pairs = qblocks.join(blocks, ["leaf", "block", "shelf"]).select("qids", "q", "ids", "x")
 
     def rank(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
