@@ -56,17 +56,83 @@ def _template(template: str, **cols: Column) -> Column:
 # ---------------------------------------------------------------- M9
 def _parse_ts(text: Column) -> Column:
     """Body time: ISO ms text with Z (the item format), else any zone-less
-    timestamp text (microseconds kept), read as a wall-clock TIMESTAMP_NTZ."""
-    return F.coalesce(parse_iso(text), text.try_cast("timestamp_ntz"))
+    timestamp text (microseconds kept), read as a wall-clock TIMESTAMP_NTZ. Text
+    without a final Z is not tried as the former: failing costs more than all else."""
+    return F.coalesce(F.when(F.upper(text).endswith("Z"), parse_iso(text)), text.try_cast("timestamp_ntz"))
 
 
-def _falsy_json(v: Column) -> Column:
-    """JS falsiness of a JSON value: absent, null, '', 0, false."""
-    t = F.schema_of_variant(v)
-    s = F.try_variant_get(v, "$", "string")
-    return (v.isNull() | (t == "VOID") | ((t == "STRING") & (s == ""))
-            | ((t == "BOOLEAN") & (s == "false"))
-            | (t.startswith("DECIMAL") | t.isin(*NUMERIC_JSON)) & (F.try_variant_get(v, "$", "double") == 0))
+def _is_number(kind: Column) -> Column:
+    return kind.startswith("DECIMAL") | kind.isin(*NUMERIC_JSON)
+
+
+def _falsy_json(v: str) -> Column:
+    """JS falsiness of the JSON value in the columns of ``_json_value(v)``: absent, null, '', 0, false."""
+    value, kind, text, number = (F.col(v + part) for part in ("", "_kind", "_text", "_number"))
+    return (value.isNull() | (kind == "VOID") | ((kind == "STRING") & (text == ""))
+            | ((kind == "BOOLEAN") & (text == "false"))
+            | _is_number(kind) & (number == 0))
+
+
+def _json_value(v: str) -> list[Column]:
+    """What the checks ask of a JSON value in column ``v``: its kind, its text, its number."""
+    value = F.col(v)
+    return [F.schema_of_variant(value).alias(f"{v}_kind"), F.try_variant_get(value, "$", "string").alias(f"{v}_text"),
+            F.try_variant_get(value, "$", "double").alias(f"{v}_number")]
+
+
+def check_commands(raw: DataFrame, amount: str = "strict", now: str | None = None, cid_type: str | None = None,
+                   source: str = "") -> DataFrame:
+    """The requests of ``raw`` with a column ``reason`` (null: valid), the columns of a command and the body (``value``) of a
+    rejected one: ``validate_commands`` before it splits them. For callers that keep the checked batch and use both parts.
+
+    A body is parsed once. Every step is a projection of what the step before computed, and the last one a generator of one
+    row: Spark moves a filter on the reason below a projection and writes out there, for each time that it is named, what
+    the projection computed, but not below a generator.
+    """
+    if "seq" not in raw.columns and set(ORIGIN) <= set(raw.columns):
+        raw = with_places(raw)
+    id_key = "soulContractId" if amount == "strict" else "soulId"
+    placed = "seq" in raw.columns        # and fit for a streaming plan, which numbers no rows
+    parsed = raw.select(
+        "value", (F.col("ts") if "ts" in raw.columns else F.lit(None).cast("timestamp_ntz")).alias("_ts"),
+        (F.col("seq") if placed else F.lit(None).cast("long")).alias("_seq"),
+        (F.lit(0).cast("long") if placed else F.monotonically_increasing_id()).alias("_place"),
+        F.try_parse_json("value").alias("_v"))
+    get = lambda key, kind: F.try_variant_get("_v", f"$.{key}", kind)
+    fields = parsed.select(
+        "value", "_ts", "_seq", "_place", F.col("_v").isNull().alias("_bad_json"),
+        F.schema_of_variant("_v").startswith("OBJECT").alias("_is_object"),
+        get(id_key, "variant").alias("_id"), get("newStatus", "variant").alias("_status"), get("amount", "variant").alias("_amount"),
+        get("seq", "variant").alias("_own"), get("ts", "string").alias("_ts_text"))
+    values = fields.select(
+        "*", *_json_value("_id"), *_json_value("_status"), F.schema_of_variant("_amount").alias("_amount_kind"),
+        F.try_variant_get("_amount", "$", MONEY.simpleString()).alias("_money"),
+        F.schema_of_variant("_own").alias("_own_kind"), F.try_variant_get("_own", "$", "bigint").alias("_own_seq"))
+    number = _is_number(F.col("_amount_kind"))
+    amount_ok = F.col("_amount").isNotNull() & number if amount == "strict" else F.col("_amount").isNotNull()
+    own = F.col("_own_seq")
+    bad_seq = F.col("_own").isNotNull() & (F.col("_own_kind") != "VOID") & ~F.coalesce((own >= 0) & (own < MAX_SEQ), F.lit(False))
+    bad_id = F.col("_id_text").try_cast(cid_type).isNull() if cid_type else F.lit(False)
+    reason = (F.when(F.col("value").isNull() | (F.col("value") == ""), F.lit(REASON_NO_BODY))
+              .when(F.col("_bad_json"), F.lit(REASON_BAD_JSON))
+              .when(~F.col("_is_object") | _falsy_json("_id") | _falsy_json("_status") | ~amount_ok,
+                    F.lit(REASON_STRICT if amount == "strict" else REASON_LENIENT))
+              .when(number & F.col("_money").isNull(), F.lit(REASON_AMOUNT))
+              .when(bad_seq, F.lit(REASON_SEQ)).when(bad_id, F.lit(REASON_ID)))
+    staged = values.select(
+        "value", reason.alias("reason"), F.col("_id_text").alias("contract_id"), F.col("_status_text").alias("new_status"),
+        F.col("_money").alias("amount"),
+        F.coalesce(F.col("_ts"), _parse_ts(F.col("_ts_text")), F.lit(now).cast("timestamp_ntz")).alias("ts"),
+        F.coalesce(F.col("_seq"),
+                   F.pmod(F.xxhash64(F.lit(source), F.lit(now or ""), "value", "_place"), F.lit(MAX_SEQ))).alias("seq"))
+    body = F.when(F.col("reason").isNotNull(), F.col("value")).alias("value")
+    return staged.select(F.inline(F.array(F.struct(body, *[c for c in staged.columns if c != "value"]))))
+
+
+def split_commands(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected) of ``check_commands``."""
+    return (checked.where(F.col("reason").isNull()).select("contract_id", "new_status", "amount", "ts", "seq"),
+            checked.where(F.col("reason").isNotNull()).select("value", "reason"))
 
 
 def validate_commands(raw: DataFrame, amount: str = "strict", now: str | None = None, cid_type: str | None = None,
@@ -91,48 +157,7 @@ def validate_commands(raw: DataFrame, amount: str = "strict", now: str | None =
     ``seq`` that is no number from 0 below 2^61 and, with ``cid_type``, an id
     that is no such value are rejected with a reason of their own.
     """
-    if "seq" not in raw.columns and set(ORIGIN) <= set(raw.columns):
-        raw = with_places(raw)
-    v = F.try_parse_json(F.col("value"))
-    id_key = "soulContractId" if amount == "strict" else "soulId"
-    vid = F.try_variant_get(v, f"$.{id_key}", "variant")
-    vst = F.try_variant_get(v, "$.newStatus", "variant")
-    vam = F.try_variant_get(v, "$.amount", "variant")
-    am_type = F.schema_of_variant(vam)
-    if amount == "strict":
-        amount_ok = vam.isNotNull() & (am_type.startswith("DECIMAL") | am_type.isin(*NUMERIC_JSON))
-        reason_missing = REASON_STRICT
-    else:
-        amount_ok = vam.isNotNull()
-        reason_missing = REASON_LENIENT
-    is_object = F.schema_of_variant(v).startswith("OBJECT")
-    numeric = am_type.startswith("DECIMAL") | am_type.isin(*NUMERIC_JSON)
-    vseq = F.try_variant_get(v, "$.seq", "variant")
-    seq = F.try_variant_get(v, "$.seq", "bigint")
-    bad_seq = vseq.isNotNull() & (F.schema_of_variant(vseq) != "VOID") & ~F.coalesce((seq >= 0) & (seq < MAX_SEQ), F.lit(False))
-    bad_id = F.try_variant_get(v, f"$.{id_key}", "string").try_cast(cid_type).isNull() if cid_type else F.lit(False)
-    reason = (F.when(F.col("value").isNull() | (F.col("value") == ""), F.lit(REASON_NO_BODY))
-              .when(v.isNull(), F.lit(REASON_BAD_JSON))
-              .when(~is_object | _falsy_json(vid) | _falsy_json(vst) | ~amount_ok, F.lit(reason_missing))
-              .when(numeric & F.try_variant_get(v, "$.amount", MONEY.simpleString()).isNull(), F.lit(REASON_AMOUNT))
-              .when(bad_seq, F.lit(REASON_SEQ)).when(bad_id, F.lit(REASON_ID)))
-    ts_in = F.col("ts") if "ts" in raw.columns else F.lit(None).cast("timestamp_ntz")
-    placed = "seq" in raw.columns        # and fit for a streaming plan, which numbers no rows
-    seq_in = F.col("seq") if placed else F.lit(None).cast("long")
-    place = F.lit(0).cast("long") if placed else F.monotonically_increasing_id()
-    staged = raw.select(F.col("value"), reason.alias("reason"), v.alias("_v"), ts_in.alias("_ts"),
-                        seq_in.alias("_seq"), place.alias("_place"))
-    rejected = staged.where(F.col("reason").isNotNull()).select("value", "reason")
-    j = F.col("_v")
-    now_col = F.lit(now).cast("timestamp_ntz") if now else F.lit(None).cast("timestamp_ntz")
-    valid = staged.where(F.col("reason").isNull()).select(
-        F.try_variant_get(j, f"$.{id_key}", "string").alias("contract_id"),
-        F.try_variant_get(j, "$.newStatus", "string").alias("new_status"),
-        F.try_variant_get(j, "$.amount", MONEY.simpleString()).alias("amount"),
-        F.coalesce(F.col("_ts"), _parse_ts(F.try_variant_get(j, "$.ts", "string")), now_col).alias("ts"),
-        F.coalesce(F.col("_seq"),
-                   F.pmod(F.xxhash64(F.lit(source), F.lit(now or ""), "value", "_place"), F.lit(MAX_SEQ))).alias("seq"))
-    return valid, rejected
+    return split_commands(check_commands(raw, amount, now, cid_type, source))
 
 
 # ---------------------------------------------------------------- M4 / M5

@@ -304,15 +304,15 @@ def _repeated_log(s, d):
 
 
 def _repeated_commands(s, d):
-    """The same log read as a batch source."""
+    """The same log read as a batch source; the checked requests are kept, as the bundle asks for them several times."""
     def make():
         import uuid
-        from covenant.session import scratch_path
+        from covenant.session import materialize, scratch_path
         from covenant.sources.commands import read_commands
         path = scratch_path(s, f"request-log-{uuid.uuid4().hex}")
         _repeated_log(s, d).write.parquet(path)
         valid, _ = M.validate_commands(read_commands(s, path, format="parquet"), cid_type="bigint")
-        return valid.withColumn("contract_id", F.col("contract_id").cast("long"))
+        return materialize(valid.withColumn("contract_id", F.col("contract_id").cast("long")), "request-batch")
     return _memo("repeated_commands", s, d, make)
 
 

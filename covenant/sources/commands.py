@@ -72,8 +72,14 @@ def with_places(raw: DataFrame) -> DataFrame:
     before = Window.partitionBy("origin_file").orderBy("origin_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(F.col("origin_file").alias("_file"), F.col("origin_block").alias("_block"), "_first",
                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rows = rows.join(blocks, F.col("origin_file").eqNullSafe(F.col("_file")) & F.col("origin_block").eqNullSafe(F.col("_block")), "left")
-    line = F.coalesce("origin_row", F.col("_before") + F.col("_id") - F.col("_first"))
-    hashed = F.pmod(F.xxhash64(F.coalesce("origin_file", F.lit("")), line), F.lit(MAX_SEQ))
-    return rows.withColumn("seq", F.when(off.isNotNull(), exact).otherwise(hashed)).select(
-        *[c for c in raw.columns if c not in ORIGIN], "seq")
+    counted = rows.where("origin_offset is null and origin_row is null").join(
+        blocks, F.col("origin_file").eqNullSafe(F.col("_file")) & F.col("origin_block").eqNullSafe(F.col("_block")), "left")
+    kept = [c for c in raw.columns if c not in ORIGIN]
+
+    def hashed(line: Column) -> Column:
+        return F.pmod(F.xxhash64(F.coalesce("origin_file", F.lit("")), line), F.lit(MAX_SEQ))
+
+    # records that name their place meet no block: without a file and a block, all of a log would be one key
+    named = raw.where("origin_offset is not null or origin_row is not null")
+    return named.select(*kept, F.when(off.isNotNull(), exact).otherwise(hashed(F.col("origin_row"))).alias("seq")).unionByName(
+        counted.select(*kept, hashed(F.col("_before") + F.col("_id") - F.col("_first")).alias("seq")))

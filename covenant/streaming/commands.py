@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from covenant.operators.mutations import EVENT_TEXT, LEDGER_TEXT, _new_id, _template, upsert_contracts, update_contracts, validate_commands
+from covenant.operators.mutations import (EVENT_TEXT, LEDGER_TEXT, _new_id, _template, check_commands, split_commands, upsert_contracts,
+                                           update_contracts, validate_commands)
 from covenant.sources.binding import Tables
-from covenant.sources.commands import OFFSET_BITS, read_commands
+from covenant.sources.commands import OFFSET_BITS, ORIGIN, read_commands, with_places
 from covenant.sources.schemas import MONEY
 from covenant.sources.store import BATCH_SOURCE, is_committed, write_batch
 
@@ -52,13 +53,17 @@ def commit_commands(spark: SparkSession, store: str, batch_id: int, raw: DataFra
     if is_committed(spark, store, batch_id, source):
         return
     stamp = now or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
-    valid, rejected = validate_commands(raw, amount=amount, now=stamp, cid_type=cid_type, source=f"{source} {batch_id}")
-    valid = valid.persist()
+    if "seq" not in raw.columns and set(ORIGIN) <= set(raw.columns):
+        raw = with_places(raw)
+    if "seq" in raw.columns:        # a batch of few files is few tasks: its requests, known by their places, go to all cores
+        raw = raw.repartition(spark.sparkContext.defaultParallelism, "seq")
+    checked = check_commands(raw, amount, stamp, cid_type, f"{source} {batch_id}").persist()    # each body is checked once
     try:
+        valid, rejected = split_commands(checked)
         ev, lg = bundle_rows(valid, id_type, cid_type)
         write_batch(spark, store, batch_id, valid, ev, lg, rejected, source)
     finally:
-        valid.unpersist()
+        checked.unpersist()
 
 
 def apply_commands_stream(spark: SparkSession, source: str, store: str, checkpoint: str,
