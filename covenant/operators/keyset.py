@@ -66,10 +66,33 @@ def held_keys(store: DataFrame, batch: DataFrame, keys: Sequence[str], small: bo
 
 def fresh_rows(store: DataFrame, batch: DataFrame, keys: Sequence[str], small: bool | None = None) -> DataFrame:
     """The rows of ``batch`` whose keys ``store`` does not hold. The keys of a store are unique, so the hits of a batch
-    within the broadcast bound are within it too."""
+    within the broadcast bound are within it too. A larger batch meets the store's keys in one join."""
     keys = list(keys)
     held = [f"_held_{k}" for k in keys]
-    small = plan_bytes(batch.select(*keys)) <= BROADCAST_BYTES if small is None else small
-    hits = held_keys(store, batch, keys, small).select(*[F.col(k).alias(h) for k, h in zip(keys, held)])
-    hits = F.broadcast(hits) if small else hits
-    return batch.join(hits, _same(keys, held), "left_anti")
+    want = batch.select(*keys)
+    if plan_bytes(want) <= BROADCAST_BYTES if small is None else small:
+        hits = held_keys(store, batch, keys, True).select(*[F.col(k).alias(h) for k, h in zip(keys, held)])
+        return batch.join(F.broadcast(hits), _same(keys, held), "left_anti")
+    have, n = store.select(*keys), bounded_count(want, FILTER_KEYS)
+    if n <= FILTER_KEYS:
+        have = may_hold(have, want, keys, n)
+    return batch.join(have.select(*[F.col(k).alias(h) for k, h in zip(keys, held)]), _same(keys, held), "left_anti")
+
+
+def rows_without(store: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of ``store`` whose keys ``batch`` does not hold (a null key is never held). Only rows that pass the batch's
+    filter are shuffled; above ``FILTER_KEYS`` keys all are."""
+    keys = list(keys)
+    want = batch.select(*keys)
+    if plan_bytes(want) <= BROADCAST_BYTES:
+        return store.join(F.broadcast(want), keys, "left_anti").select(*store.columns)
+    n = bounded_count(want, FILTER_KEYS)
+    if n > FILTER_KEYS:
+        return store.join(want, keys, "left_anti").select(*store.columns)
+    words, bits = key_filter(want, keys, n)
+    word, bit = _word_and_bit(keys, bits)
+    asked = store.withColumn("_key_word", word).withColumn("_key_bit", bit).join(
+        F.broadcast(words), F.col("_key_word") == F.col("_word"), "left")
+    may = F.coalesce(F.getbit("_bits", F.col("_key_bit")) == 1, F.lit(False))
+    return asked.where(~may).select(*store.columns).unionByName(
+        asked.where(may).select(*store.columns).join(want, keys, "left_anti").select(*store.columns))

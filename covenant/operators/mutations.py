@@ -13,11 +13,13 @@ repeat a ``seq`` of their own, are requests of their own.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covenant.functions.exprs import iso_ms, parse_iso
-from covenant.operators.keyset import fresh_rows, held_keys
+from covenant.operators.keyset import fresh_rows, rows_without
 from covenant.plans.sizing import BROADCAST_BYTES, broadcast_within, plan_bytes
 from covenant.sources.binding import Tables
 from covenant.sources.commands import MAX_SEQ, ORIGIN, with_places
@@ -275,26 +277,35 @@ def _item_pk(cid: str = "contract_id") -> Column:
     return F.concat(F.lit(PK_PREFIX), F.col(cid).cast("string"))
 
 
-def _apply_item_bundle(items: DataFrame, updates: DataFrame, puts: DataFrame) -> DataFrame:
-    """Contract items take the attributes of ``updates`` (PK, SK and those set; one row per contract; a missing item is
-    created with the key and these attributes only), and ``puts`` are stored unless the store holds their keys.
-
-    The store is read twice: once whole, with a broadcast of a small update set, and once by its keys, filtered by the
-    batch's keys. Neither read shuffles it.
-    """
-    from covenant.sources.items import CONTRACT_SK, put_items
-    if "_seq" not in items.columns:
-        items = items.withColumn("_seq", F.lit(0).cast("long"))
+def _update_contract_items(items: DataFrame, updates: DataFrame) -> DataFrame:
+    """The contract items of ``items`` with the attributes of ``updates`` (PK, SK and those set; one row per contract); a
+    missing item is created with the key and these attributes only."""
     types, sets = dict(items.dtypes), [c for c in updates.columns if c not in ("PK", "SK")]
     upd = updates.select(F.col("PK").alias("_upk"), *[F.col(c).cast(types[c]).alias(f"_u_{c}") for c in sets])
-    is_contract, hit = F.col("SK").eqNullSafe(F.lit(CONTRACT_SK)), F.col("_upk").isNotNull()
-    # only contract items (one per PK) meet a join key: the other items of a contract, however many, pass by
-    j = items.where(is_contract).join(broadcast_within(upd), F.col("PK") == F.col("_upk"), "left")
+    hit = F.col("_upk").isNotNull()
+    j = items.join(broadcast_within(upd), F.col("PK") == F.col("_upk"), "left")
     updated = j.select(*[F.when(hit, F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c) if c in sets else F.col(c) for c in items.columns])
     created = updates.select(*[(F.col(c) if c in ("PK", "SK", *sets) else F.lit(0) if c == "_seq" else F.lit(None)).cast(types[c]).alias(c)
                                for c in items.columns])
-    writes = created.unionByName(put_items(puts).select(*items.columns))    # a batch may repeat a key
-    return updated.unionByName(items.where(~is_contract)).unionByName(fresh_rows(items, writes, ("PK", "SK")).select(*items.columns))
+    return updated.unionByName(fresh_rows(items, created, ("PK", "SK")).select(*items.columns))
+
+
+def _item_parts(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The contract items and the others: only the former meet an update, only the latter a put."""
+    from covenant.sources.items import CONTRACT_SK
+    if "_seq" not in items.columns:
+        items = items.withColumn("_seq", F.lit(0).cast("long"))
+    is_contract = F.col("SK").eqNullSafe(F.lit(CONTRACT_SK))
+    return items.where(is_contract), items.where(~is_contract)
+
+
+def _apply_item_bundle(items: DataFrame, updates: DataFrame, puts: DataFrame) -> DataFrame:
+    """Contract items take the attributes of ``updates``, and ``puts`` (of events and ledger rows) are stored unless the
+    store holds their keys. The store's keys are asked before the puts are grouped: a batch may repeat a key."""
+    from covenant.sources.items import put_items
+    contracts, others = _item_parts(items)
+    stored = put_items(fresh_rows(others, puts, ("PK", "SK")), whole=True)
+    return _update_contract_items(contracts, updates).unionByName(others).unionByName(stored.select(*others.columns))
 
 
 def _item_sk(prefix: str, kind: str) -> Column:
@@ -331,7 +342,7 @@ def apply_demo_items(items: DataFrame, commands: DataFrame) -> DataFrame:
                          _template(EVENT_TEXT, status=F.col("new_status")).alias("description"), F.col("seq").alias("_seq"))
     lg = commands.select(_item_pk().alias("PK"), F.concat(F.lit(LEDGER_PREFIX), at).alias("SK"), F.col("amount").cast(MONEY).alias("amount"),
                          F.lit(DEMO_TRANSACTION).alias("transaction_type"), at.alias("timestamp"), F.col("seq").alias("_seq"))
-    return _put_item_bundle(items, updates, _conform(ev.unionByName(lg, allowMissingColumns=True)))
+    return _put_item_bundle(items, updates, _conform(ev.unionByName(lg, allowMissingColumns=True)), (EVENT_PREFIX, LEDGER_PREFIX))
 
 
 def apply_touches_items(items: DataFrame, commands: DataFrame) -> DataFrame:
@@ -342,14 +353,18 @@ def apply_touches_items(items: DataFrame, commands: DataFrame) -> DataFrame:
     at = iso_ms("ts")
     ev = commands.select(_item_pk().alias("PK"), F.concat(F.lit(EVENT_PREFIX), at).alias("SK"), at.alias("timestamp"),
                          _template(TOUCH_TEXT, i=F.col("seq")).alias("description"), F.col("seq").alias("_seq"))
-    return _put_item_bundle(items, updates, _conform(ev))
+    return _put_item_bundle(items, updates, _conform(ev), (EVENT_PREFIX,))
 
 
-def _put_item_bundle(items: DataFrame, updates: DataFrame, puts: DataFrame) -> DataFrame:
+def _put_item_bundle(items: DataFrame, updates: DataFrame, puts: DataFrame, prefixes: Sequence[str]) -> DataFrame:
     """Like ``_apply_item_bundle``, but a put replaces the item that the store holds under its key: the stored items with
-    a key of the batch (few) go, the batch's items come."""
+    a key of the batch go, the batch's items come. ``prefixes``: those of the puts' sort keys; stored items of another kind
+    have none of the keys and pass by."""
     from covenant.sources.items import put_items
-    puts = put_items(puts)
-    gone = puts.select("PK", "SK")
-    gone = F.broadcast(gone) if plan_bytes(gone) <= BROADCAST_BYTES else held_keys(items, gone, ("PK", "SK"))
-    return _apply_item_bundle(items.join(gone, ["PK", "SK"], "left_anti"), updates, puts)
+    contracts, others = _item_parts(items)
+    kind = F.lit(False)
+    for p in prefixes:
+        kind = kind | F.coalesce(F.col("SK").startswith(p), F.lit(False))
+    kept = rows_without(others.where(kind), puts.where("PK is not null and SK is not null"), ("PK", "SK"))
+    return (_update_contract_items(contracts, updates).unionByName(others.where(~kind)).unionByName(kept)
+            .unionByName(put_items(puts, whole=True).select(*others.columns)))

@@ -63,7 +63,7 @@ def _items(spark, d):
 def _item_store(spark, d):
     """The item store as a written table: what command batches are applied to."""
     from covenant.session import materialize
-    return _memo("item_store", spark, d, lambda: materialize(_items(spark, d), "item-store"))
+    return _memo("item_store", spark, d, lambda: materialize(I.put_items(I.to_items(_t(spark, d)), whole=True), "item-store"))
 
 
 def sample_id(spark, d):

@@ -73,7 +73,7 @@ def to_items(t: Tables) -> DataFrame:
     return _conform(u)
 
 
-def put_items(items: DataFrame, new: DataFrame | None = None, seq_col: str = "_seq") -> DataFrame:
+def put_items(items: DataFrame, new: DataFrame | None = None, seq_col: str = "_seq", whole: bool = False) -> DataFrame:
     """M2: key-value put semantics. Rows are writes; for each (PK, SK) the write with
     the highest ``seq_col`` wins (a later put replaces the whole item).
 
@@ -82,6 +82,8 @@ def put_items(items: DataFrame, new: DataFrame | None = None, seq_col: str = "_s
     sequence, so every attribute comes from the winning write, Catalyst prunes
     the attributes a query does not use before the shuffle, and partial
     aggregation collapses a key written a billion times to one row per map task.
+    ``whole``: for a caller that uses every attribute. All of them are one value then,
+    and a row carries the sequence once, not once for each attribute.
 
     Writes without a key have no place in the store: ``rejected_items`` returns them.
     """
@@ -90,6 +92,9 @@ def put_items(items: DataFrame, new: DataFrame | None = None, seq_col: str = "_s
     attrs = [c for c in w.columns if c not in ("PK", "SK")]
     # a write without a sequence number counts as the oldest one
     order = F.coalesce(F.col(seq_col).cast("long"), F.lit(-(1 << 63)))
+    if whole:
+        last = w.groupBy("PK", "SK").agg(F.max_by(F.struct(*attrs), order).alias("_item"))
+        return last.select("PK", "SK", *[F.col("_item").getField(c).alias(c) for c in attrs])
     return (w.withColumn("_order", order)
             .groupBy("PK", "SK")
             .agg(*[F.max_by(F.col(c), F.col("_order")).alias(c) for c in attrs]))
